@@ -95,10 +95,11 @@ def _said(findings: Column) -> Column:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     base = F.filter("findings", lambda x: x["kind_no"] < 3)
+    of_kind = lambda i: lambda x: x["kind_no"] == i
     count = lambda test: F.size(F.filter("findings", test)).cast("long")
     return found.select(
         "doc_id",
-        *[count(lambda x, i=i: x["kind_no"] == i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
+        *[count(of_kind(i)).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
         F.sha2(_said(base).cast("binary"), 256).alias("base_sha256"),
         _said(F.col("findings")).alias("spans"),
         count(lambda x: x["live"]).alias("n_live_looking"),
