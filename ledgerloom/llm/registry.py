@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, quality, secrets
+from . import exact_dedup, fingerprints, mixing, near_dedup, piece_codec, quality, secrets
 
 QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_piece_codec": piece_codec.op7_piece_codec,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
