@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, piece_codec, quality, secrets
+from . import exact_dedup, fingerprints, mixing, near_dedup, piece_codec, quality, secrets, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
