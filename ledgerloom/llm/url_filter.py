@@ -62,9 +62,9 @@ def match_rules(pages: DataFrame, rules: DataFrame, most_broadcast: int = 100_00
         # one row for each rule host: rules are few, so pages need no shuffle and no row of theirs is repeated
         by_host = rules.groupBy("rule_host").agg(F.collect_list(F.struct(F.length("rule").alias("length"), "rule", "rule_verdict", "rule_path")).alias("rs"))
         table = by_host.agg(F.map_from_entries(F.collect_list(F.struct("rule_host", "rs"))).alias("_rules"))
-        fits = F.filter(F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(table.scalar(), s), F.array().cast(by_host.schema["rs"].dataType)))), lambda r: F.col("path").startswith(r["rule_path"]))
+        fits = F.filter(F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at("_rules", s), F.array().cast(by_host.schema["rs"].dataType)))), lambda r: F.col("path").startswith(r["rule_path"]))
         best = F.array_max(fits)
-        return pages.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.rule_verdict")).drop("_best")
+        return pages.withColumn("_rules", table.scalar()).withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.rule_verdict")).drop("_best", "_rules")
     keyed = pages.withColumn("_row", F.monotonically_increasing_id()).transform(scratch)
     tried = keyed.select("_row", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     best = tried.groupBy("_row").agg(F.max(F.struct(F.length("rule").alias("length"), "rule", "rule_verdict")).alias("_best"))
