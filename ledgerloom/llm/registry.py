@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, pii, piece_codec, quality, secrets, url_filter
+from . import exact_dedup, fingerprints, license_scan, mixing, near_dedup, pii, piece_codec, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_pii": pii.op3_pii,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_secret_scan": secrets.op5_secret_scan,
