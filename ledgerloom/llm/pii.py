@@ -202,7 +202,8 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for j in np.flatnonzero(f.observed | ~tied):
                 labels.append(bool(f.observed[j]))
                 rows.append(np.r_[f.x[j], chain[j], skip[j]])
-        yield pd.DataFrame({"label": labels, "x": rows})
+        if rows:
+            yield pd.DataFrame({"label": labels, "x": rows})
 
 
 def train(docs: DataFrame) -> np.ndarray | None:
