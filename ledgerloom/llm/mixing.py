@@ -126,11 +126,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of docs: a document comes as often as its words are taken, rounded; left out where that is 0."""
-    times = mix(docs, **options).select("doc_id", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("_times")).where("_times > 0")
-    times = times.groupBy("doc_id").agg(F.max("_times").alias("_times"))
-    out = docs.join(times, "doc_id").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(*docs.columns)
+    """The mix as rows of docs: a document comes as often as its words are taken, rounded; left out where that is 0. Rows that share
+    an id come as often as the one of them that is taken most."""
+    times = mix(docs, **options).select(F.col("doc_id").alias("mixed_id"), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("mixed_times"))
+    times = times.where("mixed_times > 0").groupBy("mixed_id").agg(F.max("mixed_times").alias("mixed_times"))
+    out = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
+    repeats = F.sequence(F.lit(1), times["mixed_times"])
+    return out.select(*[docs[c] for c in docs.columns], F.explode(repeats).alias("mixed_time")).select(*docs.columns)
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

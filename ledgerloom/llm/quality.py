@@ -127,7 +127,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, decay: float = 1e-2) -> Mo
 
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,22 +156,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_SAMPLED) -> Model
     return fit(x[is_positive], x[~is_positive])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a column score."""
+def _score(model: Model | None, text: Column) -> Column:
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return F.lit(0.5)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([features(t) for t in texts], np.float32).reshape(len(texts), N_FEATURES)))
 
-    return docs.withColumn("score", scored("text"))
+    return scored(text)
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with a column score (in place of one of that name)."""
+    return docs.withColumn("score", _score(model, F.col("text")))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold; all of them if nothing could be learnt."""
     model = train(docs, labels)
-    return docs if model is None else score(docs, model).where(F.col("score") >= threshold).select(*docs.columns)
+    return docs if model is None else docs.where(_score(model, F.col("text")) >= threshold)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

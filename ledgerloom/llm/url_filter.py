@@ -11,7 +11,7 @@ join that broadcasts the few hot hosts and shuffles the others.
 
 Edge cases: a null url or one without `://` has an empty host and path, fits no rule and is allowed; null or empty html has no links;
 links of a host to itself are no edges; repeated rows count as pages of their own; no seeds or no links leave the ranks at the seeds; an
-empty table gives an empty result; extra columns are carried through by `judge`.
+empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -98,8 +98,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
 
 def judge(pages: DataFrame, rules: DataFrame, factor: float = FACTOR) -> DataFrame:
-    """pages (page_id, url, html) with host, path, rule, verdict, trust and distrust."""
-    named = pages.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    """page_id, url, host, path, rule, verdict, trust and distrust of each row of pages (page_id, url, html)."""
+    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = match_rules(named.drop("html"), rules)
     ruled = scratch(ruled)
     edges = scratch(host_edges(named.select("host", "html")))
