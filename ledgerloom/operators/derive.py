@@ -84,7 +84,7 @@ def absorb(parts: DataFrame, by: list[str], total: str, value: str, free: str, o
 def order_dates(rows: DataFrame, start: str, end: str, early: str, late: str) -> DataFrame:
     """DV29: where a start lies after its end, fixed dates far apart."""
     bad = F.col(start) > F.col(end)
-    return rows.withColumn(start, F.when(bad, F.lit(early).cast("date")).otherwise(F.col(start))).withColumn(end, F.when(bad, F.lit(late).cast("date")).otherwise(F.col(end)))
+    return rows.withColumns({start: F.when(bad, F.lit(early).cast("date")).otherwise(F.col(start)), end: F.when(bad, F.lit(late).cast("date")).otherwise(F.col(end))})
 
 
 def cross_table(plans: DataFrame, values: DataFrame, incidence: DataFrame, rounds: int = 5) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_CELLS = 400
+#: Rounds of alternating projections at most.
+PROJECTIONS = 200
 
 
 def rref(rows: list[list[Fraction]], n: int) -> tuple[list[list[Fraction]], list[int]]:
@@ -81,7 +83,7 @@ def least_squares_group(terms: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"component": terms["component"].iloc[0], "key": keys, "value": x, "consistent": bool(np.abs(a @ x - b).max(initial=0) < 1e-6)})
 
 
-def non_negative_group(terms: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
+def non_negative_group(terms: pd.DataFrame) -> pd.DataFrame:
     """DV10, DV11: like least squares with cells kept at 0 or above, by alternating projections; consistent tells whether it got there."""
     keys, eqs = sorted(terms["key"].unique()), sorted(terms["eq"].unique())
     about = terms.drop_duplicates("key").set_index("key")
@@ -93,7 +95,7 @@ def non_negative_group(terms: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
     move = np.array([not about.loc[k, "fixed"] for k in keys])
     back = np.linalg.pinv(a[:, move]) if move.any() else np.zeros((0, len(eqs)))
     correction = np.zeros(int(move.sum()))
-    for _ in range(rounds):
+    for _ in range(PROJECTIONS):
         x[move] += back @ (b - a @ x)
         y = x[move] + correction
         x[move] = np.maximum(y, 0)
