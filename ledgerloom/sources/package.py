@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import table_refs
 
 _L = "{http://www.w3.org/1999/xlink}"
-LINKS = "path string, role string, kind string, tag string, id string, label string, source string, target string, arcrole string, ord double, href string, text string, attributes map<string,string>"
+LINKS = "path string, role string, kind string, tag string, id string, label string, source string, target string, arcrole string, ord double, href string, text string, attributes map<string,string>, parts array<struct<tag:string,text:string>>"
+
+LINK_COLUMNS = ["path", "role", "kind", "tag", "id", "label", "source", "target", "arcrole", "ord", "href", "text", "attributes", "parts"]
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,8 +36,9 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     plain = {k.rpartition("}")[2]: v for k, v in x.attrib.items() if not k.startswith(_L)}
                     text = "".join(x.itertext()).strip()
                     order = plain.get("order")
-                    rows.append((path, role, kind, x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None, x.get(f"{_L}href"), text, plain))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINKS.split(", ")])
+                    parts = [{"tag": y.tag.rpartition("}")[2], "text": f"{above[y].tag.rpartition('}')[2]}:{(y.text or '').strip()}"} for above in [{c: e for e in x.iter() for c in e}] for y in x.iter() if y is not x and len(y) == 0]
+                    rows.append((path, role, kind, x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None, x.get(f"{_L}href"), text, plain, parts))
+        yield pd.DataFrame(rows, columns=LINK_COLUMNS)
 
 
 def linkbases(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
