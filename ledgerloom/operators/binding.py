@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import dim_key
+from ..session import bounded
 
 
 def merged_filters(filters: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def candidates(facts: DataFrame, filters: DataFrame, defaults: dict[str, str]) -
     known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>") if defaults else F.create_map().cast("map<string,string>")
     effective = lambda d: F.coalesce(F.try_element_at("dims", d), F.try_element_at(known, d))
     fits = F.forall(F.map_entries("wants"), lambda e: F.when(F.size(e["value"]) == 0, F.try_element_at("dims", e["key"]).isNotNull()).otherwise(F.coalesce(F.array_contains(e["value"], effective(e["key"])), F.lit(False))))
-    return facts.join(F.broadcast(selectors(filters)), "concept").where(fits)
+    return facts.join(bounded(selectors(filters)), "concept").where(fits)
 
 
 def bind(facts: DataFrame, filters: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -39,7 +40,7 @@ def bind(facts: DataFrame, filters: DataFrame, defaults: dict[str, str]) -> Data
     All variables' candidates go through one shuffle: a tagged union grouped by the key, not a join for each variable. Gives
     (rule, group_key, values map var -> sorted values, sums map var -> sum)."""
     pinned = filters.where("dim IS NOT NULL").groupBy("rule").agg(F.collect_set("dim").alias("pinned"))
-    c = candidates(facts, filters, defaults).join(F.broadcast(pinned), "rule", "left")
+    c = candidates(facts, filters, defaults).join(bounded(pinned), "rule", "left")
     free = F.map_filter("dims", lambda d, _: ~F.coalesce(F.array_contains("pinned", d), F.lit(False)))
     c = c.withColumn("group_key", dim_key(free))
     each = c.groupBy("rule", "group_key", "var").agg(F.sort_array(F.collect_list("value")).alias("vs"), F.sum("value").alias("s"))

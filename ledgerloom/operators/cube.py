@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import bounded, settled
 
 
 def specs(primaries: DataFrame, dims: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def admission(facts: DataFrame, cubes: DataFrame, defaults: dict[str, str]) -> D
     ours = F.forall(F.map_entries("dims"), lambda e: typed(e["key"]) | member(e["key"], e["value"]))
     theirs = F.forall(F.map_keys("allowed"), lambda d: F.array_contains(F.map_keys("dims"), d) | (~typed(d) & member(d, F.try_element_at(known, d))))
     fits = F.coalesce(ours & F.coalesce(theirs, F.lit(True)), F.lit(False))
-    seen = facts.join(F.broadcast(cubes), "concept", "left").groupBy("fact_id").agg(F.bool_or(fits & F.col("spec").isNotNull()).alias("fits"), F.bool_or(F.col("spec").isNotNull()).alias("primary"))
+    seen = facts.join(bounded(cubes), "concept", "left").groupBy("fact_id").agg(F.bool_or(fits & F.col("spec").isNotNull()).alias("fits"), F.bool_or(F.col("spec").isNotNull()).alias("primary"))
     return seen.select("fact_id", F.when(F.col("fits"), "valid").when(F.col("primary"), "invalid").otherwise("metric-not-primary").alias("verdict"))
 
 

@@ -15,7 +15,7 @@ _TESTS = {"<=": lambda a, b, t: a <= b + t, "<": lambda a, b, t: a < b + t, ">="
 
 
 def to_column(tree, leaf: Callable[[object], Column], tolerance: float | Column = 0.0, language: str = "a") -> Column:
-    """The tree over numeric leaves. Absent values are 0 in arithmetic, as the reference semantics have it; `exp` is a
+    """The tree over numeric leaves. Absent values are 0 in arithmetic; `exp` is a
     tolerance wrapper in language a and a rational power in language b. With a tolerance, comparisons allow for it."""
     tol = F.lit(tolerance) if isinstance(tolerance, float) else tolerance
     again = lambda x: to_column(x, leaf, tolerance, language)

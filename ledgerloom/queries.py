@@ -12,6 +12,7 @@ from .functions import keys as K
 from .functions import values as V
 from .operators import binding, catalog, cube, derive, evaluate, generate, graph, layout, solve
 from .plans import compiler, language
+from .session import bounded
 from .sources import logs, package, star
 
 QUERIES: dict = {}
@@ -105,7 +106,7 @@ def q_enum_check(spark, d):
     """SRC8, FLT13: values that the enumeration's table has or lacks."""
     pool = inline(spark, [("1-URGENT",), ("2-HIGH",), ("3-MEDIUM",)], "o_orderpriority string").withColumn("a", F.lit(True))
     n = star.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(pool), "o_orderpriority", "left").select("o_orderpriority", F.col("a").isNotNull().alias("allowed"), "n")
+    return n.join(bounded(pool), "o_orderpriority", "left").select("o_orderpriority", F.col("a").isNotNull().alias("allowed"), "n")
 
 
 @query("SELECT regexp_matches(c_name, '^Customer#[0-9]{9}$') AS ok, count(*) AS n FROM customer GROUP BY 1")
@@ -201,7 +202,7 @@ _WEIGHTS = [("AFRICA", 1.0), ("AMERICA", 1.0), ("ASIA", 2.0), ("EUROPE", 2.0), (
 def q_weighted_rss(spark, d):
     """AG14, JN18, FB6."""
     s = leaf(spark, d).groupBy("SEG", "REG").agg((F.sum("ext").cast("double") / 1e6).alias("v"))
-    r = evaluate.weighted_root(s.join(F.broadcast(inline(spark, _WEIGHTS, "REG string, w double")), "REG"), ["SEG"], "w", "v")
+    r = evaluate.weighted_root(s.join(bounded(inline(spark, _WEIGHTS, "REG string, w double")), "REG"), ["SEG"], "w", "v")
     return r.select("SEG", F.round(F.col("root").cast("decimal(28,6)"), 3).cast("double").alias("root"))
 
 
@@ -366,7 +367,7 @@ def q_valid_cells(spark, d):
 
 def geography(spark: SparkSession, d: str) -> DataFrame:
     n, r = star.table(spark, d, "nation"), star.table(spark, d, "region")
-    return r.select(F.lit("WORLD").alias("parent"), F.col("r_name").alias("child")).unionByName(n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")))
+    return r.select(F.lit("WORLD").alias("parent"), F.col("r_name").alias("child")).unionByName(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")))
 
 
 @query("SELECT 'WORLD' AS start, n_name AS node FROM nation UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -407,7 +408,7 @@ def q_partial_breakdown(spark, d):
     h = cube.hierarchy(inline(spark, _ARCS, "domain string, parent string, child string, weight double, kind string"))
     by = leaf(spark, d).groupBy("REG").agg(F.sum("qty").alias("q"))
     total = by.agg(F.sum("q").alias("q"))
-    p = by.join(F.broadcast(h), F.col("REG") == F.col("child")).groupBy("parent").agg(F.sum("q").alias("p"))
+    p = by.join(bounded(h), F.col("REG") == F.col("child")).groupBy("parent").agg(F.sum("q").alias("p"))
     return p.withColumn("t", total.scalar()).select("parent", F.col("t").cast("double").alias("total"), F.col("p").cast("double").alias("parts"), (F.col("t") >= F.col("p")).alias("ok"))
 
 
@@ -417,7 +418,7 @@ def q_partial_breakdown(spark, d):
 def balances(spark: SparkSession, d: str) -> DataFrame:
     """Customers by nation: small leaves of the geography, whole numbers."""
     c = star.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").cast("double").alias("value"))
-    return c.join(F.broadcast(star.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key"), "value")
+    return c.join(star.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key"), "value")
 
 
 def geo_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -551,7 +552,7 @@ def q_distribute(spark, d):
     """DV25: 10,007 over each nation's customers."""
     c = star.table(spark, d, "customer").select("c_nationkey", "c_custkey", F.abs("c_acctbal").cast("decimal(18,2)").alias("w"))
     t = c.groupBy("c_nationkey").agg(F.sum("w").cast("double").alias("t"))
-    c = c.join(F.broadcast(t), "c_nationkey").withColumn("w", F.col("w").cast("double")).withColumn("total", F.lit(10007))
+    c = c.join(t, "c_nationkey").withColumn("w", F.col("w").cast("double")).withColumn("total", F.lit(10007))
     w = F.floor(F.lit(10007.0) * F.col("w") / F.col("t")).cast("long")
     return derive_rest(c.withColumn("share", w)).select("c_custkey", "assigned")
 

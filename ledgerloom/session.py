@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a catalogue (rules, cubes, members) that may be broadcast.
+MOST_BROADCAST = 200_000
 
 
 def session(cores: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -30,3 +34,8 @@ def settled(df: DataFrame) -> DataFrame:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(catalogue: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A catalogue table marked for broadcast if it has at most so many rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(catalogue) if catalogue.limit(most + 1).count() <= most else catalogue

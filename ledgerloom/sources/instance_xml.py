@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.keys import dim_key
+from ..session import bounded
 
 SCHEMA = "file string, fact_id long, concept string, ctx_id string, dims map<string,string>, typed map<string,string>, period string, unit string, decimals int, value_raw string"
 _X, _D, _F = "{http://www.xbrl.org/2003/instance}", "{http://xbrl.org/2006/xbrldi}", "{http://www.eurofiling.info/xbrl/ext/filing-indicators}"
@@ -100,7 +101,7 @@ def build(cells: DataFrame, metrics: DataFrame, defaults: dict[str, str]) -> tup
     """SNK2: (contexts, facts) of cells (concept, dims, value): empty values skipped, contexts by period type and dims without defaults,
     the first of equal facts kept, unit and decimals by datatype."""
     known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>") if defaults else F.create_map().cast("map<string,string>")
-    c = cells.where("value IS NOT NULL AND value != ''").join(F.broadcast(metrics.select("concept", "datatype", "period_type")), "concept", "left")
+    c = cells.where("value IS NOT NULL AND value != ''").join(bounded(metrics.select("concept", "datatype", "period_type")), "concept", "left")
     kept = F.map_filter("dims", lambda d, m: ~m.eqNullSafe(F.try_element_at(known, d)))
     c = c.withColumn("ctx_key", F.concat_ws("|", F.coalesce("period_type", F.lit("instant")), dim_key(kept)))
     facts = c.groupBy("concept", "ctx_key").agg(F.min("value").alias("value"), F.first("datatype").alias("datatype"))

@@ -14,7 +14,7 @@ def leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(REG, SEG, RFL, LST, YR, qty, ext): sums of lines by their dimensions, exact decimals."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customer, nation, region = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    geo = customer.join(F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey)), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("REG"), F.col("c_mktsegment").alias("SEG"))
+    geo = customer.join(nation.join(region, nation.n_regionkey == region.r_regionkey), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("REG"), F.col("c_mktsegment").alias("SEG"))
     placed = orders.select("o_orderkey", "o_custkey").join(geo, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "REG", "SEG")
     # lines are summed up by order first: the join then moves a row for each order and not for each line
     per = line.groupBy("l_orderkey", F.col("l_returnflag").alias("RFL"), F.col("l_linestatus").alias("LST"), F.year("l_shipdate").alias("YR")).agg(
