@@ -754,12 +754,12 @@ def q_ctx_dedup(spark, d):
     return contexts.agg(F.count("*").alias("contexts")).withColumn("facts", facts.agg(F.count("*")).scalar())
 
 
-@query("SELECT * FROM (VALUES ('A01.00','A01.00.01','A01.00','t'), ('A01.00.01','A01.00.01','A01.00','t')) t(tbl, code, family, k) WHERE false")
+@query("SELECT * FROM (VALUES ('A01.00.01.02','A01.00.01','A01.00'), ('A01.00.03','A01.00.03','A01.00'), ('C02.00','C02.00','C02.00')) t(tbl, code, family)")
 def q_template_scope(spark, d):
-    """FLT16, PRJ13, SNK4: rows whose table an indicator covers (none here: indicators name other tables)."""
-    rows = inline(spark, [("A01.00.01.02",), ("B02.00",)], "tbl string")
-    hit = catalog.in_template_scope(rows, inline(spark, [("C09.00",)], "template string"))
-    return hit.select("tbl", K.template_of(F.col("tbl")).alias("code"), K.table_family(F.col("tbl")).alias("family"), F.lit("t").alias("k"))
+    """FLT16, PRJ13, SNK4: rows whose table an indicator equals or is a dotted prefix of."""
+    rows = inline(spark, [("A01.00.01.02",), ("A01.00.03",), ("A01.001",), ("B02.00",), ("C02.00",)], "tbl string")
+    hit = catalog.in_template_scope(rows, inline(spark, [("A01.00",), ("C02.00",), ("C09.00",)], "template string"))
+    return hit.select("tbl", K.template_of(F.col("tbl")).alias("code"), K.table_family(F.col("tbl")).alias("family"))
 
 
 @query("SELECT t, CASE WHEN t LIKE '%onetary%' THEN 'MONETARY' WHEN t LIKE '%ercent%' THEN 'PERCENTAGE' WHEN t LIKE '%Name%' THEN 'ENUMERATION' WHEN t LIKE '%decimal%' THEN 'DECIMAL' ELSE 'STRING' END AS datatype FROM (VALUES ('monetaryItemType'), ('percentItemType'), ('QNameItemType'), ('decimalItemType'), ('stringItemType')) v(t)")
@@ -776,3 +776,169 @@ def q_solve_loop(spark, d):
     fix = lambda s: s.withColumn("lhs", F.when(F.abs(F.col("lhs") - F.col("rhs")) > 50_000, F.col("rhs")).otherwise(F.col("lhs")).cast("decimal(28,2)"))
     state, counts = derive.until_clean(start.withColumn("lhs", F.col("lhs").cast("decimal(28,2)")), fix, bad)
     return spark.range(1).select(F.lit("clean" if not counts[-1] else "stuck").alias("state"), F.lit(counts[-1]).cast("long").alias("violations"), F.lit(counts[0] - counts[-1]).cast("long").alias("repaired"))
+
+
+# Further operators
+
+
+_NAMES = [("{http://x}own_ab_m1", "own_CU:x1", "C01.00.01.02", "  Two\n Words "), ("p:ab_ab_m2", "x0", "C02.00", "ONE")]
+
+
+@query("SELECT * FROM (VALUES ('m1','CU:x1','own_CU','C01.00.01','C01.00','two words'), ('m2','x0',NULL,'C02.00','C02.00','one')) t(local, member, dom, template, family, folded)")
+def q_names(spark, d):
+    """PRJ2, PRJ3, PRJ13, PRJ14, PRJ20, SNK4."""
+    n = inline(spark, _NAMES, "q string, m string, t string, s string")
+    return n.select(K.local_name(F.col("q"), ("own_", "ab_")).alias("local"), K.qualified_member(F.col("m"), ("own_",)).alias("member"), K.domain_of(F.col("m")).alias("dom"), K.template_of(F.col("t")).alias("template"), K.table_family(F.col("t")).alias("family"), K.compare_text(F.col("s")).alias("folded"))
+
+
+_SCOPED = [("r1", ["A01.00", "A02.00"], False), ("r2", ["A01.00"], False), ("r3", ["A01.00", "Z01.00"], False), ("r4", ["A01.00"], True), ("r5", [], False)]
+
+
+@query("SELECT * FROM (VALUES ('r1', true), ('r2', false)) t(code, is_cross)")
+def q_rule_scope(spark, d):
+    """FLT4, FLT5."""
+    r = inline(spark, _SCOPED, "code string, tables array<string>, deactivated boolean")
+    return evaluate.in_scope(r, ["A01.00", "A02.00"]).select("code", evaluate.is_cross_table(F.col("tables")).alias("is_cross"))
+
+
+@query("SELECT * FROM (VALUES ('power', 1::BIGINT), ('minmax', 1::BIGINT), ('product', 1::BIGINT), ('ratio', 1::BIGINT), ('conditional', 1::BIGINT), ('linear', 2::BIGINT)) t(why, n)")
+def q_nonlinear(spark, d):
+    """FLT7, RC14: why rules are not linear."""
+    texts = ["{r: 1} = exp({r: 2}, 1, 2)", "{r: 1} = imax({r: 2}, 0)", "{r: 1} = {r: 2} * {r: 3}", "{r: 1} = {r: 2} / {r: 3}", "if {r: 1} = 0 then {r: 2} = imax({r: 3}, 1)", "{r: 1} = {r: 2} + 3", "{r: 1} i<= 2 * {r: 2}"]
+    e = inline(spark, [(t, language.is_nonlinear(language.parse_b(t))) for t in texts], "e string, nl boolean")
+    return e.groupBy(F.when(F.col("nl"), catalog.unhandled_class(F.col("e"))).otherwise("linear").alias("why")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'K=' || s AS signature, 'D=t,K=' || s AS target_key, derived::DOUBLE AS derived FROM (VALUES ('k1', 5.0), ('k2', 4.0)) t(s, derived)""")
+def q_open_link(spark, d):
+    """JN8, DV20: one open target in a signature becomes the sum of its sources; k3 has none and stays out."""
+    f = inline(spark, [("m", {"D": "t", "K": "k1"}, 0.0), ("m", {"D": "a", "K": "k1"}, 2.0), ("m", {"D": "b", "K": "k1"}, 3.0), ("m", {"D": "t", "K": "k2"}, 9.0), ("m", {"D": "b", "K": "k2"}, 4.0), ("m", {"D": "a", "K": "k3"}, 1.0)], "concept string, dims map<string,string>, value double")
+    t = inline(spark, [("r", "-", 1.0, "m", {"D": "t"}), ("r", "-", -1.0, "m", {"D": "a"}), ("r", "-", -1.0, "m", {"D": "b"})], "code string, inst string, coef double, concept string, dims map<string,string>")
+    return binding.lone_targets(t, f).select("signature", "target_key", "derived")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey < 200 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice) = 1)
+ SELECT 'total' AS rule, l_orderkey * 10 AS src_line, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS fixed FROM l WHERE l_linenumber > 0 GROUP BY 2""")
+def q_log_fix(spark, d):
+    """JN9, DV22: reported bindings name the lines of a total and its parts; the total becomes their sum."""
+    line = star.first_wins(star.table(spark, d, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+    parts = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src_line"), F.lit("part").alias("concept"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"))
+    totals = line.select((F.col("l_orderkey") * 10).alias("src_line"), F.lit("total").alias("concept"), F.lit(0).cast("decimal(18,2)").alias("value")).distinct()
+    hits = line.groupBy("l_orderkey").agg(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ls")).select(F.lit("total").alias("rule"), F.concat("ls", F.array(F.col("l_orderkey") * 10)).alias("lines"))
+    return binding.log_fixes(hits, parts.unionByName(totals), inline(spark, [("total", "total")], "rule string, concept string")).select("rule", "src_line", F.col("fixed").cast("double").alias("fixed"))
+
+
+@query("SELECT year(o_orderdate)::BIGINT AS yr, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, yr LIMIT 1")
+def q_mode(spark, d):
+    """AG18."""
+    return catalog.mode_of(star.table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("yr")), "yr")
+
+
+@query("SELECT * FROM (VALUES ('t', 10.0::DOUBLE), ('a', 6.0::DOUBLE), ('b', 4.0::DOUBLE)) t(key, value)")
+def q_cross_table(spark, d):
+    """DV17: the cheapest cell of a violated plan makes it hold."""
+    plans = inline(spark, [("p", "t", 1.0), ("p", "a", -1.0), ("p", "b", -1.0)], "code string, key string, coef double")
+    values = inline(spark, [("t", 10.0), ("a", 3.0), ("b", 4.0)], "key string, value double")
+    return derive.cross_table(plans, values, inline(spark, [("t", 5), ("a", 1), ("b", 2)], "key string, incidence int"))
+
+
+@query("""WITH p AS (SELECT n_regionkey AS g, n_nationkey AS i, n_nationkey::DOUBLE AS v, n_nationkey % 2 = 0 AS free FROM nation), s AS (SELECT *, 100 - sum(CASE WHEN free THEN 0 ELSE v END) OVER (PARTITION BY g) AS gap,
+ row_number() OVER (PARTITION BY g ORDER BY free DESC, i) AS k FROM p) SELECT g, i, CASE WHEN NOT free THEN v WHEN k = 1 AND gap >= 0 THEN gap ELSE 0 END AS assigned FROM s""")
+def q_absorb(spark, d):
+    """DV26: a free part takes a total's gap."""
+    p = star.table(spark, d, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("i"), F.col("n_nationkey").cast("double").alias("v"), (F.col("n_nationkey") % 2 == 0).alias("free"), F.lit(100.0).alias("total"))
+    return derive.absorb(p, ["g"], "total", "v", "free", ["i"]).select("g", "i", "assigned")
+
+
+@query("""SELECT count(*) FILTER (l_shipdate < o_orderdate) AS moved, count(*) AS n, 0::BIGINT AS still_bad FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def q_date_order(spark, d):
+    """DV29: starts after their ends get fixed dates."""
+    j = star.table(spark, d, "lineitem").select("l_orderkey", F.col("l_shipdate").alias("e0")).join(star.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("s0")), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.withColumns({"s": F.col("s0").cast("date"), "e": F.col("e0").cast("date")})
+    fixed = derive.order_dates(j, "s", "e", "1900-01-01", "2199-12-31")
+    return fixed.agg(F.count(F.when(F.col("s") == F.lit("1900-01-01").cast("date"), 1)).alias("moved"), F.count("*").alias("n"), F.count(F.when(F.col("s") > F.col("e"), 1)).alias("still_bad"))
+
+
+@query("SELECT * FROM (VALUES ('true','BOOLEAN'), ('d:x1','ENUMERATION'), ('2024-01-31','DATE'), ('12','MONETARY'), ('words','STRING')) t(v, datatype)")
+def q_infer_types(spark, d):
+    """GN3."""
+    rows = [("true", False), ("d:x1", False), ("2024-01-31", False), ("12", True), ("words", False)]
+    return inline(spark, rows, "v string, u boolean").select("v", generate.inferred_datatype(F.lit("m"), F.col("v"), F.col("u")).alias("datatype"))
+
+
+@query("SELECT p_type AS concept, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS pool FROM part GROUP BY 1")
+def q_enum_pools(spark, d):
+    """GN5."""
+    p = generate.enum_pools(star.table(spark, d, "part").select(F.col("p_type").alias("concept"), F.col("p_brand").alias("value")))
+    return p.select("concept", F.array_join("pool", ",").alias("pool"))
+
+
+@query("SELECT * FROM (VALUES ('A01.00', 2::BIGINT, 1::BIGINT), ('B01.00', 0::BIGINT, 1::BIGINT), ('C09.00', 0::BIGINT, 0::BIGINT)) t(template, format, inequality)")
+def q_class_counts(spark, d):
+    """JN11, CT13: rules of each template by class."""
+    r = inline(spark, [("format", ["A01.00"]), ("format", ["A01.00"]), ("inequality", ["A01.00", "B01.00"])], "klass string, tables array<string>")
+    return catalog.class_counts(inline(spark, [("A01.00",), ("B01.00",), ("C09.00",)], "template string"), r, ["format", "inequality"])
+
+
+@query(f"WITH {ORDER_SQL} SELECT o_orderpriority AS module, count(*) AS instances, count(*) FILTER (NOT ok) AS failing, 1 - count(*) FILTER (NOT ok) / count(*)::DOUBLE AS held FROM v GROUP BY 1")
+def q_sweep(spark, d):
+    """CT14."""
+    return catalog.sweep(order_verdicts(spark, d).withColumnRenamed("o_orderpriority", "module"))
+
+
+@query("SELECT p_brand AS framework, count(DISTINCT p_type) AS tables, count(*) AS datapoints FROM part GROUP BY 1")
+def q_table_summary(spark, d):
+    """AG9, CT4."""
+    return catalog.table_summary(star.table(spark, d, "part").select(F.col("p_brand").alias("framework"), F.col("p_type").alias("tbl")))
+
+
+@query("SELECT c_nationkey, count(*) FILTER (c_acctbal < 0) AS negatives, min(c_acctbal) AS least FROM customer GROUP BY 1")
+def q_negatives(spark, d):
+    """AG19, FLT15."""
+    return star.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("negatives"), F.min("c_acctbal").alias("least"))
+
+
+@query("SELECT o_custkey AS code, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1")
+def q_dictionary(spark, d):
+    """SRC4: keep-first and keep-last rows of a code."""
+    o = star.table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("price"))
+    return package.dictionary(o, "metric").withColumnRenamed("price", "first_price").join(package.dictionary(o, "domain").withColumnRenamed("price", "last_price"), "code")
+
+
+@query("SELECT c_custkey AS code, CASE WHEN c_custkey % 3 = 0 THEN 'late' ELSE 'early' END AS origin FROM customer UNION ALL SELECT -1, 'late'")
+def q_merge_fragments(spark, d):
+    """SRC9, SRC10: of equal codes the last fragment's row stays."""
+    c = star.table(spark, d, "customer").select(F.col("c_custkey").alias("code"))
+    late = c.where("code % 3 = 0").unionByName(inline(spark, [(-1,)], "code long")).withColumn("origin", F.lit("late"))
+    return package.two_hosts(c.withColumn("origin", F.lit("early")), late, "code", last_wins=True)
+
+
+@query("SELECT * FROM (VALUES ('s','0010','m1'), ('s','0020','m2')) t(sheet, code, metric)")
+def q_sheet_datapoints(spark, d):
+    """SRC17."""
+    cells = [("s", 0, 3, "Metrics"), ("s", 1, 1, "0010"), ("s", 1, 3, "m1"), ("s", 2, 1, "0020"), ("s", 2, 3, "m2"), ("s", 2, 2, "0001"), ("t", 0, 0, "no header")]
+    return package.sheet_datapoints(inline(spark, cells, "sheet string, row int, col int, value string")).select("sheet", "code", "metric")
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' THEN round_even(o_totalprice * 2 / 1000, 0) * 1000 ELSE o_totalprice END AS value FROM orders")
+def q_guarded_derive(spark, d):
+    """DV5: derived and rounded where the guard holds, kept elsewhere."""
+    o = star.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"), "o_orderstatus")
+    new = o.select("key", (F.col("value") * 2).alias("new"), F.lit(-3).alias("decimals"))
+    return derive.derive_guarded(o, new, F.col("o_orderstatus") == "F").select("key", "value")
+
+
+@query("SELECT o_orderkey AS id, count(DISTINCT l_returnflag) FILTER (l_returnflag NOT IN ('A','N')) = 0 AS within FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def q_members_within(spark, d):
+    """SET6: whether a group's members lie within the hierarchy's."""
+    m = star.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_returnflag").alias("members"))
+    return cube.members_within(m, m.select("id", F.array(F.lit("A"), F.lit("N")).alias("members")))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS key FROM orders WHERE o_totalprice > 100000), b AS (SELECT o_orderkey AS key FROM orders WHERE o_totalprice > 100000 AND o_orderstatus != 'P' OR o_orderkey < 20)
+ SELECT only_in, count(*) AS n FROM (SELECT 'a' AS only_in, key FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', key FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY 1""")
+def q_validity_parity(spark, d):
+    """SET9: keys that only one of two extractions holds valid."""
+    o = star.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice", "o_orderstatus")
+    b = o.where("o_totalprice > 100000 AND o_orderstatus != 'P' OR key < 20")
+    return cube.same_validity(o.where("o_totalprice > 100000"), b).groupBy("only_in").agg(F.count("*").alias("n"))
