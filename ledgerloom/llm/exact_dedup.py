@@ -67,7 +67,8 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with their own columns."""
     found = scratch(dedup(docs, index).where("kept").select("doc_id"))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(ids.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    # a shuffled join at every size: what a broadcast would save on small inputs, large ones could not keep
+    kept = docs.join(ids.where("doc_id IS NOT NULL").select("doc_id").hint("merge"), "doc_id", "left_semi")
     if ids.where("n > 1 AND doc_id IS NOT NULL").limit(1).count():  # the same id and text more than once
         kept = kept.dropDuplicates(["doc_id"])
     if ids.where("doc_id IS NULL").limit(1).count():

@@ -130,7 +130,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     an id come as often as the one of them that is taken most."""
     times = mix(docs, **options).select(F.col("doc_id").alias("mixed_id"), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("mixed_times"))
     times = times.where("mixed_times > 0").groupBy("mixed_id").agg(F.max("mixed_times").alias("mixed_times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
+    out = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["mixed_id"]))
     repeats = F.sequence(F.lit(1), times["mixed_times"])
     return out.select(*[docs[c] for c in docs.columns], F.explode(repeats).alias("mixed_time")).select(*docs.columns)
 

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest doc_id."""
     found = scratch(near_duplicates(docs, percent=percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(found.where("doc_id IS NOT NULL"), "doc_id", "left_semi")
+    kept = docs.join(found.where("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi")
     if found.where("n > 1 AND doc_id IS NOT NULL").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
