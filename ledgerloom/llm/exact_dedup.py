@@ -65,14 +65,16 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text",
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with their own columns."""
-    found = scratch(dedup(docs, index).where("kept").select("doc_id"))
+    found = scratch(dedup(docs, index).where("kept").select("doc_id", "digest"))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"))
     # a shuffled join at every size: what a broadcast would save on small inputs, large ones could not keep
     kept = docs.join(ids.where("doc_id IS NOT NULL").select("doc_id").hint("merge"), "doc_id", "left_semi")
     if ids.where("n > 1 AND doc_id IS NOT NULL").limit(1).count():  # the same id and text more than once
         kept = kept.dropDuplicates(["doc_id"])
-    if ids.where("doc_id IS NULL").limit(1).count():
-        kept = kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]).join(docs.where("doc_id IS NOT NULL").select("text"), "text", "left_anti").select(*docs.columns))
+    if ids.where("doc_id IS NULL").limit(1).count():  # groups of null ids only: one row of each
+        alone = found.where("doc_id IS NULL").select(F.col("digest").alias("kept_digest")).distinct()
+        nulls = docs.where("doc_id IS NULL").withColumn("own_digest", text_digest(whole("text")))
+        kept = kept.unionByName(nulls.join(alone, nulls["own_digest"] == alone["kept_digest"], "left_semi").dropDuplicates(["own_digest"]).select(*docs.columns))
     return kept.select(*docs.columns)
 
 
