@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, OFFSET, PENALTY = 1.0, 10, 3.0
 SEED = 97
 #: Characters of a piece in the lattice at most (the few longer ones, runs of one mark, are not sampled), and characters sampled at once.
-MOST_CHARS, CHARS_AT_ONCE = 16, 2_500_000
+MOST_CHARS, CHARS_AT_ONCE = 16, 4_000_000
 _SPACE = "▁"
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 
@@ -58,7 +58,7 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none. Open addressing, all probes in step."""
-        slot = (mixed(hashes) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        slot = _slot(hashes)
         found = np.where(self.hashes[slot] == hashes, self.ids[slot], -1)
         todo = np.flatnonzero((found < 0) & (self.ids[slot] >= 0))
         while len(todo):
@@ -74,14 +74,30 @@ def _codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _rolled(shorter: np.ndarray | None, chars: np.ndarray) -> np.ndarray:
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _char_hashes(chars: np.ndarray) -> np.ndarray:
+    return mixed(chars.astype(np.uint64) + np.uint64(1))
+
+
+def _rolled(shorter: np.ndarray | None, of_chars: np.ndarray) -> np.ndarray:
     """Hashes of the substrings that end at each character, from those of one character less."""
-    out = mixed(chars.astype(np.uint64) + np.uint64(1))
+    out = of_chars.copy()
     if shorter is not None:
         out[1:] += shorter[:-1] * _STEP
     return out
 
 
+def piece_hash(piece: str) -> np.ndarray:
+    """The rolling hash of a whole piece, as an array of one."""
+    key = 0
+    for c in _char_hashes(_codepoints(piece)).tolist():
+        key = (key * int(_STEP) + c) % 2**64
+    return np.array([key], np.uint64)
+
+
 def load(model_file: str = MODEL, alpha: float = ALPHA, offset: float = OFFSET, penalty: float = PENALTY) -> Vocabulary:
     import sentencepiece
 
@@ -101,14 +117,11 @@ def load(model_file: str = MODEL, alpha: float = ALPHA, offset: float = OFFSET,
     weight, ids, hashes = np.full(n, -np.inf, np.float32), np.full(1 << _SLOTS, -1, np.int32), np.zeros(1 << _SLOTS, np.uint64)
     for rank, (_, i, piece) in enumerate(sorted(plain), 1):
         weight[i] = -alpha * np.log(rank + offset) - penalty
-        h = None
-        for k in range(1, len(piece) + 1):
-            h = _rolled(h, _codepoints(piece))
-        key = h[-1]
-        slot = int(mixed(key[None])[0] >> np.uint64(64 - _SLOTS))
+        key = piece_hash(piece)
+        slot = int(_slot(key)[0])
         while ids[slot] >= 0:
             slot = (slot + 1) % (1 << _SLOTS)
-        ids[slot], hashes[slot] = i, key
+        ids[slot], hashes[slot] = i, key[0]
     return Vocabulary(hashes, ids, weight, out, byte_ids)
 
 
@@ -122,9 +135,9 @@ def _filtered(v: Vocabulary, chunks: list[str]):
     inside = np.arange(len(chars)) - np.repeat(begin, lengths)
     n = len(chars)
     share, ids = np.full((n, MOST_CHARS), -np.inf, np.float32), np.full((n, MOST_CHARS), -1, np.int16 if len(v.out) < 2**15 else np.int32)
-    h = None
+    of_chars, h = _char_hashes(chars), None
     for k in range(MOST_CHARS):
-        h = _rolled(h, chars)
+        h = _rolled(h, of_chars)
         at = np.flatnonzero(inside >= k)
         if not len(at):
             break
@@ -146,11 +159,7 @@ def _filtered(v: Vocabulary, chunks: list[str]):
         w = np.exp(w - top[:, None])
         c = np.cumsum(w, 1)
         total[p] = top + np.log(c[:, -1])
-        last = k - 1 - np.argmax(w[:, ::-1] > 0, 1)
-        c /= c[:, -1:]
-        c[np.arange(k) >= last[:, None]] = 2.0
-        share[p, :k] = c
-        share[p, k:] = 2.0
+        share[p, :k] = c / c[:, -1:]  # exactly 1 from the last arc on, above any random number
     return chars, ends - 1, lengths, share, ids
 
 
@@ -170,9 +179,9 @@ def _encode(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndar
     active, steps, at, got = np.arange(len(node)), [], [], []
     while len(active):
         r = mixed(seed[active] + np.uint64((len(steps) + 1) * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(40)
-        u = (r.astype(np.float32) + np.float32(0.5)) / np.float32(2**24)
+        u = np.minimum(r.astype(np.float32) / np.float32(2**24), np.float32(1 - 2.0**-24))
         here = node[active]
-        k = (share[here] <= u[:, None]).sum(1)
+        k = (share[here] > u[:, None]).argmax(1)
         steps.append(active)
         at.append(here)
         got.append(ids[here, k])

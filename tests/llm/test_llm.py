@@ -60,6 +60,9 @@ def test_exact_dedup(spark, docs, empty):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({min(g) for g in groups.values()})
     assert exact_dedup.dedup(empty).count() == exact_dedup.drop_copies(empty).count() == 0
+    null = spark.createDataFrame([(None, "a  b"), (None, "a b"), (5, "c"), (None, "c"), (None, None), (5, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, re.sub(" +", " ", r.text or "")) for r in exact_dedup.drop_copies(null).collect() if r.doc_id is None) == [(None, ""), (None, "a b")]
+    assert [r.text for r in exact_dedup.drop_copies(null).where("doc_id = 5").collect()] == ["c"]
 
 
 def test_exact_dedup_appends_to_a_lasting_index(spark, docs):
@@ -343,10 +346,7 @@ def test_samples_follow_the_lattice():
         if not s:
             yield (), 0.0
         for k in range(1, min(piece_codec.MOST_CHARS, len(s)) + 1):
-            h = None
-            for _ in range(k):
-                h = piece_codec._rolled(h, piece_codec._codepoints(s[:k]))
-            i = int(v.find(h[-1:])[0])
+            i = int(v.find(piece_codec.piece_hash(s[:k]))[0])
             if i >= 0:
                 for rest, w in segmentations(s[k:]):
                     yield (i, *rest), w + float(v.weight[i])
@@ -433,3 +433,16 @@ def test_pipeline_stages(spark):
         counts.append(docs.count())
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0 and counts[4] == counts[5]
     assert docs.where("NOT lossless").count() == 0
+
+
+def test_lookup_of_hot_keys(spark):
+    """A key with half of all rows is looked up by broadcast, the others by a shuffled join; keys without a partner keep their row."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm._base import lookup
+
+    left = spark.range(3000).select("id", F.when(F.col("id") < 1500, "hot").when(F.col("id") < 2990, F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    right = left.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.upper("key"))
+    got = {r.id: (r.key, r.v) for r in lookup(left, right, "key", "n", 3000).collect()}
+    assert len(got) == 3000 and all(v == (k and k.upper()) for k, v in got.values())
+    assert lookup(left.limit(0), right, "key", "n", 0).count() == 0
