@@ -6,14 +6,17 @@ above a size limit are deferred (reported, not cut), as their cost is cubic: der
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_CELLS = 400
+TERM = ("eq", "key", "coef", "rhs", "start", "fixed")
 #: Rounds of alternating projections at most.
 PROJECTIONS = 200
 
@@ -37,33 +40,48 @@ def rref(rows: list[list[Fraction]], n: int) -> tuple[list[list[Fraction]], list
     return rows, pivots
 
 
-def solve_group(terms: pd.DataFrame) -> pd.DataFrame:
-    """DV9: terms (component, eq, key, coef, rhs, start, fixed) of a component: cells keep their start where they are free or fixed, the
-    others follow; consistent says whether all equations can hold."""
-    keys = sorted(terms["key"].unique())
-    about = terms.drop_duplicates("key").set_index("key")
+def solve_terms(terms: list[tuple]) -> tuple[list[tuple[str, float]], bool]:
+    """DV9: terms (eq, key, coef, rhs, start, fixed) of a component: cells keep their start where they are free or fixed, the
+    others follow; consistent says whether all equations can hold. Gives (key, value) of each cell, and consistent."""
+    about, eqs = {}, {}
+    for eq, key, coef, rhs, start, fixed in terms:
+        about.setdefault(key, (bool(fixed), start))
+        eqs.setdefault(eq, (rhs, []))[1].append((key, coef))
     # fixed cells last, so that pivots are free cells where possible; later cells in key order are the free variables
-    order = sorted(keys, key=lambda k: (bool(about.loc[k, "fixed"]), k))
+    order = sorted(about, key=lambda k: (about[k][0], k))
     at = {k: i for i, k in enumerate(order)}
-    n_free = sum(not about.loc[k, "fixed"] for k in order)
+    n_free = sum(not fixed for fixed, _ in about.values())
+    x = [Fraction(str(about[k][1])) for k in order]
     rows = []
-    for _, eq in terms.groupby("eq", sort=True):
+    for eq in sorted(eqs):
+        rhs, cells = eqs[eq]
         row = [Fraction(0)] * (n_free + 1)
-        row[-1] = Fraction(str(eq["rhs"].iloc[0]))
-        for key, coef in zip(eq["key"], eq["coef"], strict=True):
+        row[-1] = Fraction(str(rhs))
+        for key, coef in cells:
             c = Fraction(str(coef))
             if at[key] < n_free:
                 row[at[key]] += c
             else:
-                row[-1] -= c * Fraction(str(about.loc[key, "start"]))
+                row[-1] -= c * x[at[key]]
         rows.append(row)
     rows, pivots = rref(rows, n_free)
     consistent = not any(row[-1] and not any(row[:-1]) for row in rows)
-    x = [Fraction(str(about.loc[k, "start"])) for k in order]
     if consistent:
         for row, p in zip(rows, pivots, strict=False):
             x[p] = row[-1] - sum((row[j] * x[j] for j in range(n_free) if j != p and row[j]), Fraction(0))
-    return pd.DataFrame({"component": terms["component"].iloc[0], "key": order, "value": [float(v) for v in x], "consistent": consistent})
+    return [(k, float(v)) for k, v in zip(order, x, strict=True)], consistent
+
+
+def solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact solutions of rows (component, and its terms as an array for each column): many components to a batch, as most are small."""
+    for batch in batches:
+        found, component = [], batch.column("component")
+        for i, terms in enumerate(zip(*[batch.column(c).to_pylist() for c in TERM], strict=True)):
+            cells, consistent = solve_terms(list(zip(*terms, strict=True)))
+            found += [(i, key, value, consistent) for key, value in cells]
+        at, keys, values, consistent = zip(*found, strict=True) if found else ((), (), (), ())
+        columns = [component.take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(values, pa.float64()), pa.array(consistent, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["component", "key", "value", "consistent"])
 
 
 def least_squares_group(terms: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +123,7 @@ def non_negative_group(terms: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"component": terms["component"].iloc[0], "key": keys, "value": x, "consistent": bool(np.abs(a @ x - b).max(initial=0) < 1e-6)})
 
 
-_METHODS = {"exact": solve_group, "least_squares": least_squares_group, "non_negative": non_negative_group}
+_METHODS = {"least_squares": least_squares_group, "non_negative": non_negative_group}
 
 
 def solve(terms: DataFrame, method: str = "exact", most: int = MOST_CELLS) -> DataFrame:
@@ -113,7 +131,12 @@ def solve(terms: DataFrame, method: str = "exact", most: int = MOST_CELLS) -> Da
     sizes = terms.groupBy("component").agg(F.count_distinct("key").alias("cells"))
     small = terms.join(sizes.where(F.col("cells") <= most).select("component"), "component", "left_semi")
     kind = terms.schema["component"].dataType.simpleString()
-    solved = small.groupBy("component").applyInPandas(_METHODS[method], f"component {kind}, key string, value double, consistent boolean")
+    schema = f"component {kind}, key string, value double, consistent boolean"
+    if method == "exact":
+        grouped = small.groupBy("component").agg(F.collect_list(F.struct(*TERM)).alias("t"))
+        solved = grouped.select("component", *[F.col(f"t.{c}").alias(c) for c in TERM]).mapInArrow(solve_batches, schema)
+    else:
+        solved = small.groupBy("component").applyInPandas(_METHODS[method], schema)
     rest = terms.join(sizes.where(F.col("cells") > most).select("component"), "component", "left_semi").groupBy("component", "key").agg(F.max("start").alias("value"))
     return solved.unionByName(rest.withColumn("consistent", F.lit(None).cast("boolean")).select("component", "key", "value", "consistent"))
 
