@@ -24,3 +24,37 @@ def test_solve_exact_solves_every_order(spark, tables):
     want = {k: (float(e), True) for k, e in tables.execute(f"SELECT l_orderkey, sum(e) FROM ({LINES}) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1").fetchall()}
     assert got == want and any(k % 20 for k in got)
     assert all(got[k] == (total, ok) for k, total, ok in tables.execute(core.ORACLE["q_solve_exact"]).fetchall())
+
+
+def union_find(edges):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((top(a), top(b)))
+        root[hi] = lo
+    return {x: top(x) for x in list(root)}
+
+
+SMALL = [(1, 11, 1.0, 0.0, 0.0), (1, 17, 5.0, 0.1, 0.0), (2, 17, 9.0, 0.0, 0.2), (3, 12, 1.0, 0.0, 0.0), (3, 12, 2.0, 0.3, 0.1), (4, 13, 7.0, 0.0, 0.0), (5, 13, 1.0, 0.0, 0.0), (5, 14, 3.0, 0.0, 0.0), (4, 27, 3.0, 0.0, 0.0), (6, 37, 2.0, 0.05, 0.0)]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_components_of_all_lines(spark, tables, tmp_path, whole):
+    d = DATA
+    if not whole:
+        d = str(tmp_path)
+        spark.createDataFrame(SMALL, "l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{d}/lineitem.parquet")
+    lines = tables.execute("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall() if whole else [r[:2] for r in SMALL]
+    want = union_find([(f"s{s}", f"p{p}") for s, p in lines])
+    assert {r.node: r.component for r in core.q_components(spark, d).collect()} == want
+    groups = {}
+    for node, component in want.items():
+        groups.setdefault(component, []).append(node)
+    dirty = {c: any(n[0] == "p" and n[-1] == "7" for n in nodes) for c, nodes in groups.items()}
+    got = {r.component: (r.nodes, r.dirty, r.deferred) for r in core.q_dirty_components(spark, d).collect()}
+    assert got == {c: (len(nodes), dirty[c], dirty[c] and len(nodes) > 5) for c, nodes in groups.items()}
