@@ -58,3 +58,10 @@ def test_components_of_all_lines(spark, tables, tmp_path, whole):
     dirty = {c: any(n[0] == "p" and n[-1] == "7" for n in nodes) for c, nodes in groups.items()}
     got = {r.component: (r.nodes, r.dirty, r.deferred) for r in core.q_dirty_components(spark, d).collect()}
     assert got == {c: (len(nodes), dirty[c], dirty[c] and len(nodes) > 5) for c, nodes in groups.items()}
+
+
+def test_log_fix_binds_every_order(spark, tables):
+    got = {(r.rule, r.src_line): r.fixed for r in core.q_log_fix(spark, DATA).collect()}
+    want = {("total", k * 10): float(e) for k, e in tables.execute(f"SELECT l_orderkey, sum(e) FROM ({LINES}) GROUP BY 1").fetchall()}
+    assert got == want and any(line >= 2000 for _, line in got)
+    assert all(got[rule, line] == fixed for rule, line, fixed in tables.execute(core.ORACLE["q_log_fix"]).fetchall())
