@@ -2,8 +2,8 @@
 
 Hosts are nodes; an edge holds the links from pages of one host to absolute urls of another. Trust is a personalised PageRank
 that restarts at the hosts of allowed pages and follows links; distrust restarts at the hosts of blocked pages and follows links backwards:
-who links to blocked hosts is suspect. Both are iterated in DataFrames until the moved mass is small, and each
-host is blocked if its distrust exceeds its trust by a factor. A host without either is allowed.
+who links to blocked hosts is suspect. Both are iterated in DataFrames until no host's rank still moves by more than a small part of itself, however far
+from the seeds it is, and each host is blocked if its distrust exceeds its trust by a factor. A host without either is allowed.
 
 Free style; DataFrame operations throughout, so that hosts, edges and ranks stay distributed. Links are reduced to host pairs with
 counts before any join, so a host with a third of all pages is a row like any other; pages get their host's verdict by a
@@ -16,6 +16,8 @@ empty table gives an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-DAMPING, ROUNDS, ENOUGH = 0.85, 20, 1e-4
+DAMPING = 0.85
+#: The rank that any host is still to get, as a part of what it has, when the iteration ends.
+ENOUGH = 1e-4
 #: A host is blocked if its distrust is more than so many times its trust.
 FACTOR = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,23 +82,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", target.alias("dst")).where("src != dst AND src != '' AND dst != ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, enough: float = ENOUGH) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, enough: float = ENOUGH) -> DataFrame:
     """(host, rank): PageRank that restarts at seeds (host, weight; weights sum up to 1) and follows edges (src, dst, links).
 
-    The rank that is still moving is kept apart from what has been settled, so that a round touches only hosts that it reaches."""
+    The rank that is still moving is kept apart from what has been settled, so that a round touches only hosts that it reaches.
+    A host that a round reaches first has moved by all of its rank, so the rounds go on to the farthest host; after that the moving mass
+    shrinks by the damping. rounds, where given, ends the iteration earlier."""
     flow = edges.join(edges.groupBy("src").agg(F.sum("links").alias("out")), "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share"))
     flow = scratch(flow)
     moving = scratch(seeds.select("host", (F.col("weight") * (1 - damping)).alias("rank")))
     settled = moving
     if flow.limit(1).count() == 0:
         return settled
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         moving = scratch(moving.join(flow, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("rank")).withColumnRenamed("dst", "host"))
-        left = moving.agg(F.sum("rank")).first()[0] or 0.0
-        settled = scratch(settled.unionByName(moving).groupBy("host").agg(F.sum("rank").alias("rank")))
-        if left < enough * (1 - damping):
+        both = settled.select("host", "rank", F.lit(0.0).alias("moved")).unionByName(moving.select("host", "rank", F.col("rank").alias("moved")))
+        settled = scratch(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("moved").alias("moved")))
+        if settled.where(F.col("moved") > F.col("rank") * (enough * (1 - damping))).limit(1).count() == 0:
             break
-    return settled
+    return settled.select("host", "rank")
 
 
 def judge(pages: DataFrame, rules: DataFrame, factor: float = FACTOR) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries and operators on all of their input, by brute force: no row is left out by its id, its size or its place."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from ledgerloom import queries as core
+from ledgerloom.llm import url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,3 +67,16 @@ def test_log_fix_binds_every_order(spark, tables):
     want = {("total", k * 10): float(e) for k, e in tables.execute(f"SELECT l_orderkey, sum(e) FROM ({LINES}) GROUP BY 1").fetchall()}
     assert got == want and any(line >= 2000 for _, line in got)
     assert all(got[rule, line] == fixed for rule, line, fixed in tables.execute(core.ORACLE["q_log_fix"]).fetchall())
+
+
+def test_ranks_settle_on_rings_and_reach_far_hosts(spark):
+    """With the parameters of the query: a ring that keeps its mass, and a chain of 24 hosts behind it."""
+    edges = [("a", "b", 1), ("b", "a", 3), ("b", "h00", 1)] + [(f"h{i:02}", f"h{i + 1:02}", 2) for i in range(23)]
+    names = sorted({x for e in edges for x in e[:2]})
+    m = np.zeros((len(names), len(names)))
+    for s, t, n in edges:
+        m[names.index(t), names.index(s)] = n / sum(x for y, _, x in edges if y == s)
+    want = np.linalg.solve(np.eye(len(names)) - url_filter.DAMPING * m, (1 - url_filter.DAMPING) * (np.array(names) == "a"))
+    got = {r.host: r["rank"] for r in url_filter.propagate(spark.createDataFrame([("a", 1.0)], "host string, weight double"), spark.createDataFrame(edges, "src string, dst string, links long")).collect()}
+    assert sorted(got) == names
+    assert all(abs(got[h] - w) <= url_filter.ENOUGH * w for h, w in zip(names, want, strict=True))
