@@ -3,7 +3,7 @@
 Three kinds of base spans (assign, access, hex) are found by pattern. Besides, every long token that mixes letters of both
 cases with digits is a candidate. The values of all candidates are hashed and counted over the corpus by distinct
 repositories and distinct owners: a value that many owners carry is a copied example, one that belongs to a single owner
-and few repositories looks live. Base spans stay whatever their counts; of the other candidates, the live-looking ones are
+looks live, however many copies of its text that owner has. Repositories decide only where no owner is known: few look live. Base spans stay whatever their counts; of the other candidates, the live-looking ones are
 added as spans of kind `live`. The counts come out as columns.
 
 DataFrame operations only: offsets come from the lengths of what split() leaves between matches, in code points.
@@ -25,7 +25,7 @@ ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"  # the same spans as all runs of [0-9a-f] of which those under 24 are dropped
 BLOB = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
-#: A value of at most so many owners and repositories looks live.
+#: A value of at most so many owners looks live; one without a known owner if it has at most so many repositories.
 LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
 KINDS = ("assign", "access", "hex", "live")
 
@@ -76,7 +76,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str =
     each = some.select("row", F.explode("spans").alias("s")).select("row", "s", F.xxhash64("s.value").alias("hash"))
     # AQE splits the row side of a hot value: both sides are plain exchanges of this join
     counted = each.join(ownership(some).hint("merge"), "hash", "left").fillna(0, ["owners", "repositories"])
-    live = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
+    live = F.when(F.col("owners") > 0, F.col("owners") <= live_owners).otherwise(F.col("repositories") <= live_repositories)
     finding = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind_no"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("owners"), F.col("repositories"), live.alias("live"))
     findings = counted.groupBy("row").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
     base = F.filter("findings", lambda x: x["kind_no"] < 3)

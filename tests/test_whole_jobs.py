@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ledgerloom import queries as core
-from ledgerloom.llm import url_filter
+from ledgerloom.llm import secrets, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -80,3 +80,11 @@ def test_ranks_settle_on_rings_and_reach_far_hosts(spark):
     got = {r.host: r["rank"] for r in url_filter.propagate(spark.createDataFrame([("a", 1.0)], "host string, weight double"), spark.createDataFrame(edges, "src string, dst string, links long")).collect()}
     assert sorted(got) == names
     assert all(abs(got[h] - w) <= url_filter.ENOUGH * w for h, w in zip(names, want, strict=True))
+
+
+def test_copies_of_one_owner_stay_live(spark):
+    """A value of one owner in six documents, exact and near copies, is live; one of two owners is not, nor is one of no owner in four documents."""
+    mine, shared, lost = "Zx9" + "aB3" * 9, "Qy8" + "cD4" * 9, "Wv7" + "eF5" * 9
+    rows = [(i, f"see {mine} here" + " again" * (i % 2), "s1") for i in range(6)] + [(10, f"a {shared}", "s1"), (11, f"a {shared}", "s2")] + [(20 + i, f"b {lost}", None) for i in range(4)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got if any(f.kind_no == 3 for f in r.findings)} == set(range(6))
