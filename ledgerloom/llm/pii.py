@@ -6,7 +6,7 @@ labels are private or not. Neighbouring nodes are tied by chain edges; nodes tha
 an address, the last seven digits) are tied, each to the next in the document, by skip edges, so that
 distant mentions share potentials and a document's label for an entity is consistent. Tokens of base spans are
 observed. Loopy belief propagation gives the other tokens' marginals; those of at least MARGINAL that a skip edge ties to
-something become spans of kind `linked` (runs of neighbours are one span).
+something become spans of kind `linked` (runs of neighbours are one span). Documents without a base span are judged alike.
 
 Weights are learnt by pseudo-likelihood: each token's label given its features and its neighbours' labels, labels being
 the pattern's (tokens tied to a base span but outside any are left out, as their label is what the field is to find). The fit sees the
@@ -237,7 +237,7 @@ def find(docs: DataFrame, w: np.ndarray | None) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 base = base_spans(text) if text else []
-                more = linked_spans(text, base, w) if base and w is not None else []
+                more = linked_spans(text, base, w) if text and w is not None else []
                 n = [sum(k == kind for _, k, _ in base) for kind in range(4)]
                 rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), said(sorted(base + more)), len(more)))
             out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_linked"])

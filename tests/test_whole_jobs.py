@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ledgerloom import queries as core
-from ledgerloom.llm import secrets, url_filter
+from ledgerloom.llm import pii, secrets, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -88,3 +88,13 @@ def test_copies_of_one_owner_stay_live(spark):
     rows = [(i, f"see {mine} here" + " again" * (i % 2), "s1") for i in range(6)] + [(10, f"a {shared}", "s1"), (11, f"a {shared}", "s2")] + [(20 + i, f"b {lost}", None) for i in range(4)]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {r.doc_id for r in got if any(f.kind_no == 3 for f in r.findings)} == set(range(6))
+
+
+def test_field_judges_documents_without_base_spans(spark):
+    text = "ask for 4471-882-19 today and not 17 but 4471-882-19 again"
+    w = np.zeros(pii.N_FEATURES + 2)
+    w[0], w[-1] = 3.0, 1.0
+    rows = [(1, text), (2, text + " or ann@mail.example.org"), (3, "no 4471-882-19 twice"), (4, "")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), w).collect()}
+    assert [got[1].n_linked, got[2].n_linked, got[3].n_linked, got[4].n_linked] == [2, 2, 0, 0]
+    assert got[1].spans == ",".join(f"linked:{i}:{i + 11}" for i in (text.index("4471"), text.rindex("4471")))
