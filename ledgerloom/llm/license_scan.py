@@ -2,14 +2,15 @@
 
 Words are runs of letters and digits (and any non-ASCII characters), A-Z lower-cased. A template's K-word hashes are winnowed: of
 each WINDOW neighbours the smallest is kept, so any K + WINDOW - 1 words that a document shares with it in a row hit the
-index. Hits of a template whose offsets from it agree within the band are one candidate place. There, template and
+index. Hits of a template whose offsets from it agree within the band are one candidate place. Templates of fewer than SHORT words
+are searched by each of their words instead: a place is a candidate where enough of them for the coverage lie within the band. There, template and
 document words are aligned with gaps and mismatches allowed inside the band; coverage is the share of the template's words that
 are matched, the span reaches from the first to the last of them. Matches of at least MIN_COVERAGE are
 reported; of overlapping ones that with more matched words stays, then that with the higher coverage, then the first by name.
 
 The templates are a parameter and a catalogue: they are given on the driver and their index goes to the workers with the function.
 Free style (Arrow batches). Edge cases: null and empty texts have no match; repeated rows match alike; a very long text is
-scanned in linear time (only candidate places are aligned); templates of fewer than K words are hit by their whole text; an empty table gives an empty
+scanned in linear time (only candidate places are aligned); an empty table gives an empty
 result; extra columns are left out.
 """
 
@@ -29,6 +30,8 @@ from ._words import MOST_REMEMBERED, mixed, odd_numbers
 ship(__name__)
 
 K, WINDOW, MIN_COVERAGE = 3, 3, 0.8
+#: Templates of fewer words are searched by single words and their places.
+SHORT = 15
 
 # Wording of licence notices, as their licences give it.
 TEMPLATES = {
@@ -119,34 +122,81 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> list[int]:
     return places
 
 
+def _band(template: np.ndarray) -> int:
+    return 4 + len(template) // 8
+
+
 class Index:
-    """Inverted index of templates: hash of K words -> (template, place)."""
+    """Inverted index of templates: hash of K words -> (template, place); short templates by word."""
 
-    def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW, short: int = SHORT):
         hashes = _hasher()
         self.k = k
         self.words = {name: hashes(text) for name, text in sorted(templates.items())}
         self.at: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        self.short = {name: words for name, words in self.words.items() if 0 < len(words) < max(short, k)}
         for name, words in self.words.items():
-            grams = _grams(words, min(k, len(words)))
-            for p in winnow(grams, window):
-                self.at[int(grams[p])].append((name, p))
-        self.short = sorted({len(w) for w in self.words.values() if len(w) < k})
+            if name not in self.short:
+                grams = _grams(words, k)
+                for p in winnow(grams, window):
+                    self.at[int(grams[p])].append((name, p))
         self.keys = np.array(sorted(self.at), np.uint64)
+        self.vocabulary = np.unique(np.concatenate([*self.short.values(), np.zeros(0, np.uint64)]))
+        #: For each short template the places of each word of the vocabulary, as bits.
+        self.bits = {name: np.bitwise_or.reduce(np.where(self.vocabulary[:, None] == words, 1 << np.arange(len(words)), 0), axis=1) for name, words in self.short.items()}
 
     def hits(self, words: np.ndarray) -> dict[str, list[int]]:
-        """For each template the offsets (document place less template place) of its hits."""
+        """For each template of the grams the offsets (document place less template place) of its hits."""
         out: dict[str, list[int]] = defaultdict(list)
-        for k in (*self.short, self.k):
-            grams = _grams(words, k)
-            if len(grams):
-                slot = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-                for p in np.flatnonzero(self.keys[slot] == grams).tolist():
-                    for name, q in self.at[int(grams[p])]:
-                        if min(self.k, len(self.words[name])) == k:
-                            out[name].append(p - q)
+        grams = _grams(words, self.k)
+        if len(grams) and len(self.keys):
+            slot = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+            for p in np.flatnonzero(self.keys[slot] == grams).tolist():
+                for name, q in self.at[int(grams[p])]:
+                    out[name].append(p - q)
         return out
 
+    def short_places(self, words: np.ndarray, min_coverage: float) -> Iterator[tuple[str, int, int]]:
+        """(template, least and greatest offset) where enough of a short template's words have offsets within its band."""
+        if not len(words) or not len(self.vocabulary):
+            return
+        slot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[slot] == words)
+        slot = slot[at]
+        for name, template in self.short.items():
+            m, band = len(template), _band(template)
+            need = next(n for n in range(1, m + 2) if n >= min_coverage * m)
+            bits = self.bits[name][slot]
+            some = bits > 0
+            p, bits = at[some], bits[some]
+            if len(p) < need:
+                continue
+            # words of a place lie close together: runs of hits that are too thin are left out
+            dense = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] < m + band)
+            if not len(dense):
+                continue
+            near = np.zeros(len(p) + 1, np.int64)
+            np.add.at(near, dense, 1)
+            np.add.at(near, dense + need, -1)
+            near = np.cumsum(near[:-1]) > 0
+            masks: dict[int, int] = defaultdict(int)
+            for place, b in zip(p[near].tolist(), bits[near].tolist(), strict=True):
+                for q in range(m):
+                    if b >> q & 1:
+                        masks[place - q] |= 1 << q
+            offsets, end = sorted(masks), 0
+            for i, lo in enumerate(offsets):
+                last = end
+                while end < len(offsets) and offsets[end] - lo <= band:
+                    end += 1
+                if end == last:
+                    continue  # all of these offsets were in the window before
+                union = 0
+                for o in offsets[i:end]:
+                    union |= masks[o]
+                if union.bit_count() >= need:
+                    yield name, lo, offsets[end - 1]
+
 
 def align(template: np.ndarray, words: np.ndarray, offset: int, band: int) -> tuple[int, int, int]:
     """(matched, first, last place in words) of the best alignment of the whole template whose offset from it stays within
@@ -185,9 +235,13 @@ def align(template: np.ndarray, words: np.ndarray, offset: int, band: int) -> tu
 def matches(index: Index, text: str, words: np.ndarray, min_coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) in code points, not overlapping, by start."""
     found = []
+    for name, lo, hi in index.short_places(words, min_coverage):
+        matched, first, last = align(index.words[name], words, (lo + hi) // 2, _band(index.words[name]))
+        if matched >= min_coverage * len(index.words[name]):
+            found.append((-matched, -matched / len(index.words[name]), name, first, last))
     for name, offsets in index.hits(words).items():
         template = index.words[name]
-        band = 4 + len(template) // 8
+        band = _band(template)
         offsets.sort()
         groups = [[offsets[0], offsets[0]]]
         for o in offsets[1:]:

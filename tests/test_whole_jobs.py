@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ledgerloom import queries as core
-from ledgerloom.llm import pii, secrets, url_filter
+from ledgerloom.llm import license_scan, pii, secrets, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -98,3 +98,17 @@ def test_field_judges_documents_without_base_spans(spark):
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), w).collect()}
     assert [got[1].n_linked, got[2].n_linked, got[3].n_linked, got[4].n_linked] == [2, 2, 0, 0]
     assert got[1].spans == ",".join(f"linked:{i}:{i + 11}" for i in (text.index("4471"), text.rindex("4471")))
+
+
+def test_short_notices_with_any_word_changed_are_found():
+    index, hashes = license_scan.Index(license_scan.TEMPLATES), license_scan._hasher()
+    found = lambda text: {m[0] for m in license_scan.matches(index, text, hashes(text), license_scan.MIN_COVERAGE)}
+    assert found("see: Released under an MIT License, and so on") == {"mit-line"}
+    for name, template in index.short.items():
+        words = license_scan.TEMPLATES[name].split()
+        for i in range(len(words)):
+            text = "start " + " ".join([*words[:i], "changed", *words[i + 1 :]]) + " end"
+            own = hashes(text)
+            if license_scan.align(template, own, 1, 8)[0] >= license_scan.MIN_COVERAGE * len(template):
+                assert found(text), (name, text)
+    assert found("the under license mit " * 3) <= {"mit-line"} and not found("license " * 500)
