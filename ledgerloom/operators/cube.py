@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded, settled
+from ..session import bounded, forget, settled
 
 
 def specs(primaries: DataFrame, dims: DataFrame) -> DataFrame:
@@ -52,19 +52,22 @@ def exempt(cells: DataFrame, allowed: DataFrame, key: str = "key", synthetic: st
     return cells.join(ok, key, "left").where(F.col("_ok") | F.col(synthetic)).drop("_ok")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 100) -> DataFrame:
-    """EV9, EV10, SRC7: (start, node) for all nodes that (parent, child) edges reach from start. Cycles end, as pairs
-    that are known do not go on. edges is a catalogue of members, so rounds are few and small."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """EV9, EV10, SRC7: (start, node) for all nodes that (parent, child) edges reach from start. Pairs that are known do not go on, so
+    cycles end, and the rounds go on until nothing new is reached."""
     front = starts.select("start", F.col("start").alias("node"))
+    arcs = edges.select(F.col("parent").alias("node"), "child")
     seen = None
-    for _ in range(depth):
-        nxt = front.join(edges.select(F.col("parent").alias("node"), "child"), "node").select("start", F.col("child").alias("node")).distinct()
+    while True:
+        nxt = front.join(arcs, "node").select("start", F.col("child").alias("node")).distinct()
         if seen is not None:
             nxt = nxt.join(seen, ["start", "node"], "left_anti")
         nxt = settled(nxt)
         if nxt.isEmpty():
             break
-        seen, front = (nxt if seen is None else seen.unionByName(nxt)), nxt
+        old = seen, front
+        seen, front = nxt if seen is None else settled(seen.unionByName(nxt)), nxt
+        forget(*old)
     return starts.select("start", F.col("start").alias("node")).limit(0) if seen is None else seen
 
 

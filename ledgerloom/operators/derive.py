@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import round_to_decimals
-from ..session import settled
+from ..session import forget, settled
 from .graph import levels
 
 
@@ -24,7 +24,8 @@ def derive_levels(values: DataFrame, terms: DataFrame, overwrite: bool = True) -
             t = t.join(now.select(F.col("key").alias("target")), "target", "left_anti")
         v = t.join(now.select(F.col("key").alias("source"), "value"), "source", "left").groupBy("target").agg((-F.sum(F.col("coef") * F.coalesce("value", F.lit(0.0))) / F.first("target_coef")).alias("value"))
         new = v.select(F.col("target").alias("key"), "value").withColumn("level", F.lit(k))
-        now = settled(now.join(new, "key", "left_anti").unionByName(new))
+        before, now = now, settled(now.join(new, "key", "left_anti").unionByName(new))
+        forget(before)
     return now
 
 

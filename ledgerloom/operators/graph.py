@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import forget, lookup, settled
 
 
-def levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """DV2, DV3: (node, level): leaves are 0, an aggregate is one above its highest source. edges: (node, source). Nodes on or
-    above a cycle have a null level. A round settles a whole level: the rounds are the graph's depth."""
+    above a cycle have a null level. A round settles a whole level: the rounds are the graph's depth. rounds, where given, is the
+    depth that the caller expects at most; a graph that is deeper is an error, never cut."""
     e = settled(edges.where("node IS NOT NULL AND source IS NOT NULL").distinct())
-    nodes = e.select("node").unionByName(e.select(F.col("source").alias("node"))).distinct()
+    nodes = settled(e.select("node").unionByName(e.select(F.col("source").alias("node"))).distinct())
     done = settled(nodes.join(e.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
-    for k in range(1, rounds):
+    for k in itertools.count(1):
         state = e.join(done.select("node").withColumnRenamed("node", "source").withColumn("_d", F.lit(1)), "source", "left")
         ready = state.groupBy("node").agg(F.bool_and(F.col("_d").isNotNull()).alias("ready")).where("ready").select("node")
         new = settled(ready.join(done, "node", "left_anti").withColumn("level", F.lit(k)))
         if new.isEmpty():
             break
-        done = settled(done.unionByName(new))
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"the graph is deeper than {rounds} levels")
+        before, done = done, settled(done.unionByName(new))
+        forget(before, new)
     return nodes.join(done, "node", "left")
 
 
@@ -29,22 +35,29 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return levels(edges).where("level IS NULL").select("node")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """DV14, DV15: (node, component): the smallest node that (a, b) edges connect it to.
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, m, n): each node's smallest neighbour and the number of its pairs."""
+    return settled(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
 
-    Star contraction: each round every node's larger neighbours are hung on its smallest, so path lengths halve and rounds are logarithmic.
-    The rows that hang on a hub are summed up before the shuffle, and the join's row side may be split by AQE."""
-    e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before = None
-    for _ in range(rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """DV14, DV15: (node, component): the smallest node that edges connect it to, for each node of an edge between two nodes.
+
+    Alternating star contraction: each round hangs every node's larger neighbours on its smallest, then its smaller ones, so path lengths
+    halve and the rounds are logarithmic; it ends when a round changes nothing. A node's smallest neighbour is a partial aggregate; it goes
+    back to the node's pairs by broadcast for the few hubs that hold a thousandth of all pairs, by an even shuffle for the others. Self-loops and nulls are left out."""
+    e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    size, seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first(), None
+    while size[0] and size != seen:
+        seen = size
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = settled(both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = settled(large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        least = _least(both)
+        large = settled(lookup(both, least, "u", "n", 2 * size[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        root = _least(large)
+        small = lookup(large, root, "u", "n", large.count()).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, e = e, settled(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        forget(before, least, large, root)
+        size = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

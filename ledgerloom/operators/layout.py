@@ -6,10 +6,13 @@ everywhere: z before row (y) before column (x), the later wins; for the concept
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import cell_key, merge_aspects
+from ..session import settled
 
 _NONE = "map<string,string>"
 
@@ -18,16 +21,17 @@ def _dims(name: str):
     return F.coalesce(F.col(name), F.create_map().cast(_NONE))
 
 
-def inherited(nodes: DataFrame, depth: int = 32) -> DataFrame:
+def inherited(nodes: DataFrame) -> DataFrame:
     """SRC13: nodes (tbl, node, parent, concept, dims) with concept and dims inherited from their ancestors, a child's own winning.
 
-    Trees are a few levels deep: a join for each level, and all rows of a level at once."""
-    level = nodes.where("parent IS NULL").select("tbl", "node", "concept", _dims("dims").alias("dims"), F.lit(0).alias("depth"))
+    Trees are a few levels deep: a join for each level, and all rows of a level at once, until a level is empty. Nodes that hang on
+    themselves have no root and no rows."""
+    level = settled(nodes.where("parent IS NULL").select("tbl", "node", "concept", _dims("dims").alias("dims"), F.lit(0).alias("depth")))
     out = level
     children = nodes.where("parent IS NOT NULL").select("tbl", "node", "parent", F.col("concept").alias("own"), _dims("dims").alias("own_dims"))
-    for k in range(1, depth + 1):
+    for k in itertools.count(1):
         up = level.select("tbl", F.col("node").alias("parent"), "concept", "dims")
-        level = children.join(up, ["tbl", "parent"]).select("tbl", "node", F.coalesce("own", "concept").alias("concept"), merge_aspects(F.col("dims"), F.col("own_dims")).alias("dims"), F.lit(k).alias("depth"))
+        level = settled(children.join(up, ["tbl", "parent"]).select("tbl", "node", F.coalesce("own", "concept").alias("concept"), merge_aspects(F.col("dims"), F.col("own_dims")).alias("dims"), F.lit(k).alias("depth")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
