@@ -1,21 +1,25 @@
-"""What the text operators share: scratch tables, word handling and joins that survive hot keys."""
+"""What the text operators share: scratch tables, word handling, and rows through Arrow batches with their id columns untouched."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import forget, lookup, settled, shared_dir
+
+__all__ = ["WS", "forget", "in_batches", "lookup", "one_spaced", "scratch", "shared_dir", "ship", "smallest", "tasks_for", "whole", "word_count"]
+
 #: One white-space character as every contract here defines it.
 WS = r"[\x20\x09-\x0D]"
 #: Matches only what changes when runs of white space become one space.
 _WS_CHANGES = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
-#: A group holding at least this share of all rows is hot; there are at most 1 / HOT_SHARE such groups.
-HOT_SHARE = 0.001
+#: A table written to the shared folder and read back.
+scratch = settled
 
 
 def ship(module: str) -> None:
@@ -26,29 +30,22 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where that is unset, one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not found.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get()
-    return where.rstrip("/")
+def in_batches(rows: DataFrame, make: Callable[[], Callable[[list], tuple[list, list]]], text: str, schema: str, keep: list[str]) -> DataFrame:
+    """For each row of rows its `keep` columns as they are, and what a worker's function makes of its text.
 
+    make() is called once for each task and gives a function from a batch's texts (str or None) to (row, values): for each row of
+    the result the place of its text in the batch, and a list for each column of schema. Kept columns never leave Arrow, so ids of any size and null ids stay what they are."""
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, computes df once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            at, columns = work(batch.column(len(keep)).to_pylist())
+            taken = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*taken, *columns], names=[*keep, *names])
 
-    The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    names = [part.split()[0] for part in schema.split(", ")]
+    return rows.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kept}, {schema}")
 
 
 def whole(text: Column | str) -> Column:
@@ -67,17 +64,14 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", F.lit(0).cast("long")).otherwise((F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """left join right on key, where right has a row for each key and the number of left rows that carry it.
-
-    Keys of at least HOT_SHARE of all rows, of which there can be 1 / HOT_SHARE at most, are broadcast; no other key
-    holds more rows than that, so the shuffled join is even. left is read twice: pass a table, not a plan."""
-    floor = max(1000, int(total * HOT_SHARE))
-    hot = F.broadcast(right.where(F.col(count) >= floor))
-    if not total or right.where(F.col(count) >= floor).limit(1).count() == 0:
-        return left.join(right.hint("merge"), key, "left")
-    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(count) < floor).hint("merge"), key, "left")
-    return left.join(hot, key).select(*rest.columns).unionByName(rest)
+def smallest(ids: DataFrame, most: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """At most `most` rows of ids: those with the smallest seeded hashes of their key, the same on each run and in each partitioning. Only
+    hashes that can be among them (twice as many are expected below the cut) are sorted."""
+    share = min(1.0, 2 * most / max(ids.count(), 1))
+    hashed = ids.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    if share < 1:
+        hashed = hashed.where(F.col("_h") < int(-(2**63) + share * 2**64))
+    return hashed.orderBy("_h", key).limit(most).drop("_h")
 
 
 def tasks_for(spark: SparkSession, rows: int, each: int) -> int:

@@ -1,18 +1,18 @@
 """Threshold-scaled document sketches.
 
 A document's fingerprint holds every 64-bit hash of its 5-word shingles below a fixed fraction of the hash range, and the
-smallest hash, so that no text with words is without one. Fingerprints of parts merge by union, and as the threshold is the
-same for all documents, the share of a small document's hashes that a large one holds estimates containment.
+smallest hash, so that no text with words is without one. As the threshold is the same for all documents, fingerprints of parts merge by union (`merged`), and
+the share of a small document's hashes that a large one holds estimates containment, however unequal the two are.
 
 `likeness` is the estimated containment of the smaller in the larger set (0 to 1).
 
 `with_next` puts each document beside the next one by descending key: the rows are dealt into ranges of the key, each
 range sorted once with the one row of the range below that its last row needs; the last range also gets the greatest key.
-Text crosses the network once.
+Text crosses the network once, and fingerprints are made after that: they never cross it.
 
 DataFrame operations only. Edge cases: null text counts as empty; a text without words has an empty fingerprint, whose
-likeness to an empty one is 1 and to any other 0; a text of fewer than five words is one shingle; null keys come after all
-others; repeated keys are ordered by text; a single row is next to itself; an empty table gives an empty result.
+likeness to an empty one is 1 and to any other 0; a text of fewer than five words is one shingle; a very long text is one array of its hashes in one task; null keys come after all
+others; repeated keys are ordered by text, and repeated rows follow each other; a single row is next to itself; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from ._base import one_spaced, whole
 
 SHINGLE = 5
 #: 1 / FRACTION of the hash range is kept.
-FRACTION = 4
+FRACTION = 8
 #: Rows that one range of keys is planned for, ranges at most, and sampled keys for each of them.
-ROWS_A_RANGE, MOST_RANGES, KEYS_A_RANGE = 1_000, 65_536, 12
+ROWS_A_RANGE, MOST_RANGES, KEYS_A_RANGE = 1_000, 65_536, 6
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Column:
@@ -46,6 +46,12 @@ def fingerprint(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION)
     return bound(words, lambda w: F.when(F.size(w) == 0, none).otherwise(bound(hashes(w), kept)))
 
 
+def merged(parts: Column, fraction: int = FRACTION) -> Column:
+    """The fingerprint of the union of the shingle sets whose fingerprints are in an array (of the same fraction)."""
+    every = F.array_distinct(F.flatten(parts))
+    return F.array_sort(F.array_distinct(F.concat(F.filter(every, lambda x: x < -(2**63) + 2**64 // fraction), F.when(F.size(every) > 0, F.array(F.array_min(every))).otherwise(F.array().cast("array<bigint>")))))
+
+
 def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
@@ -63,7 +69,7 @@ def _ranges(keys: DataFrame) -> tuple[list[list[int]], int | None]:
     if n == 1:
         return [], top
     share = n * KEYS_A_RANGE / rows
-    sample = sorted(r[0] for r in (keys.sample(share, 7) if share < 0.7 else keys).where("k IS NOT NULL").distinct().limit(4 * n * KEYS_A_RANGE).collect())
+    sample = sorted(r[0] for r in (keys.sample(share, 7) if share < 0.7 else keys).where("k IS NOT NULL").distinct().limit(2 * n * KEYS_A_RANGE).collect())
     bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)} - {top}) if sample else []
     each = max(1, int(len(bounds) ** 0.5))
     return [bounds[i : i + each] for i in range(0, len(bounds), each)], top
@@ -81,8 +87,10 @@ def _range_of(key: Column, groups: list[list[int]]) -> Column:
     return F.when(key.isNull(), 0).otherwise(block * each + below(F.get(inner, block)))
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """rows with next_<column> of the row that follows by descending key; the first row follows the last."""
+def with_next(rows: DataFrame, key: str, columns: list[str], add: dict[str, Column] | None = None) -> DataFrame:
+    """rows with next_<column> of the row that follows by descending key; the first row follows the last.
+
+    add: columns that are computed where a row has arrived, so that they are not shuffled."""
     groups, top = _ranges(rows.select(F.col(key).cast("long").alias("k")))
     k = F.col(key)
     at = _range_of(k, groups)
@@ -95,14 +103,15 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     ]
     guest = F.array_compact(F.array(*places))
     dealt = rows.withColumn("_g", F.explode(guest)).select(*rows.columns, F.col("_g.range").alias("_range"), F.col("_g.guest").alias("_guest"))
-    order = Window.partitionBy("_range").orderBy("_guest", F.col(key).desc_nulls_last(), *[F.col(c) for c in columns])
-    dealt = dealt.select(*rows.columns, "_guest", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    order = Window.partitionBy("_range").orderBy("_guest", F.col(key).desc_nulls_last(), *[F.col(c) for c in columns if c in rows.columns])
+    dealt = dealt.repartition("_range").withColumns(add or {})
+    dealt = dealt.select(*rows.columns, *(add or {}), "_guest", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return dealt.where("_guest = 0").drop("_guest")
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    d = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), "doc_id", ["text", "fp"])
+    d = with_next(docs, "doc_id", ["text", "fp"], {"fp": fingerprint(F.col("text"))})
     n = F.length("text")
     cut = F.expr("CAST(floor(length(text) / 3) AS INT)")
     d = d.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT))"), F.left(F.coalesce("next_text", F.lit("")), cut)))

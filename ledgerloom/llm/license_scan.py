@@ -9,7 +9,9 @@ are matched, the span reaches from the first to the last of them. Matches of at
 reported; of overlapping ones that with more matched words stays, then that with the higher coverage, then the first by name.
 
 The templates are a parameter and a catalogue: they are given on the driver and their index goes to the workers with the function.
-Free style (Arrow batches). Edge cases: null and empty texts have no match; repeated rows match alike; a very long text is
+Free style (Arrow batches). Edge cases: null and empty texts have no match; ids come out as they are, null ids too; a template without words never matches, and
+without templates there are no rows; templates of equal wording are reported once, under the first name; columns named like those of the result
+are left out; repeated rows match alike; a very long text is
 scanned in linear time (only candidate places are aligned); an empty table gives an empty
 result; extra columns are left out.
 """
@@ -21,10 +23,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._base import ship
+from ._base import in_batches, ship
 from ._words import MOST_REMEMBERED, mixed, odd_numbers
 
 ship(__name__)
@@ -35,6 +37,10 @@ SHORT = 15
 
 # Wording of licence notices, as their licences give it.
 TEMPLATES = {
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -42,12 +48,24 @@ TEMPLATES = {
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
         "See the License for the specific language governing permissions and limitations under the License."
     ),
+    "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
     "bsd-2-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "bsd-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -63,17 +81,34 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."
     ),
+    "lgpl-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
     "mit": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "mit-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE '
+        "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "mit-line": "Released under the MIT License.",
     "mpl-2.0-notice": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions."
+    ),
 }
 
 _WORD = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
@@ -136,7 +171,7 @@ class Index:
         self.at: dict[int, list[tuple[str, int]]] = defaultdict(list)
         self.short = {name: words for name, words in self.words.items() if 0 < len(words) < max(short, k)}
         for name, words in self.words.items():
-            if name not in self.short:
+            if len(words) and name not in self.short:
                 grams = _grams(words, k)
                 for p in winnow(grams, window):
                     self.at[int(grams[p])].append((name, p))
@@ -266,20 +301,24 @@ def matches(index: Index, text: str, words: np.ndarray, min_coverage: float) ->
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """A row for each match: key, license, coverage, matched_words, start_at, end_at."""
-    index = Index(templates or TEMPLATES)
+    """A row for each match: key, license, coverage, matched_words, start_at, end_at. templates: name to text, None for the own catalogue."""
+    index = Index(TEMPLATES if templates is None else templates)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hashes = _hasher()
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                if t:
-                    rows += [(k, *m) for m in matches(index, t, hashes(t), min_coverage)]
-            yield pd.DataFrame(rows, columns=[key, "license", "coverage", "matched_words", "start_at", "end_at"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, license string, coverage double, matched_words long, start_at long, end_at long")
+
+        def work(texts: list) -> tuple[list, list]:
+            at, rows = [], []
+            for i, t in enumerate(texts):
+                for m in matches(index, t, hashes(t), min_coverage) if t else ():
+                    at.append(i)
+                    rows.append(m)
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            return at, [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else ([],) * 5, kinds, strict=True)]
+
+        return work
+
+    return in_batches(docs, make, text, "license string, coverage double, matched_words long, start_at long, end_at long", [key])
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,17 +5,20 @@ either collection. So SUBKEYS * SUBKEYS tables with keys of 2 * ROWS minhashes c
 square root of what independent tables would. Two documents of Jaccard similarity s meet in some table with probability
 (1 - (1 - s^ROWS)^SUBKEYS)^2: 0.9999 at 0.85.
 
-1. One pass over the text makes a set size, a digest of the set and the minhashes. Documents of equal sets are one class
-   from there on, stood for by its smallest doc_id.
+1. One pass over the text makes a set size, a digest of the set and the minhashes. Documents of equal sets are one class from there on.
 2. Sub-keys that a single class has are dropped, the rest paired to keys. In each bucket all classes are tied to a hub chosen
    by a hash of class and key (a row for each member, never pairs within the bucket); ties whose minhashes agree in
    too few places are dropped. Tied classes form clusters.
-3. Within a cluster every pair is compared on full sets: in one group if it is small, else in pairs of blocks of BLOCK classes,
-   spread over tasks. A group yields a spanning forest of its links. Components of the forests are the result.
+3. A cluster is dealt into blocks of at most about BLOCK classes and MOST_HASHES hashes. First each block is compared in itself and with the cluster's first block:
+   each set moves once or twice, however large the cluster. A group yields a spanning forest of its links. Where that leaves a cluster in
+   several components, the classes outside of the largest one (the rest) are compared with all of the cluster, in pairs of a
+   block of the rest and a block of all. So a group of n near copies of one text costs n, and only a cluster of r classes that do not join its main
+   component costs r / BLOCK times n. Components of the forests are the result.
 
 Free style (Arrow batches). Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; so does
-a row with a null doc_id, whose component is null; rows that share a doc_id share its component; repeated rows are a
-class; an empty table gives an empty result; extra columns are left out by `near_duplicates` and carried through by `keep_one`.
+a row with a null id, whose component is null; ids of any size come out as they are; rows that share an id but not their set are judged
+apart, each by its own text; repeated rows are a class; a very long text is one set, held once in a task, and makes a block of its own; an
+empty table gives an empty result; extra columns are left out by `near_duplicates` and carried through by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import lookup, scratch, ship, tasks_for
-from ._graph import components
+from ..operators.graph import components
+from ._base import forget, in_batches, lookup, scratch, ship, tasks_for, whole
 from ._words import odd_numbers, shingles, word_hasher
 
 ship(__name__)
@@ -37,7 +41,8 @@ SHINGLE = 5
 SUBKEYS, ROWS = 8, 2
 #: Of 2 * SUBKEYS * ROWS = 32 minhashes, ties agree in as many; pairs of similarity 0.8 fall short once in 10,000 ties.
 AGREE = 17
-BLOCK = 512
+#: Classes and hashes of a block, as planned from a cluster's sums.
+BLOCK, MOST_HASHES = 512, 1 << 20
 #: Class ids that may be broadcast: 8 bytes each.
 MOST_BROADCAST = 500_000
 
@@ -46,31 +51,36 @@ def _set_of(words: np.ndarray) -> np.ndarray:
     return np.unique(shingles(words, SHINGLE))
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches():
+    """Of texts: set size, digest of the set, minhashes."""
     import xxhash
 
     hashes, n = word_hasher(), 2 * SUBKEYS * ROWS
     times, plus = odd_numbers(n, 101), odd_numbers(n, 202)
-    for batch in batches:
+
+    def work(texts: list) -> tuple[list, list]:
         sizes, digests, mins = [], [], []
-        for text in batch["text"]:
+        for text in texts:
             s = _set_of(hashes(text))
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
             mins.append(np.array([(s * a + b).min() for a, b in zip(times, plus, strict=True)], np.uint64).view(np.int64) if len(s) else None)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "mins": mins})
+        return list(range(len(texts))), [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(mins, pa.list_(pa.int64()))]
+
+    return work
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sets of classes, from any row with the class's id and digest."""
+def _sets():
+    """The set of each text and its digest."""
     import xxhash
 
     hashes = word_hasher()
-    for batch in batches:
-        sets = [_set_of(hashes(text)) for text in batch["text"]]
-        same = [xxhash.xxh3_128_hexdigest(s.tobytes()) == d for s, d in zip(sets, batch["digest"], strict=True)]
-        out = pd.DataFrame({"rep": batch["rep"], "cluster": batch["cluster"], "blocks": batch["blocks"], "hashes": [s.view(np.int64) for s in sets]})
-        yield out[same]
+
+    def work(texts: list) -> tuple[list, list]:
+        sets = [_set_of(hashes(text)) for text in texts]
+        return list(range(len(texts))), [pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+
+    return work
 
 
 def linked(a: int, b: int, both: np.ndarray | int, percent: int):
@@ -120,83 +130,146 @@ def _forest(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
 
 def _link_groups(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by group; a group is complete when the next begins. It has 2 * BLOCK classes at most."""
-        key, reps, sets = None, [], []
+        """Rows come sorted by group and node; a group is complete when the next begins. It has two blocks at most."""
+        key, nodes, sets = None, [], []
         found: list[tuple[int, int]] = []
         for batch in batches:
-            for group, rep, hashes in zip(zip(batch["cluster"], batch["g"], batch["h"], strict=True), batch["rep"], batch["hashes"], strict=True):
+            for group, node, hashes in zip(zip(batch["cluster"], batch["g"], batch["h"], strict=True), batch["node"], batch["hashes"], strict=True):
                 if group != key:
-                    found += _forest(reps, sets, percent)
-                    key, reps, sets = group, [], []
-                if rep not in reps[-1:]:  # rows that repeat id and text
-                    reps.append(rep)
+                    found += _forest(nodes, sets, percent)
+                    key, nodes, sets = group, [], []
+                if node not in nodes[-1:]:  # a class that is in both blocks of the group
+                    nodes.append(node)
                     sets.append(np.asarray(hashes, np.int64))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
             found = []
-        yield pd.DataFrame(_forest(reps, sets, percent), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(_forest(nodes, sets, percent), columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _links(groups: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(a, b): links of each group (cluster, g, h) of (node, hashes) rows."""
+    dealt = groups.repartition(tasks_for(groups.sparkSession, rows, 20_000), "cluster", "g", "h").sortWithinPartitions("cluster", "g", "h", "node")
+    return dealt.select("cluster", "g", "h", "node", "hashes").mapInPandas(_link_groups(percent), "a long, b long")
+
+
+def _linked_nodes(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of all links within clusters. sets: (node, cluster, blocks, own, hashes)."""
+    # the first block goes to all others of its cluster, so that one round brings most of a large group of copies together
+    first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    found = scratch(_links(sets.withColumn("g", F.explode(first)).withColumn("h", F.lit(-1)), 2 * n, percent))
+    roots = scratch(components(found))
+    large = sets.where("blocks > 1").select("node", "cluster")
+    if large.limit(1).count() == 0:
+        return roots
+    state = scratch(large.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.component").alias("main"))
+    rest = scratch(state.join(main.hint("merge"), "cluster").where("component != main").select("cluster", "node"))
+    n_rest = rest.count()
+    if not n_rest:
+        return roots
+    # blocks of the rest by place in their cluster's block of all, so that both sides know them
+    weight = rest.groupBy("cluster").agg(F.count("*").alias("r"))
+    shared = sets.where("blocks > 1").join(weight.hint("merge"), "cluster").withColumn("parts", F.least(F.ceil(F.col("r") / BLOCK).cast("int"), F.col("blocks")))
+    marked = shared.join(rest.select("node", F.lit(True).alias("is_rest")).hint("merge"), "node", "left")
+    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
+    as_rest = marked.where("is_rest").withColumn("g", part).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    as_all = marked.withColumn("h", F.col("own")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = as_rest.select("cluster", "g", "h", "node", "hashes").unionByName(as_all.select("cluster", "g", "h", "node", "hashes"))
+    more = _links(both, n + n_rest, percent)
+    out = scratch(components(found.unionByName(more)))
+    forget(state, rest, roots)
+    return out
+
+
 def _clusters(reps: DataFrame) -> DataFrame:
-    """(node, component): classes tied through buckets."""
+    """(node, component): classes (node, mins) tied through buckets."""
     half = SUBKEYS * ROWS
     sub = lambda side, i: F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side * SUBKEYS + i), *[F.get("mins", F.lit(side * half + i * ROWS + r)) for r in range(ROWS)]).alias("sub"))
-    subs = reps.select("rep", F.explode(F.array(*[sub(s, i) for s in (0, 1) for i in range(SUBKEYS)])).alias("s")).select("rep", "s.side", "s.sub")
+    subs = reps.select("node", F.explode(F.array(*[sub(s, i) for s in (0, 1) for i in range(SUBKEYS)])).alias("s")).select("node", "s.side", "s.sub")
     common = subs.groupBy("sub").agg(F.count("*").alias("n")).where("n > 1").select("sub")
     subs = subs.join(common.hint("merge"), "sub", "left_semi")
     pick = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("sub")))
-    paired = subs.groupBy("rep").agg(pick(0).alias("x"), pick(1).alias("y"))
-    members = paired.select("rep", F.explode("x").alias("x"), "y").select("rep", "x", F.explode("y").alias("y")).select("rep", F.xxhash64("x", "y").alias("key"))
+    paired = subs.groupBy("node").agg(pick(0).alias("x"), pick(1).alias("y"))
+    members = paired.select("node", F.explode("x").alias("x"), "y").select("node", "x", F.explode("y").alias("y")).select("node", F.xxhash64("x", "y").alias("key"))
     members = scratch(members)
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("order"), F.col("rep").alias("hub"))).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", "h.hub")
-    ties = members.join(hubs.hint("merge"), "key").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    m = reps.select("rep", "mins")
-    ties = ties.join(m.withColumnsRenamed({"rep": "a", "mins": "ma"}), "a").join(m.withColumnsRenamed({"rep": "b", "mins": "mb"}), "b")
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("order"), F.col("node").alias("hub"))).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", "h.hub")
+    ties = members.join(hubs.hint("merge"), "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    m = reps.select("node", "mins")
+    ties = ties.join(m.withColumnsRenamed({"node": "a", "mins": "ma"}), "a").join(m.withColumnsRenamed({"node": "b", "mins": "mb"}), "b")
     agree = sum(((F.get("ma", F.lit(i)) == F.get("mb", F.lit(i))).cast("int") for i in range(2 * half)), F.lit(0))
     return components(ties.where(agree >= AGREE).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id, kept. Linked: 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = scratch(rows.mapInPandas(_sketches, "doc_id long, n_shingles long, digest string, mins array<bigint>"))
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, also: list[str] | None = None) -> DataFrame:
+    """For each row: doc_id, n_shingles, component_id, kept, and the columns `also`. Linked: 100 * intersection >= percent * union."""
+    also = also or []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), *also, F.col(text).alias("text"))
+    sketched = scratch(in_batches(rows, _sketches, "text", "n_shingles long, digest string, mins array<bigint>", ["doc_id", *also]))
     some = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "mins")).alias("r"), F.count("*").alias("copies"))
-    classes = scratch(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.mins").alias("mins"), "copies"))
-    # the same id may stand for several texts: one node, whose minhashes are any of theirs
-    clusters = scratch(_clusters(classes.dropDuplicates(["rep"])).withColumnsRenamed({"node": "rep", "component": "cluster"}))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = classes.select("digest", "rep").join(clusters, "rep").join(sizes, "cluster")
-    members = scratch(members)
+    classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "mins")).alias("r"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    classes = scratch(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.mins").alias("mins"), "copies", "n_shingles").withColumn("node", F.monotonically_increasing_id()))
+    clusters = scratch(_clusters(classes).withColumnRenamed("component", "cluster"))
+    members = scratch(classes.select("node", "digest", "rep", "n_shingles").join(clusters, "node"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / MOST_HASHES)).cast("int")
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     n = members.count()
-    ids = members.withColumnRenamed("rep", "doc_id")
-    texts = rows.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "doc_id").withColumnRenamed("doc_id", "rep")
-    sets = texts.select("rep", "digest", "cluster", "blocks", "text").mapInPandas(_sets, "rep long, cluster long, blocks int, hashes array<bigint>")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    groups = sets.withColumn("own", own).withColumn("other", other).select("cluster", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "rep", "hashes")
-    groups = groups.repartition(tasks_for(spark, n, 20_000), "cluster", "g", "h").sortWithinPartitions("cluster", "g", "h", "rep")
-    links = groups.mapInPandas(_link_groups(percent), "a long, b long")
-    roots = components(links).withColumnRenamed("node", "rep")
-    verdicts = classes.select("digest", "rep", "copies").join(roots, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
-    # a document of several texts has the smallest component of all of them
-    found = lookup(sketched.select("doc_id", "n_shingles", "digest"), scratch(verdicts), "digest", "copies", sketched.count())
+    placed = scratch(lookup(members, scratch(sizes), "cluster", "n", n, "inner").select("node", "digest", "rep", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")))
+    # the text of one row of each class: that with the class's id, and among rows of that id that with its digest
+    ids = placed.select(F.col("rep").alias("doc_id"), F.lit(True).alias("wanted")).distinct()
+    texts = rows.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+    found = in_batches(texts, _sets, "text", "digest string, hashes array<bigint>", ["doc_id"]).withColumnRenamed("doc_id", "rep")
+    one = placed.hint("merge") if n > MOST_BROADCAST else F.broadcast(placed)
+    sets = scratch(found.join(one, ["rep", "digest"]).select("node", "cluster", "blocks", "own", "hashes"))
+    roots = _linked_nodes(sets, n, percent)
+    # a component's id is its smallest document
+    known = classes.select("node", "digest", "rep", "copies").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    known = scratch(known)
+    verdicts = scratch(lookup(known, scratch(least), "component", "n", known.count()).select("digest", "copies", "component_id"))
+    forget(classes, clusters, members, placed, sets, known)
+    out = lookup(sketched.select("doc_id", *also, "n_shingles", "digest"), verdicts, "digest", "copies", sketched.count())
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", "n_shingles", component.alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", *also, "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest doc_id."""
-    found = scratch(near_duplicates(docs, percent=percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(found.where("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi")
-    if found.where("n > 1 AND doc_id IS NOT NULL").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    """The rows of docs that stay: of each group those of the smallest doc_id, once where rows repeat id and text; all rows without an id.
+
+    Decisions come back to the rows by id and a hash of the text, so rows that share an id are told apart."""
+    mine = "near_text_hash"
+    while mine in docs.columns:
+        mine += "_"
+    hashed = docs.withColumn(mine, F.xxhash64(whole("text")))
+    found = near_duplicates(hashed, percent=percent, also=[mine])
+    stay = scratch(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", mine).agg(F.count("*").alias("n")))
+    kept = hashed.join(stay.select("doc_id", mine).hint("merge"), ["doc_id", mine], "left_semi")
+    if stay.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", mine])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, percent=85)
+
+
+def _oracle(hops: int = 16) -> str:
+    """The same by an inverted index of all shingles, in DuckDB: every pair that shares a shingle is compared, links are followed so many hops."""
+    low = f"translate(coalesce(text, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
+    rounds = "".join(f", c{k} AS MATERIALIZED (SELECT x AS id, min(c) AS c FROM n JOIN c{k - 1} ON y = id GROUP BY 1)" for k in range(1, hops + 1))
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({low}, '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+n AS MATERIALIZED (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT doc_id, doc_id FROM w), c0 AS MATERIALIZED (SELECT doc_id AS id, doc_id AS c FROM w){rounds}
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, c AS component_id, w.doc_id = c AS kept FROM w LEFT JOIN z USING (doc_id) JOIN c{hops} ON id = w.doc_id
+"""
+
+
+OP9_SQL = _oracle()

@@ -1,6 +1,7 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut into chunks that no piece crosses (spaces with the word after them, runs of spaces, line feeds). For each distinct chunk of a batch the lattice
+A text is cut into chunks that no piece crosses (spaces with the word after them, runs of spaces, line feeds; a chunk of more than LONGEST_CHUNK characters, such
+as encoded data without a space, is cut every so many characters). For each distinct chunk of a batch the lattice
 of vocabulary pieces is filtered forward: the log weight of all segmentations of each prefix. Each
 occurrence then samples a segmentation backward from the end, piece by piece, in proportion to its weight among all
 segmentations of the chunk. The random numbers are a hash of the row's key, the chunk's place and the step, so a row gives the
@@ -10,9 +11,10 @@ The model file has merge ranks and no probabilities; a piece weighs (rank + OFFS
 a preference for few pieces. A character outside the vocabulary becomes its UTF-8 bytes (byte fallback); so does U+2581, which pieces use
 for the space. No normalisation takes place: decode(encode(text)) is the text.
 
-Free style (Arrow batches; all chunks of a batch are filtered, and all occurrences sampled, in step). Edge cases: null text
-counts as empty; an empty text has no pieces; a null key seeds like the text "None"; repeated rows with the same key have the same pieces; very long chunks
-are one lattice, linear in their length; an empty table gives an empty result; extra columns are left out.
+Free style (Arrow batches; all chunks of a batch are filtered, and all occurrences sampled, in step). A batch's chunks are worked off in slices of at most
+CHARS_AT_ONCE characters, within a text too, so that memory is bounded by the slice and the text itself, however long it is. Edge cases: null text
+counts as empty; an empty text has no pieces; null keys share a seed of their own, which no text has; repeated rows with the same key have the same pieces; a very long text takes time
+in proportion to its length; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,12 +38,22 @@ ship(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, OFFSET, PENALTY = 1.0, 10, 3.0
 SEED = 97
-#: Characters of a piece in the lattice at most (the few longer ones, runs of one mark, are not sampled), and characters sampled at once.
-MOST_CHARS, CHARS_AT_ONCE = 16, 4_000_000
+#: Characters of a piece at most (the model has none that is longer), and characters sampled at once.
+MOST_CHARS, CHARS_AT_ONCE = 16, 2_000_000
+#: Characters of a chunk at most: the rounds of a slice, as lattices are filtered character by character, all chunks in step.
+LONGEST_CHUNK = 4096
 _SPACE = "▁"
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text, end to end the text."""
+    found = _CHUNK.findall(text)
+    if len(text) > LONGEST_CHUNK and max(map(len, found)) > LONGEST_CHUNK:
+        found = [c[i : i + LONGEST_CHUNK] for c in found for i in range(0, len(c), LONGEST_CHUNK)]
+    return found
+
+
 _STEP = np.uint64(0x100000001B3)
 _SLOTS = 18
 
@@ -111,9 +123,10 @@ def load(model_file: str = MODEL, alpha: float = ALPHA, offset: float = OFFSET,
             out[i] = bytes([int(piece[3:5], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             piece = piece.replace(_SPACE, " ")
+            if len(piece) > MOST_CHARS:
+                raise ValueError(f"piece {piece!r} is longer than MOST_CHARS")
             out[i] = piece.encode()
-            if len(piece) <= MOST_CHARS:
-                plain.append((-model.get_score(i), i, piece))
+            plain.append((-model.get_score(i), i, piece))
     weight, ids, hashes = np.full(n, -np.inf, np.float32), np.full(1 << _SLOTS, -1, np.int32), np.zeros(1 << _SLOTS, np.uint64)
     for rank, (_, i, piece) in enumerate(sorted(plain), 1):
         weight[i] = -alpha * np.log(rank + offset) - penalty
@@ -163,18 +176,46 @@ def _filtered(v: Vocabulary, chunks: list[str]):
     return chars, ends - 1, lengths, share, ids
 
 
+def _slices(texts: list[str]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """(row, place of its first chunk, chunks) in slices of at most about CHARS_AT_ONCE characters; a long text goes into several."""
+    part, size = [], 0
+    for row, text in enumerate(texts):
+        chunks, at = chunks_of(text), 0
+        while at < len(chunks):
+            end = at
+            while end < len(chunks) and size < CHARS_AT_ONCE:
+                size += len(chunks[end])
+                end += 1
+            part.append((row, at, chunks[at:end]))
+            at = end
+            if size >= CHARS_AT_ONCE:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
 def _encode(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of the rows, and the ids of all of them."""
+    counts, out = np.zeros(len(texts), np.int64), []
+    for part in _slices(texts):
+        offsets, ids = _encode_chunks(v, [chunks for _, _, chunks in part], seeds[[row for row, _, _ in part]], np.array([at for _, at, _ in part], np.int64))
+        np.add.at(counts, [row for row, _, _ in part], np.diff(offsets))
+        out.append(ids)
+    return np.r_[0, np.cumsum(counts)], np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
+def _encode_chunks(v: Vocabulary, rows_chunks: list[list[str]], seeds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of rows of chunks, and their ids. first: the place of each row's first chunk in its text."""
     number: dict[str, int] = defaultdict(count().__next__)
     which, rows = [], []
-    for text in texts:
-        chunks = _CHUNK.findall(text)
+    for chunks in rows_chunks:
         which += map(number.__getitem__, chunks)
         rows.append(len(chunks))
     chars, last, lengths, share, ids = _filtered(v, list(number))
     which, n_chunks = np.array(which, np.int64), np.array(rows, np.int64)
     node, left = last[which], lengths[which]
-    place = np.arange(len(node)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
+    place = np.arange(len(node)) - np.repeat(np.cumsum(n_chunks) - n_chunks - first, n_chunks)
     seed = mixed(np.repeat(seeds, n_chunks) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     active, steps, at, got = np.arange(len(node)), [], [], []
     while len(active):
@@ -232,7 +273,7 @@ def _runner(vocabulary: Vocabulary, seed: int, check: bool):
                 while n < len(texts) and (n == k or size + len(texts[n]) < CHARS_AT_ONCE):
                     size += len(texts[n])
                     n += 1
-                seeds = np.array([xxh3_64_intdigest(str(x).encode(), seed) for x in keys[k:n]], np.uint64)
+                seeds = np.array([xxh3_64_intdigest(b"" if x is None else f"k{x}".encode(), seed) for x in keys[k:n]], np.uint64)
                 offsets, ids = _encode(vocabulary, texts[k:n], seeds)
                 columns = {"key": batch.column(0)[k:n], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
                 if check:

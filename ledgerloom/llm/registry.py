@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
 }

@@ -1,90 +1,106 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Three kinds of base spans (assign, access, hex) are found by pattern. Besides, every long token that mixes letters of both
-cases with digits is a candidate. The values of all candidates are hashed and counted over the corpus by distinct
-repositories and distinct owners: a value that many owners carry is a copied example, one that belongs to a single owner
-looks live, however many copies of its text that owner has. Repositories decide only where no owner is known: few look live. Base spans stay whatever their counts; of the other candidates, the live-looking ones are
-added as spans of kind `live`. The counts come out as columns.
+Three kinds of base spans (assign, access, hex) are found by pattern. Besides, every long token of letters and digits with many different
+characters is a candidate, such as a bare key that no `token =` announces. The values of all candidates are hashed and counted over the corpus by distinct
+owners and distinct repositories, and ownership decides: a value that many owners carry is a copied example, one that belongs to a single owner
+looks live, however many copies of its text that owner has. Repositories decide only where no owner is known: few look live. Base spans stay
+whatever their counts; of the other candidates, the live-looking ones are added as spans of kind `live`. The counts come out with each finding.
 
-DataFrame operations only: offsets come from the lengths of what split() leaves between matches, in code points.
-Counting is by partial aggregates over distinct (value, owner) and (value, repository) pairs, so that an example with a
-third of all rows does not meet in one task.
+DataFrame operations only. Offsets come from the lengths of what split() leaves between matches, in code points, by a running sum over a
+text's matches, so a text costs in proportion to its matches. Counting is by partial aggregates over distinct (value, owner) and (value, repository)
+pairs, so that an example with a third of all rows does not meet in one task. Values are hashed when they are found: no table that is written
+holds one; `findings` gives spans, from which a caller with the texts can cut them out.
 
 Edge cases: null text counts as empty; empty text has no spans; repeated rows are scanned alike and count once as a repository
-when they share the id; a null owner or repository counts as no owner; an empty table gives an empty result.
+when they share the id; a null owner or repository counts as no owner; findings of a row are sorted by start and kind, which no two share; a very long text
+is scanned once for each pattern, and its matches are rows of their own; null and repeated ids come out as they are; kept columns may have any name but `findings`; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import scratch, whole
+from ._base import lookup, scratch, whole
 
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"  # the same spans as all runs of [0-9a-f] of which those under 24 are dropped
-BLOB = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
+BLOB = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Different characters that a bare candidate has at least, besides a letter and a digit.
+DISTINCT = 6
 #: A value of at most so many owners looks live; one without a known owner if it has at most so many repositories.
 LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
 KINDS = ("assign", "access", "hex", "live")
 
 
-def _matches(text: Column, pattern: str, kind: int, value_group: int) -> Column:
-    """Array of (kind, start, end, value) of all matches, offsets in code points."""
+def _matches(text: Column, pattern: str, kind: int, rough: str, value: Callable[[Column], Column], passes: Callable[[Column], Column]) -> Column:
+    """Array of (kind, gap, length, hash, ok) of all matches of a pattern, with the code points between a match and the one before."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     gaps = F.split(text, pattern, -1)  # one more than matches, as no match is empty
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>").alias("spans"))
+    each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
+    told = F.transform(
+        each, lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("length"), F.xxhash64(value(x["match"])).alias("hash"), passes(x["match"]).alias("ok"))
+    )
+    return F.when(text.rlike(rough), told).otherwise(F.array().cast("array<struct<kind:int,gap:int,length:int,hash:bigint,ok:boolean>>"))
+
+
+def _assigned(match: Column) -> Column:
+    return F.regexp_extract(match, f"^{ASSIGN}$", 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), value.alias("value"))
-    return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
+def _mixed(match: Column) -> Column:
+    return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= DISTINCT)
+
+
+def _all_matches(text: Column) -> Column:
+    itself = lambda m: m
+    return F.concat(
+        _matches(text, ASSIGN, 0, r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", _assigned, lambda m: F.length(_assigned(m)) >= 6),
+        _matches(text, ACCESS, 1, "AKIA", itself, lambda m: F.length(m) >= 20),
+        _matches(text, HEX, 2, HEX, itself, lambda m: F.lit(True)),
+        _matches(text, BLOB, 3, BLOB, itself, _mixed),
+    )
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, owner, repo, text_row, spans): the candidate spans of each row that has any, by kind and start."""
-    text = F.col("text")
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    kinds = [
-        (r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", F.filter(_matches(text, ASSIGN, 0, 1), lambda x: F.length(x["value"]) >= 6)),
-        ("AKIA", F.filter(_matches(text, ACCESS, 1, 0), lambda x: F.length(x["value"]) >= 20)),
-        (HEX, _matches(text, HEX, 2, 0)),
-        (BLOB, F.filter(_matches(text, BLOB, 3, 0), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]"))),
-    ]
-    spans = F.concat(*[F.when(text.rlike(pattern), found).otherwise(none) for pattern, found in kinds])
-    return docs.withColumn("spans", spans)
+def candidates(rows: DataFrame) -> DataFrame:
+    """(row, owner, repo, kind, start, end, hash) of each candidate. rows: (row, owner, repo, matches)."""
+    each = rows.where(F.size("matches") > 0).select("row", "owner", "repo", F.posexplode("matches").alias("at", "m")).select("row", "owner", "repo", "at", "m.*")
+    # a row's matches come together as the row itself did; there are no more of them than its text holds
+    so_far = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = each.withColumn("end", so_far).withColumn("start", F.col("end") - F.col("length"))
+    return placed.where("ok").select("row", "owner", "repo", "kind", "start", "end", "hash")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories) of each candidate value: counted as distinct pairs, partially aggregated before each shuffle."""
-    uses = found.select("owner", "repo", F.explode(F.transform("spans", lambda x: F.xxhash64(x["value"]))).alias("hash"))
-    owners = uses.where("owner IS NOT NULL").select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    repos = uses.where("repo IS NOT NULL").select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    return owners.join(repos, "hash", "full").fillna(0, ["owners", "repositories"])
+    """(hash, owners, repositories, uses) of each candidate value: counted as distinct pairs, partially aggregated before each shuffle."""
+    uses = found.groupBy("hash").agg(F.count("*").alias("uses"))
+    owners = found.where("owner IS NOT NULL").select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
+    repos = found.where("repo IS NOT NULL").select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
+    return uses.join(owners, "hash", "left").join(repos, "hash", "left").fillna(0, ["owners", "repositories"])
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
-    """For each row: the `keep` columns and findings, an array of (kind, start, end, value, owners, repositories, live) by start and kind."""
-    rows = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), whole(text).alias("text"))
-    rows = scratch(candidates(rows).drop("text").withColumn("row", F.monotonically_increasing_id()))
-    some = rows.where(F.size("spans") > 0)
-    each = some.select("row", F.explode("spans").alias("s")).select("row", "s", F.xxhash64("s.value").alias("hash"))
-    # AQE splits the row side of a hot value: both sides are plain exchanges of this join
-    counted = each.join(ownership(some).hint("merge"), "hash", "left").fillna(0, ["owners", "repositories"])
+    """For each row: the `keep` columns and findings, an array of (start, kind_no, end, owners, repositories, live) by start and kind."""
+    if "findings" in keep:
+        raise ValueError("a kept column is called findings")
+    kept = [F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), _all_matches(whole(text)).alias("matches"))
+    rows = scratch(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = scratch(candidates(rows))
+    counted = lookup(each.select("row", "kind", "start", "end", "hash"), scratch(ownership(each)), "hash", "uses", each.count())
     live = F.when(F.col("owners") > 0, F.col("owners") <= live_owners).otherwise(F.col("repositories") <= live_repositories)
-    finding = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind_no"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("owners"), F.col("repositories"), live.alias("live"))
+    finding = F.struct("start", F.col("kind").alias("kind_no"), "end", "owners", "repositories", live.alias("live"))
     findings = counted.groupBy("row").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
     base = F.filter("findings", lambda x: x["kind_no"] < 3)
     apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     findings = findings.select("row", F.filter("findings", lambda x: (x["kind_no"] < 3) | (x["live"] & apart(x))).alias("findings"))
-    out = rows.select("row", *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)]).join(findings, "row", "left")
     empty = F.array().cast(findings.schema["findings"].dataType)
-    return out.withColumn("findings", F.coalesce("findings", empty)).drop("row")
+    out = rows.drop("owner", "repo", "matches").join(findings.hint("merge"), "row", "left").withColumn("findings", F.coalesce("findings", empty))
+    return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "findings")
 
 
 def _said(findings: Column) -> Column:

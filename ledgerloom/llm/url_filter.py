@@ -2,7 +2,8 @@
 
 Hosts are nodes; an edge holds the links from pages of one host to absolute urls of another. Trust is a personalised PageRank
 that restarts at the hosts of allowed pages and follows links; distrust restarts at the hosts of blocked pages and follows links backwards:
-who links to blocked hosts is suspect. Both are iterated in DataFrames until no host's rank still moves by more than a small part of itself, however far
+who links to blocked hosts is suspect. The rank of hosts without an edge onward restarts at the seeds, so trust and distrust both add up to 1 and can be compared. Both are
+iterated in DataFrames until no host's rank still moves by more than a small part of itself, however far
 from the seeds it is, and each host is blocked if its distrust exceeds its trust by a factor. A host without either is allowed.
 
 Free style; DataFrame operations throughout, so that hosts, edges and ranks stay distributed. Links are reduced to host pairs with
@@ -10,8 +11,9 @@ counts before any join, so a host with a third of all pages is a row like any ot
 join that broadcasts the few hot hosts and shuffles the others.
 
 Edge cases: a null url or one without `://` has an empty host and path, fits no rule and is allowed; null or empty html has no links;
-links of a host to itself are no edges; repeated rows count as pages of their own; no seeds or no links leave the ranks at the seeds; an
-empty table gives an empty result; extra columns are left out.
+links of a host to itself are no edges; repeated rows count as pages of their own; very long html is read once for its links, which are counted by host pair before they move;
+ties of two rules cannot occur, as the longest fits and equal ones are the same rule, and equal trust and distrust allow; no seeds or no links leave the ranks at the seeds; an
+empty table gives an empty result; null ids come out as they are; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import lookup, scratch, whole
+from ._base import forget, lookup, scratch, whole
 
 #: (verdict, host/path): fixed by the contract of the query.
 RULES = (
@@ -69,8 +71,12 @@ def match_rules(pages: DataFrame, rules: DataFrame, most_broadcast: int = 100_00
         fits = F.filter(F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at("_rules", s), F.array().cast(by_host.schema["rs"].dataType)))), lambda r: F.col("path").startswith(r["rule_path"]))
         best = F.array_max(fits)
         return pages.withColumn("_rules", table.scalar()).withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.rule_verdict")).drop("_best", "_rules")
-    keyed = pages.withColumn("_row", F.monotonically_increasing_id()).transform(scratch)
-    tried = keyed.select("_row", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    # many rules: a page is joined on each host suffix and each path prefix of a length that rules have, so that a key holds one rule
+    keyed = scratch(pages.withColumn("_row", F.monotonically_increasing_id()))
+    lengths = rules.agg(F.array_sort(F.collect_set(F.length("rule_path")))).first()[0]
+    tried = keyed.select("_row", "path", F.explode(suffixes).alias("rule_host")).join(rules.select("rule_host").distinct(), "rule_host", "left_semi")
+    prefixes = F.filter(F.transform(F.lit(lengths), lambda n: F.substring("path", F.lit(1), n)), lambda p: F.length(p) > 0)
+    tried = tried.select("_row", "rule_host", F.explode(F.array_distinct(prefixes)).alias("rule_path")).join(rules, ["rule_host", "rule_path"])
     best = tried.groupBy("_row").agg(F.max(F.struct(F.length("rule").alias("length"), "rule", "rule_verdict")).alias("_best"))
     return keyed.join(best, "_row", "left").withColumn("rule", F.col("_best.rule")).withColumn("rule_verdict", F.col("_best.rule_verdict")).drop("_best", "_row")
 
@@ -83,21 +89,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, enough: float = ENOUGH) -> DataFrame:
-    """(host, rank): PageRank that restarts at seeds (host, weight; weights sum up to 1) and follows edges (src, dst, links).
+    """(host, rank), ranks adding up to 1: PageRank that restarts at seeds (host, weight; weights sum up to 1) and follows edges (src, dst, links).
 
-    The rank that is still moving is kept apart from what has been settled, so that a round touches only hosts that it reaches.
-    A host that a round reaches first has moved by all of its rank, so the rounds go on to the farthest host; after that the moving mass
-    shrinks by the damping. rounds, where given, ends the iteration earlier."""
+    The rank that is still moving is kept apart from what has been settled, so that a round touches only hosts that it reaches. What moves
+    at a host without edges onward goes back to the seeds. A host that a round reaches first has moved by all of its rank, so the rounds go on to the farthest host; after
+    that the moving mass shrinks by the damping. rounds, where given, ends the iteration earlier."""
     flow = edges.join(edges.groupBy("src").agg(F.sum("links").alias("out")), "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share"))
     flow = scratch(flow)
+    sources = scratch(flow.select(F.col("src").alias("host")).distinct())
     moving = scratch(seeds.select("host", (F.col("weight") * (1 - damping)).alias("rank")))
     settled = moving
     if flow.limit(1).count() == 0:
-        return settled
+        return seeds.select("host", F.col("weight").cast("double").alias("rank"))
     for _ in itertools.count() if rounds is None else range(rounds):
-        moving = scratch(moving.join(flow, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("rank")).withColumnRenamed("dst", "host"))
+        onward = moving.join(flow, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        stuck = moving.join(sources, "host", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        if stuck:
+            onward = onward.unionByName(seeds.select("host", (F.col("weight") * (stuck * damping)).alias("rank")))
+        before, moving = moving, scratch(onward.groupBy("host").agg(F.sum("rank").alias("rank")))
         both = settled.select("host", "rank", F.lit(0.0).alias("moved")).unionByName(moving.select("host", "rank", F.col("rank").alias("moved")))
-        settled = scratch(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("moved").alias("moved")))
+        older, settled = settled, scratch(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("moved").alias("moved")))
+        forget(before, older)
         if settled.where(F.col("moved") > F.col("rank") * (enough * (1 - damping))).limit(1).count() == 0:
             break
     return settled.select("host", "rank")
