@@ -74,7 +74,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     holds more rows than that, so the shuffled join is even. left is read twice and right three times: pass tables, not plans."""
     floor = max(1000, int(total * HOT_SHARE))
     hot = F.broadcast(right.where(F.col(count) >= floor))
-    if not total or right.where(F.col(count) >= floor).limit(1).count() == 0:
+    if total < floor or right.where(F.col(count) >= floor).limit(1).count() == 0:
         return left.join(right.hint("merge"), key, how)
     rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(count) < floor).hint("merge"), key, how)
     return left.join(hot, key).select(*rest.columns).unionByName(rest)
