@@ -32,9 +32,11 @@ def flat(sequences: Column) -> Column:
 
 
 def round_to_decimals(value: Column, decimals: Column) -> Column:
-    """PRJ10: half-even at 10^-decimals; unknown decimals round to 2 places."""
-    step = F.pow(F.lit(10.0), -F.coalesce(decimals, F.lit(2)).cast("double"))
-    return F.bround(value / step) * step
+    """PRJ10: half-even at 10^-decimals; unknown decimals round to 2 places. Places after the point are whole numbers of the scaled value, so that
+    0.57 stays 0.57."""
+    d = F.coalesce(decimals, F.lit(2)).cast("double")
+    scale = F.pow(F.lit(10.0), F.abs(d))
+    return F.when(d > 0, F.bround(value * scale) / scale).otherwise(F.bround(value / scale) * scale)
 
 
 def half_ulp(decimals: Column) -> Column:

@@ -6,11 +6,15 @@ for a variable that only names a concept; an empty allowed array asks for the di
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..functions.keys import dim_key
+from ..plans.compiler import dispatched, to_column
+from ..plans.language import must_be_absent, parse_a, variables
 from ..session import bounded
+from ..sources.formula import Rule, concepts_of
 
 
 def merged_filters(filters: DataFrame) -> DataFrame:
@@ -34,27 +38,117 @@ def candidates(facts: DataFrame, filters: DataFrame, defaults: dict[str, str]) -
     return facts.join(bounded(selectors(filters)), "concept").where(fits)
 
 
-def bind(facts: DataFrame, filters: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """JN3, EV4: for each rule and each key of the dimensions that none of its variables pins, the values by variable.
+def _grouped(c: DataFrame, with_values: bool) -> DataFrame:
+    """(rule, group_key, sums, counts and, if asked, values by variable) of candidates (rule, group_key, var, value)."""
+    each = c.groupBy("rule", "group_key", "var").agg(F.sum("value").alias("s"), F.count("*").alias("n"), *([F.sort_array(F.collect_list("value")).alias("vs")] if with_values else []))
+    of = lambda column: F.map_from_entries(F.collect_list(F.struct("var", column)))
+    return each.groupBy("rule", "group_key").agg(of("s").alias("sums"), of("n").alias("counts"), *([of("vs").alias("values")] if with_values else []))
+
+
+def bind(facts: DataFrame, filters: DataFrame, defaults: dict[str, str], with_values: bool = True) -> DataFrame:
+    """JN3: for each rule and each key of the dimensions that none of its variables pins, the facts by variable.
 
     All variables' candidates go through one shuffle: a tagged union grouped by the key, not a join for each variable. Gives
-    (rule, group_key, values map var -> sorted values, sums map var -> sum)."""
+    (rule, group_key, sums, counts, values: maps by variable). Sums and counts are partial aggregates; the sorted values are arrays as long as a
+    group has facts, and only made if asked for."""
     pinned = filters.where("dim IS NOT NULL").groupBy("rule").agg(F.collect_set("dim").alias("pinned"))
     c = candidates(facts, filters, defaults).join(bounded(pinned), "rule", "left")
     free = F.map_filter("dims", lambda d, _: ~F.coalesce(F.array_contains("pinned", d), F.lit(False)))
-    c = c.withColumn("group_key", dim_key(free))
-    each = c.groupBy("rule", "group_key", "var").agg(F.sort_array(F.collect_list("value")).alias("vs"), F.sum("value").alias("s"))
-    return each.groupBy("rule", "group_key").agg(F.map_from_entries(F.collect_list(F.struct("var", "vs"))).alias("values"), F.map_from_entries(F.collect_list(F.struct("var", "s"))).alias("sums"))
+    return _grouped(c.withColumn("group_key", dim_key(free)), with_values)
+
+
+def _fits(tree, known: Column) -> Column:
+    """FLT1, FLT3: a filter tree over a fact's concept and dims; a dimension that is left out has its default member."""
+    if tree[0] in ("and", "or"):
+        out = F.lit(tree[0] == "and")
+        for x in tree[1]:
+            out = out & _fits(x, known) if tree[0] == "and" else out | _fits(x, known)
+        return out
+    if tree[0] == "not":
+        return ~_fits(tree[1], known)
+    if tree[0] == "concept":
+        return F.col("concept").isin(*tree[1])
+    if tree[0] == "has":
+        return F.try_element_at("dims", F.lit(tree[1])).isNotNull()
+    return F.coalesce(F.coalesce(F.try_element_at("dims", F.lit(tree[1])), F.try_element_at(known, F.lit(tree[1]))).isin(*tree[2]), F.lit(False))
+
+
+def bind_rules(facts: DataFrame, rules: list[Rule], defaults: dict[str, str]) -> DataFrame:
+    """JN3, FLT3: (rule_no, group_key, values: map variable -> sorted texts) of formula rules. facts: (concept, dims, value text, perhaps period).
+
+    Facts meet variables by concept (a variable that no concept limits sees all facts), then by their filter trees, found by number. Groups
+    are the dimensions that no variable's own filters name, and the period; dimensions that the whole set filters stay grouping ones."""
+    known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>") if defaults else F.create_map().cast("map<string,string>")
+    spark = facts.sparkSession
+    every = [(r, rule, var) for r, rule in enumerate(rules) for var in rule.variables]
+    pinned = [sorted({d for v in rule.variables for d in v.own}) for rule in rules]
+    limits = lambda var: [None] if (found := concepts_of(var.tree)) is None else sorted(found)
+    rows = [(n, r, var.name, c, pinned[r]) for n, (r, _, var) in enumerate(every) for c in limits(var)]
+    wanted = spark.createDataFrame(rows, "no int, rule_no int, var string, concept string, pinned array<string>")
+    f = facts if "period" in facts.columns else facts.withColumn("period", F.lit(None).cast("string"))
+    hit = f.join(bounded(wanted.where("concept IS NOT NULL")), "concept")
+    anywhere = [r for r in rows if r[3] is None]
+    if anywhere:
+        each = F.array(*[F.struct(F.lit(n).alias("no"), F.lit(r).alias("rule_no"), F.lit(v).alias("var"), F.lit(p).cast("array<string>").alias("pinned")) for n, r, v, _, p in anywhere])
+        hit = hit.unionByName(f.withColumn("_w", F.explode(each)).select(*f.columns, "_w.*"))
+    hit = hit.where(dispatched([_fits(var.tree, known) for _, _, var in every], F.col("no")))
+    free = F.map_filter("dims", lambda d, _: ~F.array_contains("pinned", d))
+    key = F.concat_ws("|", dim_key(free), "period")
+    each = hit.select("rule_no", "var", key.alias("group_key"), "value").groupBy("rule_no", "group_key", "var").agg(F.sort_array(F.collect_list("value")).alias("vs"))
+    return each.groupBy("rule_no", "group_key").agg(F.map_from_entries(F.collect_list(F.struct("var", "vs"))).alias("values"))
+
+
+def _numbers(texts: Column) -> Column:
+    return F.transform(texts, lambda t: V.num(t))
+
+
+def rule_verdicts(bound: DataFrame, rules: list[Rule], tolerance: float = 0.0) -> DataFrame:
+    """EV4: (rule, group_key, ok) of bound rules: the test over the values, by number and in one pass, whatever the number of rules.
+
+    A variable without a fact takes its fallback; a sequence without any is empty. A rule whose test needs a variable that has neither
+    is not asserted (ok is null), unless all the test asks is whether it is absent; so is a rule whose condition does not hold and that has no else."""
+
+    def test(rule: Rule) -> Column:
+        tree = parse_a(rule.test)
+        about = {v.name: v for v in rule.variables}
+        values = lambda v: F.try_element_at("values", F.lit(v))
+        back = {v: [x.strip() for x in (about[v].fallback or "").strip("() ").split(",") if x.strip()] if about[v].fallback is not None else None for v in about}
+        texts = lambda v: F.coalesce(values(v), F.array(*[F.lit(x) for x in back[v]]).cast("array<string>")) if back[v] is not None else values(v)
+        sequences = frozenset(v for v in about if about[v].sequence)
+
+        def leaf(x) -> Column:
+            v = x[1]
+            if v not in about:
+                return F.lit(None).cast("double")
+            if v in sequences:
+                return _numbers(F.coalesce(texts(v), F.array().cast("array<string>")))
+            return F.when(texts(v).isNotNull() & (F.size(texts(v)) > 0), V.num_list(_numbers(texts(v))))
+
+        word = lambda x: F.get(texts(x[1]), F.lit(0)) if x[1] in about else F.lit(None).cast("string")
+        absent = {x[1] for x in must_be_absent(tree) if x[0] == "var"}
+        needed = [v for v in variables(tree) if v in about and v not in sequences and v not in absent]
+        there = F.lit(True)
+        for v in needed:
+            there = there & texts(v).isNotNull()
+        return F.when(there, to_column(tree, leaf, tolerance, "a", word, sequences).cast("boolean"))
+
+    names = F.array(*[F.lit(r.id) for r in rules])
+    return bound.select(F.element_at(names, F.col("rule_no") + 1).alias("rule"), "group_key", dispatched([test(r) for r in rules], F.col("rule_no")).alias("ok"))
 
 
 def open_pairs(terms: DataFrame, facts: DataFrame) -> DataFrame:
     """JN6: closed cells (code, inst, coef, concept, dims) with the facts whose dims contain theirs, and `signature`: the key of
-    the facts' other dims. Grouped by (code, inst, signature), cells of open tables pair up; a closed table has the empty signature only."""
-    t = terms.select("code", "inst", "coef", "concept", F.col("dims").alias("pinned"))
-    f = facts.select("concept", "dims", "value")
-    inside = F.forall(F.map_entries("pinned"), lambda e: F.coalesce(F.try_element_at("dims", e["key"]) == e["value"], F.lit(False)))
-    rest = F.map_filter("dims", lambda d, _: ~F.array_contains(F.map_keys("pinned"), d))
-    return t.join(f, "concept").where(inside).withColumn("signature", dim_key(rest))
+    the facts' other dims. Grouped by (code, inst, signature), cells of open tables pair up; a closed table has the empty signature only.
+
+    Cells pin few different sets of dimensions (shapes). A fact is cut to each shape that its concept has, and joins cells on concept, shape and
+    pinned key: it meets the cells that it fits and no others."""
+    names = F.array_join(F.array_sort(F.map_keys("dims")), ",")
+    t = terms.select("code", "inst", "coef", "concept", names.alias("shape"), dim_key(F.col("dims")).alias("pinned_key"), F.map_keys("dims").alias("pinned"))
+    shapes = terms.select("concept", names.alias("shape"), F.array_sort(F.map_keys("dims")).alias("of")).distinct()
+    f = facts.select("concept", "dims", "value").join(bounded(shapes), "concept")
+    within = F.map_filter("dims", lambda d, _: F.array_contains("of", d))
+    f = f.where(F.size(within) == F.size("of")).withColumn("pinned_key", dim_key(within)).withColumn("signature", dim_key(F.map_filter("dims", lambda d, _: ~F.array_contains("of", d))))
+    return t.join(f.drop("of"), ["concept", "shape", "pinned_key"]).drop("shape", "pinned_key")
 
 
 def open_check(terms: DataFrame, facts: DataFrame, tolerance: float = 0.5) -> DataFrame:

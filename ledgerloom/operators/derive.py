@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import cell_key, merge_aspects
 from ..functions.values import round_to_decimals
-from ..session import forget, settled
+from ..session import forget, numbered, settled, with_group
 from .graph import levels
 
 
@@ -58,28 +59,31 @@ def nudge(pairs: DataFrame, leaves: DataFrame, step: float = 1000.0) -> DataFram
 
 
 def one_hot(groups: DataFrame, by: list[str], order: list[str], total: Column) -> DataFrame:
-    """DV19: cells of a constant sum: the first gets the constant, the others 0."""
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
-    return groups.withColumn("assigned", F.when(first, total).otherwise(0.0))
+    """DV19: cells of a constant sum: the first gets the constant, the others 0. order has to be total."""
+    first = groups.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first"))
+    out = with_group(groups, first, by)
+    return out.withColumn("assigned", F.when(F.struct(*order) == F.col("_first"), total).otherwise(0.0)).drop("_first")
 
 
 def distribute(parts: DataFrame, by: list[str], weight: str, total: str, order: list[str]) -> DataFrame:
     """DV25: a whole total over parts in proportion to their weights: floors, and the rest one by one to the first parts. All-zero
-    weights count as equal."""
-    w = Window.partitionBy(*by)
-    weights = F.sum(weight).over(w)
-    p = parts.withColumn("_share", F.when(weights > 0, F.floor(F.col(total) * F.col(weight) / weights)).otherwise(F.floor(F.col(total) / F.count("*").over(w))).cast("long"))
-    rest = F.col(total) - F.sum("_share").over(w)
-    place = F.row_number().over(w.orderBy(*order))
-    return p.withColumn("assigned", (F.col("_share") + F.when(place <= rest, 1).otherwise(0)).cast("long")).drop("_share")
+    weights count as equal. Sums are aggregates and places are counted over ranges of a group, so that a group may be of any size. order has to be total."""
+    sums = parts.groupBy(*by).agg(F.sum(weight).alias("_w"), F.count("*").alias("_c"))
+    p = with_group(parts, sums, by)
+    by_weight = F.floor(F.col(total).cast("double") * F.col(weight).cast("double") / F.col("_w").cast("double"))
+    p = settled(p.withColumn("_share", F.when(F.col("_w") > 0, by_weight).otherwise(F.floor(F.col(total) / F.col("_c"))).cast("long")))
+    rest = p.groupBy(*by).agg((F.max(total) - F.sum("_share")).alias("_rest"))
+    placed = with_group(numbered(p, by, order, "_place"), rest, by)
+    return placed.withColumn("assigned", (F.col("_share") + (F.col("_place") <= F.col("_rest")).cast("long")).cast("long")).select(*parts.columns, "assigned")
 
 
 def absorb(parts: DataFrame, by: list[str], total: str, value: str, free: str, order: list[str]) -> DataFrame:
     """DV26: a total's gap over its determined parts goes to the first free part, if the gap isn't negative; other free parts are 0."""
-    w = Window.partitionBy(*by)
-    gap = F.col(total) - F.sum(F.when(~F.col(free), F.col(value)).otherwise(0.0)).over(w)
-    place = F.row_number().over(w.orderBy(F.col(free).desc(), *order))
-    return parts.withColumn("assigned", F.when(~F.col(free), F.col(value)).when((place == 1) & (gap >= 0), gap).otherwise(0.0))
+    held = F.sum(F.when(~F.col(free), F.col(value)).otherwise(0.0))
+    groups = parts.groupBy(*by).agg((F.max(total) - held).alias("_gap"), F.min(F.when(F.col(free), F.struct(*order))).alias("_first"))
+    p = with_group(parts, groups, by)
+    takes = F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False)) & (F.col("_gap") >= 0)
+    return p.withColumn("assigned", F.when(~F.col(free), F.col(value)).when(takes, F.col("_gap")).otherwise(0.0)).drop("_gap", "_first")
 
 
 def order_dates(rows: DataFrame, start: str, end: str, early: str, late: str) -> DataFrame:
@@ -113,9 +117,27 @@ def cross_table(plans: DataFrame, values: DataFrame, incidence: DataFrame, round
     return now
 
 
-def sinks(terms: DataFrame, present: DataFrame, owned: DataFrame) -> DataFrame:
-    """DV18, DV21: lone totals (target) that are present and that no single-table rule owns."""
-    return terms.join(present.select(F.col("key").alias("target")), "target", "left_semi").join(owned.select(F.col("key").alias("target")), "target", "left_anti")
+def sinks(values: DataFrame, terms: DataFrame, owned: DataFrame) -> DataFrame:
+    """DV18, DV21: lone totals of cross-table rules (target, source, coef, target_coef) that are present and that no single-table rule owns, set to what their sources
+    say; all else stays. values: (key, value). A total that owned (key) names is protected, and so is one whose sources are not all there."""
+    open_ = terms.join(values.select(F.col("key").alias("target")), "target", "left_semi").join(owned.select(F.col("key").alias("target")), "target", "left_anti")
+    j = open_.join(values.select(F.col("key").alias("source"), "value"), "source", "left")
+    new = j.groupBy("target").agg(F.bool_and(F.col("value").isNotNull()).alias("all"), (-F.sum(F.col("coef") * F.col("value")) / F.max("target_coef")).alias("new")).where("all")
+    return values.join(new.select(F.col("target").alias("key"), "new"), "key", "left").select("key", F.coalesce("new", "value").alias("value"))
+
+
+def absent_totals(values: DataFrame, terms: DataFrame, inject: dict[str, str], admitted: DataFrame) -> DataFrame:
+    """DV23: (key, concept, dims, value) of totals that are absent: terms (target, concept, source, coef, target_coef) and values (key, concept, dims, value). A total's dims are
+    those that its sources agree on, with the injected ones; it is made only if admitted (key) has its key, so that no fact is made that no cube holds."""
+    absent = terms.join(values.select(F.col("key").alias("target")), "target", "left_anti")
+    j = absent.join(values.select(F.col("key").alias("source"), "dims", "value"), "source")
+    pairs = j.select("target", F.explode(F.map_entries("dims")).alias("e")).groupBy("target", "e").agg(F.count("*").alias("n"))
+    of = j.groupBy("target").agg(F.first("concept").alias("concept"), F.count("*").alias("parts"), (-F.sum(F.col("coef") * F.col("value")) / F.max("target_coef")).alias("value"))
+    shared = pairs.join(of.select("target", "parts"), "target").where("n = parts").groupBy("target").agg(F.map_from_entries(F.collect_list("e")).alias("shared"))
+    more = F.create_map(*[F.lit(x) for kv in sorted(inject.items()) for x in kv]).cast("map<string,string>") if inject else F.create_map().cast("map<string,string>")
+    made = of.join(shared, "target", "left").withColumn("dims", merge_aspects(F.coalesce("shared", F.create_map().cast("map<string,string>")), more))
+    made = made.withColumn("key", cell_key(F.col("concept"), F.col("dims")))
+    return made.join(admitted.select("key").distinct(), "key", "left_semi").select("key", "concept", "dims", "value")
 
 
 def until_clean(state: DataFrame, repair: Callable[[DataFrame], DataFrame], violations: Callable[[DataFrame], DataFrame], rounds: int = 6) -> tuple[DataFrame, list[int]]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import half_ulp
+from ..session import settled
 
 
 def in_scope(rules: DataFrame, tables: list[str]) -> DataFrame:
@@ -25,17 +26,18 @@ def coefficients(terms: DataFrame) -> DataFrame:
 
 
 def additive_verdicts(terms: DataFrame, facts: DataFrame, floor: float = 0.5) -> DataFrame:
-    """EV1, JN5, AG2: (code, inst, lhs, rhs, tol, any_absent, ok). terms: (code, inst, side lhs|rhs, coef, key); facts: (key, value, decimals),
-    each key once. An absent fact is 0 and adds no tolerance; tolerance is the sum of |coef| half units, at least the floor."""
+    """EV1, JN5, AG2, PRJ12: (code, inst, lhs, rhs, tol, any_absent, ok). terms: (code, inst, side lhs|rhs, coef, key); facts: (key, value, decimals),
+    each key once. An absent fact is 0 and adds no tolerance; tolerance is the sum of |coef| half units, at least the floor. Sums keep the values' type: decimals stay exact."""
+    zero = F.lit(0).cast(facts.schema["value"].dataType)
     j = terms.join(facts.select("key", "value", "decimals", F.lit(True).alias("present")), "key", "left")
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("coef") * F.coalesce("value", F.lit(0.0)))), F.lit(0.0))
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("coef") * F.coalesce("value", zero))), zero)
     g = j.groupBy("code", "inst").agg(
         side("lhs").alias("lhs"),
         side("rhs").alias("rhs"),
         F.greatest(F.coalesce(F.sum(F.when(F.col("present"), F.abs("coef") * half_ulp(F.col("decimals")))), F.lit(0.0)), F.lit(floor)).alias("tol"),
         F.bool_or(F.col("present").isNull()).alias("any_absent"),
     )
-    return g.withColumn("ok", F.abs(F.col("lhs") - F.col("rhs")) <= F.col("tol"))
+    return g.withColumn("ok", F.abs(F.col("lhs") - F.col("rhs")).cast("double") <= F.col("tol"))
 
 
 def comparison_verdicts(rows: DataFrame, left: Column, right: Column, op: str, tol: Column | float = 0.0, condition: Column | None = None) -> DataFrame:
@@ -49,14 +51,15 @@ def comparison_verdicts(rows: DataFrame, left: Column, right: Column, op: str, t
 
 
 def rule_rollup(verdicts: DataFrame, examples: int = 3) -> DataFrame:
-    """AG4, SL5: for each rule its instances, failures, failures with absent facts, and the first few failing instances."""
+    """AG4, SL5: for each rule its instances, failures, failures with absent facts, and the first few failing instances. Only so many
+    instances of a rule leave a task: the rank filter is applied before the shuffle and after it."""
+    verdicts = settled(verdicts)
     failed = ~F.col("ok")
-    return verdicts.groupBy("code").agg(
-        F.count("*").alias("instances"),
-        F.count(F.when(failed, 1)).alias("failing"),
-        F.count(F.when(failed & F.col("any_absent"), 1)).alias("with_absent"),
-        F.slice(F.sort_array(F.collect_set(F.when(failed, F.col("inst").cast("string")))), 1, examples).alias("examples"),
-    )
+    counts = verdicts.groupBy("code").agg(F.count("*").alias("instances"), F.count(F.when(failed, 1)).alias("failing"), F.count(F.when(failed & F.col("any_absent"), 1)).alias("with_absent"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy("inst"))
+    few = verdicts.where(failed).select("code", F.col("inst").cast("string").alias("inst")).withColumn("place", place).where(F.col("place") <= examples)
+    first = few.groupBy("code").agg(F.sort_array(F.collect_list("inst")).alias("examples"))
+    return counts.join(first, "code", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def rule_level(cross: Column, nonlinear: Column, absent: Column, parsed: Column) -> Column:

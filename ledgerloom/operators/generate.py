@@ -40,29 +40,42 @@ def inferred_datatype(name: Column, text: Column, has_unit: Column) -> Column:
     )
 
 
-def _classes(pattern: str) -> list[tuple[str, int]]:
-    """The characters and the length of each part of a ^[class]{n}...$ pattern; of a range of lengths the shortest."""
+#: Characters more than the least that open lengths ({n,}, *, +) may have.
+_OPEN = 3
+
+
+def _classes(pattern: str) -> list[tuple[str, int, int]]:
+    """The characters and the least and most number of them of each part of a ^[class]{n,m}...$ pattern."""
     out, rest = [], pattern.removeprefix("^").removesuffix("$")
     while rest:
-        m = re.match(r"(?:\[([^\]]+)\]|(\\d)|([^\\\[\]{}()*+?|.]))(?:\{(\d+)(?:,\d*)?\}|([*+?]))?", rest)
+        m = re.match(r"(?:\[([^\]]+)\]|(\\d)|([^\\\[\]{}()*+?|.]))(?:\{(\d+)(,)?(\d*)\}|([*+?]))?", rest)
         if not m:
             raise ValueError(f"pattern {pattern!r}")
         if m[1]:
             chars = re.sub(r"(.)-(.)", lambda r: "".join(map(chr, range(ord(r[1]), ord(r[2]) + 1))), m[1])
         else:
             chars = "0123456789" if m[2] else m[3]
-        out.append((chars, int(m[4]) if m[4] else {"*": 0, "?": 0}.get(m[5], 1)))
+        least = int(m[4]) if m[4] else {"*": 0, "?": 0}.get(m[7], 1)
+        most = {"*": _OPEN, "+": 1 + _OPEN}.get(m[7], 1) if not m[4] else least if not m[5] else int(m[6]) if m[6] else least + _OPEN
+        out.append((chars, least, most))
         rest = rest[m.end() :]
     return out
 
 
 def matching_text(pattern: str, key: Column, seed: str) -> Column:
-    """GN4: text that fits a pattern of character classes with lengths."""
+    """GN4: text that fits a pattern of character classes with lengths; of a range of lengths each is as likely."""
     parts, at = [], 0
-    for chars, n in _classes(pattern):
-        for _ in range(n):
-            parts.append(F.substring(F.lit(chars), (seeded(F.concat(key, F.lit(f"#{at}")), seed, len(chars)) + 1).cast("int"), F.lit(1)))
+    for chars, least, most in _classes(pattern):
+        drawn = []
+        for _ in range(most):
+            drawn.append(F.substring(F.lit(chars), (seeded(F.concat(key, F.lit(f"#{at}")), seed, len(chars)) + 1).cast("int"), F.lit(1)))
             at += 1
+        if not drawn:
+            continue
+        text = F.concat(*drawn)
+        if least < most:
+            text = F.substring(text, F.lit(1), (seeded(F.concat(key, F.lit(f"#n{at}")), seed, most - least + 1) + least).cast("int"))
+        parts.append(text)
     return F.concat(*parts) if parts else F.lit("")
 
 

@@ -1,144 +1,329 @@
-"""Solvers of one connected component at a time, in grouped Arrow/pandas functions (DV8-DV13, DV27).
+"""Solvers of equation systems by connected component (DV8-DV13, DV27).
 
-A component of equations sum coef * x = rhs is solved exactly in rationals; components are independent, so they are groups. Components
-above a size limit are deferred (reported, not cut), as their cost is cubic: derive them level by level instead.
+terms: (component, eq, key, coef, rhs, start, fixed) and perhaps kind (`=`, the default, or `<=`): a row for each cell of each equation
+sum coef * x = rhs. Components are independent. What one aggregate solves (an equation whose only unknown is in no other) is solved by one
+aggregate in DataFrames; coupled components go to the workers, many to a batch, as sparse rows. A component is a system of its own and has to fit in a worker:
+of more than MOST_CELLS cells it is deferred and reported (consistent is null, starts stay); derive.derive_levels takes such a system level by level.
+
+Edge cases: a null start or right side counts as 0; a null coefficient is no term; a cell with several starts keeps the least; repeated terms add up; an equation without cells
+holds if its right side fits; fixed cells never move; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import sys
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_CELLS = 400
-TERM = ("eq", "key", "coef", "rhs", "start", "fixed")
-#: Rounds of alternating projections at most.
-PROJECTIONS = 200
+from ..session import settled
+
+# functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+MOST_CELLS = 50_000
+TERM = ("eq", "key", "coef", "rhs", "start", "fixed", "kind")
+#: Cost of a unit by which an equation is missed, against one for a unit by which a cell moves.
+MISS = 1e4
+#: Rows of a component up to which its normal equations are factored; beyond, they are solved by conjugate gradients.
+DENSE = 1_500
+
 
+def eliminated(rows: list[dict[int, Fraction]], right: list[Fraction]) -> tuple[list[tuple[int, dict[int, Fraction], Fraction]], bool]:
+    """Pivots (column, row, right side) in order of elimination, and whether the equations can hold.
 
-def rref(rows: list[list[Fraction]], n: int) -> tuple[list[list[Fraction]], list[int]]:
-    """Reduced row echelon form of n columns and a right side; and the pivots' columns."""
-    pivots, r = [], 0
-    for c in range(n):
-        p = next((i for i in range(r, len(rows)) if rows[i][c]), None)
-        if p is None:
+    Rows with a column of their own are set aside first, which costs nothing and undoes whole trees of sums; what is left is eliminated
+    by the shortest row, on its column that the fewest others have."""
+    where = defaultdict(set)
+    for i, row in enumerate(rows):
+        for c in row:
+            where[c].add(i)
+    rows, right, pivots = [dict(r) for r in rows], list(right), []
+    own = [c for c, at in where.items() if len(at) == 1]
+    heapq.heapify(own)
+
+    def away(i: int) -> None:
+        for c in rows[i]:
+            where[c].discard(i)
+            if len(where[c]) == 1:
+                heapq.heappush(own, c)
+
+    left, consistent = set(range(len(rows))), True
+    while left:
+        while own:
+            c = heapq.heappop(own)
+            if len(where[c]) == 1:
+                i = next(iter(where[c]))
+                pivots.append((c, rows[i], right[i]))
+                left.discard(i)
+                away(i)
+        if not left:
+            break
+        i = min(left, key=lambda j: (len(rows[j]), j))
+        left.discard(i)
+        away(i)
+        if not rows[i]:
+            consistent &= not right[i]
             continue
-        rows[r], rows[p] = rows[p], rows[r]
-        lead = rows[r][c]
-        rows[r] = [x / lead for x in rows[r]]
-        for i in range(len(rows)):
-            if i != r and rows[i][c]:
-                k = rows[i][c]
-                rows[i] = [x - k * y for x, y in zip(rows[i], rows[r], strict=True)]
-        pivots.append(c)
-        r += 1
-    return rows, pivots
-
-
-def solve_terms(terms: list[tuple]) -> tuple[list[tuple[str, float]], bool]:
-    """DV9: terms (eq, key, coef, rhs, start, fixed) of a component: cells keep their start where they are free or fixed, the
-    others follow; consistent says whether all equations can hold. Gives (key, value) of each cell, and consistent."""
-    about, eqs = {}, {}
-    for eq, key, coef, rhs, start, fixed in terms:
-        about.setdefault(key, (bool(fixed), start))
-        eqs.setdefault(eq, (rhs, []))[1].append((key, coef))
-    # fixed cells last, so that pivots are free cells where possible; later cells in key order are the free variables
-    order = sorted(about, key=lambda k: (about[k][0], k))
-    at = {k: i for i, k in enumerate(order)}
-    n_free = sum(not fixed for fixed, _ in about.values())
-    x = [Fraction(str(about[k][1])) for k in order]
-    rows = []
-    for eq in sorted(eqs):
-        rhs, cells = eqs[eq]
-        row = [Fraction(0)] * (n_free + 1)
-        row[-1] = Fraction(str(rhs))
-        for key, coef in cells:
-            c = Fraction(str(coef))
-            if at[key] < n_free:
-                row[at[key]] += c
-            else:
-                row[-1] -= c * x[at[key]]
-        rows.append(row)
-    rows, pivots = rref(rows, n_free)
-    consistent = not any(row[-1] and not any(row[:-1]) for row in rows)
-    if consistent:
-        for row, p in zip(rows, pivots, strict=False):
-            x[p] = row[-1] - sum((row[j] * x[j] for j in range(n_free) if j != p and row[j]), Fraction(0))
-    return [(k, float(v)) for k, v in zip(order, x, strict=True)], consistent
-
-
-def solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact solutions of rows (component, and its terms as an array for each column): many components to a batch, as most are small."""
-    for batch in batches:
-        found, component = [], batch.column("component")
-        for i, terms in enumerate(zip(*[batch.column(c).to_pylist() for c in TERM], strict=True)):
-            cells, consistent = solve_terms(list(zip(*terms, strict=True)))
-            found += [(i, key, value, consistent) for key, value in cells]
-        at, keys, values, consistent = zip(*found, strict=True) if found else ((), (), (), ())
-        columns = [component.take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(values, pa.float64()), pa.array(consistent, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["component", "key", "value", "consistent"])
-
-
-def least_squares_group(terms: pd.DataFrame) -> pd.DataFrame:
-    """DV27, DV12, DV13: the values nearest to the starts (least squares) for which the equations hold as well as they can."""
-    keys, eqs = sorted(terms["key"].unique()), sorted(terms["eq"].unique())
-    about = terms.drop_duplicates("key").set_index("key")
-    a, b = np.zeros((len(eqs), len(keys))), np.zeros(len(eqs))
-    for t in terms.itertuples():
-        a[eqs.index(t.eq), keys.index(t.key)] += t.coef
-        b[eqs.index(t.eq)] = t.rhs
-    start = np.array([about.loc[k, "start"] for k in keys], float)
-    move = np.array([not about.loc[k, "fixed"] for k in keys])
-    step = np.zeros(len(keys))
-    if move.any():
-        step[move] = np.linalg.lstsq(a[:, move], b - a @ start, rcond=None)[0]
-    x = start + step
-    return pd.DataFrame({"component": terms["component"].iloc[0], "key": keys, "value": x, "consistent": bool(np.abs(a @ x - b).max(initial=0) < 1e-6)})
-
-
-def non_negative_group(terms: pd.DataFrame) -> pd.DataFrame:
-    """DV10, DV11: like least squares with cells kept at 0 or above, by alternating projections; consistent tells whether it got there."""
-    keys, eqs = sorted(terms["key"].unique()), sorted(terms["eq"].unique())
-    about = terms.drop_duplicates("key").set_index("key")
-    a, b = np.zeros((len(eqs), len(keys))), np.zeros(len(eqs))
-    for t in terms.itertuples():
-        a[eqs.index(t.eq), keys.index(t.key)] += t.coef
-        b[eqs.index(t.eq)] = t.rhs
-    x = np.array([about.loc[k, "start"] for k in keys], float)
-    move = np.array([not about.loc[k, "fixed"] for k in keys])
-    back = np.linalg.pinv(a[:, move]) if move.any() else np.zeros((0, len(eqs)))
-    correction = np.zeros(int(move.sum()))
-    for _ in range(PROJECTIONS):
-        x[move] += back @ (b - a @ x)
-        y = x[move] + correction
-        x[move] = np.maximum(y, 0)
-        correction = y - x[move]
-        if np.abs(a @ x - b).max(initial=0) < 1e-6:
+        c = min(rows[i], key=lambda k: (len(where[k]), k))
+        pivots.append((c, rows[i], right[i]))
+        for j in sorted(where[c]):
+            k = rows[j][c] / rows[i][c]
+            right[j] -= k * right[i]
+            for d, x in rows[i].items():
+                new = rows[j].get(d, 0) - k * x
+                if new:
+                    rows[j][d] = new
+                    where[d].add(j)
+                elif d in rows[j]:
+                    del rows[j][d]
+                    where[d].discard(j)
+                    if len(where[d]) == 1:
+                        heapq.heappush(own, d)
+    return pivots, consistent
+
+
+class System:
+    """A component: its cells in order, and its rows over the cells that may move."""
+
+    def __init__(self, terms: list[tuple]):
+        about, eqs = {}, {}
+        for eq, key, coef, rhs, start, fixed, kind in terms:
+            before = about.get(key)
+            about[key] = (bool(fixed) or bool(before and before[0]), min(start or 0.0, before[1]) if before else start or 0.0)
+            row = eqs.setdefault(eq, ([rhs or 0.0, kind or "="], defaultdict(float)))
+            if coef:
+                row[1][key] += coef
+        self.keys = sorted(about)
+        self.fixed = np.array([about[k][0] for k in self.keys], bool)
+        self.start = np.array([about[k][1] for k in self.keys], float)
+        at = {k: i for i, k in enumerate(self.keys)}
+        self.rows = [(kind, rhs, {at[k]: c for k, c in cells.items() if c}) for (rhs, kind), cells in (eqs[e] for e in sorted(eqs))]
+
+    def exact(self) -> tuple[np.ndarray, bool]:
+        """DV9: in rationals. Cells that no equation settles keep their start."""
+        x = [Fraction(str(v)) for v in self.start]
+        rows, right = [], []
+        for _, rhs, cells in self.rows:
+            rows.append({i: Fraction(str(c)) for i, c in cells.items() if not self.fixed[i]})
+            right.append(Fraction(str(rhs)) - sum((Fraction(str(c)) * x[i] for i, c in cells.items() if self.fixed[i]), Fraction(0)))
+        pivots, consistent = eliminated(rows, right)
+        if consistent:
+            for c, row, b in reversed(pivots):
+                x[c] = (b - sum((k * x[d] for d, k in row.items() if d != c), Fraction(0))) / row[c]
+        return np.array([float(v) for v in x]), consistent
+
+    def sparse(self, want: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column (among the cells that may move) and value of each coefficient, and the right sides less what is fixed."""
+        move = np.cumsum(~self.fixed) - 1
+        r, c, v, b = [], [], [], []
+        for i, (_, rhs, cells) in enumerate(x for x in self.rows if want in (None, x[0])):
+            b.append(rhs - sum(k * self.start[j] for j, k in cells.items() if self.fixed[j]))
+            for j, k in cells.items():
+                if not self.fixed[j]:
+                    r.append(i)
+                    c.append(move[j])
+                    v.append(k)
+        return np.array(r, np.int64), np.array(c, np.int64), np.array(v, float), np.array(b, float)
+
+    def holds(self, x: np.ndarray, tolerance: float = 1e-5) -> bool:
+        for kind, rhs, cells in self.rows:
+            gap = sum(k * x[j] for j, k in cells.items()) - rhs
+            if (gap if kind == "<=" else abs(gap)) > tolerance * max(1.0, abs(rhs)):
+                return False
+        return True
+
+    def least_squares(self) -> tuple[np.ndarray, bool]:
+        """DV27: the values nearest to the starts for which the equations hold as well as they can, by conjugate gradients."""
+        x, move = self.start.copy(), ~self.fixed
+        r, c, v, b = self.sparse()
+        n, m = int(move.sum()), len(b)
+        if n and m:
+            forth = lambda z: np.bincount(r, v * z[c], m)
+            back = lambda y: np.bincount(c, v * y[r], n)
+            step, gap = np.zeros(n), b - forth(self.start[move])
+            g = back(gap)
+            d, size = g.copy(), g @ g
+            for _ in range(4 * (n + m)):
+                if size <= 1e-24 * max(1.0, b @ b):
+                    break
+                q = forth(d)
+                a = size / max(q @ q, 1e-300)
+                step += a * d
+                gap -= a * q
+                g = back(gap)
+                d = g + (g @ g) / size * d
+                size = g @ g
+            x[move] += step
+        return x, self.holds(x)
+
+    def least_change(self, whole: bool = False) -> tuple[np.ndarray, bool]:
+        """DV10-DV13: values of at least 0 for which equalities and `<=` rows hold, with the least sum of changes; where they can't all hold,
+        with the least sum of misses. With whole, values are whole numbers: an optimum is a corner of what is feasible, and corners of sums of
+        whole numbers are whole; what is rounded is checked again."""
+        move = ~self.fixed
+        equal, at_most = self.sparse("="), self.sparse("<=")
+        m, n = len(equal[3]), int(move.sum())
+        x = self.start.copy()
+        if n:
+            r, c, v = np.r_[equal[0], at_most[0] + m], np.r_[equal[1], at_most[1]], np.r_[equal[2], at_most[2]]
+            x[move] = least_change(r, c, v, np.r_[equal[3], at_most[3]], np.arange(m + len(at_most[3])) >= m, self.start[move])
+            x[move] = np.maximum(np.where(np.abs(x[move] - np.rint(x[move])) < (0.5 + 1e-9 if whole else 1e-6), np.rint(x[move]), x[move]), 0.0)
+        return x, self.holds(x)
+
+
+def least_change(r: np.ndarray, c: np.ndarray, v: np.ndarray, b: np.ndarray, at_most: np.ndarray, start: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """min sum w |x - start| + MISS * misses over x >= 0 with rows (r, c, v) equal to b, or at most b: a primal-dual interior-point method.
+
+    Variables are x, the changes up and down, and for each row what it lacks and exceeds (and its slack). The changes are eliminated, so that each round
+    solves a system of one unknown a row. Weights w differ by less than a thousandth, so that the optimum is one corner."""
+    n, m = len(start), len(b)
+    scale = max(1.0, np.abs(start).max(initial=0), np.abs(b).max(initial=0))
+    b, start = b / scale, start / scale
+    w = 1 + 1e-3 * np.modf((np.arange(n) + 1) * 0.6180339887498949)[0]
+    # what an `at most` row lacks is its slack, and costs nothing
+    cost = np.r_[np.zeros(n), w, w, np.full(m, MISS), np.where(at_most, 0.0, MISS)]
+    forth = lambda z: np.bincount(r, v * z[c], m) if len(r) else np.zeros(m)
+    back = lambda y: np.bincount(c, v * y[r], n) if len(r) else np.zeros(n)
+    X, U, D, P, Q = (slice(0, n), slice(n, 2 * n), slice(2 * n, 3 * n), slice(3 * n, 3 * n + m), slice(3 * n + m, 3 * n + 2 * m))
+    z, s = np.ones(3 * n + 2 * m), np.maximum(cost, 1.0)
+    y1, y2 = np.zeros(n), np.zeros(m)  # of x - up + down = start, and of the rows: A x - exceeds + lacks = b
+    for _ in range(rounds):
+        g1 = start - (z[X] - z[U] + z[D])
+        g2 = b - (forth(z[X]) - z[P] + z[Q])
+        gd = cost - s
+        gd[X] -= y1 + back(y2)
+        gd[U] += y1
+        gd[D] -= y1
+        gd[P] += y2
+        gd[Q] -= y2
+        mu = z @ s / len(z)
+        if mu < 1e-13 or (mu < 1e-10 and max(np.abs(g1).max(initial=0), np.abs(g2).max(initial=0)) < 1e-9):
+            break
+        t = z / s
+        t1 = t[X] + t[U] + t[D]
+        weight = t[X] * ((t[U] + t[D]) / t1)
+        diagonal = t[P] + t[Q]
+        if m <= DENSE:
+            a = np.zeros((m, n))
+            np.add.at(a, (r, c), v)
+            matrix = (a * weight) @ a.T
+            matrix += np.diag(diagonal + 1e-13 * (1 + matrix.diagonal()))  # rows that say the same would leave it singular
+            solve = lambda rhs, matrix=matrix: np.linalg.solve(matrix, rhs)
+        else:
+            solve = lambda rhs, weight=weight, diagonal=diagonal: _gradients(lambda y: forth(weight * back(y)) + diagonal * y, np.bincount(r, v * v * weight[c], m) + diagonal, rhs)
+
+        def direction(target: np.ndarray, t=t, t1=t1, g1=g1, g2=g2, gd=gd, solve=solve):
+            h = gd - target / z
+            f1 = g1 + t[X] * h[X] - t[U] * h[U] + t[D] * h[D]
+            f2 = g2 + forth(t[X] * h[X]) - t[P] * h[P] + t[Q] * h[Q]
+            d2 = solve(f2 - forth(t[X] / t1 * f1)) if m else f2
+            d1 = (f1 - t[X] * back(d2)) / t1
+            dz = -t * h
+            dz[X] += t[X] * (d1 + back(d2))
+            dz[U] -= t[U] * d1
+            dz[D] += t[D] * d1
+            dz[P] -= t[P] * d2
+            dz[Q] += t[Q] * d2
+            return dz, d1, d2, (target - s * dz) / z
+
+        reach = lambda now, d: min(1.0, 0.9995 * np.min(now[d < 0] / -d[d < 0], initial=np.inf))
+        dz, _, _, ds = direction(-z * s)
+        p, q = reach(z, dz), reach(s, ds)
+        aside = min(1.0, ((z + p * dz) @ (s + q * ds) / len(z) / mu) ** 3)
+        # second order only where the first order could go some way
+        dz, d1, d2, ds = direction(aside * mu - z * s - dz * ds if min(p, q) > 0.1 else max(aside, 0.3) * mu - z * s)
+        p, q = reach(z, dz), reach(s, ds)
+        z, s, y1, y2 = np.maximum(z + p * dz, 1e-18), np.maximum(s + q * ds, 1e-18), y1 + q * d1, y2 + q * d2
+    return z[X] * scale
+
+
+def _gradients(times: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Conjugate gradients for a positive matrix, preconditioned by its diagonal."""
+    x, gap = np.zeros(len(rhs)), rhs.copy()
+    d = gap / diagonal
+    size = gap @ d
+    for _ in range(10 * len(rhs)):
+        if gap @ gap <= 1e-22 * (rhs @ rhs):
             break
-    return pd.DataFrame({"component": terms["component"].iloc[0], "key": keys, "value": x, "consistent": bool(np.abs(a @ x - b).max(initial=0) < 1e-6)})
+        q = times(d)
+        a = size / (d @ q)
+        x += a * d
+        gap -= a * q
+        h = gap / diagonal
+        d, size = h + (gap @ h) / size * d, gap @ h
+    return x
+
+
+_METHODS = {"exact": System.exact, "least_squares": System.least_squares, "non_negative": System.least_change, "whole": lambda s: s.least_change(True)}
+
+
+def _solved(method: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (component, and its terms as an array for each column): many components to a batch, as most are small."""
+        for batch in batches:
+            at, keys, values, consistent = [], [], [], []
+            for i, terms in enumerate(zip(*[batch.column(c).to_pylist() for c in TERM], strict=True)):
+                system = System(list(zip(*terms, strict=True)))
+                x, ok = _METHODS[method](system)
+                at += [i] * len(x)
+                keys += system.keys
+                values += x.tolist()
+                consistent += [ok] * len(x)
+            columns = [batch.column("component").take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(values, pa.float64()), pa.array(consistent, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["component", "key", "value", "consistent"])
+
+    return run
+
+
+def _told(terms: DataFrame) -> DataFrame:
+    t = terms if "kind" in terms.columns else terms.withColumn("kind", F.lit("="))
+    return t.select("component", "eq", "key", F.col("coef").cast("double"), F.coalesce(F.col("rhs").cast("double"), F.lit(0.0)).alias("rhs"), F.coalesce(F.col("start").cast("double"), F.lit(0.0)).alias("start"), F.coalesce("fixed", F.lit(False)).alias("fixed"), "kind")
 
 
-_METHODS = {"least_squares": least_squares_group, "non_negative": non_negative_group}
+def lone_unknowns(terms: DataFrame) -> DataFrame:
+    """(component, key, value): unknowns of components that are one equation with one unknown, solved by one aggregate. Sums are decimals, so
+    they are exact; null where a number has more than five places or thirteen digits before them, which the workers then solve."""
+    exact = lambda c: F.col(c).cast("decimal(19,5)")
+    fits = (exact("coef").cast("double") == F.col("coef")) & (exact("start").cast("double") == F.col("start")) & (exact("rhs").cast("double") == F.col("rhs"))
+    free = ~F.col("fixed")
+    g = terms.groupBy("component").agg(
+        F.min("eq").alias("e0"), F.max("eq").alias("e1"), F.count(F.when(free, 1)).alias("unknowns"), F.max(F.when(free, F.col("key"))).alias("key"),
+        F.max(F.when(free, exact("coef"))).alias("coef"), F.sum(F.when(F.col("fixed"), (exact("coef") * exact("start")).cast("decimal(38,10)"))).alias("held"), F.max(exact("rhs")).alias("rhs"),
+        F.bool_and(F.coalesce(fits, F.lit(False))).alias("fits"), F.bool_and(F.col("kind") == "=").alias("equal"),
+    )
+    value = F.try_divide((F.col("rhs") - F.coalesce("held", F.lit(0))).cast("double"), F.col("coef").cast("double"))
+    return g.where("e0 = e1 AND unknowns = 1 AND fits AND equal AND coef != 0").select("component", "key", value.alias("value"))
 
 
 def solve(terms: DataFrame, method: str = "exact", most: int = MOST_CELLS) -> DataFrame:
-    """(component, key, value, consistent) for each cell; consistent is null in components above `most` cells, whose starts stay."""
-    sizes = terms.groupBy("component").agg(F.count_distinct("key").alias("cells"))
-    small = terms.join(sizes.where(F.col("cells") <= most).select("component"), "component", "left_semi")
+    """(component, key, value, consistent) for each cell. method: exact, least_squares, non_negative (least change) or whole. consistent is null
+    in components above `most` cells, whose starts stay."""
+    t = _told(terms)
     kind = terms.schema["component"].dataType.simpleString()
     schema = f"component {kind}, key string, value double, consistent boolean"
-    if method == "exact":
-        grouped = small.groupBy("component").agg(F.collect_list(F.struct(*TERM)).alias("t"))
-        solved = grouped.select("component", *[F.col(f"t.{c}").alias(c) for c in TERM]).mapInArrow(solve_batches, schema)
-    else:
-        solved = small.groupBy("component").applyInPandas(_METHODS[method], schema)
-    rest = terms.join(sizes.where(F.col("cells") > most).select("component"), "component", "left_semi").groupBy("component", "key").agg(F.max("start").alias("value"))
-    return solved.unionByName(rest.withColumn("consistent", F.lit(None).cast("boolean")).select("component", "key", "value", "consistent"))
+    alone = None
+    if method == "exact" and most >= 1:
+        t = settled(t)
+        alone = settled(lone_unknowns(t))
+        cells = t.join(alone.select("component", F.col("key").alias("_k"), F.col("value").alias("_v")), "component")
+        alone_cells = cells.groupBy("component", "key").agg(F.max(F.when(F.col("key") == F.col("_k"), F.col("_v"))).alias("_v"), F.min("start").alias("start"))
+        alone_cells = alone_cells.select("component", "key", F.coalesce("_v", "start").alias("value"), F.lit(True).alias("consistent"))
+        t = t.join(alone.select("component"), "component", "left_anti")
+    sizes = t.groupBy("component").agg(F.count_distinct("key").alias("cells"))
+    t = t.join(sizes, "component")
+    grouped = t.where(F.col("cells") <= most).groupBy("component").agg(F.collect_list(F.struct(*TERM)).alias("t"))
+    solved = grouped.select("component", *[F.col(f"t.{c}").alias(c) for c in TERM]).mapInArrow(_solved(method), schema)
+    rest = t.where(F.col("cells") > most).groupBy("component", "key").agg(F.min("start").alias("value"))
+    out = solved.unionByName(rest.select("component", "key", "value", F.lit(None).cast("boolean").alias("consistent")))
+    return out if alone is None else out.unionByName(alone_cells)
 
 
 def residuals(terms: DataFrame, values: DataFrame) -> DataFrame:

@@ -301,8 +301,8 @@ _FILTERS = [("r1", "v0", "EXT", "RFL", ["A"]), ("r1", "v1", "EXT", "RFL", ["N",
 def q_implicit_bind(spark, d):
     """JN3, FLT1, FLT2: two variables, grouped by the dimensions that neither pins."""
     f = star.facts(spark, d).withColumn("value", F.col("value").cast("decimal(28,2)"))
-    b = binding.bind(f, inline(spark, _FILTERS, "rule string, var string, concept string, dim string, allowed array<string>"), {})
-    return b.select("group_key", F.try_element_at("sums", F.lit("v0")).cast("double").alias("v0"), F.try_element_at("sums", F.lit("v1")).cast("double").alias("v1"), F.coalesce(F.size(F.try_element_at("values", F.lit("v1"))), F.lit(0)).cast("long").alias("n1"))
+    b = binding.bind(f, inline(spark, _FILTERS, "rule string, var string, concept string, dim string, allowed array<string>"), {}, with_values=False)
+    return b.select("group_key", F.try_element_at("sums", F.lit("v0")).cast("double").alias("v0"), F.try_element_at("sums", F.lit("v1")).cast("double").alias("v1"), F.coalesce(F.try_element_at("counts", F.lit("v1")), F.lit(0)).cast("long").alias("n1"))
 
 
 @query(f"""WITH {LEAF_SQL} SELECT concat_ws(',', 'LST=' || LST, 'SEG=' || SEG, 'YR=' || YR) AS signature, sum(CASE WHEN RFL = 'A' THEN qty WHEN RFL = 'R' THEN -qty END)::DOUBLE AS residual, count(*) AS n_facts,

@@ -80,6 +80,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     return left.join(hot, key).select(*rest.columns).unionByName(rest)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group (a row for each of groups, keyed by `by`, nulls too). The rows' side of the join may be split where a group is large."""
+    on = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_g.{c}")) for c in by]
+    more = [c for c in groups.columns if c not in by]
+    return rows.alias("_r").join(groups.alias("_g"), on).select(*[F.col(f"_r.{c}").alias(c) for c in rows.columns], *[F.col(f"_g.{c}").alias(c) for c in more])
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "place") -> DataFrame:
     """rows with their place (from 1) within `by` in this order, which has to be total. A group may be of any size: rows are dealt into ranges
     of (by, order), numbered within each range, and ranges of the same group are added up."""

@@ -2,11 +2,14 @@
 
 The rows come from package.linkbases; everything here is a join on (path, role, label). Filters of a variable and of its
 whole variable set come alike, the latter with a null variable. A boolean filter keeps its operator and members, so that a tree can be
-compiled to one Column instead of an approximate union.
+compiled to one Column instead of an approximate union. Names come with their namespaces, as they do in instances.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +33,109 @@ def variables(links: DataFrame) -> DataFrame:
     return j.select("path", "role", "rule", "var", "fallback", F.coalesce("sequence", F.lit(False)).alias("sequence"), F.col("target").alias("label"))
 
 
-def _local(x: Column) -> Column:
-    return F.substring_index(x, ":", -1)
+def _resources(links: DataFrame) -> DataFrame:
+    """(path, role, target, tag, dim, members, concepts) of filter resources."""
+    under = lambda parent: F.transform(F.filter("parts", lambda p: p["text"].startswith(f"{parent}:")), lambda p: F.substring(p["text"], len(parent) + 2, 1 << 20))
+    return links.where("kind = 'resource'").select(
+        "path", "role", F.col("label").alias("target"), "tag",
+        F.when(F.col("tag").isin("explicitDimension", "typedDimension"), F.get(under("dimension"), F.lit(0))).alias("dim"),
+        F.when(F.col("tag") == "explicitDimension", under("member")).alias("members"), F.when(F.col("tag") == "conceptName", under("concept")).alias("concepts"),
+    )
+
+
+def _arcs(links: DataFrame, role: str) -> DataFrame:
+    """(path, role, source, target, complement) of the arcs of a role."""
+    return links.where("kind = 'arc'").where(F.col("arcrole").rlike(role)).select("path", "role", "source", "target", (F.coalesce(F.try_element_at("attributes", F.lit("complement")), F.lit("false")) == "true").alias("complement"))
 
 
 def filters(links: DataFrame) -> DataFrame:
     """FLT3: (rule, var, tag, dim, members, concepts, complement): filters of variables, and of variable sets with var null. Boolean filters
-    reach their members by arcs of their own and have their tag only."""
+    have their tag only; `trees` follows them to their members."""
     owners = variables(links).select("path", "role", "rule", "var", F.col("label").alias("source"))
     owners = owners.unionByName(lean_rules(links).select("path", "role", "rule", F.lit(None).cast("string").alias("var"), F.col("label").alias("source")))
-    arcs = links.where("kind = 'arc' AND (arcrole LIKE '%variable-filter' OR arcrole LIKE '%variable-set-filter')").select("path", "role", "source", "target", (F.coalesce(F.try_element_at("attributes", F.lit("complement")), F.lit("false")) == "true").alias("complement"))
-    res = links.where("kind = 'resource'").select("path", "role", F.col("label").alias("target"), "tag", "parts")
-    under = lambda parent: F.transform(F.filter("parts", lambda p: p["text"].startswith(f"{parent}:")), lambda p: F.substring_index(p["text"], ":", -1))
-    j = owners.join(arcs, ["path", "role", "source"]).join(res, ["path", "role", "target"])
-    return j.select(
-        "rule", "var", "tag", F.when(F.col("tag").isin("explicitDimension", "typedDimension"), F.get(under("dimension"), F.lit(0))).alias("dim"), F.when(F.col("tag") == "explicitDimension", under("member")).alias("members"),
-        F.when(F.col("tag") == "conceptName", under("concept")).alias("concepts"), "complement",
-    )
+    return owners.join(_arcs(links, "variable(-set)?-filter$"), ["path", "role", "source"]).join(_resources(links), ["path", "role", "target"])
+
+
+@dataclass(frozen=True)
+class Variable:
+    """A rule's variable: its filters as a tree of ("and", [..]) ("or", [..]) ("not", x) ("concept", names) ("member", dim, names) ("has", dim), those of the
+    whole set included; the dimensions that filters of its own name; the fallback's text, and whether it binds a sequence."""
+
+    name: str
+    tree: tuple
+    own: frozenset[str]
+    fallback: str | None
+    sequence: bool
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    test: str
+    severity: str
+    variables: tuple[Variable, ...]
+
+
+def rules(links: DataFrame) -> list[Rule]:
+    """SRC18, FLT3: the rules of linkbases with their variables and filter trees. Rules are a catalogue: they are told on the driver once and
+    compiled to Columns there; a filter that is not known (a general one) is left out, which binds more, never less."""
+    found = {k: [r.asDict() for r in df.collect()] for k, df in {"rules": lean_rules(links), "vars": variables(links), "filters": filters(links), "boolean": _arcs(links, "boolean-filter$"), "res": _resources(links)}.items()}
+    resource, below = defaultdict(list), defaultdict(list)
+    for r in found["res"]:
+        resource[r["path"], r["role"], r["target"]].append(r)
+    for r in found["boolean"]:
+        below[r["path"], r["role"], r["source"]].append(r)
+
+    def tree(r: dict, complement: bool, seen: tuple = ()):
+        at = r["path"], r["role"], r["target"]
+        if r["tag"] in ("andFilter", "orFilter"):
+            parts = [t for a in below[at] if a["target"] not in seen for x in resource[*at[:2], a["target"]] if (t := tree(x, a["complement"], (*seen, at[2]))) is not None]
+            out = (r["tag"][:-6], parts) if parts else None
+        elif r["tag"] == "explicitDimension" and r["dim"]:
+            out = ("member", r["dim"], tuple(sorted(r["members"]))) if r["members"] else ("has", r["dim"])
+        elif r["tag"] == "typedDimension" and r["dim"]:
+            out = ("has", r["dim"])
+        elif r["tag"] == "conceptName" and r["concepts"]:
+            out = ("concept", tuple(sorted(r["concepts"])))
+        else:
+            out = None
+        return ("not", out) if complement and out is not None else out
+
+    by_rule = defaultdict(list)
+    for r in found["filters"]:
+        if (t := tree(r, r["complement"])) is not None:
+            by_rule[r["rule"], r["var"]].append(t)
+    of_rule = defaultdict(list)
+    for v in sorted(found["vars"], key=lambda v: v["var"]):
+        own, common = by_rule[v["rule"], v["var"]], by_rule[v["rule"], None]
+        of_rule[v["rule"]].append(Variable(v["var"], ("and", [*common, *own]), frozenset(d for t in own for d in dims_of(t)), v["fallback"], v["sequence"]))
+    return [Rule(r["rule"], r["test"], r["severity"], tuple(of_rule[r["rule"]])) for r in sorted(found["rules"], key=lambda r: r["rule"]) if r["test"]]
+
+
+def dims_of(tree) -> set[str]:
+    """Dimensions that a filter tree names."""
+    if tree[0] in ("and", "or"):
+        return {d for x in tree[1] for d in dims_of(x)}
+    return dims_of(tree[1]) if tree[0] == "not" else {tree[1]} if tree[0] in ("member", "has") else set()
+
+
+def concepts_of(tree) -> set[str] | None:
+    """Concepts to one of which a filter tree limits facts; None if it doesn't."""
+    if tree[0] == "concept":
+        return set(tree[1])
+    if tree[0] == "and":
+        known = [c for x in tree[1] if (c := concepts_of(x)) is not None]
+        return set.intersection(*known) if known else None
+    if tree[0] == "or":
+        every = [concepts_of(x) for x in tree[1]]
+        return None if None in every else set().union(*every)
+    return None
 
 
 def binding_filters(links: DataFrame) -> DataFrame:
     """The rows that binding.bind wants: (rule, var, concept, dim, allowed), a set's filters repeated for each of its variables. A typed
-    dimension asks for its presence: an empty array."""
-    f, v = filters(links), variables(links).select("rule", F.col("var").alias("v")).distinct()
+    dimension asks for its presence: an empty array. Complements and boolean filters have no such rows: `rules` and binding.bind_rules take them."""
+    f, v = filters(links).where("NOT complement"), variables(links).select("rule", F.col("var").alias("v")).distinct()
     f = f.join(v, "rule").where(F.col("var").isNull() | (F.col("var") == F.col("v"))).drop("var").withColumnRenamed("v", "var")
     concepts = f.where("concepts IS NOT NULL").select("rule", "var", F.explode("concepts").alias("concept"))
     dims = f.where("dim IS NOT NULL").select("rule", "var", "dim", F.coalesce("members", F.array().cast("array<string>")).alias("allowed"))

@@ -1,22 +1,29 @@
 """XML instances as a Python data source, and their writer (SRC1-SRC3, JN1, SNK1-SNK3, SNK5, CT7).
 
-`spark.dataSource.register(InstanceSource)` then `spark.read.format("instance").load(path)`. A file is a partition and is
-streamed: elements are dropped when read, so memory holds the contexts and not the tree.
+Files are read by Spark's own binary scan, so they may lie in any store that it reads, and written by its tasks.
 """
 
 from __future__ import annotations
 
-import os
+import io
+import sys
+from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.keys import dim_key
+from ..functions.keys import dim_key, template_of
+from ..operators.catalog import module_groups
 from ..session import bounded
 
+# functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = "file string, fact_id long, concept string, ctx_id string, dims map<string,string>, typed map<string,string>, period string, unit string, decimals int, value_raw string"
 _X, _D, _F = "{http://www.xbrl.org/2003/instance}", "{http://xbrl.org/2006/xbrldi}", "{http://www.eurofiling.info/xbrl/ext/filing-indicators}"
 
@@ -26,12 +33,12 @@ def _qname(text: str, spaces: dict[str, str]) -> str:
     return f"{{{spaces[prefix]}}}{local}" if prefix in spaces else (text or "").strip()
 
 
-def read_file(path: str):
-    """Facts of one instance. Contexts may come after facts, so facts wait for theirs as small tuples."""
+def read_file(content: bytes) -> Iterator[tuple]:
+    """Facts of one instance. It is streamed: elements are dropped when read. Contexts may come after facts, so facts wait for theirs as small tuples."""
     spaces: dict[str, str] = {}
     contexts: dict[str, tuple[dict, dict, str]] = {}
     facts, depth = [], 0
-    for event, x in ElementTree.iterparse(path, ("start", "end", "start-ns")):
+    for event, x in ElementTree.iterparse(io.BytesIO(content), ("start", "end", "start-ns")):
         if event == "start-ns":
             spaces[x[0]] = x[1]
             continue
@@ -53,39 +60,30 @@ def read_file(path: str):
         x.clear()
     for i, (concept, ref, unit, decimals, value) in enumerate(facts):
         dims, typed, period = contexts.get(ref, ({}, {}, None))  # JN1: a fact without its context has no dimensions
-        yield os.path.basename(path), i, concept, ref, dims, typed, period, unit, decimals, value
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        files = sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.endswith((".xml", ".xbrl"))) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(f) for f in files]
+        yield i, concept, ref, list(dims.items()), list(typed.items()), period, unit, decimals, value
 
-    def read(self, partition):
-        yield from read_file(partition.value)
 
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.string()]
 
-class InstanceSource(DataSource):
-    """format("instance"): a file or a folder of instances."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "instance"
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, more = read_file(content.as_py()), True
+            while more:
+                part = list(islice(rows, 50_000))
+                more = len(part) == 50_000
+                columns = zip(*part, strict=True) if part else ([] for _ in _KINDS)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), *[pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-def read_instances(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: facts with their key and number."""
-    spark.dataSource.register(InstanceSource)
-    f = spark.read.format("instance").load(path)
+def read_instances(spark: SparkSession, path: str, pattern: str = "*.{xml,xbrl}") -> DataFrame:
+    """SRC1: facts with their key and number, of a file or of all files below a folder, wherever Spark can read it. A file is one row of a binary
+    scan: files are spread over tasks, and a task holds one at a time. file is the path below the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    base = path.rstrip("/").rpartition("/")[2]
+    name = F.coalesce(F.nullif(F.substring_index("path", f"/{base}/", -1), F.col("path")), F.substring_index("path", "/", -1))
+    f = files.select(name.alias("path"), "content").mapInArrow(_read, SCHEMA)
     every = F.map_concat("dims", F.transform_values("typed", lambda _, v: F.concat(F.lit("typed:"), v)))
     return f.withColumn("dim_key", dim_key(every)).withColumn("value_num", F.col("value_raw").try_cast("double"))
 
@@ -97,18 +95,59 @@ def profile(facts: DataFrame) -> DataFrame:
     )
 
 
-def build(cells: DataFrame, metrics: DataFrame, defaults: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+_DECIMALS, _UNITS = {"MONETARY": -3, "DECIMAL": 2, "PERCENTAGE": 4, "INTEGER": 0}, {"MONETARY": "uGBP", "DECIMAL": "uPURE", "PERCENTAGE": "uPURE", "INTEGER": "uPURE"}
+
+
+def build(cells: DataFrame, metrics: DataFrame, defaults: dict[str, str], order: list[str] | None = None, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK2: (contexts, facts) of cells (concept, dims, value): empty values skipped, contexts by period type and dims without defaults,
-    the first of equal facts kept, unit and decimals by datatype."""
+    of facts with the same concept and context the first by `order` (columns of cells that place them) kept, unit and decimals by datatype. by: columns of an instance, which has contexts and facts of its own."""
+    by = by or []
     known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>") if defaults else F.create_map().cast("map<string,string>")
     c = cells.where("value IS NOT NULL AND value != ''").join(bounded(metrics.select("concept", "datatype", "period_type")), "concept", "left")
     kept = F.map_filter("dims", lambda d, m: ~m.eqNullSafe(F.try_element_at(known, d)))
-    c = c.withColumn("ctx_key", F.concat_ws("|", F.coalesce("period_type", F.lit("instant")), dim_key(kept)))
-    facts = c.groupBy("concept", "ctx_key").agg(F.min("value").alias("value"), F.first("datatype").alias("datatype"))
-    decimals = F.when(F.col("datatype") == "MONETARY", -3).when(F.col("datatype") == "PERCENTAGE", 4).when(F.col("datatype") == "DECIMAL", 2).when(F.col("datatype") == "INTEGER", 0)
-    unit = F.when(F.col("datatype") == "MONETARY", "uGBP").when(F.col("datatype").isin("DECIMAL", "PERCENTAGE", "INTEGER"), "uPURE")
-    contexts = c.select("ctx_key").distinct().withColumn("ctx_id", F.concat(F.lit("c"), F.substring(F.md5(F.col("ctx_key").cast("binary")), 1, 12)))
-    return contexts, facts.join(contexts, "ctx_key").select("concept", "ctx_id", unit.alias("unit"), decimals.alias("decimals"), "value")
+    c = c.withColumn("kept", kept).withColumn("period_type", F.coalesce("period_type", F.lit("instant"))).withColumn("ctx_key", F.concat_ws("|", "period_type", dim_key(F.col("kept"))))
+    c = c.withColumn("ctx_id", F.concat(F.lit("c"), F.substring(F.md5(F.col("ctx_key").cast("binary")), 1, 12)))
+    first = F.min(F.struct(*(order or []), "value", "datatype")).alias("f")
+    facts = c.groupBy(*by, "concept", "ctx_id").agg(first).select(*by, "concept", "ctx_id", "f.*")
+    said = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("datatype"))
+    contexts = c.groupBy(*by, "ctx_key", "ctx_id").agg(F.first("period_type").alias("period_type"), F.first(F.array_sort(F.map_entries("kept"))).alias("dims"))
+    return contexts, facts.select(*by, "concept", "ctx_id", said(_UNITS).alias("unit"), said(_DECIMALS).alias("decimals"), "value", *(order or []))
+
+
+def instance_lines(cells: DataFrame, metrics: DataFrame, module_tables: DataFrame, defaults: dict[str, str], typed: dict[str, str], entity: str, date: str, namespaces: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """SNK1-SNK4: (file, part, ord, line) of an instance for each module, and the cells that no module has. cells: (tbl, ord, concept, dims, value) with prefixed names;
+    a table goes to its first module; filing indicators name the templates of an instance's tables. typed: dimension to the element of its values."""
+    mine, unmapped = module_groups(cells, module_tables)
+    c = mine.withColumnRenamed("module", "file").where("value IS NOT NULL AND value != ''")
+    contexts, facts = build(c, metrics, defaults, ["ord"], ["file"])
+    kind = F.create_map(*[F.lit(x) for kv in typed.items() for x in kv]).cast("map<string,string>") if typed else F.create_map().cast("map<string,string>")
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    element = lambda e: F.try_element_at(kind, e["key"])
+    explicit = lambda e: say('<xbrldi:explicitMember dimension="', e["key"], '">', safe(e["value"]), "</xbrldi:explicitMember>")
+    of_type = lambda e: say('<xbrldi:typedMember dimension="', e["key"], '"><', element(e), ">", safe(e["value"]), "</", element(e), "></xbrldi:typedMember>")
+    members = F.array_join(F.transform("dims", lambda e: F.when(element(e).isNotNull(), of_type(e)).otherwise(explicit(e))), "")
+    scenario = F.when(F.size("dims") > 0, say("<xbrli:scenario>", members, "</xbrli:scenario>")).otherwise("")
+    period = F.when(F.col("period_type") == "duration", f"<xbrli:startDate>{date[:4]}-01-01</xbrli:startDate><xbrli:endDate>{date}</xbrli:endDate>").otherwise(f"<xbrli:instant>{date}</xbrli:instant>")
+    who = f'<xbrli:entity><xbrli:identifier scheme="http://standards.iso.org/iso/17442">{escape(entity)}</xbrli:identifier></xbrli:entity><xbrli:period>'
+    spaces = {"xbrli": _X[1:-1], "xbrldi": _D[1:-1], "find": _F[1:-1]} | namespaces
+    head = '\ufeff<?xml version="1.0" encoding="utf-8"?>\n<xbrli:xbrl' + "".join(f" xmlns:{p}={quoteattr(u)}" for p, u in spaces.items()) + ">"
+    units = '<xbrli:unit id="uPURE"><xbrli:measure>xbrli:pure</xbrli:measure></xbrli:unit><xbrli:unit id="uGBP"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:unit>'
+    plain = f'<xbrli:context id="cFI">{who}<xbrli:instant>{date}</xbrli:instant></xbrli:period></xbrli:context>'
+    files = c.select("file").distinct()
+    fixed = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit("").alias("ord"), F.lit(x).alias("line")) for p, x in ((0, head), (1, units), (1, plain), (3, "<find:fIndicators>"), (5, "</find:fIndicators>"), (7, "</xbrli:xbrl>"))]))
+    lines = files.select("file", fixed.alias("x")).select("file", "x.*")
+    lines = lines.unionByName(contexts.select("file", F.lit(2).alias("part"), F.col("ctx_key").alias("ord"), say('<xbrli:context id="', F.col("ctx_id"), f'">{who}', period, "</xbrli:period>", scenario, "</xbrli:context>").alias("line")))
+    templates = c.select("file", template_of(F.col("tbl")).alias("ord")).distinct()
+    lines = lines.unionByName(templates.select("file", F.lit(4).alias("part"), "ord", say('<find:filingIndicator contextRef="cFI">', safe(F.col("ord")), "</find:filingIndicator>").alias("line")))
+    more = F.coalesce(say(' unitRef="', F.col("unit"), '" decimals="', F.col("decimals").cast("string"), '"'), F.lit(""))
+    each = facts.select("file", F.lit(6).alias("part"), F.lpad(F.col("ord").cast("string"), 20, "0").alias("ord"), say("<", F.col("concept"), ' contextRef="', F.col("ctx_id"), '"', more, ">", safe(F.col("value")), "</", F.col("concept"), ">").alias("line"))
+    return lines.unionByName(each), unmapped
+
+
+def write_instances(lines: DataFrame, path: str) -> None:
+    """SNK1: one file for each instance, below path/file=<instance>/, written by the tasks; UTF-8 with byte order mark and declaration."""
+    lines.repartition("file").sortWithinPartitions("file", "part", "ord").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
 
 
 def write_instance(path: str, contexts: list[dict], facts: list[dict], entity: str, period: str, namespaces: dict[str, str]) -> None:

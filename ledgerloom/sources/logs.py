@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_message, severity_tag
@@ -15,11 +15,12 @@ def processor_hits(lines: DataFrame) -> DataFrame:
 
 
 def portal_hits(lines: DataFrame, by: str = "file") -> DataFrame:
-    """SRC27: a header line names the id, the next the details: (line_no, id, detail, severity, tables, zero). Ordered within each file."""
-    w = Window.partitionBy(by).orderBy("line_no")
-    seen = lines.withColumn("detail", F.lead("value").over(w))
+    """SRC27: a header line names the id, the line after it the details: (line_no, id, detail, severity, tables, zero). Lines are numbered without gaps
+    within each file; a header is joined to the next number, so that a file of any length is no single task's."""
     head = r"AssertionUnsatisfied\.(\S+)"
-    return seen.where(F.col("value").rlike(head)).select(
+    after = lines.select(by, (F.col("line_no") - 1).alias("line_no"), F.col("value").alias("detail"))
+    seen = lines.where(F.col("value").rlike(head)).join(after, [by, "line_no"], "left")
+    return seen.select(
         by, "line_no", F.regexp_extract("value", head, 1).alias("id"), "detail", severity_tag(F.col("detail")).alias("severity"),
         F.array_distinct(F.regexp_extract_all("detail", F.lit(r"\b([A-Z]{1,3}[0-9]{1,3}(?:\.[0-9]{2})+)\b"), F.lit(1))).alias("tables"), F.coalesce(F.col("detail").rlike(r"reported as 0\s*="), F.lit(False)).alias("zero"),
     )

@@ -6,28 +6,54 @@ Linkbases are read as arcs: one row for each locator, resource and arc of a file
 from __future__ import annotations
 
 import hashlib
+import io
 import os
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import table_refs
 
+# functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _L = "{http://www.w3.org/1999/xlink}"
 LINKS = "path string, role string, kind string, tag string, id string, label string, source string, target string, arcrole string, ord double, href string, text string, attributes map<string,string>, parts array<struct<tag:string,text:string>>"
 
+_LINK_KINDS = [*[pa.string()] * 9, pa.float64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string())]))]
 LINK_COLUMNS = ["path", "role", "kind", "tag", "id", "label", "source", "target", "arcrole", "ord", "href", "text", "attributes", "parts"]
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parsed(content: bytes) -> tuple[ElementTree.Element, dict[str, str]]:
+    """The root of a file and its namespaces by prefix."""
+    spaces, root = {}, None
+    for event, x in ElementTree.iterparse(io.BytesIO(content), ("start-ns", "start")):
+        if event == "start-ns":
+            spaces[x[0]] = x[1]
+        elif root is None:
+            root = x
+    return root, spaces
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            for link in ElementTree.fromstring(bytes(content)).iter():
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root, spaces = _parsed(content)
+
+            def full(y, spaces=spaces) -> str:
+                """An element's text; a name (an element `qname`) with its namespace in place of its prefix."""
+                text = (y.text or "").strip()
+                prefix, colon, local = text.rpartition(":")
+                return f"{{{spaces[prefix]}}}{local}" if y.tag.endswith("}qname") and prefix in spaces else text
+
+            for link in root.iter():
                 if link.get(f"{_L}type") != "extended":
                     continue
                 role = link.get(f"{_L}role")
@@ -36,15 +62,17 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     plain = {k.rpartition("}")[2]: v for k, v in x.attrib.items() if not k.startswith(_L)}
                     text = "".join(x.itertext()).strip()
                     order = plain.get("order")
-                    parts = [{"tag": y.tag.rpartition("}")[2], "text": f"{above[y].tag.rpartition('}')[2]}:{(y.text or '').strip()}"} for above in [{c: e for e in x.iter() for c in e}] for y in x.iter() if y is not x and len(y) == 0]
-                    rows.append((path, role, kind, x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None, x.get(f"{_L}href"), text, plain, parts))
-        yield pd.DataFrame(rows, columns=LINK_COLUMNS)
+                    above = {c: e for e in x.iter() for c in e}
+                    parts = [{"tag": y.tag.rpartition("}")[2], "text": f"{above[y].tag.rpartition('}')[2]}:{full(y)}"} for y in x.iter() if y is not x and len(y) == 0]
+                    rows.append((path, role, kind, x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None, x.get(f"{_L}href"), text, list(plain.items()), parts))
+        columns = zip(*rows, strict=True) if rows else ([] for _ in LINK_COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _LINK_KINDS, strict=True)], names=LINK_COLUMNS)
 
 
 def linkbases(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
     """SRC12, SRC13, SRC18, SRC19, SRC23: all locators, resources and arcs of the linkbase files below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(_links, LINKS)
+    return files.mapInArrow(_links, LINKS)
 
 
 def node_codes(links: DataFrame, role: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import binding, workflows
 from ledgerloom.sources import formula, package
 
-FORMULA = """<linkbase xmlns="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:gen="http://xbrl.org/2008/generic" xmlns:va="http://xbrl.org/2008/assertion/value" xmlns:v="http://xbrl.org/2008/variable" xmlns:cf="http://xbrl.org/2008/filter/concept" xmlns:df="http://xbrl.org/2008/filter/dimension">
+FORMULA = """<linkbase xmlns="http://www.xbrl.org/2003/linkbase" xmlns:m="http://m" xmlns:d="http://d" xmlns:x="http://x" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:gen="http://xbrl.org/2008/generic" xmlns:va="http://xbrl.org/2008/assertion/value" xmlns:v="http://xbrl.org/2008/variable" xmlns:cf="http://xbrl.org/2008/filter/concept" xmlns:df="http://xbrl.org/2008/filter/dimension">
 <gen:link xlink:type="extended" xlink:role="http://r/1">
 <va:valueAssertion xlink:type="resource" xlink:label="rule" id="v1" test="$t = sum($s)"/>
 <v:factVariable xlink:type="resource" xlink:label="vt"/><v:factVariable xlink:type="resource" xlink:label="vs" bindAsSequence="true" fallbackValue="0"/>
@@ -24,12 +24,47 @@ def test_formula_rules_bind(spark, tmp_path):
     assert [(r.rule, r.test, r.severity) for r in formula.lean_rules(links).collect()] == [("v1", "$t = sum($s)", "error")]
     assert sorted((r.var, r.fallback, r.sequence) for r in formula.variables(links).collect()) == [("s", "0", True), ("t", None, False)]
     rows = formula.binding_filters(links)
-    assert sorted((r["var"], r.concept, r.dim, r.allowed) for r in rows.collect()) == [("s", "a", "REG", ["A", "B"]), ("t", "a", "REG", ["W"])]
-    facts = spark.createDataFrame([("a", {"REG": "W", "SEG": "1"}, 5.0), ("a", {"REG": "A", "SEG": "1"}, 2.0), ("a", {"REG": "B", "SEG": "1"}, 3.0), ("a", {"REG": "A", "SEG": "2"}, 9.0)], "concept string, dims map<string,string>, value double")
+    assert sorted((r["var"], r.concept, r.dim, r.allowed) for r in rows.collect()) == [("s", "{http://m}a", "{http://d}REG", ["{http://x}A", "{http://x}B"]), ("t", "{http://m}a", "{http://d}REG", ["{http://x}W"])]
+    fact = lambda reg, seg, v: ("{http://m}a", {"{http://d}REG": f"{{http://x}}{reg}", "SEG": seg}, v)
+    facts = spark.createDataFrame([fact("W", "1", 5.0), fact("A", "1", 2.0), fact("B", "1", 3.0), fact("A", "2", 9.0)], "concept string, dims map<string,string>, value double")
     b = {r.group_key: (r.sums, r["values"]) for r in binding.bind(facts, rows, {}).collect()}
     assert b == {"SEG=1": ({"t": 5.0, "s": 5.0}, {"t": [5.0], "s": [2.0, 3.0]}), "SEG=2": ({"s": 9.0}, {"s": [9.0]})}
 
 
+BOOLEAN = """<linkbase xmlns="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:gen="http://xbrl.org/2008/generic" xmlns:va="http://xbrl.org/2008/assertion/value" xmlns:v="http://xbrl.org/2008/variable" xmlns:cf="http://xbrl.org/2008/filter/concept" xmlns:df="http://xbrl.org/2008/filter/dimension" xmlns:bf="http://xbrl.org/2008/filter/boolean" xmlns:m="http://m" xmlns:d="http://d" xmlns:x="http://x">
+<gen:link xlink:type="extended" xlink:role="http://r/2">
+<va:valueAssertion xlink:type="resource" xlink:label="rule" id="v2" test="$p >= $q - count($q) + 1"/>
+<v:factVariable xlink:type="resource" xlink:label="vp"/><v:factVariable xlink:type="resource" xlink:label="vq" bindAsSequence="true"/>
+<v:variableArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2008/variable-set" xlink:from="rule" xlink:to="vp" name="p"/><v:variableArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2008/variable-set" xlink:from="rule" xlink:to="vq" name="q"/>
+<cf:conceptName xlink:type="resource" xlink:label="c1"><cf:concept><cf:qname>m:a</cf:qname></cf:concept></cf:conceptName>
+<df:explicitDimension xlink:type="resource" xlink:label="w"><df:dimension><df:qname>d:REG</df:qname></df:dimension><df:member><df:qname>x:W</df:qname></df:member></df:explicitDimension>
+<df:explicitDimension xlink:type="resource" xlink:label="b"><df:dimension><df:qname>d:REG</df:qname></df:dimension><df:member><df:qname>x:B</df:qname></df:member></df:explicitDimension>
+<bf:orFilter xlink:type="resource" xlink:label="either"/>
+<bf:booleanFilterArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2010/boolean-filter" xlink:from="either" xlink:to="w"/><bf:booleanFilterArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2010/boolean-filter" xlink:from="either" xlink:to="b"/>
+<v:variableFilterArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2008/variable-set-filter" xlink:from="rule" xlink:to="c1"/>
+<v:variableFilterArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2008/variable-filter" xlink:from="vp" xlink:to="w"/><v:variableFilterArc xlink:type="arc" xlink:arcrole="http://xbrl.org/arcrole/2008/variable-filter" complement="true" xlink:from="vq" xlink:to="either"/>
+</gen:link></linkbase>"""
+
+
+def test_formula_rules_to_verdicts(spark, tmp_path):
+    """From linkbases and an instance to verdicts: sequences, fallbacks, complements, boolean filters, full names."""
+    from ledgerloom.sources import instance_xml
+
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "f.xml").write_text(FORMULA)
+    (tmp_path / "rules" / "g.xml").write_text(BOOLEAN)
+    rules = formula.rules(package.linkbases(spark, str(tmp_path / "rules")))
+    assert [r.id for r in rules] == ["v1", "v2"] and [v.sequence for v in rules[0].variables] == [True, False]
+    rows = [("W", "1", "5"), ("A", "1", "2"), ("B", "1", "3"), ("A", "2", "9"), ("W", "3", "0"), ("W", "4", "7"), ("C", "4", "8"), ("C", "1", "4")]
+    contexts = [{"id": f"c{i}", "dims": {"d:REG": f"x:{r}", "d:SEG": f"x:s{s}"}} for i, (r, s, _) in enumerate(rows)]
+    facts = [{"concept": "m:a", "ctx_id": f"c{i}", "value": v} for i, (_, _, v) in enumerate(rows)]
+    instance_xml.write_instance(str(tmp_path / "i.xbrl"), contexts, facts, "X", "2024-12-31", {"m": "http://m", "d": "http://d", "x": "http://x"})
+    read = instance_xml.read_instances(spark, str(tmp_path / "i.xbrl")).withColumnRenamed("value_raw", "value")
+    got = {(r.rule, r.group_key.partition("{http://x}s")[2][:1]): r.ok for r in binding.rule_verdicts(binding.bind_rules(read, rules, {}), rules).collect()}
+    # v1: $t = sum($s) over A and B, 0 where there are none; no $t, no verdict. v2: $p >= all but W and B, less their number, plus 1
+    assert got == {("v1", "1"): True, ("v1", "2"): None, ("v1", "3"): True, ("v1", "4"): False, ("v2", "1"): True, ("v2", "2"): None, ("v2", "3"): False, ("v2", "4"): False}
+
+
 def test_boolean_filters(spark):
     tree = ("or", [("and", ["a", ("not", "b")]), "c"])
     row = spark.createDataFrame([(True, True, False), (True, False, False), (False, True, True)], "a boolean, b boolean, c boolean")
