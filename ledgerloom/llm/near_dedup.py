@@ -10,10 +10,10 @@ square root of what independent tables would. Two documents of Jaccard similarit
    by a hash of class and key (a row for each member, never pairs within the bucket); ties whose minhashes agree in
    too few places are dropped. Tied classes form clusters.
 3. A cluster is dealt into blocks of at most about BLOCK classes and MOST_HASHES hashes. First each block is compared in itself and with the cluster's first block:
-   each set moves once or twice, however large the cluster. A group yields a spanning forest of its links. Where that leaves a cluster in
-   several components, the classes outside of the largest one (the rest) are compared with all of the cluster, in pairs of a
-   block of the rest and a block of all. So a group of n near copies of one text costs n, and only a cluster of r classes that do not join its main
-   component costs r / BLOCK times n. Components of the forests are the result.
+   each set moves once or twice, however large the cluster. A group yields a star for each of its connected parts. Classes that are not connected to the first
+   block's largest part (the rest) are then compared with all of the cluster, in pairs of a
+   block of the rest and a block of all. So a group of n near copies of one text costs n, and only a cluster with a rest of r classes costs
+   r / BLOCK times n more. Components of the stars are the result.
 
 Free style (Arrow batches). Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; so does
 a row with a null id, whose component is null; ids of any size come out as they are; rows that share an id but not their set are judged
@@ -88,15 +88,14 @@ def linked(a: int, b: int, both: np.ndarray | int, percent: int):
     return 100 * both >= percent * (a + b - both)
 
 
-def _forest(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked, of all pairs of a group."""
-    n = len(reps)
-    if n < 2:
-        return []
-    if n == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return [(reps[0], reps[1])] if linked(len(sets[0]), len(sets[1]), both, percent) else []
+def _link_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of all pairs of a group are linked."""
+    n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
+    if n == 2:
+        link = np.zeros((2, 2), bool)
+        link[0, 1] = link[1, 0] = linked(sizes[0], sizes[1], len(np.intersect1d(*sets, assume_unique=True)), percent)
+        return link
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -113,75 +112,103 @@ def _forest(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
             x = np.zeros((n, width), np.float32)
             x[owner[lo:hi], column[lo:hi] - k * width] = 1
             both += x @ x.T  # whole numbers below 2^24: exact
-    link = linked(sizes[:, None], sizes[None, :], both.astype(np.int64), percent)
-    out, left = [], np.ones(n, bool)
-    for i in range(n):
-        if not left[i]:
-            continue
-        left[i], todo = False, [i]
-        while todo:
-            x = todo.pop()
-            near = np.flatnonzero(link[x] & left)
-            left[near] = False
-            todo += near.tolist()
-            out += [(reps[x], reps[y]) for y in near.tolist()]
+    return linked(sizes[:, None], sizes[None, :], both.astype(np.int64), percent)
+
+
+def _parts(link: np.ndarray, among: np.ndarray) -> list[list[int]]:
+    """The connected parts of places `among` (a mask), each with its smallest place first."""
+    out, left = [], among.copy()
+    for i in np.flatnonzero(among):
+        if left[i]:
+            left[i], part, todo = False, [int(i)], [int(i)]
+            while todo:
+                near = np.flatnonzero(link[todo.pop()] & left)
+                left[near] = False
+                todo += near.tolist()
+                part += near.tolist()
+            out.append(part)
+    return out
+
+
+def _stars(nodes: list[int], sets: list[np.ndarray], pivot: list[bool] | None, percent: int) -> list[tuple[int, int, bool]]:
+    """(center, node, rest) of a group, its nodes being sorted: a star for each connected part, so that links of all pairs come as a row for each node.
+
+    In a block of a large cluster, pivot says which nodes are of the cluster's first block. The largest part that these form by themselves is the
+    same in each block's group; what is connected to it is done, all else is rest and has a row even if it stands alone."""
+    if pivot is None:
+        parts = _parts(_link_matrix(sets, percent), np.ones(len(nodes), bool)) if len(nodes) > 1 else []
+        return [(nodes[part[0]], nodes[i], False) for part in parts for i in part[1:]]
+    link = _link_matrix(sets, percent) if len(nodes) > 1 else np.zeros((1, 1), bool)
+    main = max(_parts(link, np.array(pivot, bool)), key=len, default=[None])
+    out = []
+    for part in _parts(link, np.ones(len(nodes), bool)):
+        done = main[0] in part
+        center = main[0] if done else part[0]
+        out += [(nodes[center], nodes[i], not done) for i in part if not done or i != center]
     return out
 
 
-def _link_groups(percent: int):
+def _link_groups(percent: int, blocks: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group and node; a group is complete when the next begins. It has two blocks at most."""
-        key, nodes, sets = None, [], []
-        found: list[tuple[int, int]] = []
+
+        def told(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["a", "b", "rest", "large"]).astype({"a": "int64", "b": "int64", "rest": "bool", "large": "bool"})
+
+        def group() -> list[tuple[int, int, bool, bool]]:
+            large = blocks and many > 1
+            return [(*row, large) for row in _stars(nodes, sets, pivot if large else None, percent)] if nodes else []
+
+        key, nodes, sets, pivot, many = None, [], [], [], 1
+        found: list[tuple[int, int, bool, bool]] = []
         for batch in batches:
-            for group, node, hashes in zip(zip(batch["cluster"], batch["g"], batch["h"], strict=True), batch["node"], batch["hashes"], strict=True):
-                if group != key:
-                    found += _forest(nodes, sets, percent)
-                    key, nodes, sets = group, [], []
+            for at, node, own, n_blocks, hashes in zip(zip(batch["cluster"], batch["g"], batch["h"], strict=True), batch["node"], batch["own"], batch["blocks"], batch["hashes"], strict=True):
+                if at != key:
+                    found += group()
+                    key, nodes, sets, pivot, many = at, [], [], [], n_blocks
                 if node not in nodes[-1:]:  # a class that is in both blocks of the group
                     nodes.append(node)
                     sets.append(np.asarray(hashes, np.int64))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    pivot.append(own == 0)
+            yield told(found)
             found = []
-        yield pd.DataFrame(_forest(nodes, sets, percent), columns=["a", "b"], dtype="int64")
+        yield told(group())
 
     return run
 
 
-def _links(groups: DataFrame, rows: int, percent: int) -> DataFrame:
-    """(a, b): links of each group (cluster, g, h) of (node, hashes) rows."""
+def _links(groups: DataFrame, rows: int, percent: int, blocks: bool) -> DataFrame:
+    """(a, b, rest, large): the stars of each group (cluster, g, h) of (node, own, blocks, hashes) rows."""
     dealt = groups.repartition(tasks_for(groups.sparkSession, rows, 20_000), "cluster", "g", "h").sortWithinPartitions("cluster", "g", "h", "node")
-    return dealt.select("cluster", "g", "h", "node", "hashes").mapInPandas(_link_groups(percent), "a long, b long")
+    return dealt.select("cluster", "g", "h", "node", "own", "blocks", "hashes").mapInPandas(_link_groups(percent, blocks), "a long, b long, rest boolean, large boolean")
 
 
 def _linked_nodes(sets: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of all links within clusters. sets: (node, cluster, blocks, own, hashes)."""
     # the first block goes to all others of its cluster, so that one round brings most of a large group of copies together
     first = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    found = scratch(_links(sets.withColumn("g", F.explode(first)).withColumn("h", F.lit(-1)), 2 * n, percent))
-    roots = scratch(components(found))
-    large = sets.where("blocks > 1").select("node", "cluster")
+    found = scratch(_links(sets.withColumn("g", F.explode(first)).withColumn("h", F.lit(-1)), 2 * n, percent, True))
+    star = lambda e: e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    small, large = star(found.where("NOT large")), found.where("large")
     if large.limit(1).count() == 0:
-        return roots
-    state = scratch(large.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.component").alias("main"))
-    rest = scratch(state.join(main.hint("merge"), "cluster").where("component != main").select("cluster", "node"))
+        return small
+    rest = scratch(large.groupBy(F.col("b").alias("node")).agg(F.bool_and("rest").alias("rest")).where("rest").select("node"))
     n_rest = rest.count()
     if not n_rest:
-        return roots
-    # blocks of the rest by place in their cluster's block of all, so that both sides know them
-    weight = rest.groupBy("cluster").agg(F.count("*").alias("r"))
-    shared = sets.where("blocks > 1").join(weight.hint("merge"), "cluster").withColumn("parts", F.least(F.ceil(F.col("r") / BLOCK).cast("int"), F.col("blocks")))
-    marked = shared.join(rest.select("node", F.lit(True).alias("is_rest")).hint("merge"), "node", "left")
-    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int")
-    as_rest = marked.where("is_rest").withColumn("g", part).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    as_all = marked.withColumn("h", F.col("own")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = as_rest.select("cluster", "g", "h", "node", "hashes").unionByName(as_all.select("cluster", "g", "h", "node", "hashes"))
-    more = _links(both, n + n_rest, percent)
-    out = scratch(components(found.unionByName(more)))
-    forget(state, rest, roots)
-    return out
+        one = scratch(large.where("NOT rest").select("a", "b").distinct())  # a cluster each: its smallest node is its component
+        least = one.groupBy("a").agg(F.min("b").alias("least"))
+        named = one.join(least.hint("merge"), "a").withColumn("component", F.least("a", "least"))
+        return small.unionByName(named.select(F.col("b").alias("node"), "component")).unionByName(named.select(F.col("a").alias("node"), "component").distinct())
+    # the rest in blocks of its own, against all blocks of its cluster
+    blocks = sets.where("blocks > 1")
+    alone = scratch(blocks.join(rest.hint("merge"), "node", "left_semi"))
+    weight = alone.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = alone.join(weight.hint("merge"), "cluster").withColumn("g", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int"))
+    as_rest = parts.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    as_all = blocks.join(weight.hint("merge"), "cluster").withColumn("h", F.col("own")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["cluster", "g", "h", "node", "own", "blocks", "hashes"]
+    more = _links(as_rest.select(*columns).unionByName(as_all.select(*columns)), n + n_rest, percent, False)
+    return small.unionByName(components(large.select("a", "b").unionByName(more.select("a", "b"))))
 
 
 def _clusters(reps: DataFrame) -> DataFrame:
@@ -210,26 +237,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     sketched = scratch(in_batches(rows, _sketches, "text", "n_shingles long, digest string, mins array<bigint>", ["doc_id", *also]))
     some = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "mins")).alias("r"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    classes = scratch(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.mins").alias("mins"), "copies", "n_shingles").withColumn("node", F.monotonically_increasing_id()))
+    classes = scratch(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.mins").alias("mins"), "copies", "n_shingles"))
+    # a class goes by its smallest id, so a component's smallest node is its id; numbers instead if an id stands for several texts
+    apart = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
+    classes = classes.withColumn("node", F.col("rep")) if apart else scratch(classes.withColumn("node", F.monotonically_increasing_id()))
     clusters = scratch(_clusters(classes).withColumnRenamed("component", "cluster"))
     members = scratch(classes.select("node", "digest", "rep", "n_shingles").join(clusters, "node"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / MOST_HASHES)).cast("int")
-    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
     n = members.count()
-    placed = scratch(lookup(members, scratch(sizes), "cluster", "n", n, "inner").select("node", "digest", "rep", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")))
+    placed = members.join(sizes.hint("merge"), "cluster").select("node", "digest", "rep", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    placed = scratch(placed)
     # the text of one row of each class: that with the class's id, and among rows of that id that with its digest
-    ids = placed.select(F.col("rep").alias("doc_id"), F.lit(True).alias("wanted")).distinct()
+    ids = placed.select(F.col("rep").alias("doc_id"), F.lit(True).alias("wanted"))
     texts = rows.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "doc_id", "left_semi")
     found = in_batches(texts, _sets, "text", "digest string, hashes array<bigint>", ["doc_id"]).withColumnRenamed("doc_id", "rep")
     one = placed.hint("merge") if n > MOST_BROADCAST else F.broadcast(placed)
     sets = scratch(found.join(one, ["rep", "digest"]).select("node", "cluster", "blocks", "own", "hashes"))
     roots = _linked_nodes(sets, n, percent)
-    # a component's id is its smallest document
-    known = classes.select("node", "digest", "rep", "copies").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
-    known = scratch(known)
-    verdicts = scratch(lookup(known, scratch(least), "component", "n", known.count()).select("digest", "copies", "component_id"))
-    forget(classes, clusters, members, placed, sets, known)
+    known = classes.select("node", "digest", "rep", "copies").join(roots.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not apart:
+        known = scratch(known)
+        least = known.groupBy("component").agg(F.min("rep").alias("least"))
+        known = known.join(least.hint("merge"), "component").withColumn("component", F.col("least"))
+    verdicts = scratch(known.select("digest", "copies", F.col("component").alias("component_id")))
+    forget(members, placed, sets)
     out = lookup(sketched.select("doc_id", *also, "n_shingles", "digest"), verdicts, "digest", "copies", sketched.count())
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     out = out.select("doc_id", *also, "n_shingles", component.alias("component_id"))
