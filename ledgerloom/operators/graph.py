@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import forget, lookup, settled
+from ..session import forget, settled
 
 
 def levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -35,28 +35,23 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return levels(edges).where("level IS NULL").select("node")
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """(u, m, n): each node's smallest neighbour and the number of its pairs."""
-    return settled(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """DV14, DV15: (node, component): the smallest node that edges connect it to, for each node of an edge between two nodes.
 
     Alternating star contraction: each round hangs every node's larger neighbours on its smallest, then its smaller ones, so path lengths
-    halve and the rounds are logarithmic; it ends when a round changes nothing. A node's smallest neighbour is a partial aggregate; it goes
-    back to the node's pairs by broadcast for the few hubs that hold a thousandth of all pairs, by an even shuffle for the others. Self-loops and nulls are left out."""
+    halve and the rounds are logarithmic; it ends when a round changes nothing. A node's smallest neighbour is a partial aggregate. It goes back to the
+    node's pairs by a sort-merge join, whose row side is a plain exchange that adaptive execution splits where a hub makes it uneven. Self-loops and nulls are left out."""
     e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     size, seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first(), None
     while size[0] and size != seen:
         seen = size
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both)
-        large = settled(lookup(both, least, "u", "n", 2 * size[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        root = _least(large)
-        small = lookup(large, root, "u", "n", large.count()).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = settled(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(root.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, e = e, settled(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
-        forget(before, least, large, root)
+        forget(before, large)
         size = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -115,22 +115,26 @@ def guard(condition, leaf: Callable[[object], Column], tolerance: float = 0.5, l
 
 
 def rule_terms(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    """RC5, RC17, JN16: (code, kind, rhs, side, coef, tbl, r, c, z) of linear rules, a row for each single cell of each scope instance.
+    """RC5, RC17, JN16: (code, kind, rhs, inst, coef, tbl, r, c, z) of linear rules, a row for each single cell of each scope instance.
 
     rules have code and expression, perhaps scope. What a term leaves open (row, column, layer, table) it takes from the scope's
-    instance. The explode over scope rows, columns and layers is Spark's; what the driver holds is a row for each term of a rule."""
+    instance."""
     rows = []
     for rule in rules:
         _, core = L.unwrap(L.parse_b(rule["expression"]))
-        found = L.constraint(core)
-        if found is None:
-            continue
-        scope = L.parse_scope(rule.get("scope") or "") or L.Cell()
-        for (_, cell), coef in found[1].items():
-            for r, c, z in cell.places():
-                rows.append((rule["code"], found[0], found[2], coef, cell.t or scope.t, r, c, z, list(scope.r), list(scope.c), list(scope.z)))
-    schema = "code string, kind string, rhs double, coef double, tbl string, r string, c string, z string, sr array<string>, sc array<string>, sz array<string>"
-    terms = spark.createDataFrame(rows, schema)
+        if found := L.constraint(core):
+            rows += [(rule["code"], found[0], found[2], coef, cell, rule.get("scope") or "") for (_, cell), coef in found[1].items()]
+    return cell_terms(spark, rows)
+
+
+def cell_terms(spark: SparkSession, rows: list[tuple[str, str, float, float, L.Cell, str]]) -> DataFrame:
+    """The same from (code, kind, rhs, coef, cell, scope): the explode over scope rows, columns and layers is Spark's; what the driver holds is
+    a row for each single cell of a rule's text."""
+    flat = []
+    for code, kind, rhs, coef, cell, text in rows:
+        scope = L.parse_scope(text) or L.Cell()
+        flat += [(code, kind, rhs, coef, cell.t or scope.t, r, c, z, list(scope.r), list(scope.c), list(scope.z)) for r, c, z in cell.places()]
+    terms = spark.createDataFrame(flat, "code string, kind string, rhs double, coef double, tbl string, r string, c string, z string, sr array<string>, sc array<string>, sz array<string>")
     for axis in "rcz":
         terms = terms.select("*", F.explode_outer(f"s{axis}").alias(f"i{axis}"))
     inst = F.concat_ws("/", F.coalesce("ir", F.lit("-")), F.coalesce("ic", F.lit("-")), F.coalesce("iz", F.lit("-")))
