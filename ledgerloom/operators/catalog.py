@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import template_of
+from .layout import page
 
 
 def search(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -48,6 +49,16 @@ def module_groups(selection: DataFrame, module_tables: DataFrame) -> tuple[DataF
     return selection.join(first, "tbl"), selection.join(first, "tbl", "left_anti")
 
 
+def of_module(rows: DataFrame, module_tables: DataFrame, module: str) -> DataFrame:
+    """JN14: rows (tbl) of a module's tables."""
+    return rows.join(module_tables.where(F.col("module") == module).select("tbl").distinct(), "tbl", "left_semi")
+
+
+def browse(rules: DataFrame, module: str, text: str, columns: list[str], order: list, number: int = 1, size: int = 50) -> DataFrame:
+    """CT6, SL2: a page of the rules (modules array, columns) of a module in which a text stands, with the total."""
+    return page(search(rules.where(F.array_contains("modules", module)), text, columns), order, number, size)
+
+
 def used_codes(scope: DataFrame, points: DataFrame) -> DataFrame:
     """AG10, AG11: distinct (kind, code) that the tables in scope use: metrics, dimensions and members."""
     p = points.join(scope.select("tbl").distinct(), "tbl", "left_semi")

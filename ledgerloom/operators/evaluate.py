@@ -57,8 +57,8 @@ def rule_rollup(verdicts: DataFrame, examples: int = 3) -> DataFrame:
     failed = ~F.col("ok")
     counts = verdicts.groupBy("code").agg(F.count("*").alias("instances"), F.count(F.when(failed, 1)).alias("failing"), F.count(F.when(failed & F.col("any_absent"), 1)).alias("with_absent"))
     place = F.row_number().over(Window.partitionBy("code").orderBy("inst"))
-    few = verdicts.where(failed).select("code", F.col("inst").cast("string").alias("inst")).withColumn("place", place).where(F.col("place") <= examples)
-    first = few.groupBy("code").agg(F.sort_array(F.collect_list("inst")).alias("examples"))
+    few = verdicts.where(failed).select("code", "inst").withColumn("place", place).where(F.col("place") <= examples)
+    first = few.groupBy("code").agg(F.sort_array(F.collect_list(F.col("inst").cast("string"))).alias("examples"))
     return counts.join(first, "code", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 

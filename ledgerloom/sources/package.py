@@ -72,7 +72,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linkbases(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
     """SRC12, SRC13, SRC18, SRC19, SRC23: all locators, resources and arcs of the linkbase files below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_links, LINKS)
+    return links_of(files)
+
+
+def links_of(files: DataFrame) -> DataFrame:
+    """The same of files (path, content)."""
+    return files.select("path", "content").mapInArrow(_links, LINKS)
 
 
 def node_codes(links: DataFrame, role: str) -> DataFrame:
@@ -91,25 +96,42 @@ def hypercube_arcs(links: DataFrame) -> DataFrame:
     return a.where(F.col("arc").isin("all", "hypercube-dimension", "dimension-domain", "domain-member")).select("role", F.col("arc").alias("kind"), "from_id", "to_id", "target_role")
 
 
-def list_tables(spark: SparkSession, path: str, suffix: str = "-rend.xml") -> DataFrame:
-    """SRC11: (code, framework, path) of the layout files, sorted."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path).select("path")
+def _scan(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, content) of the files below path whose names fit."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def table_codes(files: DataFrame, suffix: str = "-rend.xml") -> DataFrame:
+    """SRC11: (code, framework, path) of layout files (path)."""
     code = F.upper(F.regexp_extract("path", rf"([^/]+){suffix}$".replace(".", r"\."), 1))
-    return files.select(code.alias("code"), F.regexp_extract("path", r"/fws/([^/]+)/", 1).alias("framework"), "path").orderBy("code", "path")
+    return files.select(code.alias("code"), F.regexp_extract("path", r"/fws/([^/]+)/", 1).alias("framework"), "path").where("code != ''")
 
 
-def module_index(spark: SparkSession, path: str, pattern: str = "*.xsd") -> DataFrame:
-    """SRC14: (module, tbl): tables that a module's schema imports."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).withColumn("path", F.input_file_name())
-    imports = F.regexp_extract_all("value", F.lit(r'schemaLocation="[^"]*/tab/([^/"]+)/'), F.lit(1))
+def list_tables(spark: SparkSession, path: str, suffix: str = "-rend.xml") -> DataFrame:
+    """SRC11: the same of all layout files below path, sorted. Only their names are read."""
+    return table_codes(_scan(spark, path, f"*{suffix}").select("path"), suffix).orderBy("code", "path")
+
+
+def module_imports(files: DataFrame) -> DataFrame:
+    """SRC14: (module, tbl): tables that module schemas (path, content) import."""
+    imports = F.regexp_extract_all(F.col("content").cast("string"), F.lit(r'schemaLocation="[^"]*/tab/([^/"]+)/'), F.lit(1))
     return files.select(F.regexp_extract("path", r"([^/]+)\.xsd$", 1).alias("module"), F.explode(F.array_distinct(imports)).alias("t")).select("module", F.upper("t").alias("tbl"))
 
 
+def module_index(spark: SparkSession, path: str, pattern: str = "*.xsd") -> DataFrame:
+    """SRC14: the same of all schemas below path."""
+    return module_imports(_scan(spark, path, pattern))
+
+
+def entry_frameworks(files: DataFrame) -> DataFrame:
+    """SRC24: (framework, n) from the hrefs of package manifests (path, content)."""
+    hrefs = F.explode(F.regexp_extract_all(F.col("content").cast("string"), F.lit(r'href="([^"]+)"'), F.lit(1)))
+    return files.select(hrefs.alias("href")).groupBy(F.regexp_extract("href", r"/fws/([^/]+)/", 1).alias("framework")).agg(F.count("*").alias("n"))
+
+
 def entry_points(spark: SparkSession, path: str) -> DataFrame:
-    """SRC24: (framework, n) from the hrefs of package manifests."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*taxonomyPackage.xml").text(path)
-    hrefs = F.explode(F.regexp_extract_all("value", F.lit(r'href="([^"]+)"'), F.lit(1)))
-    return text.select(hrefs.alias("href")).groupBy(F.regexp_extract("href", r"/fws/([^/]+)/", 1).alias("framework")).agg(F.count("*").alias("n"))
+    """SRC24: the same of all manifests below path."""
+    return entry_frameworks(_scan(spark, path, "*taxonomyPackage.xml"))
 
 
 def datatype_of(item_type: Column) -> Column:
@@ -177,8 +199,25 @@ def kind_of_workbook(sheets: list[str]) -> str:
     return "annotated_templates" if any(s[:1].isalpha() and any(c.isdigit() for c in s) and "." in s for s in names) else "unknown"
 
 
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                for name in z.namelist():
+                    if not name.endswith("/"):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["path", "content"])
+
+
+def ingest(spark: SparkSession, package: str, cache: str) -> tuple[str, DataFrame]:
+    """CT1, SNK8: a package's digest, and its files (path, content) as a table in the cache, named by that digest: unpacked only if new. Package and
+    cache may lie in any store; a worker unpacks a file at a time. Every source here takes such a table."""
+    zipped = spark.read.format("binaryFile").load(package).select("content")
+    digest = zipped.select(F.sha2("content", 256)).first()[0]
+    return digest, cached(spark, f"{cache.rstrip('/')}/{digest}", lambda: zipped.mapInArrow(_unzipped, "path string, content binary"))
+
+
 def extract(package: str, cache: str) -> str:
-    """CT1, SNK8: the package's folder in the cache, named by its digest; extracted only if new, and nothing outside of it."""
+    """The same into a local folder, for tools that want one: named by the package's digest, extracted only if new, and nothing outside of it."""
     digest = hashlib.sha256()
     with open(package, "rb") as f:
         while block := f.read(1 << 20):
