@@ -4,14 +4,14 @@ Patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and internat
 field's nodes are a document's mentions: numbers in any grouping, words with an `@`, and words that are the name part of an address
 of the document (`ann.lee` in one word, or `Ann Lee` in two). Labels are private or not. Mentions that stand side by side are tied by
 chain edges. Mentions that are the same or similar are tied by skip edges, each to the next in the document with the same key: equal text, equal
-name part, equal last seven digits, or digits that differ by one digit (changed, missing or too many). So distant mentions share potentials and a document's
+name part, equal last seven digits, or digits that differ by one digit (changed, missing or too many; of their last nine, changed). So distant mentions share potentials and a document's
 label for an entity is consistent. Mentions of base spans are observed. Loopy belief propagation gives the other mentions' marginals; those of at least
 MARGINAL that a skip edge ties to something become spans of kind `linked`. Every document with mentions that are tied is judged, with base spans or without.
 
 Weights are learnt by pseudo-likelihood: a mention's label given its features and its neighbours' labels. Each mention of the sample is
 seen twice: as it is, and with its surface masked, so that its label has to come from its neighbours; without that, features
 alone would give the label and the skip weight would be learnt from nothing. Mentions that are tied to a base span but are none are latent: they are left out of a first
-fit and enter the second with that fit's marginals as soft labels. The fit sees at most MOST_DOCS documents and MOST_NODES mentions, those with the
+fit and enter the second with the label that the field gives them by the first. The fit sees at most MOST_DOCS documents and MOST_NODES mentions, those with the
 smallest hashes; everything else covers all whole texts.
 
 Free style (Arrow batches). Edge cases: null text counts as empty and has no spans; null ids, and ids of any size, come out as they are; repeated rows have
@@ -39,10 +39,12 @@ MARGINAL = 0.9
 OBSERVED = 8.0
 ROUNDS = 15
 MOST_DOCS, MOST_NODES = 4_000, 40_000
-#: Weights on chain and skip edges at most: belief propagation has to stay calm on loops.
+#: Weights on chain and skip edges at most: belief propagation has to stay calm on loops. A skip edge has this weight where documents don't say otherwise.
 MOST_TIED = 4.0
 #: Digits of numbers that are compared digit by digit: from eight, as shorter ones are too often alike.
 SHORTEST, LONGEST = 8, 24
+#: Digits of a number's end that are compared whatever stands before them.
+NATIONAL = 9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -168,6 +170,9 @@ def keys_of(text: str, sort: str) -> set[str]:
     if SHORTEST <= len(digits) <= LONGEST:
         # two numbers that differ by one digit share what is left when it is taken out
         keys |= {f"-{digits[:i]}{digits[i + 1 :]}" for i in range(len(digits))} | {f"-{digits}"}
+    if NATIONAL <= len(digits) <= LONGEST:
+        # and so do their ends, with a country's code or without
+        keys |= {f"~{digits[-NATIONAL:][:i]}?{digits[-NATIONAL:][i + 1 :]}" for i in range(NATIONAL)}
     return keys
 
 
@@ -258,13 +263,13 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) ->
 
 def training_rows(text: str, w: np.ndarray | None) -> list[tuple[float, np.ndarray]]:
     """(label, features and neighbour sums) of a document's mentions, each as it is and masked. Without weights latent mentions are left out;
-    with weights their marginals are their labels."""
+    with weights the likelier label is theirs."""
     f = Field(text, base_spans(text))
     if not f.spans:
         return []
     p = np.where(f.observed, 1.0, 0.0)
     if w is not None and f.latent.any():
-        p = np.where(f.latent, f.marginals(w), p)
+        p = np.where(f.latent, (f.marginals(w) >= 0.5).astype(float), p)
     chain, skip = f.sums(2 * p - 1)
     rows = []
     for j in np.flatnonzero(~f.latent if w is None else np.ones(len(p), bool)):
@@ -292,10 +297,12 @@ def _maker(w: np.ndarray | None):
 
 
 def fit(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Weights of least log pseudo-likelihood with decay, by Adam; edge weights between 0 and MOST_TIED."""
-    w, m, v = np.zeros(N_FEATURES + 2), 0.0, 0.0
+    """Weights of least log pseudo-likelihood, by Adam, drawn to 0 but for the skip weight, which is drawn to MOST_TIED: similar mentions are of one
+    kind unless documents say otherwise. Edge weights stay between 0 and MOST_TIED."""
+    prior = np.r_[np.zeros(N_FEATURES + 1), MOST_TIED]
+    w, m, v = prior.copy(), 0.0, 0.0
     for t in range(1, 501):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y) + 1e-3 * w
+        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y) + 1e-3 * (w - prior)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w[-2:] = np.clip(w[-2:], 0, MOST_TIED)
