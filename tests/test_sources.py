@@ -100,14 +100,15 @@ def test_families_take_the_first_pattern(spark):
 
 def test_stream_revalidates_what_it_touches(spark, tmp_path):
     terms = spark.createDataFrame([("r1", "i", "lhs", 1.0, "a"), ("r1", "i", "rhs", 1.0, "b"), ("r2", "i", "lhs", 1.0, "c")], "code string, inst string, side string, coef double, key string")
-    schema = "key string, value double, decimals int"
-    for i, rows in enumerate(([("a", 5.0, 0)], [("b", 5.0, 0)])):
+    schema = "key string, value double, decimals int, at long"
+    for rows in ([("a", 9.0, 0, 1), ("a", 5.0, 0, 2)], [("b", 5.0, 0, 3)], [("b", 7.0, None, 4), ("z", 1.0, 0, 5)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        q = revalidate(stream, terms, f"{tmp_path}/store", f"{tmp_path}/verdicts", f"{tmp_path}/cp").trigger(availableNow=True).start()
-        q.awaitTermination()
-    v = {r.batch: (r.code, r.ok) for r in spark.read.parquet(f"{tmp_path}/verdicts").collect()}
-    assert v == {0: ("r1", False), 1: ("r1", True)}
+        verdicts = revalidate(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), terms).writeStream.outputMode("update")
+        # a restarted query goes on from its state
+        keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{tmp_path}/verdicts")
+        verdicts.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    v = {r.batch: (r.code, r.lhs, r.rhs, r.tol, r.any_absent, r.ok) for r in spark.read.parquet(f"{tmp_path}/verdicts").collect()}
+    assert v == {0: ("r1", 5.0, 0.0, 0.5, True, False), 1: ("r1", 5.0, 5.0, 1.0, False, True), 2: ("r1", 5.0, 7.0, 1.0, False, False)}
 
 
 def test_windowed_counts(spark):
