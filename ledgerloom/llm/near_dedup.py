@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     clusters = scratch(_clusters(classes).withColumnRenamed("component", "cluster"))
     members = scratch(classes.select("node", "digest", "rep", "n_shingles").join(clusters, "node"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / MOST_HASHES)).cast("int")
-    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"))
+    sizes = members.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     n = members.count()
-    placed = members.join(sizes.hint("merge"), "cluster").select("node", "digest", "rep", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    placed = lookup(members, scratch(sizes), "cluster", "n", n, "inner").select("node", "digest", "rep", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     placed = scratch(placed)
     # the text of one row of each class: that with the class's id, and among rows of that id that with its digest
     ids = placed.select(F.col("rep").alias("doc_id"), F.lit(True).alias("wanted"))
