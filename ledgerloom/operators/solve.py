@@ -11,6 +11,7 @@ holds if its right side fits; fixed cells never move; an empty table gives an em
 
 from __future__ import annotations
 
+import copy
 import heapq
 import sys
 from collections import defaultdict
@@ -166,17 +167,38 @@ class System:
 
     def least_change(self, whole: bool = False) -> tuple[np.ndarray, bool]:
         """DV10-DV13: values of at least 0 for which equalities and `<=` rows hold, with the least sum of changes; where they can't all hold,
-        with the least sum of misses. With whole, values are whole numbers: an optimum is a corner of what is feasible, and corners of sums of
-        whole numbers are whole; what is rounded is checked again."""
+        with the least sum of misses. With whole, values are whole numbers: what comes out whole stays, of the others the nearer half is rounded, and the rest
+        is solved again around that, until all are whole; the result is checked."""
+        x, now = self._changed(), self
+        while whole and not now.fixed.all():
+            off = np.where(now.fixed, 0.0, np.abs(x - np.rint(x)))
+            apart = off > 1e-6
+            if not apart.any():
+                break
+            settle = ~now.fixed & ~apart
+            if not settle.any() or apart.sum() > 1:
+                order = np.flatnonzero(apart)[np.argsort(off[apart], kind="stable")]
+                settle[order[: max(1, len(order) // 2)]] = True
+            if len(np.flatnonzero(~now.fixed)) == 1:
+                break  # the last one is what the rows make it
+            now = copy.copy(now)
+            now.start = np.where(settle, np.maximum(np.rint(x), 0.0), now.start)
+            now.fixed = now.fixed | settle
+            x = now._changed()
+        if whole:
+            x = np.where(self.fixed, x, np.maximum(np.rint(x), 0.0))
+        return x, self.holds(x)
+
+    def _changed(self) -> np.ndarray:
         move = ~self.fixed
         equal, at_most = self.sparse("="), self.sparse("<=")
-        m, n = len(equal[3]), int(move.sum())
-        x = self.start.copy()
-        if n:
+        m, x = len(equal[3]), self.start.copy()
+        if move.any():
             r, c, v = np.r_[equal[0], at_most[0] + m], np.r_[equal[1], at_most[1]], np.r_[equal[2], at_most[2]]
-            x[move] = least_change(r, c, v, np.r_[equal[3], at_most[3]], np.arange(m + len(at_most[3])) >= m, self.start[move])
-            x[move] = np.maximum(np.where(np.abs(x[move] - np.rint(x[move])) < (0.5 + 1e-9 if whole else 1e-6), np.rint(x[move]), x[move]), 0.0)
-        return x, self.holds(x)
+            rows, r = np.unique(r, return_inverse=True)  # rows of fixed cells only have nothing to decide
+            y = least_change(r, c, v, np.r_[equal[3], at_most[3]][rows], rows >= m, self.start[move])
+            x[move] = np.maximum(np.where(np.abs(y - np.rint(y)) < 1e-6, np.rint(y), y), 0.0)
+        return x
 
 
 def least_change(r: np.ndarray, c: np.ndarray, v: np.ndarray, b: np.ndarray, at_most: np.ndarray, start: np.ndarray, rounds: int = 100) -> np.ndarray:
