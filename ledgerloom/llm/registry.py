@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, license_scan, mixing, near_dedup, pii, piece_codec, quality, secrets, url_filter
+from . import exact_dedup, filter_audit, fingerprints, license_scan, mixing, near_dedup, pii, piece_codec, prefix_trie, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
