@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, filter_audit, fingerprints, license_scan, mixing, near_dedup, pii, piece_codec, prefix_trie, quality, secrets, url_filter
+from . import exact_dedup, filter_audit, fingerprints, license_scan, mixing, near_dedup, neighbours, pii, piece_codec, prefix_trie, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_nearest_neighbours": neighbours.op13_nearest_neighbours,
 }
 
 ORACLE_SQL = {
