@@ -6,15 +6,13 @@ for a variable that only names a concept; an empty allowed array asks for the di
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import values as V
 from ..functions.keys import dim_key
-from ..plans.compiler import dispatched, to_column
-from ..plans.language import must_be_absent, parse_a, variables
-from ..session import bounded
-from ..sources.formula import Rule, concepts_of
+from ..plans import shapes
+from ..session import bounded, settled
+from ..sources.formula import Rule
 
 
 def merged_filters(filters: DataFrame) -> DataFrame:
@@ -57,83 +55,47 @@ def bind(facts: DataFrame, filters: DataFrame, defaults: dict[str, str], with_va
     return _grouped(c.withColumn("group_key", dim_key(free)), with_values)
 
 
-def _fits(tree, known: Column) -> Column:
-    """FLT1, FLT3: a filter tree over a fact's concept and dims; a dimension that is left out has its default member."""
-    if tree[0] in ("and", "or"):
-        out = F.lit(tree[0] == "and")
-        for x in tree[1]:
-            out = out & _fits(x, known) if tree[0] == "and" else out | _fits(x, known)
-        return out
-    if tree[0] == "not":
-        return ~_fits(tree[1], known)
-    if tree[0] == "concept":
-        return F.col("concept").isin(*tree[1])
-    if tree[0] == "has":
-        return F.try_element_at("dims", F.lit(tree[1])).isNotNull()
-    return F.coalesce(F.coalesce(F.try_element_at("dims", F.lit(tree[1])), F.try_element_at(known, F.lit(tree[1]))).isin(*tree[2]), F.lit(False))
+def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    """Rules, as objects or as rows (shapes.RULES), made ready for binding once: parsed by tasks and settled."""
+    return settled(shapes.prepared(shapes.rule_rows(spark, rules) if isinstance(rules, list) else rules))
 
 
-def bind_rules(facts: DataFrame, rules: list[Rule], defaults: dict[str, str]) -> DataFrame:
-    """JN3, FLT3: (rule_no, group_key, values: map variable -> sorted texts) of formula rules. facts: (concept, dims, value text, perhaps period).
+def bind_rules(facts: DataFrame, rules: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """JN3, FLT2, FLT3: (rule, group_key, summaries: map slot -> summary, unsure) of a rule_table. facts: (concept, dims, value text, perhaps typed and period).
 
-    Facts meet variables by concept (a variable that no concept limits sees all facts), then by their filter trees, found by number. Groups
-    are the dimensions that no variable's own filters name, and the period; dimensions that the whole set filters stay grouping ones."""
-    known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>") if defaults else F.create_map().cast("map<string,string>")
-    spark = facts.sparkSession
-    every = [(r, rule, var) for r, rule in enumerate(rules) for var in rule.variables]
-    pinned = [sorted({d for v in rule.variables for d in v.own}) for rule in rules]
-    limits = lambda var: [None] if (found := concepts_of(var.tree)) is None else sorted(found)
-    rows = [(n, r, var.name, c, pinned[r]) for n, (r, _, var) in enumerate(every) for c in limits(var)]
-    wanted = spark.createDataFrame(rows, "no int, rule_no int, var string, concept string, pinned array<string>")
-    f = facts if "period" in facts.columns else facts.withColumn("period", F.lit(None).cast("string"))
-    hit = f.join(bounded(wanted.where("concept IS NOT NULL")), "concept")
-    anywhere = [r for r in rows if r[3] is None]
-    if anywhere:
-        each = F.array(*[F.struct(F.lit(n).alias("no"), F.lit(r).alias("rule_no"), F.lit(v).alias("var"), F.lit(p).cast("array<string>").alias("pinned")) for n, r, v, _, p in anywhere])
-        hit = hit.unionByName(f.withColumn("_w", F.explode(each)).select(*f.columns, "_w.*"))
-    hit = hit.where(dispatched([_fits(var.tree, known) for _, _, var in every], F.col("no")))
-    free = F.map_filter("dims", lambda d, _: ~F.array_contains("pinned", d))
-    key = F.concat_ws("|", dim_key(free), "period")
-    each = hit.select("rule_no", "var", key.alias("group_key"), "value").groupBy("rule_no", "group_key", "var").agg(F.sort_array(F.collect_list("value")).alias("vs"))
-    return each.groupBy("rule_no", "group_key").agg(F.map_from_entries(F.collect_list(F.struct("var", "vs"))).alias("values"))
-
-
-def _numbers(texts: Column) -> Column:
-    return F.transform(texts, lambda t: V.num(t))
-
-
-def rule_verdicts(bound: DataFrame, rules: list[Rule], tolerance: float = 0.0) -> DataFrame:
-    """EV4: (rule, group_key, ok) of bound rules: the test over the values, by number and in one pass, whatever the number of rules.
+    Facts meet variables by concept (a variable that no concept limits sees all facts), then by the conditions in the variable's row: the plan is
+    the same for any number of rules. Groups are the explicit and typed dimensions that no variable's own filters name, and the period; dimensions that the whole set filters stay
+    grouping ones. Where a filter is not known, facts that hang on it are not bound, and their group is unsure."""
+    none = F.create_map().cast("map<string,string>")
+    known = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]).cast("map<string,string>") if defaults else none
+    f = facts.select("concept", "dims", "value", *[(F.col(c) if c in facts.columns else empty).alias(c) for c, empty in (("typed", none), ("period", F.lit(None).cast("string")))])
+    wanted = rules.where("shape IS NOT NULL").select("rule", "pinned", F.explode("variables").alias("v")).select("rule", "pinned", "v.*")
+    hit = f.join(bounded(wanted.where("concepts IS NOT NULL").withColumn("concept", F.explode("concepts")).drop("concepts")), "concept")
+    anywhere = wanted.where("concepts IS NULL").drop("concepts")
+    if anywhere.limit(1).count():
+        hit = hit.unionByName(f.withColumn("_all", F.lit(1)).join(bounded(anywhere.withColumn("_all", F.lit(1))), "_all").drop("_all"))
+    hit = hit.withColumn("_sure", shapes.fits(F.col("concept"), F.col("dims"), F.coalesce("typed", none), known)).where("_sure IS NULL OR _sure")
+    free = lambda m: F.map_filter(m, lambda d, _: ~F.array_contains("pinned", d))
+    typed = F.transform_values(F.coalesce("typed", none), lambda _, v: F.concat(F.lit("typed:"), v))
+    key = F.concat_ws("|", dim_key(F.map_concat(free("dims"), free(typed))), "period")
+    hit = hit.select("rule", "slot", key.alias("group_key"), F.when(F.col("_sure"), F.col("value")).alias("value"), "_sure")
+    each = hit.groupBy("rule", "group_key", "slot").agg(*shapes.summary(F.col("value")), F.max(F.col("_sure").isNull()).alias("unsure"), F.count("_sure").alias("bound"))
+    summaries = F.map_from_entries(F.collect_list(F.when(F.col("bound") > 0, F.struct("slot", F.struct("n", "total", "high", "low", "first").cast(shapes.SUMMARY)))))
+    return each.groupBy("rule", "group_key").agg(summaries.alias("summaries"), F.max("unsure").alias("unsure"))
+
+
+def rule_verdicts(bound: DataFrame, rules: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """EV4: (rule, group_key, ok, judged) of bound rules: one test for each shape of the rule_table, whatever the number of rules.
 
     A variable without a fact takes its fallback; a sequence without any is empty. A rule whose test needs a variable that has neither
-    is not asserted (ok is null), unless all the test asks is whether it is absent; so is a rule whose condition does not hold and that has no else."""
-
-    def test(rule: Rule) -> Column:
-        tree = parse_a(rule.test)
-        about = {v.name: v for v in rule.variables}
-        values = lambda v: F.try_element_at("values", F.lit(v))
-        back = {v: [x.strip() for x in (about[v].fallback or "").strip("() ").split(",") if x.strip()] if about[v].fallback is not None else None for v in about}
-        texts = lambda v: F.coalesce(values(v), F.array(*[F.lit(x) for x in back[v]]).cast("array<string>")) if back[v] is not None else values(v)
-        sequences = frozenset(v for v in about if about[v].sequence)
-
-        def leaf(x) -> Column:
-            v = x[1]
-            if v not in about:
-                return F.lit(None).cast("double")
-            if v in sequences:
-                return _numbers(F.coalesce(texts(v), F.array().cast("array<string>")))
-            return F.when(texts(v).isNotNull() & (F.size(texts(v)) > 0), V.num_list(_numbers(texts(v))))
-
-        word = lambda x: F.get(texts(x[1]), F.lit(0)) if x[1] in about else F.lit(None).cast("string")
-        absent = {x[1] for x in must_be_absent(tree) if x[0] == "var"}
-        needed = [v for v in variables(tree) if v in about and v not in sequences and v not in absent]
-        there = F.lit(True)
-        for v in needed:
-            there = there & texts(v).isNotNull()
-        return F.when(there, to_column(tree, leaf, tolerance, "a", word, sequences).cast("boolean"))
-
-    names = F.array(*[F.lit(r.id) for r in rules])
-    return bound.select(F.element_at(names, F.col("rule_no") + 1).alias("rule"), "group_key", dispatched([test(r) for r in rules], F.col("rule_no")).alias("ok"))
+    is not asserted (ok is null), unless all the test asks is whether it is absent; so is a rule whose condition does not hold and that has no else. Where filters that are not
+    known leave open what is bound, nothing is judged."""
+    about = shapes.seen(rules)
+    found = [r[0] for r in about.select("shape").distinct().orderBy("shape").collect()]
+    groups = bound.join(bounded(about), "rule")
+    if len(found) > shapes.SHAPES_A_PASS:
+        groups = settled(groups)  # each pass reads it
+    return shapes.tested(groups, found, tolerance).select("rule", "group_key", F.when(~F.col("unsure"), F.col("ok")).alias("ok"), (~F.col("unsure")).alias("judged"))
 
 
 def open_pairs(terms: DataFrame, facts: DataFrame) -> DataFrame:

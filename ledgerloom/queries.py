@@ -914,12 +914,46 @@ _LINKBASE = """<link:linkbase xmlns:link="http://www.xbrl.org/2003/linkbase" xml
 def q_formula_verdicts(spark, d):
     """EV4, FLT3, SRC18, SRC19, FLT8: a linkbase's rule bound to the star facts and tested: a boolean filter with complement, a sequence, a fallback."""
     links = spark.createDataFrame([("f.xml", bytearray(_LINKBASE.encode()))], "path string, content binary").mapInArrow(package._links, package.LINKS)
-    rules = formula.rules(links)
+    rules = binding.rule_table(spark, formula.rules(links))
     facts = star.facts(spark, d).withColumn("value", F.col("value").cast("decimal(28,2)").cast("string"))
     v = binding.rule_verdicts(binding.bind_rules(facts, rules, {}), rules)
     return v.groupBy("rule", F.when(F.col("ok").isNull(), "not asserted").when(F.col("ok"), "held").otherwise("failed").alias("state")).agg(F.count("*").alias("n"))
 
 
+def part_rules(spark, d):
+    """A formula rule for each part, of four shapes, as rows: their names, constants and members come from the table."""
+    k, n = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    own = lambda *trees: F.concat(F.lit('["and", [["concept", ["P'), n, F.lit('"]]'), *[F.lit(f", {t}") for t in trees], F.lit("]]"))
+    member = lambda m: f'["member", "RFL", ["{m}"]]'
+    none = F.lit(None).cast("string")
+    variable = lambda name, tree, fallback=none, sequence=False: F.struct(F.concat(F.lit(name), n).alias("name"), fallback.alias("fallback"), F.lit(sequence).alias("sequence"), tree.alias("tree"), F.array(F.lit("RFL")).alias("own"))
+    a, r = variable("a", own(member("A"))), variable("r", own(member("R")))
+    said = lambda text, by=None: F.regexp_replace(F.replace(F.lit(text), F.lit("#"), n), "@", (F.col("p_size") * by).cast("string") if by else F.lit(""))
+    rules = star.table(spark, d, "part").select(
+        F.concat(F.lit("v"), n).alias("rule"),
+        F.when(k == 0, said("$a# + $r# <= @", 4)).when(k == 1, said("if sum($s#) > @ then count($s#) >= 2 else true()", 2)).when(k == 2, said("max($s#) - min($s#) <= @", 3)).otherwise(said("empty($r#)")).alias("test"), F.lit("error").alias("severity"),
+        F.when(k == 0, F.array(a, variable("r", own(member("R")), F.lit("0")))).when(k == 1, F.array(variable("s", own(f'["not", {member("N")}]'), sequence=True))).when(k == 2, F.array(variable("s", own('["has", "RFL"]'), sequence=True))).otherwise(F.array(a, r)).alias("variables"),
+    )
+    return binding.rule_table(spark, rules)
+
+
+def part_facts(spark, d):
+    """(concept, dims, value): the quantity of each part by return flag and line status."""
+    per = star.table(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag", "l_linestatus").agg(money("l_quantity").alias("q"))
+    return per.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("concept"), F.create_map(F.lit("RFL"), F.col("l_returnflag"), F.lit("LST"), F.col("l_linestatus")).alias("dims"), F.col("q").cast("string").alias("value"))
+
+
+@query("""WITH f AS (SELECT l_partkey AS p, l_returnflag AS rfl, l_linestatus AS lst, sum(l_quantity::DECIMAL(18,2)) AS q FROM lineitem GROUP BY ALL),
+g AS (SELECT p, lst, p % 4 AS k, p_size, sum(q) FILTER (rfl = 'A') AS a, sum(q) FILTER (rfl = 'R') AS r, sum(q) FILTER (rfl <> 'N') AS s, count(*) FILTER (rfl <> 'N') AS n, max(q) - min(q) AS spread FROM f JOIN part ON p = p_partkey GROUP BY ALL),
+v AS (SELECT p, CASE k WHEN 0 THEN a + coalesce(r, 0) <= p_size * 4 WHEN 1 THEN s <= p_size * 2 OR n >= 2 WHEN 2 THEN spread <= p_size * 3 ELSE r IS NULL END AS ok FROM g WHERE CASE k WHEN 0 THEN a IS NOT NULL OR r IS NOT NULL WHEN 1 THEN n > 0 WHEN 2 THEN true ELSE a IS NOT NULL OR r IS NOT NULL END)
+SELECT 'v' || p AS rule, count(*) FILTER (ok) AS held, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS open FROM v GROUP BY 1""")
+def q_rules_by_shape(spark, d):
+    """EV4, JN3, FLT1-FLT3, RC15: as many formula rules as there are parts, bound and judged by the shapes of their tests."""
+    rules = part_rules(spark, d)
+    v = binding.rule_verdicts(binding.bind_rules(part_facts(spark, d), rules, {}), rules)
+    return v.groupBy("rule").agg(F.count_if("ok").alias("held"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("open"))
+
+
 @query("""WITH t AS (SELECT p_partkey, 'A' || lpad((p_partkey % 7)::VARCHAR, 2, '0') || '.' || lpad((p_size % 10)::VARCHAR, 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN '.01' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN '.02' ELSE '' END AS tbl FROM part),
  i(template) AS (VALUES ('A01.00'), ('A02'), ('A03.01.01'), ('A0')) SELECT p_partkey, tbl, CASE WHEN len(str_split(tbl, '.')) > 3 THEN array_to_string(str_split(tbl, '.')[:-2], '.') ELSE tbl END AS code, array_to_string(str_split(tbl, '.')[:2], '.') AS family FROM t WHERE EXISTS (SELECT 1 FROM i WHERE tbl = template OR starts_with(tbl, template || '.'))""")
 def q_template_scope(spark, d):

@@ -58,7 +58,7 @@ def filters(links: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Variable:
-    """A rule's variable: its filters as a tree of ("and", [..]) ("or", [..]) ("not", x) ("concept", names) ("member", dim, names) ("has", dim), those of the
+    """A rule's variable: its filters as a tree of ("and", [..]) ("or", [..]) ("not", x) ("concept", names) ("member", dim, names) ("has", dim) ("unknown",), those of the
     whole set included; the dimensions that filters of its own name; the fallback's text, and whether it binds a sequence."""
 
     name: str
@@ -77,9 +77,11 @@ class Rule:
 
 
 def rules(links: DataFrame) -> list[Rule]:
-    """SRC18, FLT3: the rules of linkbases with their variables and filter trees. Rules are a catalogue: they are told on the driver once and
-    compiled to Columns there; a filter that is not known (a general one) is left out, which binds more, never less."""
-    found = {k: [r.asDict() for r in df.collect()] for k, df in {"rules": lean_rules(links), "vars": variables(links), "filters": filters(links), "boolean": _arcs(links, "boolean-filter$"), "res": _resources(links)}.items()}
+    """SRC18, FLT3: the rules of linkbases with their variables and filter trees. Rules are a catalogue: what comes to the driver are assertions and
+    their filters, none of the other resources of a package. A filter that is not known (a general one) is ("unknown",): whether it holds stays open."""
+    boolean = _arcs(links, "boolean-filter$")
+    under = _resources(links).join(boolean.select("path", "role", "target").distinct(), ["path", "role", "target"], "left_semi")
+    found = {k: [r.asDict() for r in df.collect()] for k, df in {"rules": lean_rules(links), "vars": variables(links), "filters": filters(links), "boolean": boolean, "res": under}.items()}
     resource, below = defaultdict(list), defaultdict(list)
     for r in found["res"]:
         resource[r["path"], r["role"], r["target"]].append(r)
@@ -88,23 +90,21 @@ def rules(links: DataFrame) -> list[Rule]:
 
     def tree(r: dict, complement: bool, seen: tuple = ()):
         at = r["path"], r["role"], r["target"]
+        out = ("unknown",)
         if r["tag"] in ("andFilter", "orFilter"):
-            parts = [t for a in below[at] if a["target"] not in seen for x in resource[*at[:2], a["target"]] if (t := tree(x, a["complement"], (*seen, at[2]))) is not None]
-            out = (r["tag"][:-6], parts) if parts else None
+            parts = [tree(x, a["complement"], (*seen, at[2])) for a in below[at] if a["target"] not in seen for x in resource[*at[:2], a["target"]]]
+            out = (r["tag"][:-6], parts) if parts else out
         elif r["tag"] == "explicitDimension" and r["dim"]:
             out = ("member", r["dim"], tuple(sorted(r["members"]))) if r["members"] else ("has", r["dim"])
         elif r["tag"] == "typedDimension" and r["dim"]:
             out = ("has", r["dim"])
         elif r["tag"] == "conceptName" and r["concepts"]:
             out = ("concept", tuple(sorted(r["concepts"])))
-        else:
-            out = None
-        return ("not", out) if complement and out is not None else out
+        return ("not", out) if complement else out
 
     by_rule = defaultdict(list)
     for r in found["filters"]:
-        if (t := tree(r, r["complement"])) is not None:
-            by_rule[r["rule"], r["var"]].append(t)
+        by_rule[r["rule"], r["var"]].append(tree(r, r["complement"]))
     of_rule = defaultdict(list)
     for v in sorted(found["vars"], key=lambda v: v["var"]):
         own, common = by_rule[v["rule"], v["var"]], by_rule[v["rule"], None]

@@ -60,7 +60,8 @@ def test_formula_rules_to_verdicts(spark, tmp_path):
     facts = [{"concept": "m:a", "ctx_id": f"c{i}", "value": v} for i, (_, _, v) in enumerate(rows)]
     instance_xml.write_instance(str(tmp_path / "i.xbrl"), contexts, facts, "X", "2024-12-31", {"m": "http://m", "d": "http://d", "x": "http://x"})
     read = instance_xml.read_instances(spark, str(tmp_path / "i.xbrl")).withColumnRenamed("value_raw", "value")
-    got = {(r.rule, r.group_key.partition("{http://x}s")[2][:1]): r.ok for r in binding.rule_verdicts(binding.bind_rules(read, rules, {}), rules).collect()}
+    table = binding.rule_table(spark, rules)
+    got = {(r.rule, r.group_key.partition("{http://x}s")[2][:1]): r.ok for r in binding.rule_verdicts(binding.bind_rules(read, table, {}), table).collect()}
     # v1: $t = sum($s) over A and B, 0 where there are none; no $t, no verdict. v2: $p >= all but W and B, less their number, plus 1
     assert got == {("v1", "1"): True, ("v1", "2"): None, ("v1", "3"): True, ("v1", "4"): False, ("v2", "1"): True, ("v2", "2"): None, ("v2", "3"): False, ("v2", "4"): False}
 
