@@ -5,7 +5,7 @@ by matrices learned on a bounded sample to lie near the corners of a cube (itera
 
 A code is split into substrings. Codes within a Hamming radius R of a query agree with it, in at least one substring, up to that substring's share of R (pigeonhole), so the index holds
 each row under each of its substrings, in shards by the substring's first bits, and a query goes to the shards whose bits are near enough. There, all codes within R are found, each under the first substring that
-qualifies; the real vectors of those are compared in double precision, and a shard gives each query its nearest. R is what holds the true neighbours of TRIALS queries, which are searched exactly
+qualifies; the real vectors of those are compared in double precision, and a shard gives each query its nearest, without those below what the sample already has (which can't be among the nearest of all). R is what holds the true neighbours of TRIALS queries, which are searched exactly
 in one pass, with a probability of HELD. Queries that find fewer than they are to have are searched again with a larger R, up to all bits, so that each gets as many as there are.
 
 The number of substrings is the cheapest for R and the numbers of rows and queries: more substrings probe fewer codes, and hold each row more often. Shards are cut into blocks of
@@ -32,8 +32,8 @@ from ._base import forget, scratch, ship, smallest
 ship(__name__)
 
 BITS = 256
-#: Rows of the sample on which rotations are learned, and rounds of learning.
-SAMPLE, ROUNDS = 4_096, 20
+#: Rows of the sample, bytes of it at most (as 32-bit numbers), and rounds of learning rotations on it.
+SAMPLE, SAMPLE_BYTES, ROUNDS = 8_192, 16 << 20, 20
 #: Queries that are searched exactly to choose the radius, and the share of their neighbours that it has to hold.
 TRIALS, HELD = 64, 0.975
 #: Substrings that a code may be split into.
@@ -99,18 +99,36 @@ def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return out.where(F.size(v) == (sizes.d if sizes else 0))
 
 
-def coded(rows: DataFrame, model: Rotations, queries: bool) -> DataFrame:
+def coded(rows: DataFrame, model: Rotations) -> DataFrame:
     """id, vector, code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = model.codes(_matrix(b.column(1)), queries)
+                codes = model.codes(_matrix(b.column(1)), False)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "code"])
 
     return rows.select("id", "vector").mapInArrow(run, f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary")
 
 
+def asked(rows: DataFrame, model: Rotations, sample: tuple[np.ndarray, np.ndarray], nearest: int) -> DataFrame:
+    """id, vector, code of queries, and `least`: the product that so many other rows of the sample (ids, vectors) reach, a little less for rounding. No worse row is among the nearest."""
+    ids, first = np.unique(sample[0], return_index=True)
+    x = sample[1][first]
+    longest = np.sqrt((x**2).sum(1).max())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = _matrix(b.column(1))
+                score = np.where(b.column(0).to_numpy()[:, None] == ids[None, :], -np.inf, q @ x.T)
+                least = np.partition(score, -nearest, axis=1)[:, -nearest] if len(ids) >= nearest else np.full(len(q), -np.inf)
+                least = least - 1e-9 * longest * np.sqrt((q**2).sum(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in model.codes(q, True)], pa.binary()), pa.array(least)], names=["id", "vector", "code", "least"])
+
+    return rows.select("id", "vector").mapInArrow(run, f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary, least double")
+
+
 def _products(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
     """Inner products of pairs, added up in the order of components. q, x: components x rows."""
     total = np.zeros(len(qi))
@@ -129,10 +147,10 @@ def _nearest(qi: np.ndarray, ids: np.ndarray, score: np.ndarray, most: int) -> n
 
 def radius(index: DataFrame, trials: DataFrame, nearest: int, held: float = HELD) -> int:
     """Hamming distance that holds this share of the true neighbours of the trials (a bounded number of coded queries)."""
-    asked = trials.toArrow()
-    if not asked.num_rows:
+    some = trials.toArrow()
+    if not some.num_rows:
         return 0
-    ids, q, codes = asked["id"].to_numpy(), _matrix(asked["vector"]), _bytes(asked["code"])
+    ids, q, codes = some["id"].to_numpy(), _matrix(some["vector"]), _bytes(some["code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_by = [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, int)]
@@ -144,8 +162,8 @@ def radius(index: DataFrame, trials: DataFrame, nearest: int, held: float = HELD
             take = np.argpartition(-score, min(nearest, len(own)) - 1, axis=1)[:, :nearest]
             qi = np.repeat(np.arange(len(ids)), take.shape[1])
             xi = take.ravel()
-            some = score[qi, xi] > -np.inf
-            qi, xi = qi[some], xi[some]
+            other = score[qi, xi] > -np.inf
+            qi, xi = qi[other], xi[other]
             away = np.bitwise_count(codes[qi] ^ _bytes(b.column(2))[xi]).sum(1, dtype=int)
             held_by = [np.concatenate(p) for p in zip(held_by, [qi, own[xi], score[qi, xi], away], strict=True)]
             best = _nearest(held_by[0], held_by[1], held_by[2], nearest)
@@ -181,13 +199,14 @@ def _finder(r: int, parts: int, bits: int, nearest: int) -> Callable[[tuple, pa.
 
     def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
         j = key[0].as_py()
-        ids, asked = rows["id"].to_numpy(), queries["id"].to_numpy()
+        ids, own_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
         found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if len(ids) and len(asked):
+        if len(ids) and len(own_ids):
+            least = queries["least"].to_numpy()
             x, q = np.ascontiguousarray(_matrix(rows["vector"]).T), np.ascontiguousarray(_matrix(queries["vector"]).T)
             xc, qc = (np.ascontiguousarray(_bytes(t["code"]).view(unit).T) for t in (rows, queries))
             each = len(xc) // parts
-            for start in range(0, len(asked), AT_ONCE):
+            for start in range(0, len(own_ids), AT_ONCE):
                 own = slice(start, start + AT_ONCE)
                 total, fits = 0, True
                 for part in range(parts):
@@ -197,11 +216,13 @@ def _finder(r: int, parts: int, bits: int, nearest: int) -> Callable[[tuple, pa.
                         fits = fits & (away > most[part]) if most[part] >= 0 else fits
                     elif part == j:
                         fits = fits & (away <= most[part])
-                qi, xi = np.nonzero(fits & (total <= r) & (asked[own, None] != ids[None, :]))
+                qi, xi = np.nonzero(fits & (total <= r) & (own_ids[own, None] != ids[None, :]))
                 qi += start
                 score = _products(q, x, qi, xi)
+                some = score >= least[qi]
+                qi, xi, score = qi[some], xi[some], score[some]
                 best = _nearest(qi, ids[xi], score, nearest)
-                for to, what in zip(found, (asked[qi[best]], ids[xi[best]], score[best]), strict=True):
+                for to, what in zip(found, (own_ids[qi[best]], ids[xi[best]], score[best]), strict=True):
                     to.append(what)
         return pa.table([pa.array(np.concatenate(f)) for f in found], names=["query_id", "vec_id", "score"])
 
@@ -209,24 +230,23 @@ def _finder(r: int, parts: int, bits: int, nearest: int) -> Callable[[tuple, pa.
 
 
 def search(index: DataFrame, queries: DataFrame, r: int, nearest: int, n_rows: int, n_queries: int, bits: int = BITS, splits: tuple[int, int] | None = None) -> DataFrame:
-    """query_id, vec_id, score: the nearest of the rows whose codes are within r of the query's, for each query and more than once where several blocks have some. index, queries: id, vector, code."""
+    """query_id, vec_id, score: the nearest of the rows whose codes are within r of the query's, for each query and more than once where several blocks have some. index: id, vector, code; queries: also least."""
     parts, name = splits or split(r, n_rows, n_queries, bits)
     most, each = shares(r, parts), bits // parts // 8
     named = lambda j: F.shiftright(F.conv(F.hex(F.substring("code", j * each + 1, 2)), 16, 10).cast("int"), 16 - name)
     probed = [j for j in range(parts) if most[j] >= 0]
-    at = lambda df: df.withColumn("at", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), named(j).alias("shard"), F.lit(most[j]).alias("near")) for j in probed]))).select("id", "vector", "code", "at.*")
+    at = lambda df: df.withColumn("at", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), named(j).alias("shard"), F.lit(most[j]).alias("near")) for j in probed]))).select(*df.columns, "at.*")
     held = at(index).drop("near")
-    asked = at(queries).withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(2**name - 1)), lambda s: F.bit_count(s.bitwiseXOR(F.col("shard"))) <= F.col("near")))).drop("near")
+    sent = at(queries).withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(2**name - 1)), lambda s: F.bit_count(s.bitwiseXOR(F.col("shard"))) <= F.col("near")))).drop("near")
     blocks = lambda df, size, to: df.groupBy("j", "shard").agg(F.ceil(F.count("*") / size).cast("int").alias(to))
     # a row for each shard: at most 16 * 2^MOST_NAME_BITS
-    both = F.broadcast(scratch(blocks(held, ROWS_A_BLOCK, "n_rows").join(blocks(asked, QUERIES_A_BLOCK, "n_asked"), ["j", "shard"])))
+    both = F.broadcast(scratch(blocks(held, ROWS_A_BLOCK, "n_rows").join(blocks(sent, QUERIES_A_BLOCK, "n_asked"), ["j", "shard"])))
     own = lambda n: F.pmod(F.xxhash64("id", "j"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["j", "shard", "row_block", "ask_block", "id", "vector", "code"]
-    held = held.join(both, ["j", "shard"]).withColumn("row_block", own("n_rows")).withColumn("ask_block", every("n_asked")).select(*columns)
-    asked = asked.join(both, ["j", "shard"]).withColumn("ask_block", own("n_asked")).withColumn("row_block", every("n_rows")).select(*columns)
-    key = columns[:4]
-    return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_finder(r, parts, bits, nearest), "query_id long, vec_id long, score double")
+    key = ["j", "shard", "row_block", "ask_block"]
+    held = held.join(both, ["j", "shard"]).withColumn("row_block", own("n_rows")).withColumn("ask_block", every("n_asked")).select(*key, "id", "vector", "code")
+    sent = sent.join(both, ["j", "shard"]).withColumn("ask_block", own("n_asked")).withColumn("row_block", every("n_rows")).select(*key, "id", "vector", "code", "least")
+    return held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_finder(r, parts, bits, nearest), "query_id long, vec_id long, score double")
 
 
 def neighbours(rows: DataFrame, key: str, vector: str, is_query: Column, nearest: int, held: float = HELD) -> DataFrame:
@@ -238,8 +258,11 @@ def neighbours(rows: DataFrame, key: str, vector: str, is_query: Column, nearest
     enough = min(nearest, taken.select("id").distinct().limit(nearest + 1).count() - 1)
     if not n_queries or enough < 1:
         return empty
-    model = Rotations(_matrix(smallest(taken, SAMPLE, 3, "id").select("vector").toArrow()["vector"]))
-    index, left = scratch(coded(taken, model, False)), scratch(coded(taken.where(is_query), model, True))
+    width = taken.select(F.size("vector")).first()[0]
+    some = smallest(taken, max(1, min(SAMPLE, SAMPLE_BYTES // (4 * width))), 3, "id").select("id", "vector").toArrow()
+    sample = some["id"].to_numpy(), _matrix(some["vector"])
+    model = Rotations(sample[1])
+    index, left = scratch(coded(taken, model)), scratch(asked(taken.where(is_query), model, sample, nearest))
     r = max(1, radius(index, smallest(left, TRIALS, 4, "id"), nearest, held))
     forget(taken)
     out = None

@@ -181,7 +181,7 @@ def test_every_code_within_a_radius_is_found_once(spark):
     x[100:200] = x[0] + 0.05 * rng.normal(size=(100, 8)).round(3)
     model = neighbours.Rotations(x)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>")
-    index, asked = neighbours.coded(df, model, False).cache(), neighbours.coded(df.where("id % 6 = 0"), model, True).cache()
+    index, asked = neighbours.coded(df, model).cache(), neighbours.asked(df.where("id % 6 = 0"), model, (np.arange(5), x[:5]), 300).cache()
     rows, queries = model.codes(x, False), model.codes(x, True)
     away = np.bitwise_count(queries[:, None] ^ rows[None]).sum(2, dtype=int)
     for r, parts, name in [(20, 2, 0), (40, 4, 3), (33, 8, 2), (17, 16, 4), (3, 16, 1), (256, 4, 2)]:
