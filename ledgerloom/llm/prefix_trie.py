@@ -41,6 +41,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"),
         F.sha2(text.cast("binary"), 256).alias("digest"), word_count(text).alias("words"),
     )
+    rows = scratch(rows)  # ranges are found from a first look at their keys: texts are read once
     placed = over_ranges(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), "role", "digest"], running={"place": (F.lit(1), "sum")})
     return placed.select("conv_id", "place", F.sha2(F.concat_ws(":", F.length("role"), "role", "digest").cast("binary"), 256).alias("digest"), "words")
 
