@@ -71,6 +71,49 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.select("start", F.col("start").alias("node")).limit(0) if seen is None else seen
 
 
+def role_members(arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    """EV9, SRC23: (tbl, role, id, member): the ids that domain-member arcs (tbl, role, from_id, to_id, target_role) reach from each start (tbl, role, id).
+
+    What is reached is a pair of id and role: an arc with a target role goes on in that role, and only there. So an id may be passed in one role and end in another, and cycles end at
+    a pair that is known."""
+    state = lambda role, i: F.struct("tbl", F.col(role).alias("role"), F.col(i).alias("id"))
+    steps = arcs.withColumn("next_role", F.coalesce("target_role", "role")).select(state("role", "from_id").alias("parent"), state("next_role", "to_id").alias("child"))
+    found = reachable(steps, starts.select(state("role", "id").alias("start")).distinct())
+    return found.select("start.tbl", "start.role", "start.id", F.col("node.id").alias("member")).distinct()
+
+
+def cube_specs(arcs: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """SRC23, EV6: the hypercubes that `admission` wants, from dimensional arcs (tbl, role, kind, from_id, to_id, target_role): one for each role that has an `all` arc.
+
+    Its primaries are the arc's source and that one's members; its dimensions are those of the hypercubes that the arc leads to, with the members of their domains (a domain's head is none). Each kind of arc may
+    lead to another role. A dimension without members takes any value (typed). names: (id, name), for ids that are called otherwise in facts; others go by what follows `#`."""
+    kind = lambda k: arcs.where(F.col("kind") == k).withColumn("next_role", F.coalesce("target_role", "role"))
+    members = arcs.where("kind = 'domain-member'")
+    tops = settled(kind("all").select("tbl", F.col("role").alias("spec"), F.col("from_id").alias("top"), F.col("to_id").alias("cube"), "next_role").distinct())
+    dims = kind("hypercube-dimension").select("tbl", F.col("role").alias("next_role"), F.col("from_id").alias("cube"), F.col("to_id").alias("dim"), F.col("next_role").alias("dim_role"))
+    dims = tops.select("tbl", "spec", "cube", "next_role").join(dims, ["tbl", "cube", "next_role"]).select("tbl", "spec", "dim", "dim_role").distinct()
+    domains = kind("dimension-domain").select("tbl", F.col("role").alias("dim_role"), F.col("from_id").alias("dim"), F.col("to_id").alias("id"), F.col("next_role").alias("role"))
+    dims = settled(dims.join(domains, ["tbl", "dim", "dim_role"], "left").select("tbl", "spec", "dim", "role", "id").distinct())
+    starts = dims.where("id IS NOT NULL").select("tbl", "role", "id").unionByName(tops.select("tbl", F.col("spec").alias("role"), F.col("top").alias("id")))
+    reached = settled(role_members(members, starts.distinct()))
+
+    def name(column: str):
+        return F.substring_index(column, "#", -1)
+
+    def called(rows: DataFrame, column: str, to: str) -> DataFrame:
+        if names is None:
+            return rows.withColumn(to, name(column))
+        return rows.join(bounded(names.select(F.col("id").alias(column), F.col("name").alias("_n"))), column, "left").withColumn(to, F.coalesce("_n", name(column))).drop("_n")
+
+    own = tops.select("tbl", "spec", F.col("top").alias("p"))
+    below = tops.select("tbl", "spec", F.col("top").alias("id"), F.col("spec").alias("role")).join(reached, ["tbl", "role", "id"]).select("tbl", "spec", F.col("member").alias("p"))
+    primaries = called(own.unionByName(below), "p", "concept").select("tbl", "spec", "concept").distinct()
+    allowed = dims.join(reached.withColumnRenamed("member", "m"), ["tbl", "role", "id"], "left").select("tbl", "spec", F.col("dim").alias("d"), "m")
+    allowed = called(called(allowed, "d", "dim"), "m", "member").select("tbl", "spec", "dim", "member").distinct()
+    typed = allowed.groupBy("tbl", "spec", "dim").agg(F.count("member").alias("n")).select("tbl", "spec", "dim", (F.col("n") == 0).alias("typed"))
+    return specs(primaries, allowed.join(typed, ["tbl", "spec", "dim"]))
+
+
 def descendants(edges: DataFrame, starts: DataFrame, leaves_only: bool = False) -> DataFrame:
     """EV10: descendants without the start; only those that are no parent themselves if asked."""
     found = reachable(edges, starts)

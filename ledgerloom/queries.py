@@ -287,15 +287,6 @@ def _merged_sql(y: str, x: str, z: str) -> str:
 _P_SQL = f"p AS (SELECT * FROM {values_sql(_POSITIONS)} t(tbl, axis, ord, code, concept, d))"
 
 
-@query(f"""WITH {_P_SQL}, g AS (SELECT y.tbl, y.code AS r, x.code AS c, z.code AS z, coalesce(x.concept, y.concept, z.concept) AS concept, coalesce(y.d, '') AS yd, coalesce(x.d, '') AS xd, coalesce(z.d, '') AS zd
- FROM (SELECT * FROM p WHERE axis = 'y') y JOIN (SELECT * FROM p WHERE axis = 'x') x ON x.tbl = y.tbl LEFT JOIN (SELECT * FROM p WHERE axis = 'z') z ON z.tbl = y.tbl),
- k AS (SELECT tbl, r, c, z, concept || '|' || {_merged_sql('yd', 'xd', 'zd')} AS key FROM g WHERE concept IS NOT NULL)
- SELECT tbl, key, arg_min(r, coalesce(z, '') || r || c) AS r, arg_min(c, coalesce(z, '') || r || c) AS c, arg_min(coalesce(z, '-'), coalesce(z, '') || r || c) AS z FROM k GROUP BY 1, 2""")
-def q_datapoints(spark, d):
-    """JN15, SRC13, PRJ6."""
-    return layout.datapoints(positions(spark)).select("tbl", "key", "r", "c", F.coalesce("z", F.lit("-")).alias("z"))
-
-
 _RULES = [
     {"code": "v1", "expression": "{t: T1, r: 0010} i= isum({t: T1, r: 0020; 0030})", "scope": "scope({t: T1, c: 0010; 0020, z: 0001; 0002})"},
     {"code": "v2", "expression": "{t: T1, r: 0010, c: 0010, z: 0001} i<= 2 * {t: T2, r: 0010, c: 0010} i+ {t: T2, r: 0999, c: 0010}", "scope": ""},
@@ -920,7 +911,7 @@ def q_formula_verdicts(spark, d):
     return v.groupBy("rule", F.when(F.col("ok").isNull(), "not asserted").when(F.col("ok"), "held").otherwise("failed").alias("state")).agg(F.count("*").alias("n"))
 
 
-def part_rules(spark, d):
+def shape_rules(spark, d):
     """A formula rule for each part, of four shapes, as rows: their names, constants and members come from the table."""
     k, n = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
     own = lambda *trees: F.concat(F.lit('["and", [["concept", ["P'), n, F.lit('"]]'), *[F.lit(f", {t}") for t in trees], F.lit("]]"))
@@ -949,7 +940,7 @@ v AS (SELECT p, CASE k WHEN 0 THEN a + coalesce(r, 0) <= p_size * 4 WHEN 1 THEN
 SELECT 'v' || p AS rule, count(*) FILTER (ok) AS held, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS open FROM v GROUP BY 1""")
 def q_rules_by_shape(spark, d):
     """EV4, JN3, FLT1-FLT3, RC15: as many formula rules as there are parts, bound and judged by the shapes of their tests."""
-    rules = part_rules(spark, d)
+    rules = shape_rules(spark, d)
     v = binding.rule_verdicts(binding.bind_rules(part_facts(spark, d), rules, {}), rules)
     return v.groupBy("rule").agg(F.count_if("ok").alias("held"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("open"))
 
@@ -1542,3 +1533,6 @@ def q_package_ingest(spark, d):
     seen = [package.cached(spark, f"{at}-files/{digest}", lambda: zipped.mapInArrow(package._unzipped, "path string, content binary")) for _ in range(2)]
     codes = package.table_codes(seen[1].select(F.concat(F.lit("p/"), "path").alias("path")))
     return codes.select("code", "framework", F.lit(len({tuple(t.inputFiles()) for t in seen})).alias("packages"))
+
+
+from . import file_queries  # noqa: E402, F401  (registers the queries over files)

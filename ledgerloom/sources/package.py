@@ -48,10 +48,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root, spaces = _parsed(content)
 
             def full(y, spaces=spaces) -> str:
-                """An element's text; a name (an element `qname`) with its namespace in place of its prefix."""
+                """An element's text; a name (an element `qname` or `dimensionAspect`) with its namespace in place of its prefix."""
                 text = (y.text or "").strip()
+                return named(text) if y.tag.endswith(("}qname", "}dimensionAspect")) else text
+
+            def named(text: str, spaces=spaces) -> str:
                 prefix, colon, local = text.rpartition(":")
-                return f"{{{spaces[prefix]}}}{local}" if y.tag.endswith("}qname") and prefix in spaces else text
+                return f"{{{spaces[prefix]}}}{local}" if prefix in spaces else text
 
             for link in root.iter():
                 if link.get(f"{_L}type") != "extended":
@@ -64,6 +67,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     order = plain.get("order")
                     above = {c: e for e in x.iter() for c in e}
                     parts = [{"tag": y.tag.rpartition("}")[2], "text": f"{above[y].tag.rpartition('}')[2]}:{full(y)}"} for y in x.iter() if y is not x and len(y) == 0]
+                    # a member that an attribute gives its dimension: the aspect of a layout's node
+                    parts += [{"tag": y.tag.rpartition("}")[2], "text": f"aspect:{named(y.get('dimension'))}={full(q)}"} for y in x.iter() if y.get("dimension") for q in y.iter() if len(q) == 0 and q is not y]
                     rows.append((path, role, kind, x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None, x.get(f"{_L}href"), text, list(plain.items()), parts))
         columns = zip(*rows, strict=True) if rows else ([] for _ in LINK_COLUMNS)
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _LINK_KINDS, strict=True)], names=LINK_COLUMNS)
@@ -88,12 +93,25 @@ def node_codes(links: DataFrame, role: str) -> DataFrame:
     return loc.join(arc, ["path", "source"]).join(res, ["path", "target"]).select("path", "node", "code")
 
 
-def hypercube_arcs(links: DataFrame) -> DataFrame:
-    """SRC23: (role, kind, from_id, to_id, target_role) of the dimensional arcs, by full href."""
+def definition_arcs(links: DataFrame) -> DataFrame:
+    """SRC9, SRC23: (path, role, kind, from_id, to_id, target_role, usable) of the dimensional arcs, by full href, dimension defaults included."""
     loc = links.where("kind = 'locator'").select("path", "role", "label", F.col("href").alias("h"))
-    arc = links.where("kind = 'arc'").select("path", "role", "source", "target", F.substring_index("arcrole", "/", -1).alias("arc"), F.try_element_at("attributes", F.lit("targetRole")).alias("target_role"))
+    said = lambda k: F.try_element_at("attributes", F.lit(k))
+    arc = links.where("kind = 'arc'").select("path", "role", "source", "target", F.substring_index("arcrole", "/", -1).alias("kind"), said("targetRole").alias("target_role"), (F.coalesce(said("usable"), F.lit("true")) != "false").alias("usable"))
+    arc = arc.where(F.col("kind").isin("all", "hypercube-dimension", "dimension-domain", "domain-member", "dimension-default"))
     a = arc.join(loc.withColumnsRenamed({"label": "source", "h": "from_id"}), ["path", "role", "source"]).join(loc.withColumnsRenamed({"label": "target", "h": "to_id"}), ["path", "role", "target"])
-    return a.where(F.col("arc").isin("all", "hypercube-dimension", "dimension-domain", "domain-member")).select("role", F.col("arc").alias("kind"), "from_id", "to_id", "target_role")
+    return a.select("path", "role", "kind", "from_id", "to_id", "target_role", "usable")
+
+
+def hypercube_arcs(links: DataFrame) -> DataFrame:
+    """SRC23: (role, kind, from_id, to_id, target_role) of the arcs that make hypercubes."""
+    return definition_arcs(links).where("kind != 'dimension-default'").select("role", "kind", "from_id", "to_id", "target_role")
+
+
+def dimension_defaults(arcs: DataFrame) -> DataFrame:
+    """SRC9: (dim, member) by href from definition_arcs. Of several, that of the greatest path stays: the last host wins."""
+    found = arcs.where("kind = 'dimension-default'")
+    return found.groupBy(F.col("from_id").alias("dim")).agg(F.max_by("to_id", F.struct("path", "role", "to_id")).alias("member"))
 
 
 def _scan(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -137,7 +155,7 @@ def entry_points(spark: SparkSession, path: str) -> DataFrame:
 def datatype_of(item_type: Column) -> Column:
     """SRC6: datatype of an item type's name, in this order of precedence."""
     t = F.lower(item_type)
-    first = [("monetary", "MONETARY"), ("percent", "PERCENTAGE"), ("boolean", "BOOLEAN"), ("date", "DATE"), ("integer", "INTEGER"), ("qname", "ENUMERATION"), ("enumeration", "ENUMERATION"), ("decimal", "DECIMAL"), ("pure", "DECIMAL")]
+    first = [("monetary", "MONETARY"), ("percent", "PERCENTAGE"), ("boolean", "BOOLEAN"), ("date", "DATE"), ("integer", "INTEGER"), ("qname", "ENUMERATION"), ("enumeration", "ENUMERATION"), ("decimal", "DECIMAL"), ("pure", "DECIMAL"), ("double", "DECIMAL"), ("float", "DECIMAL")]
     out = None
     for word, kind in first:
         out = F.when(t.contains(word), kind) if out is None else out.when(t.contains(word), kind)
