@@ -5,14 +5,21 @@ The files grow with the tables: one for each brand and size of parts, nation or
 
 from __future__ import annotations
 
+import sys
+import uuid
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .operators import cube, layout
 from .queries import query
-from .session import settled
-from .sources import package, star
+from .session import settled, shared_dir
+from .sources import package, star, workbook
+
+# functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _LINKBASE = (
     '<link:linkbase xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:xbrldt="http://xbrl.org/2005/xbrldt" xmlns:gen="http://xbrl.org/2008/generic" '
@@ -155,3 +162,113 @@ def q_layout_positions(spark, d):
 def q_datapoints(spark, d):
     """JN15, SRC13, PRJ6: every combination of rows and columns of all layouts, aspects merged."""
     return layout.datapoints(layout_positions(spark, d)).select("tbl", "r", "key", "o_y", "o_x")
+
+
+# Package files
+
+
+@query("SELECT 'n' || p_partkey AS node, lpad(p_partkey::VARCHAR, 8, '0') AS code FROM part")
+def q_node_codes(spark, d):
+    """SRC12: the nodes of all layouts to their codes by locator, arc and label."""
+    links = package.links_of(layout_files(spark, d).where("path LIKE '%-lab-codes.xml'"))
+    return package.node_codes(links, "code").select("node", "code")
+
+
+@query("SELECT 'domain-member' AS kind, 's.xsd#b' || regexp_replace(p_brand, '[^0-9]', '', 'g') AS from_id, 's.xsd#p' || p_partkey AS to_id, CASE WHEN p_partkey % 2 = 0 THEN 'other' || p_size END AS target_role FROM part")
+def q_hypercube_arcs(spark, d):
+    """SRC23: dimensional arcs by full href, of a file for each brand."""
+    p = star.table(spark, d, "part").select("p_partkey", "p_size", text("b", F.regexp_replace("p_brand", "[^0-9]", "")).alias("b"))
+    k = text("p", F.col("p_partkey"))
+    more = F.when(F.col("p_partkey") % 2 == 0, text(' xbrldt:targetRole="other', F.col("p_size"), '"')).otherwise("")
+    pieces = p.select(text(F.col("b"), ".xml").alias("path"), text(locator(k), arc("domain-member", F.col("b"), k, more)).alias("piece")).unionByName(p.select(text(F.col("b"), ".xml").alias("path"), locator(F.col("b")).alias("piece")).distinct())
+    made = files(pieces, f'{_LINKBASE}<link:definitionLink xlink:type="extended" xlink:role="r">', "</link:definitionLink></link:linkbase>")
+    return package.hypercube_arcs(package.links_of(made)).select("kind", "from_id", "to_id", "target_role")
+
+
+@query("SELECT 'T' || p_partkey AS code, 'fw' || p_size AS framework FROM part WHERE p_partkey % 3 != 0")
+def q_list_tables(spark, d):
+    """SRC11: layout files to table codes; other files are none."""
+    k = F.col("p_partkey")
+    paths = star.table(spark, d, "part").select(text("p/fws/fw", F.col("p_size"), "/tab/t", k, F.when(k % 3 == 0, "-lab.xml").otherwise("-rend.xml")).alias("path"))
+    return package.table_codes(paths).select("code", "framework")
+
+
+@query("SELECT 'm' || p_size AS module, 'T' || p_partkey AS tbl FROM part")
+def q_module_index(spark, d):
+    """SRC14: the tables that modules' schemas import, a schema for each size."""
+    p = star.table(spark, d, "part").select(text("p/mod/m", F.col("p_size"), ".xsd").alias("path"), text('<xs:import schemaLocation="../../tab/t', F.col("p_partkey"), "/t", F.col("p_partkey"), '.xsd"/>').alias("piece"))
+    return package.module_imports(files(p, "<s>", "</s>"))
+
+
+@query("SELECT 'fw' || p_size AS framework, count(*) AS n FROM part GROUP BY 1")
+def q_entry_points(spark, d):
+    """SRC24: entry points of package manifests by framework, a manifest for each brand."""
+    p = star.table(spark, d, "part").select(text(F.col("p_brand"), "/META-INF/taxonomyPackage.xml").alias("path"), text('<entryPointDocument href="http://a.b/fws/fw', F.col("p_size"), "/mod/m", F.col("p_partkey"), '.xsd"/>').alias("piece"))
+    return package.entry_frameworks(files(p, "<p>", "</p>"))
+
+
+def _zipped(batches):
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    for b in batches:
+        made = []
+        for names in b.column("names").to_pylist():
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for n in names:
+                    z.writestr(zipfile.ZipInfo(n), f"<t>{n}</t>")
+            made.append(out.getvalue())
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
+
+
+@query("SELECT 'T' || p_partkey AS code, 'fw' || p_size AS framework, 1::BIGINT AS packages, '<t>fws/fw' || p_size || '/tab/t' || p_partkey || '-rend.xml</t>' AS content FROM part")
+def q_package_ingest(spark, d):
+    """CT1, SNK8: packages, one for each brand and each twice, by their digests: equal ones are one, and what the cache has is not unpacked again."""
+    p = star.table(spark, d, "part").select("p_brand", text("fws/fw", F.col("p_size"), "/tab/t", F.col("p_partkey"), "-rend.xml").alias("name"))
+    named = p.groupBy(F.col("p_brand").alias("path")).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    zips = settled(named.unionByName(named.withColumn("path", text("copy of ", F.col("path")))).mapInArrow(_zipped, "path string, content binary"))
+    cache = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    package.ingest_all(zips.where("length(path) % 2 = 0"), cache)
+    found = package.ingest_all(zips, cache)
+    n = found.groupBy("path").agg(F.count("*").alias("packages"), F.max(F.col("content").cast("string")).alias("content"))
+    codes = package.table_codes(n.withColumn("path", text("p/", F.col("path"))))
+    return codes.join(n.withColumn("path", text("p/", F.col("path"))), "path").select("code", "framework", "packages", "content")
+
+
+def _sheet(rows: DataFrame, path: Column, row: Column, columns: list[Column], sheet: str) -> DataFrame:
+    """(path, sheet, row, col, value) of a table's rows."""
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), c.cast("string").alias("value")) for i, c in enumerate(columns)]))
+    return rows.select(path.alias("path"), F.lit(sheet).alias("sheet"), row.cast("int").alias("row"), places.alias("p")).select("path", "sheet", "row", "p.*")
+
+
+@query("SELECT p_brand AS path, 'dpm_dictionary' AS kind, p_partkey::VARCHAR AS code, p_name AS label, 'MONETARY' AS datatype FROM part")
+def q_workbook_dictionary(spark, d):
+    """SRC4, SRC28: the metrics of dictionary workbooks, one for each brand: the first row of a code stays."""
+    p = star.table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
+    path, k = F.col("p_brand"), F.col("p_partkey")
+    books = p.select("p_brand").distinct()
+    head = _sheet(books, path, F.lit(0), [F.lit("a title")], "Metrics").unionByName(_sheet(books, path, F.lit(1), [F.lit("Code"), F.lit("Label"), F.lit("Datatype")], "Metrics"))
+    cells = head.unionByName(_sheet(p, path, k * 2 + 2, [k, F.col("p_name"), F.lit("MONETARY")], "Metrics")).unionByName(_sheet(p, path, k * 2 + 3, [k, F.lit("later"), F.lit("STRING")], "Metrics"))
+    cells = cells.unionByName(_sheet(books, path, F.lit(0), [F.lit("Code")], "Dimensions")).unionByName(_sheet(books, path, F.lit(0), [F.lit("Code")], "Domains"))
+    read = settled(workbook.cells(workbook.files_of(cells)))
+    found = workbook.records(read.where("sheet = 'Metrics'"), {"code": "Code", "label": "Label", "datatype": "Datatype"}, ["Code", "Label"])
+    first = package.dictionary(found.select(text(F.col("path"), "|", F.col("code")).alias("code"), "row", "path", F.col("code").alias("own"), "label", "datatype"), "metric")
+    return first.drop("code").withColumnRenamed("own", "code").join(workbook.kinds(read), "path").select("path", "kind", "code", "label", "datatype")
+
+
+@query("SELECT 'v' || p_partkey AS code, '{t: A01.00, r: ' || p_size || '} = 2 scope({t: A01.00})' AS expression, CASE WHEN p_partkey % 2 = 0 THEN 'A01.00,B02.00' ELSE 'A01.00' END AS tables, p_partkey % 3 = 0 AS deactivated FROM part")
+def q_workbook_rules(spark, d):
+    """SRC15, SRC16: rule rows of workbooks, one for each brand: the simplified expression first, the scope appended, tables of columns and text."""
+    p = star.table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    path, k = F.col("p_brand"), F.col("p_partkey")
+    names = ["ID", "T1", "T2", "Expression", "Simplified", "Scope", "Include", "Deactivated", "Severity"]
+    cells = _sheet(p.select("p_brand").distinct(), path, F.lit(0), [F.lit(n) for n in names], "Rules")
+    said = text("{t: A01.00, r: ", F.col("p_size"), "} = ")
+    row = [text("v", k), F.when(k % 2 == 0, "B02.00").otherwise(""), F.lit(""), text(said, "1 + 1"), text(said, "2"), F.lit("scope({t: A01.00})"), F.lit("yes"), F.when(k % 3 == 0, "Y").otherwise("no"), F.lit("error")]
+    read = workbook.cells(workbook.files_of(cells.unionByName(_sheet(p, path, k + 1, row, "Rules"))))
+    found = workbook.records(read, {"code": "ID", "T1": "T1", "T2": "T2", "expression": "Expression", "simplified": "Simplified", "scope": "Scope", "include": "Include", "deactivated": "Deactivated", "severity": "Severity"}, ["ID", "Expression"])
+    r = package.workbook_rules(found)
+    return r.select("code", "expression", F.array_join(F.array_sort("tables"), ",").alias("tables"), "deactivated")

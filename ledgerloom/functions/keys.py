@@ -63,8 +63,8 @@ def template_of(code: Column) -> Column:
     return F.when(n > 3, F.array_join(F.slice(F.split(code, r"\."), F.lit(1), n - 1), ".")).otherwise(code)
 
 
-#: PRJ17: a table code (letter, digits, dotted segments), and the same as a pattern to extract.
-TABLE_CODE = r"[A-Z]{1,3}[0-9]{1,3}(?:\.[0-9]{2}){0,4}"
+# Fixed value: the form of a table code (PRJ17): one to three letters, two or three digits, and dotted pairs of digits.
+TABLE_CODE = r"[A-Z]{1,3}[0-9]{2,3}(?:\.[0-9]{2})+"
 
 
 def is_table_code(code: Column) -> Column:

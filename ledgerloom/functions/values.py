@@ -31,12 +31,31 @@ def flat(sequences: Column) -> Column:
     return F.array_compact(F.flatten(sequences))
 
 
+def _whole(value: Column, scale: Column) -> Column:
+    """value * scale to the nearest whole number, ties to even, decided on the exact product of both doubles and not on its rounded one.
+
+    A product of doubles is its rounded value plus an error that is a double too (Dekker's splitting gives it)."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        c = x * F.lit(134217729.0)  # 2^27 + 1
+        high = c - (c - x)
+        return high, x - high
+
+    p = value * scale
+    (vh, vl), (sh, sl) = halves(value), halves(scale)
+    error = ((vh * sh - p) + vh * sl + vl * sh) + vl * sl
+    below = F.floor(p).cast("double")
+    over = (p - below - F.lit(0.5)) + error
+    return F.when(over > 0, below + 1).when(over < 0, below).otherwise(F.when(below % 2 == 0, below).otherwise(below + 1))
+
+
 def round_to_decimals(value: Column, decimals: Column) -> Column:
-    """PRJ10: half-even at 10^-decimals; unknown decimals round to 2 places. Places after the point are whole numbers of the scaled value, so that
-    0.57 stays 0.57."""
+    """PRJ10: half-even at 10^-decimals; unknown decimals round to 2 places. What counts as a tie is the double itself: 2.675 is less than its
+    text says and gives 2.67. At 0 and fewer places the quotient's tie decides."""
     d = F.coalesce(decimals, F.lit(2)).cast("double")
     scale = F.pow(F.lit(10.0), F.abs(d))
-    return F.when(d > 0, F.bround(value * scale) / scale).otherwise(F.bround(value / scale) * scale)
+    fine = F.abs(value * scale) < F.lit(2.0**52)  # beyond, a double has no finer places to lose
+    return F.when(d > 0, F.when(fine, _whole(value, scale) / scale).otherwise(value)).otherwise(F.bround(value / scale) * scale)
 
 
 def half_ulp(decimals: Column) -> Column:

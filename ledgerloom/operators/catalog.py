@@ -132,12 +132,14 @@ def cheapest(terms: DataFrame, preferred: Column) -> DataFrame:
 
 
 def rule_class(expression: Column) -> Column:
-    """RC13: format, existence, inequality, or an equality by shape, with a prefix for conditional rules."""
+    """RC13: format, existence, inequality, an equality by shape or other, with a prefix for conditional rules. An order between two sides is an inequality unless something is also equal; `!=` is an equality's."""
     bare = F.trim(F.regexp_replace(expression, r"(?i)^\s*if\b.*?\bthen\b", ""))
+    equal = F.regexp_replace(bare, "<=|>=|!=", "").contains("=") | bare.contains("!=")
     kind = (
-        F.when(bare.rlike(r"\bmatches\s*\("), "format")
+        F.when(bare.rlike(r"\b(matches|isMatch)\s*\("), "format")
         .when(bare.rlike(r"(?i)\b(isnull|empty)\s*\("), "existence")
-        .when(bare.rlike(r"[<>]|!="), "inequality")
+        .when(bare.rlike("[<>]") & ~equal, "inequality")
+        .when(~equal, "other")
         .when(bare.rlike(r"\bi?(max|min)\s*\("), "equality-minmax")
         .when(bare.rlike(r"[*/]"), "equality-scaled")
         .when(bare.rlike(r"\bi?sum\s*\(|[+]|\}\s*i?-"), "equality-additivity")
@@ -147,13 +149,19 @@ def rule_class(expression: Column) -> Column:
 
 
 def unhandled_class(expression: Column) -> Column:
-    """RC14: why a rule is not linear."""
+    """RC14: why a rule is not one of the additive ones: empty, existence, conditional, power, minmax, inequality, constant (cells on one side only), product, ratio or other."""
+    e = F.coalesce(expression, F.lit(""))
+    sides = F.split(F.regexp_replace(e, r"i?=", "="), "=", 2)
     return (
-        F.when(expression.rlike(r"(?i)^\s*if\b"), "conditional")
-        .when(expression.rlike(r"\bexp\s*\("), "power")
-        .when(expression.rlike(r"\bi?(max|min)\s*\("), "minmax")
-        .when(expression.rlike(r"\}\s*i?\*\s*i?\{"), "product")
-        .when(expression.rlike(r"/\s*i?\{"), "ratio")
+        F.when(F.trim(e) == "", "empty")
+        .when(e.rlike(r"(?i)\bisnull\b"), "existence")
+        .when(e.rlike(r"(?i)^\s*if\b|\bthen\b"), "conditional")
+        .when(e.rlike(r"\bexp\s*\("), "power")
+        .when(e.rlike(r"\bi?(max|min)\s*\("), "minmax")
+        .when(e.rlike(r"[<>]|!="), "inequality")
+        .when(F.get(sides, F.lit(0)).contains("{") != F.coalesce(F.get(sides, F.lit(1)), F.lit("")).contains("{"), "constant")
+        .when(e.rlike(r"\}\s*i?\*\s*i?\{"), "product")
+        .when(e.rlike(r"\}\s*i?/\s*i?\{"), "ratio")
         .otherwise("other")
     )
 

@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import compiler, language
-from ..session import bounded
+from ..plans import compiler
+from ..session import bounded, settled
 
 
-def at_most_rows(spark: SparkSession, rules: list[dict], tables: set[str], across: bool = False) -> DataFrame:
-    """RC19, RC18: (code, inst, kind, rhs, coef, tbl, r, c, z): terms of the rules' comparisons as sum coef * x <= rhs for each scope instance. rules: code, expression, scope, tables;
-    those of one of the tables, or with across those of several that all are among them. Bars of absolute values are dropped, and say so by a row of
+def at_most_rows(rules: DataFrame, tables: DataFrame, across: bool = False) -> DataFrame:
+    """RC19, RC18: (code, inst, kind, rhs, coef, tbl, r, c, z): terms of the rules' comparisons as sum coef * x <= rhs for each scope instance. rules: (code, expression, scope, tables array, deactivated);
+    those of one of the tables (tbl), or with across those of several that all are among them. Bars of absolute values are dropped, and say so by a row of
     their own for each cell inside: -x <= 0."""
-    chosen, signs = [], []
-    for rule in rules:
-        own = set(rule["tables"])
-        if rule.get("deactivated") or not own <= tables or (len(own) > 1) != across:
-            continue
-        _, core = language.unwrap(language.parse_b(rule["expression"]))
-        if core[0] not in ("<=", "<", ">=", ">"):
-            continue
-        chosen.append(rule)
-        inside = [leaf for n in language.walk(core) if isinstance(n, tuple) and n[0] == "call" and n[1] in ("abs", "iabs") for leaf in language.cells(n)]
-        signs += [(rule, cell) for cell in dict.fromkeys(inside)]
-    terms = compiler.rule_terms(spark, chosen).where("kind = '<='")
-    bars = compiler.cell_terms(spark, [(f"{rule['code']}", "<=", 0.0, -1.0, cell, rule.get("scope") or "") for rule, cell in signs])
-    # each cell is a row of its own: its place is part of the instance
-    bars = bars.withColumn("inst", F.concat_ws("/", "inst", F.lit("bar"), "r", "c", "z"))
-    return terms.select(*bars.columns).unionByName(bars)
+    active = rules.where(~F.coalesce("deactivated", F.lit(False)) & ((F.size(F.array_distinct("tables")) > 1) if across else (F.size(F.array_distinct("tables")) <= 1)))
+    ours = tables.select(F.col("tbl").alias("_t")).distinct().withColumn("_ours", F.lit(True))
+    used = active.select("code", F.explode_outer("tables").alias("_t")).join(bounded(ours), "_t", "left").groupBy("code").agg(F.bool_and(F.col("_t").isNull() | F.coalesce("_ours", F.lit(False))).alias("_in"))
+    terms = compiler.terms_of(active.join(used.where("_in").select("code"), "code", "left_semi"))
+    # of an equality its bars say nothing here; a bar's cell is a row of its own: its place is part of the instance
+    judged = settled(terms)
+    compared = judged.where("kind = '<=' AND NOT bar")
+    bars = judged.where("bar").join(compared.select("code").distinct(), "code", "left_semi").withColumn("inst", F.concat_ws("/", "inst", F.lit("bar"), "r", "c", "z"))
+    return compared.unionByName(bars).drop("bar")
 
 
 def over_present(resolved: DataFrame, present: DataFrame) -> DataFrame:

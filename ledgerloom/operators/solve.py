@@ -134,10 +134,12 @@ class System:
                     v.append(k)
         return np.array(r, np.int64), np.array(c, np.int64), np.array(v, float), np.array(b, float)
 
-    def holds(self, x: np.ndarray, tolerance: float = 1e-5) -> bool:
+    def holds(self, x: np.ndarray, tolerance: float = 1e-6) -> bool:
+        """Each row's gap against its largest part: what is small depends on what is added up."""
         for kind, rhs, cells in self.rows:
-            gap = sum(k * x[j] for j, k in cells.items()) - rhs
-            if (gap if kind == "<=" else abs(gap)) > tolerance * max(1.0, abs(rhs)):
+            parts = [k * x[j] for j, k in cells.items()]
+            gap = sum(parts) - rhs
+            if (gap if kind == "<=" else abs(gap)) > tolerance * max(1.0, abs(rhs), *map(abs, parts)):
                 return False
         return True
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from . import language as L
 
+# functions go to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(L)
+
 _BINARY = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": V.safe_divide}
 _TESTS = {"<=": lambda a, b, t: a <= b + t, "<": lambda a, b, t: a < b + t, ">=": lambda a, b, t: a >= b - t, ">": lambda a, b, t: a > b - t, "=": lambda a, b, t: F.abs(a - b) <= t, "!=": lambda a, b, t: F.abs(a - b) > t}
 
@@ -114,28 +121,62 @@ def guard(condition, leaf: Callable[[object], Column], tolerance: float = 0.5, l
     return F.coalesce(to_column(condition, leaf, tolerance, language), F.lit(True))
 
 
-def rule_terms(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    """RC5, RC17, JN16: (code, kind, rhs, inst, coef, tbl, r, c, z) of linear rules, a row for each single cell of each scope instance.
-
-    rules have code and expression, perhaps scope. What a term leaves open (row, column, layer, table) it takes from the scope's
-    instance."""
-    rows = []
-    for rule in rules:
-        _, core = L.unwrap(L.parse_b(rule["expression"]))
-        if found := L.constraint(core):
-            rows += [(rule["code"], found[0], found[2], coef, cell, rule.get("scope") or "") for (_, cell), coef in found[1].items()]
-    return cell_terms(spark, rows)
-
-
-def cell_terms(spark: SparkSession, rows: list[tuple[str, str, float, float, L.Cell, str]]) -> DataFrame:
-    """The same from (code, kind, rhs, coef, cell, scope): the explode over scope rows, columns and layers is Spark's; what the driver holds is
-    a row for each single cell of a rule's text."""
-    flat = []
-    for code, kind, rhs, coef, cell, text in rows:
-        scope = L.parse_scope(text) or L.Cell()
-        flat += [(code, kind, rhs, coef, cell.t or scope.t, r, c, z, list(scope.r), list(scope.c), list(scope.z)) for r, c, z in cell.places()]
-    terms = spark.createDataFrame(flat, "code string, kind string, rhs double, coef double, tbl string, r string, c string, z string, sr array<string>, sc array<string>, sz array<string>")
+_TERMS = "code string, kind string, rhs double, coef double, tbl string, r string, c string, z string, sr array<string>, sc array<string>, sz array<string>, bar boolean"
+_TERM_KINDS = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.string(), *[pa.list_(pa.string())] * 3, pa.bool_()]
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each single cell of the linear rules (code, expression, scope): those of the comparison, and (bar) those inside absolute values."""
+    for b in batches:
+        rows = []
+        for code, text, scope in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+            _, core = L.unwrap(L.parse_b(text or ""))
+            if not (found := L.constraint(core)):
+                continue
+            at = L.parse_scope(scope or "") or L.Cell()
+            inside = dict.fromkeys(cell for n in L.walk(core) if isinstance(n, tuple) and n[0] == "call" and n[1] in ("abs", "iabs") for cell in L.cells(n))
+            cells = [(found[0], found[2], coef, cell, False) for (_, cell), coef in found[1].items()] + [("<=", 0.0, -1.0, cell, True) for cell in inside]
+            rows += [(code, kind, rhs, coef, cell.t or at.t, r, c, z, list(at.r), list(at.c), list(at.z), bar) for kind, rhs, coef, cell, bar in cells for r, c, z in cell.places()]
+        names = [x.split()[0] for x in _TERMS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), _TERM_KINDS, strict=True)], names=names)
+
+
+def terms_of(rules: DataFrame) -> DataFrame:
+    """RC5, RC17, JN16: (code, kind, rhs, inst, coef, tbl, r, c, z, bar) of linear rules (code, expression, scope), a row for each single cell of each scope instance; with bar, of cells inside absolute values (-x <= 0).
+
+    Rules are parsed by tasks, and the explode over the scope's rows, columns and layers is Spark's. What a term leaves open (row, column, layer, table) it takes from the scope's instance."""
+    terms = rules.select("code", "expression", F.coalesce("scope", F.lit("")).alias("scope")).mapInArrow(_terms, _TERMS)
     for axis in "rcz":
         terms = terms.select("*", F.explode_outer(f"s{axis}").alias(f"i{axis}"))
     inst = F.concat_ws("/", F.coalesce("ir", F.lit("-")), F.coalesce("ic", F.lit("-")), F.coalesce("iz", F.lit("-")))
-    return terms.select("code", "kind", "rhs", inst.alias("inst"), "coef", "tbl", *[F.coalesce(axis, f"i{axis}").alias(axis) for axis in "rcz"])
+    return terms.select("code", "kind", "rhs", inst.alias("inst"), "coef", "tbl", *[F.coalesce(axis, f"i{axis}").alias(axis) for axis in "rcz"], "bar")
+
+
+def rule_terms(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """The same of rules with code and expression, perhaps scope, without the bars."""
+    rows = [(r["code"], r["expression"], r.get("scope")) for r in rules]
+    return terms_of(spark.createDataFrame(rows, "code string, expression string, scope string")).where("NOT bar").drop("bar")
+
+
+FORMS = "code string, guarded boolean, target string, parts string, absent array<string>, bound string, op string, total double, nonlinear boolean"
+
+
+def _forms(dialect: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.float64(), pa.bool_()]
+        said = lambda leaf: leaf[1] if leaf[0] == "var" else "/".join(",".join(x) for x in (leaf[1].r, leaf[1].c, leaf[1].z))
+        for b in batches:
+            rows = []
+            for code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tree = L.parse_a(text) if dialect == "a" else L.parse_b(text)
+                condition, core = L.unwrap(tree)
+                target, parts, bound, test, total = L.derivation(core), L.aggregate_equality(core), L.const_bound(core), L.comparison(core), L.constant_sum(core)
+                rows.append((code, condition is not None, said(target[0]) if target else None, parts[1] if parts else None, [said(x) for x in L.must_be_absent(tree) if x[0] in ("var", "cell")], f"{bound[0]} {bound[1]} {bound[2]:g}" if bound else None, test[0] if test else None, total[1] if total else None, L.is_nonlinear(tree)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=[x.split()[0] for x in FORMS.split(", ")])
+
+    return run
+
+
+def forms(rules: DataFrame, dialect: str) -> DataFrame:
+    """RC8-RC12, RC16, RC20, FLT7: what is read off the texts of rules (code, expression), by tasks: guarded, derivation target (of a cell: row/column/layer), parts of a sum, absent ones, bound by a constant, comparison, constant sum."""
+    return rules.select("code", "expression").mapInArrow(_forms(dialect), FORMS)

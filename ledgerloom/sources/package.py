@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import table_refs
+from ..session import settled
 
 # functions go to the workers by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -219,19 +220,39 @@ def kind_of_workbook(sheets: list[str]) -> str:
 
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch.column(0):
+        for digest, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                 for name in z.namelist():
                     if not name.endswith("/"):
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["path", "content"])
+                        yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["package", "path", "content"])
+
+
+def ingest_all(packages: DataFrame, cache: str) -> DataFrame:
+    """CT1, SNK8: the files (package, path, content) of packages (path, content): package is the SHA-256 of the zip. cache is a table of a folder for each digest, in any store; only packages that it lacks are unpacked, a worker one
+    at a time, and added. Equal packages are one."""
+    spark = packages.sparkSession
+    told = settled(packages.select(F.sha2("content", 256).alias("package"), F.col("path").alias("_at")).groupBy("package").agg(F.min("_at").alias("_at")))
+    try:
+        known = spark.read.schema(_FILES).parquet(cache).select("package").distinct()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = told.select("package").limit(0)
+    new = settled(told.join(known, "package", "left_anti"))
+    if not new.isEmpty():
+        zips = packages.withColumn("_at", F.col("path")).join(new, "_at").select("package", "content")
+        zips.mapInArrow(_unzipped, _FILES).write.mode("append").partitionBy("package").parquet(cache)
+    return spark.read.schema(_FILES).parquet(cache).join(told.select("package"), "package", "left_semi")
+
+
+_FILES = "package string, path string, content binary"
 
 
 def ingest(spark: SparkSession, package: str, cache: str) -> tuple[str, DataFrame]:
-    """CT1, SNK8: a package's digest, and its files (path, content) as a table in the cache, named by that digest: unpacked only if new. Package and
-    cache may lie in any store; a worker unpacks a file at a time. Every source here takes such a table."""
-    zipped = spark.read.format("binaryFile").load(package).select("content")
-    digest = zipped.select(F.sha2("content", 256)).first()[0]
-    return digest, cached(spark, f"{cache.rstrip('/')}/{digest}", lambda: zipped.mapInArrow(_unzipped, "path string, content binary"))
+    """CT1: the digest of one package in any store, and its files (path, content)."""
+    zipped = spark.read.format("binaryFile").load(package).select("path", "content")
+    files = ingest_all(zipped, cache)
+    return zipped.select(F.sha2("content", 256)).first()[0], files.select("path", "content")
 
 
 def extract(package: str, cache: str) -> str:

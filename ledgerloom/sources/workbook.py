@@ -13,6 +13,7 @@ import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -73,6 +74,38 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["path", "sheet", "row", "col", "value"])
 
 
+def file_of(sheets: dict[str, list[list]]) -> bytes:
+    """An xlsx file of inline texts and numbers."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v or "")}</t></is></c>'
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{n}">' + "".join(map(cell, r)) + "</row>" for n, r in enumerate(rows, 1) if r) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for places in batch.column("places").to_pylist():
+            sheets: dict[str, list[list]] = {}
+            for p in sorted(places, key=lambda p: (p["sheet"], p["row"], p["col"])):
+                rows = sheets.setdefault(p["sheet"], [])
+                rows += [[] for _ in range(p["row"] + 1 - len(rows))]
+                rows[-1] += [""] * (p["col"] - len(rows[-1])) + [p["value"]]
+            made.append(file_of(sheets))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
+
+
+def files_of(table: DataFrame) -> DataFrame:
+    """(path, content): a workbook for each path of (path, sheet, row, col, value), written by tasks. A workbook is one zip file: its cells meet in one row."""
+    places = F.collect_list(F.struct("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value")).alias("places")
+    return table.groupBy("path").agg(places).mapInArrow(_written, "path string, content binary")
+
+
 def cells(files: DataFrame) -> DataFrame:
     """The cells of workbooks (path, content)."""
     return files.select("path", "content").mapInArrow(_read, CELLS)

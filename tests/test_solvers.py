@@ -108,9 +108,7 @@ def test_rows_over_present_cells(spark):
 
 
 def test_workbook_cells(spark, tmp_path):
-    from ledgerloom.queries import _workbook
-
-    (tmp_path / "b.xlsx").write_bytes(_workbook({"C01.00": [["x & y", 5], [], ["", "late"]], "Notes": [["n"]]}))
+    (tmp_path / "b.xlsx").write_bytes(workbook.file_of({"C01.00": [["x & y", 5], [], ["", "late"]], "Notes": [["n"]]}))
     t = workbook.read_workbooks(spark, str(tmp_path))
     assert sorted((r.sheet, r.row, r.col, r.value) for r in t.collect()) == [("C01.00", 0, 0, "x & y"), ("C01.00", 0, 1, "5"), ("C01.00", 2, 1, "late"), ("Notes", 0, 0, "n")]
     assert [r.kind for r in workbook.kinds(t).collect()] == ["annotated_templates"]
