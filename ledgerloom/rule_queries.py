@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .file_queries import _LAYOUT_SQL, layout_positions, text
 from .functions import keys as K
 from .functions import values as V
-from .operators import catalog, constraints, evaluate, graph, layout
+from .operators import catalog, constraints, evaluate, graph, layout, repair
 from .plans import compiler
 from .queries import query
 from .sources import package, star
@@ -182,3 +182,24 @@ def q_incidence(spark, d):
     t = star.table(spark, d, "lineitem").select(text("e", F.col("l_orderkey")).alias("code"), text("p", F.col("l_partkey")).alias("key"), (F.col("l_linenumber") - 4).cast("double").alias("coef"), F.lit("-").alias("inst"))
     t = evaluate.coefficients(t)
     return catalog.cheapest(t, F.lit(False)).join(catalog.incidence(t), "key").select("code", F.col("key").alias("cheapest"), "incidence")
+
+
+# Repair in rounds
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), f AS (SELECT o, n, min(least(v, 40000)) OVER (PARTITION BY o ORDER BY n DESC) AS v FROM l), t AS (SELECT o, sum(v::DECIMAL(18,2)) AS v FROM f GROUP BY 1)
+ SELECT 'l' || o || '.' || n AS key, v::DOUBLE AS value FROM f UNION ALL SELECT 't' || o, v::DOUBLE FROM t UNION ALL SELECT 'c' || o_custkey, sum(v)::DOUBLE FROM t JOIN orders ON o = o_orderkey GROUP BY o_custkey""")
+def q_repair_rounds(spark, d):
+    """DV1, DV5-DV7, DV30, CT11: lines of an order are to grow and not to pass a bound; where they don't, they are moved, and orders' and customers' totals follow. A round judges what the one before has touched."""
+    line = star.first_wins(star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+    key = lambda n: text("l", F.col("l_orderkey"), ".", n)
+    lines = line.select("l_orderkey", "l_linenumber", key(F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("value"))
+    orders = star.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")
+    total, whole = text("t", F.col("l_orderkey")), text("c", F.col("o_custkey"))
+    cells = lines.select("key", "value").unionByName(orders.select(text("t", F.col("o_orderkey")).alias("key"), F.lit(0.0).alias("value"))).unionByName(orders.select(whole.alias("key"), F.lit(0.0).alias("value")).distinct()).withColumn("decimals", F.lit(2))
+    term = lambda df, target, source: df.select(target.alias("target"), source.alias("source"), F.lit(-1.0).alias("coef"), F.lit(1.0).alias("target_coef"))
+    sums = term(lines, total, F.col("key")).unionByName(term(orders, whole, text("t", F.col("o_orderkey"))))
+    bounds = lines.select(text("b", F.col("key")).alias("rule"), "key", F.lit("<=").alias("op"), F.lit(40_000.0).alias("bound"))
+    follow = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    pairs = lines.select(text("p", F.col("key")).alias("rule"), F.col("key").alias("left_key"), F.lead("key").over(follow).alias("right_key"), F.lit(False).alias("strict")).where("right_key IS NOT NULL")
+    return repair.repair(cells, sums, bounds, pairs).cells.select("key", "value")
