@@ -132,6 +132,42 @@ def hierarchy(arcs: DataFrame) -> DataFrame:
     return a.join(a.groupBy("domain", "parent").agg(F.bool_or(F.col("kind") == "complete").alias("complete")), ["domain", "parent"])
 
 
+def leaf_weights(arcs: DataFrame) -> DataFrame:
+    """AG13, SRC22: (domain, ancestor, leaf, weight) of hierarchy arcs (domain, parent, child, weight): the product of weights on the way down, summed over all ways. A leaf has itself with weight 1.
+
+    It is the sparse closure of the arcs, a join for each level; members on or above a cycle have no total and no rows."""
+    from .graph import levels
+
+    a = settled(arcs.where("parent != child").groupBy("domain", "parent", "child").agg(F.first("weight").cast("double").alias("weight")))
+    state = lambda m: F.struct("domain", F.col(m).alias("m"))
+    placed = settled(levels(a.select(state("parent").alias("node"), state("child").alias("source"))).where("level IS NOT NULL").select("node.domain", F.col("node.m").alias("member"), "level"))
+    sound = settled(a.join(placed.select("domain", F.col("member").alias("parent")), ["domain", "parent"], "left_semi"))
+    leaves = settled(placed.where("level = 0").select("domain", F.col("member").alias("ancestor"), F.col("member").alias("leaf"), F.lit(1.0).alias("weight")))
+    out, front = leaves, leaves
+    top = placed.agg(F.max("level")).first()[0] or 0
+    for k in range(1, top + 1):
+        # a member of level k has its children below k: their weights are there
+        here = sound.join(placed.where(F.col("level") == k).select("domain", F.col("member").alias("parent")), ["domain", "parent"], "left_semi").withColumnRenamed("weight", "w")
+        below = out.select("domain", F.col("ancestor").alias("child"), "leaf", "weight")
+        front = settled(here.join(below, ["domain", "child"]).groupBy("domain", F.col("parent").alias("ancestor"), "leaf").agg(F.sum(F.col("w") * F.col("weight")).alias("weight")))
+        out = out.unionByName(front)
+    return out
+
+
+def weighted_totals(leaves: DataFrame, weights: DataFrame, by: list[str], member: str = "member", value: str = "value") -> DataFrame:
+    """AG13: the totals of all members of all levels over leaf facts (domain, member, value, and the columns `by`): one join and one aggregate."""
+    w = weights.select("domain", F.col("leaf").alias(member), "ancestor", "weight")
+    g = leaves.join(w, ["domain", member]).groupBy("domain", F.col("ancestor").alias(member), *by)
+    return g.agg(F.sum((F.col("weight") * F.col(value)).cast("decimal(38,6)")).cast("double").alias(value))
+
+
+def breakdown_verdicts(totals: DataFrame, reported: DataFrame, kinds: DataFrame, by: list[str], tolerance: float = 0.5) -> DataFrame:
+    """SRC22, AG13: reported totals (domain, member, value, by) held against their parts': a complete breakdown asks for equality, a partial one that the total is at least its parts, a superset at most. kinds: (domain, member, kind)."""
+    j = reported.join(totals.withColumnRenamed("value", "parts"), ["domain", "member", *by]).join(kinds, ["domain", "member"])
+    gap = F.col("value") - F.col("parts")
+    return j.withColumn("ok", F.when(F.col("kind") == "complete", F.abs(gap) <= tolerance).when(F.col("kind") == "partial", gap >= -tolerance).otherwise(gap <= tolerance))
+
+
 def marginals(leaves: DataFrame, dims: list[str], value: str, default: str = "x0") -> DataFrame:
     """AG13: totals over every set of dimensions, the default member for those that are summed over. One CUBE: one shuffle."""
     g = leaves.cube(*dims).agg(F.sum(value).alias(value))

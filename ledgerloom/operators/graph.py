@@ -73,10 +73,44 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def shared_cells(terms: DataFrame) -> DataFrame:
-    """Edges between equations (code, key) that share a cell: each equation with the first one of the cell, not with all others."""
-    first = terms.groupBy("key").agg(F.min("code").alias("a"))
-    return terms.join(first, "key").where("code != a").select("a", F.col("code").alias("b")).distinct()
+def strong_components(edges: DataFrame) -> DataFrame:
+    """DV3, DV28: (node, component) of the nodes that lie on cycles of (node, source) edges: the smallest node of those that reach each other.
+
+    Nodes that no cycle goes through are peeled off at both ends first. Of the rest each takes the smallest node that it can be reached from (colours spread until they stand), and within a colour those that also reach it
+    back are its component; they go, and what is left is coloured again. All components of a pass are found at once."""
+    e = settled(edges.where("node IS NOT NULL AND source IS NOT NULL").select("node", "source").distinct())
+    loops = e.where("node = source").select("node").distinct()
+    for _ in range(2):  # above a cycle, then below one
+        stuck = settled(levels(e).where("level IS NULL").select("node"))
+        e = settled(e.join(stuck, "node", "left_semi").join(stuck.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("source").alias("node"), F.col("node").alias("source")))
+    out = None
+    while not e.isEmpty():
+        colour = settled(e.select("node").union(e.select("source")).distinct().withColumn("c", F.col("node")))
+        while True:  # along an edge from node to source
+            spread = e.join(colour, "node").select(F.col("source").alias("node"), "c").unionByName(colour).groupBy("node").agg(F.min("c").alias("c"))
+            before, colour = colour, settled(spread)
+            same = colour.join(before.withColumnRenamed("c", "b"), "node").where("b != c").isEmpty()
+            forget(before)
+            if same:
+                break
+        inside = settled(e.join(colour, "node").join(colour.select(F.col("node").alias("source"), F.col("c").alias("d")), "source").where("c = d").select("node", "source", "c"))
+        found = front = settled(colour.where("node = c").select("node", "c"))
+        while True:  # back along edges
+            more = inside.join(front.select(F.col("node").alias("source"), "c"), ["source", "c"]).select("node", "c").distinct().join(found, ["node", "c"], "left_anti")
+            front = settled(more)
+            if front.isEmpty():
+                break
+            found = settled(found.unionByName(front))
+        part = found.select("node", F.col("c").alias("component"))
+        out = part if out is None else out.unionByName(part)
+        gone = found.select("node")
+        e = settled(e.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "source"), "source", "left_anti").select("node", "source"))
+    if out is None:
+        return loops.withColumn("component", F.col("node"))
+    sizes = out.groupBy("component").agg(F.count("*").alias("n"))
+    # a lone node between two cycles is none, unless it hangs on itself
+    some = out.join(sizes.where("n > 1").select("component"), "component", "left_semi").select("node", "component")
+    return some.unionByName(loops.join(some, "node", "left_anti").withColumn("component", F.col("node")))
 
 
 def dirty(parts: DataFrame, violated: DataFrame, most: int = 20_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .file_queries import _LAYOUT_SQL, layout_positions, text
 from .functions import keys as K
 from .functions import values as V
-from .operators import catalog, constraints, evaluate, graph, layout, repair
+from .operators import catalog, constraints, cube, derive, evaluate, graph, layout, repair
 from .plans import compiler
 from .queries import query
 from .sources import package, star
@@ -144,12 +144,16 @@ _CHAINS = """e AS (SELECT 'p' || a.p_partkey AS node, 'p' || b.p_partkey AS sour
 @query(f"WITH RECURSIVE {_CHAINS}, w(node, here, n) AS (SELECT node, source, 1 FROM e UNION ALL SELECT w.node, e.source, n + 1 FROM w JOIN e ON e.node = w.here WHERE n < 40) SELECT DISTINCT node FROM w WHERE n = 40")
 def q_cycles(spark, d):
     """DV3, DV28: nodes on a cycle or above one, of chains of ten parts: a third of them closed, a third ending in a closed one."""
+    return graph.cyclic(chains(spark, d))
+
+
+def chains(spark, d) -> DataFrame:
+    """(node, source): each part with the next one of its ten."""
     k = F.col("p_partkey")
     group = F.floor(k / 10) % 3
     parts = star.table(spark, d, "part").select(k)
     source = F.when(k % 10 < 9, k + 1).when(group == 0, k - 9).when(group == 1, k - 19)
-    e = parts.withColumn("to", source).join(parts.select(k.alias("to")), "to").select(text("p", k).alias("node"), text("p", F.col("to")).alias("source"))
-    return graph.cyclic(e)
+    return parts.withColumn("to", source).join(parts.select(k.alias("to")), "to").select(text("p", k).alias("node"), text("p", F.col("to")).alias("source"))
 
 
 _DEFS = "d AS (SELECT 'c' || l_linenumber % 3 AS code, 't' || l_orderkey AS target, CASE WHEN l_partkey % 7 = 0 THEN 't' || l_partkey ELSE 'p' || l_partkey END AS source, l_linenumber % 2 = 1 AS is_cross FROM lineitem WHERE l_partkey % 7 != 0 OR l_partkey < l_orderkey)"
@@ -203,3 +207,63 @@ def q_repair_rounds(spark, d):
     follow = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     pairs = lines.select(text("p", F.col("key")).alias("rule"), F.col("key").alias("left_key"), F.lead("key").over(follow).alias("right_key"), F.lit(False).alias("strict")).where("right_key IS NOT NULL")
     return repair.repair(cells, sums, bounds, pairs).cells.select("key", "value")
+
+
+@query(f"WITH {_CHAINS}, g AS (SELECT p_partkey // 10 AS g, min('p' || p_partkey) AS component FROM part WHERE p_partkey // 10 % 3 = 0 GROUP BY 1 HAVING count(*) = 10) SELECT 'p' || p_partkey AS node, component FROM part JOIN g ON p_partkey // 10 = g.g")
+def q_strong_components(spark, d):
+    """DV3, DV28: the chains of parts that are closed, each named by its smallest node; what leads into one is none."""
+    return graph.strong_components(chains(spark, d))
+
+
+@query("SELECT 'p' || p_partkey AS key, 2.0::DOUBLE AS value FROM part WHERE p_partkey // 10 % 3 = 0 AND p_partkey // 10 IN (SELECT p_partkey // 10 FROM part GROUP BY 1 HAVING count(*) = 10)")
+def q_derive_cycles(spark, d):
+    """DV3, DV4: each part of a closed chain is an eighth of the next one and 1.75: all settle at 2, whatever they start with."""
+    e = chains(spark, d)
+    one = e.select("node").distinct().select(F.col("node").alias("target"), F.lit("one").alias("source"), F.lit(-1.75).alias("coef"), F.lit(1.0).alias("target_coef"))
+    eighth = e.select(F.col("node").alias("target"), "source", F.lit(-0.125).alias("coef"), F.lit(1.0).alias("target_coef"))
+    start = star.table(spark, d, "part").select(text("p", F.col("p_partkey")).alias("key"), F.col("p_retailprice").alias("value")).unionByName(spark.range(1).select(F.lit("one").alias("key"), F.lit(1.0).alias("value")))
+    v = derive.derive_with_cycles(start, eighth.unionByName(one))
+    return v.where("cycle IS NOT NULL").select("key", F.round("value", 6).alias("value"))
+
+
+_TREE = """e AS (SELECT 'W' AS parent, 'R' || r_regionkey AS child, 1.0 AS w FROM region UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN -1.0 ELSE 1.0 END FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0.5 ELSE 1.0 END FROM customer)"""
+
+
+def geography(spark, d) -> DataFrame:
+    """(domain, parent, child, weight): world, regions, nations, customers."""
+    r, n, c = (star.table(spark, d, t) for t in ("region", "nation", "customer"))
+    row = lambda df, parent, child, weight: df.select(F.lit("GEO").alias("domain"), parent.alias("parent"), child.alias("child"), weight.cast("double").alias("weight"))
+    return (
+        row(r, F.lit("W"), text("R", F.col("r_regionkey")), F.lit(1))
+        .unionByName(row(n, text("R", F.col("n_regionkey")), text("N", F.col("n_nationkey")), F.when(F.col("n_nationkey") % 5 == 0, -1).otherwise(1)))
+        .unionByName(row(c, text("N", F.col("c_nationkey")), text("C", F.col("c_custkey")), F.when(F.col("c_custkey") % 7 == 0, 0.5).otherwise(1)))
+    )
+
+
+@query(f"""WITH RECURSIVE {_TREE}, t(top, at_, w) AS (SELECT parent, parent, 1.0::DOUBLE FROM e GROUP BY 1 UNION ALL SELECT top, child, t.w * e.w FROM t JOIN e ON e.parent = t.at_),
+f AS (SELECT 'C' || o_custkey AS m, o_orderstatus AS s, sum(o_totalprice::DECIMAL(18,2)) AS v FROM orders GROUP BY 1, 2),
+a AS (SELECT top AS member, s AS status, sum((t.w * v::DOUBLE)::DECIMAL(38,6)) AS parts FROM t JOIN f ON m = t.at_ GROUP BY 1, 2), k AS (SELECT member, status, parts, CASE WHEN member = 'W' THEN 'complete' WHEN member[1] = 'R' THEN 'partial' ELSE 'superset' END AS kind FROM a)
+SELECT member, status, kind, round(parts, 2)::DOUBLE AS parts, CASE kind WHEN 'complete' THEN abs(1) <= 0.5 WHEN 'partial' THEN 1 >= -0.5 ELSE 1 <= 0.5 END AS ok FROM k""")
+def q_weighted_totals(spark, d):
+    """AG13, SRC22: totals of a hierarchy of three levels with weights, of all members at once, and reported ones (a unit too much) held against them by the kind of their breakdown."""
+    leaves = star.table(spark, d, "orders").groupBy(text("C", F.col("o_custkey")).alias("member"), F.col("o_orderstatus").alias("status")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value")).withColumn("domain", F.lit("GEO"))
+    totals = cube.weighted_totals(leaves, cube.leaf_weights(geography(spark, d)), ["status"]).where("member NOT LIKE 'C%'")
+    kinds = totals.select("domain", "member").distinct().withColumn("kind", F.when(F.col("member") == "W", "complete").when(F.col("member").startswith("R"), "partial").otherwise("superset"))
+    v = cube.breakdown_verdicts(totals, totals.withColumn("value", F.col("value") + 1), kinds, ["status"])
+    return v.select("member", "status", "kind", F.round("parts", 2).alias("parts"), "ok")
+
+
+@query("""WITH w AS (SELECT c_custkey AS c, c_nationkey AS n, n_regionkey AS r, greatest(round_even(c_acctbal, 0), 0)::BIGINT AS w FROM customer JOIN nation ON c_nationkey = n_nationkey),
+rt AS (SELECT n_regionkey AS r, 1000003 + 17 * n_regionkey AS total FROM nation GROUP BY 1), nw AS (SELECT r, n, n * 10 + 1 AS w FROM (SELECT DISTINCT n_regionkey AS r, n_nationkey AS n FROM nation)),
+nf AS (SELECT r, n, total, (total * w) // sum(w) OVER (PARTITION BY r) AS f, row_number() OVER (PARTITION BY r ORDER BY n) AS k FROM nw JOIN rt USING (r)),
+na AS (SELECT n, r, (f + (k <= total - sum(f) OVER (PARTITION BY r))::INT)::BIGINT AS a FROM nf),
+cf AS (SELECT c, n, a, CASE WHEN sum(w) OVER (PARTITION BY n) > 0 THEN (a * w) // sum(w) OVER (PARTITION BY n) ELSE a // count(*) OVER (PARTITION BY n) END AS f, row_number() OVER (PARTITION BY n ORDER BY c) AS k FROM w JOIN na USING (n)),
+ca AS (SELECT c, (f + (k <= a - sum(f) OVER (PARTITION BY n))::INT)::BIGINT AS a FROM cf)
+SELECT 'R' || r AS key, total::BIGINT AS assigned, 0 AS depth FROM rt UNION ALL SELECT 'N' || n, a, 1 FROM na UNION ALL SELECT 'C' || c, a, 2 FROM ca""")
+def q_distribute_down(spark, d):
+    """DV25: whole totals of regions handed down to nations and customers, each level adding up to the unit."""
+    n, c = star.table(spark, d, "nation"), star.table(spark, d, "customer")
+    tree = n.select(text("R", F.col("n_regionkey")).alias("parent"), text("N", F.col("n_nationkey")).alias("child"), F.col("n_nationkey").cast("long").alias("ord")).unionByName(c.select(text("N", F.col("c_nationkey")).alias("parent"), text("C", F.col("c_custkey")).alias("child"), F.col("c_custkey").alias("ord")))
+    weights = n.select(text("N", F.col("n_nationkey")).alias("key"), (F.col("n_nationkey") * 10 + 1).cast("double").alias("value")).unionByName(c.select(text("C", F.col("c_custkey")).alias("key"), F.col("c_acctbal").alias("value")))
+    roots = n.select("n_regionkey").distinct().select(text("R", F.col("n_regionkey")).alias("key"), (F.col("n_regionkey") * 17 + 1_000_003).alias("total"))
+    return derive.distribute_down(tree, weights, roots)
