@@ -16,7 +16,7 @@ from .functions import keys as K
 from .operators import cube, layout
 from .queries import query
 from .session import settled, shared_dir
-from .sources import package, star, workbook
+from .sources import formula, package, star, workbook
 
 # functions go to the workers by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -272,3 +272,40 @@ def q_workbook_rules(spark, d):
     found = workbook.records(read, {"code": "ID", "T1": "T1", "T2": "T2", "expression": "Expression", "simplified": "Simplified", "scope": "Scope", "include": "Include", "deactivated": "Deactivated", "severity": "Severity"}, ["ID", "Expression"])
     r = package.workbook_rules(found)
     return r.select("code", "expression", F.array_join(F.array_sort("tables"), ",").alias("tables"), "deactivated")
+
+
+# Schemas
+
+
+def schema_files(spark, d) -> DataFrame:
+    """(path, content): a schema of metrics for each brand (one in three of an enumeration), one of members for each region, and a definition linkbase of the members, all with relative or absolute hrefs."""
+    p = star.table(spark, d, "part").select("p_partkey", "p_size", F.regexp_replace("p_brand", "[^0-9]", "").alias("b"))
+    k = F.col("p_partkey")
+    kind = F.element_at(F.lit(["xbrli:monetaryItemType", "enum:enumerationItemType", "num:percentItemType"]), (k % 3 + 1).cast("int"))
+    extra = F.when(k % 3 == 1, text(' enum:domain="x:R', k % 5, '" enum:linkrole="geo" enum:headUsable="', F.when(k % 2 == 0, "true").otherwise("false"), '"')).otherwise("")
+    metric = text('<xs:element name="m', k, '" id="id_m', k, '" type="', kind, '" substitutionGroup="xbrli:item" xbrli:periodType="', F.when(k % 4 == 0, "duration").otherwise("instant"), '"', F.when(k % 7 == 0, ' abstract="true"').otherwise(""), extra, "/>")
+    head = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:enum="http://xbrl.org/2014/extensible-enumerations" xmlns:m="urn:m" xmlns:x="urn:x" targetNamespace="urn:'
+    metrics = files(p.select(text("a.b/met/b", F.col("b"), ".xsd").alias("path"), metric.alias("piece")), head + 'm">', "</xs:schema>")
+    n, r = star.table(spark, d, "nation"), star.table(spark, d, "region")
+    element = lambda name: text('<xs:element name="', name, '" id="id_', name, '" substitutionGroup="xbrli:item" type="nonnum:domainItemType"/>')
+    region, nation = text("R", F.col("n_regionkey")), text("N", F.col("n_nationkey"))
+    members = n.select(text("a.b/dom/r", F.col("n_regionkey"), "/mem.xsd").alias("path"), element(nation).alias("piece")).unionByName(r.select(text("a.b/dom/r", F.col("r_regionkey"), "/mem.xsd").alias("path"), element(text("R", F.col("r_regionkey"))).alias("piece")))
+    far = F.when(F.col("n_nationkey") % 2 == 0, text("http://a.b/dom/r", F.col("n_regionkey"), "/mem.xsd#id_")).otherwise(text("./../r", F.col("n_regionkey"), "/mem.xsd#id_"))
+    loc = lambda label, href: text('<link:loc xlink:type="locator" xlink:href="', href, '" xlink:label="l_', label, '"/>')
+    path = text("a.b/dom/r", F.col("n_regionkey"), "/def.xml")
+    pieces = n.select(path.alias("path"), text(loc(nation, text(far, nation)), arc("domain-member", region, nation, F.when(F.col("n_nationkey") % 4 == 0, ' usable="false"').otherwise(""))).alias("piece"))
+    pieces = pieces.unionByName(n.select(path.alias("path"), loc(region, text("mem.xsd#id_", region)).alias("piece")).distinct())
+    links = files(pieces, f'{_LINKBASE}<link:definitionLink xlink:type="extended" xlink:role="geo">', "</link:definitionLink></link:linkbase>")
+    return metrics.unionByName(files(members, head + 'x">', "</xs:schema>")).unionByName(links)
+
+
+@query("""SELECT 'm:m' || p_partkey AS qname, (['MONETARY', 'ENUMERATION', 'PERCENTAGE'])[p_partkey % 3 + 1] AS datatype, CASE WHEN p_partkey % 4 = 0 THEN 'duration' ELSE 'instant' END AS period_type,
+ CASE WHEN p_partkey % 3 = 1 THEN (SELECT count(*) FROM nation WHERE n_regionkey = p_partkey % 5 AND n_nationkey % 4 != 0) + (p_partkey % 2 = 0)::INT ELSE 0 END::BIGINT AS allowed FROM part WHERE p_partkey % 7 != 0""")
+def q_schema_files(spark, d):
+    """SRC5-SRC8, SRC12, PRJ19: from schemas and linkbases alone to the dictionary's metrics, their datatypes and the values that their enumerations allow: hrefs resolved, unusable members passed over."""
+    made = settled(schema_files(spark, d))
+    declared = settled(package.declarations(made.where("path LIKE '%.xsd'")))
+    arcs = package.arcs_by_name(package.definition_arcs(package.links_of(made.where("path LIKE '%.xml'"))), package.href_index(declared), "qname")
+    metrics = formula.concepts(declared.where("prefix = 'm'"))
+    allowed = package.enumeration_members(declared, arcs).groupBy(F.col("metric").alias("qname")).agg(F.count("*").alias("allowed"))
+    return metrics.join(allowed, "qname", "left").select("qname", "datatype", "period_type", F.coalesce("allowed", F.lit(0).cast("long")).alias("allowed"))

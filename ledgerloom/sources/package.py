@@ -109,6 +109,73 @@ def hypercube_arcs(links: DataFrame) -> DataFrame:
     return definition_arcs(links).where("kind != 'dimension-default'").select("role", "kind", "from_id", "to_id", "target_role")
 
 
+_SCHEMA_ROWS = (
+    "path string, namespace string, prefix string, id string, name string, type string, substitutionGroup string, periodType string, balance string, abstract boolean, "
+    "domain string, linkrole string, head_usable boolean, typed_domain string"
+)
+
+
+def _declarations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _SCHEMA_ROWS.split(", ")]
+    kinds = [pa.bool_() if x.endswith("boolean") else pa.string() for x in _SCHEMA_ROWS.split(", ")]
+    xs, xbrli, enum, dt = "{http://www.w3.org/2001/XMLSchema}", "{http://www.xbrl.org/2003/instance}", "{http://xbrl.org/2014/extensible-enumerations}", "{http://xbrl.org/2005/xbrldt}"
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, spaces, target = [], {}, None
+            for event, x in ElementTree.iterparse(io.BytesIO(content.as_py()), ("start-ns", "start", "end")):
+                if event == "start-ns":
+                    spaces.setdefault(x[1], x[0])
+                elif event == "start":
+                    target = target or (x.get("targetNamespace") if x.tag == f"{xs}schema" else None)
+                elif x.tag == f"{xs}element" and x.get("name"):
+                    usable = x.get(f"{enum}headUsable")
+                    rows.append((path, target, spaces.get(target), x.get("id"), x.get("name"), x.get("type"), x.get("substitutionGroup"), x.get(f"{xbrli}periodType"), x.get(f"{xbrli}balance"), x.get("abstract") == "true",
+                                 x.get(f"{enum}domain"), x.get(f"{enum}linkrole"), None if usable is None else usable == "true", x.get(f"{dt}typedDomainRef")))
+                    x.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """SRC5: the elements that schemas (path, content) declare, streamed by tasks: what `formula.concepts` wants, their namespace, and what extensible enumerations and typed dimensions say."""
+    return files.select("path", "content").mapInArrow(_declarations, _SCHEMA_ROWS)
+
+
+def resolved(href: Column, path: Column) -> Column:
+    """SRC12, PRJ19: an href of the file at path as `path#id` from the root of the package: addresses without their scheme, others from the file's folder, `..` and `.` followed."""
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    whole = F.when(href.rlike("^https?://"), F.regexp_replace(href, "^https?://", "")).when(href.startswith("#"), F.concat(path, href)).otherwise(F.concat(folder, href))
+    file, fragment = F.substring_index(whole, "#", 1), F.when(whole.contains("#"), F.concat(F.lit("#"), F.substring_index(whole, "#", -1))).otherwise("")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(file, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when((x == ".") | (x == ""), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.array_join(parts, "/"), fragment)
+
+
+def href_index(declared: DataFrame) -> DataFrame:
+    """SRC5: (id, name, qname): declarations by `path#id`: Clark and prefixed names."""
+    at = declared.where("id IS NOT NULL").select(resolved(F.concat(F.lit("#"), F.col("id")), F.col("path")).alias("id"), F.concat(F.lit("{"), "namespace", F.lit("}"), "name").alias("name"), F.concat_ws(":", "prefix", "name").alias("qname"))
+    return at.dropDuplicates(["id"])
+
+
+def arcs_by_name(arcs: DataFrame, index: DataFrame, column: str = "name") -> DataFrame:
+    """definition_arcs whose ends have their names in place of hrefs; an end that no schema declares keeps its resolved href."""
+    for end in ("from_id", "to_id"):
+        known = index.select(F.col("id").alias("_h"), F.col(column).alias("_n"))
+        arcs = arcs.withColumn("_h", resolved(F.col(end), F.col("path"))).join(known, "_h", "left").withColumn(end, F.coalesce("_n", "_h")).drop("_h", "_n")
+    return arcs
+
+
+def enumeration_members(declared: DataFrame, arcs: DataFrame) -> DataFrame:
+    """SRC7, SRC8: (metric, member) by prefixed names: the usable members below the head that a metric's declaration names (domain, linkrole), the head too where it may be used. arcs: named definition arcs."""
+    from ..operators.cube import role_members
+
+    spec = settled(declared.where("domain IS NOT NULL").select(F.concat_ws(":", "prefix", "name").alias("metric"), "domain", "linkrole", F.coalesce("head_usable", F.lit(False)).alias("head_usable")))
+    edges = arcs.where("kind = 'domain-member'").withColumn("tbl", F.lit(""))
+    starts = spec.select(F.lit("").alias("tbl"), F.col("linkrole").alias("role"), F.col("domain").alias("id")).distinct()
+    usable = edges.groupBy(F.col("to_id").alias("member")).agg(F.bool_or("usable").alias("u"))
+    below = role_members(edges, starts).join(usable, "member").where("u").select(F.col("role").alias("linkrole"), F.col("id").alias("domain"), "member")
+    return spec.join(below, ["linkrole", "domain"]).select("metric", "member").unionByName(spec.where("head_usable").select("metric", F.col("domain").alias("member"))).distinct()
+
+
 def dimension_defaults(arcs: DataFrame) -> DataFrame:
     """SRC9: (dim, member) by href from definition_arcs. Of several, that of the greatest path stays: the last host wins."""
     found = arcs.where("kind = 'dimension-default'")

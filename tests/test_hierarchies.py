@@ -93,3 +93,9 @@ def test_layouts_of_breakdowns(spark):
     assert apart == [(1, "0010", "{urn:d}c", "{urn:d}A={urn:d}m"), (2, None, "{urn:d}c", ""), (3, None, "{urn:d}over", ""), (4, "0099", None, "")]
     both = said(layout.positions(links, codes))
     assert both == [(1, "0010", "{urn:d}over", "{urn:d}A={urn:d}m"), (2, "0010,0099", "{urn:d}c", "{urn:d}A={urn:d}m"), (3, None, "{urn:d}over", ""), (4, "0099", "{urn:d}c", "")]
+
+
+def test_hrefs_are_resolved_from_their_file(spark):
+    rows = [("p/q/a.xml", "b.xsd#x", "p/q/b.xsd#x"), ("p/q/a.xml", "../b.xsd#x", "p/b.xsd#x"), ("p/q/a.xml", "./../q/./b.xsd", "p/q/b.xsd"), ("p/q/a.xml", "http://w.x/y/b.xsd#z", "w.x/y/b.xsd#z"), ("p/q/a.xml", "#own", "p/q/a.xml#own"), ("a.xml", "../../b#c", "b#c")]
+    got = spark.createDataFrame(rows, "path string, href string, want string").select(package.resolved(F.col("href"), F.col("path")).alias("r"), "want").collect()
+    assert all(r.r == r.want for r in got)
