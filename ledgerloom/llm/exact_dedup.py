@@ -36,6 +36,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str | None = None, expected: int = 0, buckets: int | None = None):
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        self._recover()
         if not spark.catalog.tableExists(self.name):
             self.buckets = buckets or max(LEAST_BUCKETS, -(-expected // ROWS_A_BUCKET))
             self._write(spark.createDataFrame([], "digest string, keep_id long"), self.name, "errorifexists")
@@ -66,13 +67,28 @@ class DigestIndex:
             self.compact()
 
     def compact(self) -> None:
-        """One sorted file for each bucket."""
-        merged = f"{self.name}_{uuid.uuid4().hex[:8]}"
+        """One sorted file for each bucket. The merged table is written whole before the index's name passes to it; a driver that is lost at any step leaves
+        an index, which the next one to open it puts in order."""
+        merged, before = self._beside()
         # a new column, as rows of a table that lies in these buckets would not be dealt, only its files
         rows = self.table().select(F.concat("digest", F.lit("")).alias("digest"), "keep_id")
         self._write(self.dealt(rows), merged, "errorifexists")
-        self.drop()
+        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {before}")
         self.spark.sql(f"ALTER TABLE {merged} RENAME TO {self.name}")
+        self.spark.sql(f"DROP TABLE {before}")
+
+    def _beside(self) -> tuple[str, str]:
+        """The names of the merged table that is to come, and of the one that it takes the place of."""
+        return f"{self.name}_merged", f"{self.name}_before"
+
+    def _recover(self) -> None:
+        """What a lost compaction left: without an index of this name the one before it is the index; a merged table may be half written."""
+        merged, before = self._beside()
+        there = self.spark.catalog.tableExists
+        if there(before) and not there(self.name):
+            self.spark.sql(f"ALTER TABLE {before} RENAME TO {self.name}")
+        for name in (merged, before):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ledgerloom.llm import license_scan, pii, secrets, url_filter
+from ledgerloom.llm import exact_dedup, license_scan, pii, secrets, url_filter
 
 
 def test_ranks_settle_on_rings_and_reach_far_hosts(spark):
@@ -49,3 +49,33 @@ def test_short_notices_with_any_word_changed_are_found():
             if license_scan.align(template, own, 1, 8)[0] >= license_scan.MIN_COVERAGE * len(template):
                 assert found(text), (name, text)
     assert found("the under license mit " * 3) <= {"mit-line"} and not found("license " * 500)
+
+
+def test_an_index_outlives_a_driver_lost_while_it_compacts(spark, monkeypatch):
+    """Stopped before each of the steps in turn: the next one to open the index finds all digests, and compacts it."""
+    rows = lambda i: sorted((r.digest, r.keep_id) for r in i.table().collect())
+    for stop in range(3):
+        index = exact_dedup.DigestIndex(spark, f"lost_{stop}", buckets=2)
+        for k in range(3):
+            index.append(spark.createDataFrame([(f"d{k}{j}", k) for j in range(4)], "digest string, keep_id long"))
+        want, said = rows(index), []
+
+        def sql(self, text, *a, run=type(spark).sql, said=said, stop=stop, **b):
+            if text.startswith(("ALTER", "DROP TABLE lost")) and "IF EXISTS" not in text:
+                said.append(text)
+                if len(said) > stop:
+                    raise RuntimeError("lost")
+            return run(self, text, *a, **b)
+
+        with monkeypatch.context() as m:
+            m.setattr(type(spark), "sql", sql)
+            try:
+                index.compact()
+            except RuntimeError:
+                pass
+        again = exact_dedup.DigestIndex(spark, f"lost_{stop}")
+        assert len(said) == stop + 1 and rows(again) == want and again.buckets == 2
+        again.compact()
+        assert rows(again) == want and len(again.table().inputFiles()) <= 2
+        assert [t.name for t in spark.catalog.listTables() if t.name.startswith(f"lost_{stop}")] == [f"lost_{stop}"]
+        again.drop()
