@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .operators import cube, layout
-from .queries import query
+from .queries import ORACLE, query, written_instances
 from .session import settled, shared_dir
-from .sources import formula, package, star, workbook
+from .sources import formula, instance_xml, package, star, workbook
 
 # functions go to the workers by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -309,3 +309,14 @@ def q_schema_files(spark, d):
     metrics = formula.concepts(declared.where("prefix = 'm'"))
     allowed = package.enumeration_members(declared, arcs).groupBy(F.col("metric").alias("qname")).agg(F.count("*").alias("allowed"))
     return metrics.join(allowed, "qname", "left").select("qname", "datatype", "period_type", F.coalesce("allowed", F.lit(0).cast("long")).alias("allowed"))
+
+
+# Instances in splits
+
+
+@query(ORACLE["q_instances"])
+def q_large_instances(spark, d):
+    """SRC1, JN1: what q_instances reads, by splits of files: contexts and facts as two streams of rows, joined."""
+    facts = instance_xml.read_large_instances(spark, written_instances(spark, d), "*.txt")
+    up = facts.withColumn("module", F.regexp_extract("file", r"file=([^/]+)", 1))
+    return up.groupBy("module").agg(F.count("value_num").alias("facts"), F.count_distinct("ctx_id").alias("contexts"), F.sum(F.col("value_raw").cast("decimal(28,2)")).cast("double").alias("total"), F.max(F.size("dims") + F.size("typed")).alias("most_dims"), F.count_distinct(F.element_at("typed", "{http://d}YR")).alias("years"))

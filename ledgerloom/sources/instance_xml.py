@@ -14,12 +14,12 @@ from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import dim_key, template_of
 from ..operators.catalog import module_groups
-from ..session import bounded
+from ..session import bounded, settled
 
 # functions go to the workers by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -88,6 +88,78 @@ def read_instances(spark: SparkSession, path: str, pattern: str = "*.{xml,xbrl}"
     return f.withColumn("dim_key", dim_key(every)).withColumn("value_num", F.col("value_raw").try_cast("double"))
 
 
+def _forward(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """rows (file, block, at, ...) with the last non-null `value` at or before each row of its file. Within a block by a window; what a block begins with comes from the blocks before, a row for each block."""
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.where(F.col(value).isNotNull()).groupBy("file", "block").agg(F.max_by(value, "at").alias("_end"))
+    blocks = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("file", "block", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    return rows.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(carried, ["file", "block"]).withColumn(out, F.coalesce("_own", "_carried")).drop("_own", "_carried")
+
+
+def _plain(text: Column) -> Column:
+    """Text without the five named entities of XML."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+def read_large_instances(spark: SparkSession, path: str, pattern: str = "*.{xml,xbrl}") -> DataFrame:
+    """SRC1, JN1: what read_instances gives, of files of any size: a file is read by as many tasks as it has splits, and contexts and facts are two streams of rows that are joined.
+
+    Files are text whose records end at `</`: such a record holds the start tag and the text of one element without children, and the start tags around it. Facts are the records whose tag has a contextRef; a
+    context's dimensions and dates are the records after its start, found by the records' order (split, then place). For files in UTF-8 without CDATA sections, numeric entities, or comments and attributes that hold tags; others go to
+    read_instances."""
+    raw = spark.read.option("lineSep", "</").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    base = path.rstrip("/").rpartition("/")[2]
+    name = lambda c: F.coalesce(F.nullif(F.substring_index(c, f"/{base}/", -1), F.col(c)), F.substring_index(c, "/", -1))
+    r = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("x"))
+    r = settled(r.withColumn("file", name("_path")).drop("_path"))
+    # prefixes: of the start tags that declare some
+    declared = F.regexp_extract_all("x", F.lit(r'xmlns:([\w.-]+)\s*=\s*("[^"]*"|\'[^\']*\')'), F.lit(0))
+    spaces = r.where(F.col("x").contains("xmlns:")).select("file", F.explode(declared).alias("d")).select("file", F.regexp_extract("d", r"xmlns:([\w.-]+)", 1).alias("p"), F.regexp_extract("d", r"""["']([^"']*)["']""", 1).alias("u"))
+    spaces = spaces.groupBy("file").agg(F.map_from_entries(F.collect_set(F.struct("p", "u"))).alias("spaces"))
+    leaf = r"<([^\s<>/!?]+)((?:\s(?:[^<>]*[^<>/])?)?)>([^<]*)$"
+    part = lambda i: F.regexp_extract("x", leaf, i)
+    said = lambda column, key: F.nullif(F.regexp_extract(column, rf"""(?:^|\s)(?:[\w.-]+:)?{key}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    context = F.nullif(F.regexp_extract("x", r"""<(?:[\w.-]+:)?context\s[^<>]*?\bid\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    full = lambda q: F.when(F.try_element_at("spaces", F.substring_index(q, ":", 1)).isNotNull() & q.contains(":"), F.concat(F.lit("{"), F.try_element_at("spaces", F.substring_index(q, ":", 1)), F.lit("}"), F.substring_index(q, ":", -1))).otherwise(q)
+    local = lambda tag: F.substring_index(tag, ":", -1)
+
+    inside = _forward(r.withColumn("_c", context), "_c", "ctx_id").where("ctx_id IS NOT NULL")
+    typed = F.regexp_extract("x", r"""<(?:[\w.-]+:)?typedMember\s[^<>]*dimension\s*=\s*["']([^"']*)["'][^<>]*>\s*<[^<>]*>[^<]*$""", 1)
+    inside = inside.select("file", "ctx_id", local(part(1)).alias("tag"), said(part(2), "dimension").alias("dim"), F.nullif(typed, F.lit("")).alias("typed_dim"), _plain(part(3)).alias("text"), part(2).contains("contextRef").alias("fact"))
+    inside = inside.where(~F.col("fact") & (F.col("tag").isin("explicitMember", "instant", "endDate") | F.col("typed_dim").isNotNull())).join(F.broadcast(spaces), "file", "left")
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    contexts = inside.groupBy("file", "ctx_id").agg(
+        F.map_from_entries(F.collect_set(F.when(F.col("tag") == "explicitMember", pair(full(F.col("dim")), full(F.col("text")))))).alias("dims"),
+        F.map_from_entries(F.collect_set(F.when(F.col("typed_dim").isNotNull(), pair(full(F.col("typed_dim")), F.col("text"))))).alias("typed"),
+        F.coalesce(F.max(F.when(F.col("tag") == "instant", F.col("text"))), F.max(F.when(F.col("tag") == "endDate", F.col("text")))).alias("period"),
+    )
+
+    empty = F.regexp_extract_all("x", F.lit(r"<[^\s<>/!?]+\s[^<>]*contextRef[^<>]*/>"), F.lit(0))
+    own = F.when(part(2).contains("contextRef"), F.array(F.regexp_extract("x", leaf, 0))).otherwise(F.array().cast("array<string>"))
+    found = r.select("file", "block", "at", F.posexplode(F.concat(empty, own)).alias("nth", "e"))
+    tag = F.regexp_extract("e", r"^<([^\s<>/]+)", 1)
+    attributes = F.regexp_extract("e", r"^<[^\s<>/]+([^<>]*)", 1)
+    found = found.withColumn("tag", tag).withColumn("attributes", attributes).join(F.broadcast(spaces), "file", "left").withColumn("concept", full(F.col("tag"))).where(~F.col("concept").startswith(_F))
+    counts = found.groupBy("file", "block").agg(F.count("*").alias("n"))
+    skip = counts.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("skip"))
+    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("at", "nth")) - 1
+    facts = found.withColumn("_n", number).join(skip, ["file", "block"])
+    decimals = said("attributes", "decimals")
+    nil = F.coalesce(said("attributes", "nil").isin("true", "1"), F.lit(False))
+    facts = facts.select(
+        "file", (F.col("_n") + F.col("skip")).cast("long").alias("fact_id"), "concept", said("attributes", "contextRef").alias("ctx_id"), said("attributes", "unitRef").alias("unit"),
+        F.when(decimals.rlike("^-*[0-9]+$"), decimals.try_cast("int")).alias("decimals"), F.when(~nil, _plain(F.coalesce(F.nullif(F.regexp_extract("e", r">([^<]*)$", 1), F.lit("")), F.lit("")))).alias("value_raw"),
+    )
+    none = F.create_map().cast("map<string,string>")
+    f = facts.join(contexts, ["file", "ctx_id"], "left").withColumns({"dims": F.coalesce("dims", none), "typed": F.coalesce("typed", none)})
+    every = F.map_concat("dims", F.transform_values("typed", lambda _, v: F.concat(F.lit("typed:"), v)))
+    return f.select(*[x.split()[0] for x in SCHEMA.split(", ")]).withColumn("dim_key", dim_key(every)).withColumn("value_num", F.col("value_raw").try_cast("double"))
+
+
 def profile(facts: DataFrame) -> DataFrame:
     """SRC2, AG8: counts of facts, contexts, metrics, units, nil facts and the most dimensions of a fact."""
     return facts.agg(
