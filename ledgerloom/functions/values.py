@@ -54,7 +54,7 @@ def round_to_decimals(value: Column, decimals: Column) -> Column:
     text says and gives 2.67. At 0 and fewer places the quotient's tie decides."""
     d = F.coalesce(decimals, F.lit(2)).cast("double")
     scale = F.pow(F.lit(10.0), F.abs(d))
-    fine = F.abs(value * scale) < F.lit(2.0**52)  # beyond, a double has no finer places to lose
+    fine = F.abs(value * scale) < F.lit(2.0**53)  # beyond, a double has no finer places to lose
     return F.when(d > 0, F.when(fine, _whole(value, scale) / scale).otherwise(value)).otherwise(F.bround(value / scale) * scale)
 
 

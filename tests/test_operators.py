@@ -53,7 +53,7 @@ def test_inherited_aspects(spark):
 
 
 def test_unresolved_terms_and_labels(spark):
-    from ledgerloom.queries import positions
+    from tests.layouts import positions
 
     p = positions(spark)
     terms = spark.createDataFrame([("T1", "0010", "0010", None), ("T1", "9999", "0010", None)], "tbl string, r string, c string, z string")

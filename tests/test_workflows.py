@@ -82,7 +82,7 @@ def test_dictionary_from_schemas(spark):
 
 def test_jobs(spark):
     from ledgerloom.operators.cube import specs
-    from ledgerloom.queries import positions
+    from tests.layouts import positions
 
     sel = workflows.module_selection(positions(spark), spark.createDataFrame([("M", "T2"), ("N", "T1")], "module string, tbl string"), "M")
     assert [(r.tbl, r.key) for r in sel.collect()] == [("T2", "mA|RFL=N,SEG=BUILDING")]
