@@ -320,3 +320,33 @@ def q_large_instances(spark, d):
     facts = instance_xml.read_large_instances(spark, written_instances(spark, d), "*.txt")
     up = facts.withColumn("module", F.regexp_extract("file", r"file=([^/]+)", 1))
     return up.groupBy("module").agg(F.count("value_num").alias("facts"), F.count_distinct("ctx_id").alias("contexts"), F.sum(F.col("value_raw").cast("decimal(28,2)")).cast("double").alias("total"), F.max(F.size("dims") + F.size("typed")).alias("most_dims"), F.count_distinct(F.element_at("typed", "{http://d}YR")).alias("years"))
+
+
+# Rules of modules
+
+
+def module_files(spark, d) -> DataFrame:
+    """(path, content): a module schema for each brand, an assertion set for each of its sizes, a rule file for each part, and beside it an error file or a label file."""
+    p = star.table(spark, d, "part").select("p_partkey", "p_size", F.regexp_replace("p_brand", "[^0-9]", "").alias("b"))
+    k, b, n = F.col("p_partkey"), F.col("b"), F.col("p_size")
+    loc = lambda href, label: text('<link:loc xlink:type="locator" xlink:href="', href, '" xlink:label="', label, '"/>')
+    extended = f'{_LINKBASE}<gen:link xlink:type="extended" xlink:role="r">'
+    modules = files(p.select(text("p/mod/m", b, ".xsd").alias("path"), text('<link:linkbaseRef xlink:href="../val/aset-', b, "-", n, '.xml"/>').alias("piece")).distinct(), "<xs>", "</xs>")
+    aset = text("p/val/aset-", b, "-", n, ".xml").alias("path")
+    pieces = p.select(aset, text(loc(text("vr-v", k, ".xml#v", k), text("v", k)), loc(text("../tab/t/t", n, "-rend.xml"), "t"), F.when(n % 2 == 0, loc(text("../tab/u/u", b, "-rend.xml"), "u")).otherwise("")).alias("piece"))
+    sets = files(pieces, extended, "</gen:link></link:linkbase>")
+    severity = text('<gen:arc xlink:type="arc" xlink:arcrole="http://x/assertion-unsatisfied-severity" xlink:from="a" xlink:to="s"/>', loc(text("sev.xml#", F.when(k % 3 == 0, "WARNING").otherwise("ERROR")), "s"))
+    rules = files(p.select(text("p/val/vr-v", k, ".xml").alias("path"), text('<va:valueAssertion xlink:type="resource" xlink:label="a" id="v', k, '" test="$a = ', n, '"/>', severity).alias("piece")), extended.replace("<link:linkbase ", '<link:linkbase xmlns:va="urn:va" '), "</gen:link></link:linkbase>")
+    message = lambda role, said: text(f'<gen:message xlink:type="resource" xlink:label="m{role}" xlink:role="http://x/{role}">', said, "</gen:message>")
+    beside = p.select(F.explode(F.when(k % 2 == 0, F.array(F.lit("err"), F.lit("lab"))).otherwise(F.array(F.lit("lab")))).alias("f"), k)
+    told = files(beside.select(text("p/val/vr-v", k, "-", F.col("f"), "-en.xml").alias("path"), text(message("terseMessage", text("a short ", k)), message("message", text(F.col("f"), " {{$a}} of ", k))).alias("piece")), extended, "</gen:link></link:linkbase>")
+    return modules.unionByName(sets).unionByName(rules).unionByName(told)
+
+
+@query("""SELECT 'm' || regexp_replace(p_brand, '[^0-9]', '', 'g') AS module, 'v' || p_partkey AS code, CASE WHEN p_partkey % 3 = 0 THEN 'warning' ELSE 'error' END AS severity, '$a = ' || p_size AS test,
+ 'T' || p_size || CASE WHEN p_size % 2 = 0 THEN ',U' || regexp_replace(p_brand, '[^0-9]', '', 'g') ELSE '' END AS tables, CASE WHEN p_partkey % 2 = 0 THEN 'err' ELSE 'lab' END || ' {$a} of ' || p_partkey AS message FROM part""")
+def q_module_rule_files(spark, d):
+    """SRC19-SRC21: from the files of modules, assertion sets, rules and messages to each module's rules with their tables, severities and messages."""
+    made = settled(module_files(spark, d))
+    rules = package.rules_of_modules(made.where("path LIKE '%.xsd'"), settled(package.links_of(made.where("path LIKE '%.xml'"))))
+    return rules.select("module", "code", "severity", "test", F.array_join("tables", ",").alias("tables"), "message")

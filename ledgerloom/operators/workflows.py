@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import cell_key
+from ..functions.keys import cell_key, merge_aspects
+from ..session import settled
 from . import cube, derive, evaluate, generate, layout
 
 
@@ -64,6 +65,34 @@ def module_selection(positions: DataFrame, module_tables: DataFrame, module: str
     return layout.datapoints(positions.join(mine, "tbl", "left_semi"))
 
 
+def open_rows(positions: DataFrame, cubes: DataFrame, members: DataFrame, typed: DataFrame, defaults: dict[str, str], date: str = "2024-12-31") -> DataFrame:
+    """GN7: (tbl, key, concept, dims, synthetic) of tables whose rows are open: one row for each column and layer. An open typed dimension takes a value of its element's type (typed: dim, type), an
+    explicit one the first of its members (dim, ord, member) with which a cube of the facts' concept admits the cell; where none does, there is no row. cubes as `admission` wants them; tables that have closed rows are left alone."""
+    rows = positions.where("axis = 'y'")
+    closed = rows.where("open_dim IS NULL").select("tbl").distinct()
+    opened = settled(rows.where("open_dim IS NOT NULL").join(closed, "tbl", "left_anti").select("tbl", F.col("open_dim").alias("dim")).distinct())
+    kind = F.lower(F.substring_index("type", ":", -1))
+    said = F.when(kind == "date", date).when(kind == "datetime", f"{date}T00:00:00").when(kind == "gyear", date[:4]).when(kind == "gyearmonth", date[:7]).when(kind == "boolean", "true").otherwise("1")
+    fixed = opened.join(typed, "dim").select("tbl", "dim", F.lit(0).alias("ord"), said.alias("member"))
+    choice = settled(fixed.unionByName(opened.join(typed, "dim", "left_anti").join(members.select("dim", "ord", "member"), "dim").select("tbl", "dim", "ord", "member")))
+    cells = layout.datapoints(positions.where("axis != 'y'").join(opened.select("tbl").distinct(), "tbl", "left_semi")).select("tbl", F.col("key").alias("row_id"), "concept", "dims")
+    # the candidates of a cell: every combination of its dimensions' members, the first by their order
+    cells = cells.withColumns({"ords": F.array().cast("array<int>"), "open": F.create_map().cast("map<string,string>")})
+    number = F.dense_rank().over(Window.partitionBy("tbl").orderBy("dim"))
+    dims = settled(choice.withColumn("nth", number))
+    most = dims.agg(F.max("nth")).first()[0] or 0
+    of = opened.groupBy("tbl").agg(F.count("*").alias("wanted"))
+    for k in range(1, most + 1):
+        nth = dims.where(F.col("nth") == k).select("tbl", F.col("dim").alias("_d"), F.col("ord").alias("_o"), F.col("member").alias("_m"))
+        some = cells.join(nth, "tbl", "left")
+        more = F.map_concat("open", F.create_map("_d", "_m"))
+        cells = some.withColumn("open", F.when(F.col("_d").isNotNull(), more).otherwise(F.col("open"))).withColumn("ords", F.concat("ords", F.array(F.coalesce("_o", F.lit(0)).cast("int")))).drop("_d", "_o", "_m")
+    full = cells.join(of, "tbl").where(F.size("open") == F.col("wanted")).withColumn("dims", merge_aspects(F.col("dims"), F.col("open")))
+    full = settled(full.withColumn("key", cell_key(F.col("concept"), F.col("dims"))).withColumn("fact_id", F.concat_ws("\u0001", "tbl", "key")).withColumn("row", F.concat_ws("\u0001", "tbl", "row_id")))
+    first = cube.first_valid(full.select(F.col("row").alias("row_id"), F.col("ords").alias("ord"), "fact_id", "concept", "dims"), cubes, defaults)
+    return full.join(first.select("fact_id"), "fact_id", "left_semi").select("tbl", "key", "concept", "dims", F.lit(True).alias("synthetic"))
+
+
 def generate_valid(points: DataFrame, metrics: DataFrame, cubes: DataFrame, defaults: dict[str, str], derivations: DataFrame, forbidden: DataFrame, seed: str) -> DataFrame:
     """CT12: (key, value text) of a module: cells that a cube admits and no rule forbids get seeded values by datatype, and totals
     follow from their parts, so that additive rules hold by construction."""

@@ -17,11 +17,14 @@ ASSERTIONS = ("valueAssertion", "existenceAssertion", "consistencyAssertion")
 
 
 def lean_rules(links: DataFrame) -> DataFrame:
-    """SRC19: (path, rule, test, severity) of the assertions: nothing else of the file is needed. Severity: `warning` where the
-    rule's resources say so, else error."""
+    """SRC19: (path, rule, role, label, test, severity) of the assertions: nothing else of the file is needed. Severity: as the rule's resource says, else what its severity arc leads to, else error."""
     a = links.where("kind = 'resource'").where(F.col("tag").isin(*ASSERTIONS))
     get = lambda k: F.try_element_at("attributes", F.lit(k))
-    return a.select("path", F.coalesce("id", "label").alias("rule"), "role", "label", get("test").alias("test"), F.coalesce(F.lower(get("severity")), F.lit("error")).alias("severity"))
+    arcs = links.where("kind = 'arc' AND arcrole LIKE '%severity'").select("path", "role", F.col("source").alias("label"), "target")
+    ends = links.where("kind = 'locator'").select("path", "role", F.col("label").alias("target"), F.lower(F.substring_index("href", "#", -1)).alias("_severity"))
+    told = arcs.join(ends, ["path", "role", "target"]).groupBy("path", "role", "label").agg(F.min("_severity").alias("_severity"))
+    a = a.select("path", F.coalesce("id", "label").alias("rule"), "role", "label", get("test").alias("test"), F.lower(get("severity")).alias("severity"))
+    return a.join(told, ["path", "role", "label"], "left").select("path", "rule", "role", "label", "test", F.coalesce("severity", "_severity", F.lit("error")).alias("severity"))
 
 
 def variables(links: DataFrame) -> DataFrame:

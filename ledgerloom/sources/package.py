@@ -64,6 +64,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in link:
                     kind = x.get(f"{_L}type") or "other"
                     plain = {k.rpartition("}")[2]: v for k, v in x.attrib.items() if not k.startswith(_L)}
+                    if x.get(f"{_L}role"):
+                        plain["xlink:role"] = x.get(f"{_L}role")
                     text = "".join(x.itertext()).strip()
                     order = plain.get("order")
                     above = {c: e for e in x.iter() for c in e}
@@ -266,6 +268,54 @@ def module_rules(assertions: DataFrame, messages: DataFrame) -> DataFrame:
     return assertions.groupBy("code").agg(F.array_sort(F.collect_set("tbl")).alias("tables")).join(best, "code", "left")
 
 
+def assertion_sets(links: DataFrame) -> DataFrame:
+    """SRC20: (path, tbl, rules): the tables whose layouts an assertion set's locators name, each with each rule file that they name (resolved)."""
+    at = links.where("kind = 'locator'").select("path", resolved(F.col("href"), F.col("path")).alias("h")).withColumn("h", F.substring_index("h", "#", 1))
+    tables = at.where("h LIKE '%-rend.xml'").select("path", F.upper(F.regexp_extract("h", "([^/]+)-rend.xml$", 1)).alias("tbl")).distinct()
+    rules = at.where(F.col("h").rlike(r"/vr-[^/]+\.xml$") | F.col("h").rlike(r"^vr-[^/]+\.xml$")).select("path", F.col("h").alias("rules")).distinct()
+    return tables.join(rules, "path")
+
+
+def module_sets(files: DataFrame) -> DataFrame:
+    """SRC20: (module, path): the assertion sets that module schemas (path, content) refer to."""
+    refs = F.regexp_extract_all(F.col("content").cast("string"), F.lit(r'href="([^"]*aset[^"]*[.]xml)"'), F.lit(1))
+    found = files.select(F.regexp_extract("path", r"([^/]+)\.xsd$", 1).alias("module"), "path", F.explode(F.array_distinct(refs)).alias("h"))
+    return found.select("module", resolved(F.col("h"), F.col("path")).alias("path"))
+
+
+def messages(links: DataFrame) -> DataFrame:
+    """SRC21: (rules, message, origin, role): the messages of rule files from the error and label files that lie beside them; doubled braces are single ones."""
+    said = links.where("kind = 'resource' AND tag = 'message' AND text != ''")
+    file = r"^(.*)-(err|lab)-[a-z]+[.]xml$"
+    text = F.replace(F.replace("text", F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    origin = F.when(F.regexp_extract("path", file, 2) == "err", "error").otherwise("label")
+    role = F.coalesce(F.try_element_at("attributes", F.lit("xlink:role")), F.lit(""))
+    # the plain message comes before a terse one
+    return said.where(F.col("path").rlike(file)).select(F.concat(F.regexp_extract("path", file, 1), F.lit(".xml")).alias("rules"), text.alias("message"), origin.alias("origin"), F.when(role.endswith("/message"), "verbose").otherwise("terse").alias("role"))
+
+
+def rules_of_modules(schemas: DataFrame, links: DataFrame) -> DataFrame:
+    """SRC19-SRC21: (module, code, severity, test, tables, message) of the rules that modules enforce, from the files alone: module schemas (path, content) to assertion sets, those to rule files and tables; a rule's tables
+    are those of all of its sets, its message an error file's before a label file's."""
+    from .formula import lean_rules
+
+    sets = module_sets(schemas).join(assertion_sets(links), "path").select("module", "tbl", "rules").distinct()
+    rules = lean_rules(links).select(resolved(F.concat(F.lit("#"), F.lit("x")), F.col("path")).alias("rules"), F.col("rule").alias("code"), "severity", "test").withColumn("rules", F.substring_index("rules", "#", 1))
+    best = messages(links).groupBy("rules").agg(F.min_by("message", F.struct(F.when(F.col("origin") == "error", 0).otherwise(1), F.when(F.col("role") == "verbose", 0).otherwise(1), "message")).alias("message"))
+    of = sets.join(rules, "rules").join(best, "rules", "left")
+    return of.groupBy("module", "code").agg(F.min("severity").alias("severity"), F.min("test").alias("test"), F.array_sort(F.collect_set("tbl")).alias("tables"), F.min("message").alias("message"))
+
+
+def hierarchy_arcs(links: DataFrame) -> DataFrame:
+    """SRC22: (domain, parent, child, weight, kind) of member hierarchies: calculation arcs of breakdowns that are complete, partial or a superset. A member goes by what follows the last `_` of its id, a domain by the file's folder."""
+    loc = links.where("kind = 'locator'").select("path", "role", "label", F.substring_index(F.substring_index("href", "#", -1), "_", -1).alias("m"))
+    kind = F.regexp_extract("arcrole", "/(complete|partial|superset)-breakdown$", 1)
+    arc = links.where("kind = 'arc'").select("path", "role", "source", "target", kind.alias("kind"), F.coalesce(F.try_element_at("attributes", F.lit("weight")).try_cast("double"), F.lit(1.0)).alias("weight")).where("kind != ''")
+    a = arc.join(loc.withColumnsRenamed({"label": "source", "m": "parent"}), ["path", "role", "source"]).join(loc.withColumnsRenamed({"label": "target", "m": "child"}), ["path", "role", "target"])
+    domain = F.element_at(F.split("path", "/"), -2)
+    return a.withColumn("domain", domain).select("domain", "parent", "child", "weight", "kind").distinct()
+
+
 def sheet_datapoints(cells: DataFrame) -> DataFrame:
     """SRC17: datapoints of annotated sheets from raw cells (sheet, row, col, value): the header row has "Metrics", a data row's code stands in the first
     of the first ten columns that has two or more four-digit codes."""
@@ -304,11 +354,13 @@ def ingest_all(packages: DataFrame, cache: str) -> DataFrame:
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = told.select("package").limit(0)
-    new = settled(told.join(known, "package", "left_anti"))
+        known = None
+    new = told if known is None else settled(told.join(known, "package", "left_anti"))
     if not new.isEmpty():
         zips = packages.withColumn("_at", F.col("path")).join(new, "_at").select("package", "content")
         zips.mapInArrow(_unzipped, _FILES).write.mode("append").partitionBy("package").parquet(cache)
+    elif known is None:
+        return spark.createDataFrame([], _FILES)
     return spark.read.schema(_FILES).parquet(cache).join(told.select("package"), "package", "left_semi")
 
 

@@ -99,3 +99,24 @@ def test_hrefs_are_resolved_from_their_file(spark):
     rows = [("p/q/a.xml", "b.xsd#x", "p/q/b.xsd#x"), ("p/q/a.xml", "../b.xsd#x", "p/b.xsd#x"), ("p/q/a.xml", "./../q/./b.xsd", "p/q/b.xsd"), ("p/q/a.xml", "http://w.x/y/b.xsd#z", "w.x/y/b.xsd#z"), ("p/q/a.xml", "#own", "p/q/a.xml#own"), ("a.xml", "../../b#c", "b#c")]
     got = spark.createDataFrame(rows, "path string, href string, want string").select(package.resolved(F.col("href"), F.col("path")).alias("r"), "want").collect()
     assert all(r.r == r.want for r in got)
+
+
+def test_hierarchies_from_calculation_arcs(spark):
+    loc = "".join(f'<link:loc xlink:type="locator" xlink:href="mem.xsd#x_MC_{m}" xlink:label="l{m}"/>' for m in ("t", "a", "b"))
+    arc = lambda b, kind, more="": f'<link:calculationArc xlink:type="arc" xlink:arcrole="http://x/arcrole/{kind}" xlink:from="lt" xlink:to="l{b}" {more}/>'
+    text = f'<link:linkbase xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink"><link:calculationLink xlink:type="extended" xlink:role="r">{loc}{arc("a", "complete-breakdown", "weight=\'-1\'")}{arc("b", "superset-breakdown")}{arc("b", "other")}</link:calculationLink></link:linkbase>'
+    arcs = package.hierarchy_arcs(package.links_of(spark.createDataFrame([("dict/dom/mc/hier-cal.xml", bytearray(text.encode()))], "path string, content binary")))
+    assert sorted(tuple(r) for r in arcs.collect()) == [("mc", "t", "a", -1.0, "complete"), ("mc", "t", "b", 1.0, "superset")]
+
+
+def test_open_rows_are_made_where_a_cube_admits_them(spark):
+    """A typed and an explicit open dimension over two columns and two layers; the first member that is admitted; a table with closed rows."""
+    from ledgerloom.operators import workflows
+
+    positions = [("O", "x", 1, "m1", {}, None), ("O", "x", 2, "m2", {}, None), ("O", "z", 1, None, {"Z": "z1"}, None), ("O", "z", 2, None, {"Z": "z2"}, None), ("O", "y", 1, None, {}, "T"), ("O", "y", 2, None, {}, "E"), ("C", "x", 1, "m1", {}, None), ("C", "y", 1, None, {"A": "a"}, None), ("C", "y", 2, None, {}, "E")]
+    p = spark.createDataFrame(positions, "tbl string, axis string, ord int, concept string, dims map<string,string>, open_dim string").withColumn("code", F.lit(None).cast("string"))
+    members = spark.createDataFrame([("E", 1, "none"), ("E", 2, "e2"), ("E", 3, "e3")], "dim string, ord int, member string")
+    typed = spark.createDataFrame([("T", "xs:date")], "dim string, type string")
+    cubes = cube.specs(spark.createDataFrame([("O", "s", "m1")], "tbl string, spec string, concept string"), spark.createDataFrame([("O", "s", "T", None, True), ("O", "s", "E", "e2", False), ("O", "s", "E", "e3", False), ("O", "s", "Z", "z1", False), ("O", "s", "Z", "z2", False)], "tbl string, spec string, dim string, member string, typed boolean"))
+    got = workflows.open_rows(p, cubes, members, typed, {})
+    assert sorted((r.tbl, r.key, r.synthetic) for r in got.collect()) == [("O", f"m1|E=e2,T=2024-12-31,Z={z}", True) for z in ("z1", "z2")]

@@ -114,3 +114,16 @@ def test_stream_revalidates_what_it_touches(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "a", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.n, r.total) for r in windowed_counts(e).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_a_package_is_unpacked_once(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("a/t.xml", "<t/>")
+        z.writestr("a/", "")
+    cache = str(tmp_path / "cache")
+    first, second = (package.ingest(spark, str(tmp_path / "p.zip"), cache) for _ in range(2))
+    assert first[0] == second[0] and len(first[0]) == 64
+    assert [(r.path, bytes(r.content)) for r in second[1].collect()] == [("a/t.xml", b"<t/>")]
+    assert package.ingest_all(spark.createDataFrame([], "path string, content binary"), str(tmp_path / "none")).count() == 0
