@@ -2,7 +2,7 @@
 
 terms: (component, eq, key, coef, rhs, start, fixed) and perhaps kind (`=`, the default, or `<=`): a row for each cell of each equation
 sum coef * x = rhs. Components are independent. What one aggregate solves (an equation whose only unknown is in no other) is solved by one
-aggregate in DataFrames; coupled components go to the workers, many to a batch, as sparse rows. A component is a system of its own and has to fit in a worker:
+aggregate in DataFrames; least squares are conjugate gradients on the term table; other coupled components go to the workers, many to a batch, as sparse rows. Such a component is a system of its own and has to fit in a worker:
 of more than MOST_CELLS cells it is deferred and reported (consistent is null, starts stay); derive.derive_levels takes such a system level by level.
 
 Edge cases: a null start or right side counts as 0; a null coefficient is no term; a cell with several starts keeps the least; repeated terms add up; an equation without cells
@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import forget, settled
 
 # functions go to the workers by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -143,30 +143,6 @@ class System:
                 return False
         return True
 
-    def least_squares(self) -> tuple[np.ndarray, bool]:
-        """DV27: the values nearest to the starts for which the equations hold as well as they can, by conjugate gradients."""
-        x, move = self.start.copy(), ~self.fixed
-        r, c, v, b = self.sparse()
-        n, m = int(move.sum()), len(b)
-        if n and m:
-            forth = lambda z: np.bincount(r, v * z[c], m)
-            back = lambda y: np.bincount(c, v * y[r], n)
-            step, gap = np.zeros(n), b - forth(self.start[move])
-            g = back(gap)
-            d, size = g.copy(), g @ g
-            for _ in range(4 * (n + m)):
-                if size <= 1e-24 * max(1.0, b @ b):
-                    break
-                q = forth(d)
-                a = size / max(q @ q, 1e-300)
-                step += a * d
-                gap -= a * q
-                g = back(gap)
-                d = g + (g @ g) / size * d
-                size = g @ g
-            x[move] += step
-        return x, self.holds(x)
-
     def least_change(self, whole: bool = False) -> tuple[np.ndarray, bool]:
         """DV10-DV13: values of at least 0 for which equalities and `<=` rows hold, with the least sum of changes; where they can't all hold,
         with the least sum of misses. With whole, values are whole numbers: what comes out whole stays, of the others the nearer half is rounded, and the rest
@@ -286,7 +262,7 @@ def _gradients(times: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray,
     return x
 
 
-_METHODS = {"exact": System.exact, "least_squares": System.least_squares, "non_negative": System.least_change, "whole": lambda s: s.least_change(True)}
+_METHODS = {"exact": System.exact, "non_negative": System.least_change, "whole": lambda s: s.least_change(True)}
 
 
 def _solved(method: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -327,9 +303,60 @@ def lone_unknowns(terms: DataFrame) -> DataFrame:
     return g.where("e0 = e1 AND unknowns = 1 AND fits AND equal AND coef != 0").select("component", "key", value.alias("value"))
 
 
+def least_squares(terms: DataFrame, tolerance: float = 1e-12, rounds: int | None = None) -> DataFrame:
+    """DV27: (component, key, value, consistent): of all components, of any size, the values nearest to the starts for which the equations hold as well as they can.
+
+    Conjugate gradients on the term table: a round is two sparse products, each a join and an aggregate, with two sums for each component; a component goes when its gradient is this small against its
+    right sides, or when the rounds (twice its cells at most, if not given) are over. No component has to fit in a worker. consistent: each equation's gap against its largest part."""
+    t = _told(terms)
+    cells = settled(t.groupBy("component", "key").agg(F.min("start").alias("start"), F.bool_or("fixed").alias("fixed")))
+    # repeated terms add up; a cell that is fixed anywhere is fixed
+    a = settled(t.where("coef IS NOT NULL").groupBy("component", "eq", "key").agg(F.sum("coef").alias("coef")).join(cells, ["component", "key"]))
+    rights = t.groupBy("component", "eq").agg(F.max("rhs").alias("rhs"))
+    held = a.groupBy("component", "eq").agg(F.sum(F.col("coef") * F.col("start")).alias("_h"))
+    gaps = settled(rights.join(held, ["component", "eq"], "left").select("component", "eq", (F.col("rhs") - F.coalesce("_h", F.lit(0.0))).alias("gap")))
+    moving = settled(a.where("NOT fixed").select("component", "eq", "key", "coef"))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+
+    def down(g: DataFrame) -> DataFrame:
+        """The gradient: (component, key, g)."""
+        return moving.join(g, ["component", "eq"]).groupBy("component", "key").agg(F.sum(F.col("coef") * F.col("gap")).alias("g"))
+
+    goal = settled(gaps.groupBy("component").agg((F.greatest(F.lit(1e-12), square("gap")) * tolerance**2).alias("goal")))
+    now = settled(down(gaps).withColumns({"d": F.col("g"), "step": F.lit(0.0)}))
+    most = rounds or 2 * (now.groupBy("component").count().agg(F.max("count")).first()[0] or 0)
+    rest, ended = gaps, None
+    for _ in range(most):
+        size = now.groupBy("component").agg(square("g").alias("size")).join(goal, "component")
+        active = settled(size.where("size > goal").select("component", "size"))
+        # what has come to rest goes aside
+        over = settled(now.join(active.select("component"), "component", "left_anti").select("component", "key", "step"))
+        ended = over if ended is None else settled(ended.unionByName(over))
+        if active.isEmpty():
+            now = None
+            break
+        q = settled(moving.join(now.join(active.select("component"), "component", "left_semi").select("component", "key", "d"), ["component", "key"]).groupBy("component", "eq").agg(F.sum(F.col("coef") * F.col("d")).alias("q")))
+        alpha = settled(q.groupBy("component").agg(square("q").alias("qq")).join(active, "component").select("component", "size", F.coalesce(F.try_divide("size", "qq"), F.lit(0.0)).alias("alpha")))
+        before, rest = rest, settled(rest.join(q, ["component", "eq"]).join(alpha, "component").select("component", "eq", (F.col("gap") - F.col("alpha") * F.col("q")).alias("gap")))
+        new = settled(down(rest))
+        beta = new.groupBy("component").agg(square("g").alias("_n")).join(alpha, "component").select("component", "alpha", (F.col("_n") / F.col("size")).alias("beta"))
+        old = now.select("component", "key", F.col("d").alias("_d"), "step")
+        moved = settled(new.join(old, ["component", "key"]).join(beta, "component").select("component", "key", "g", (F.col("g") + F.col("beta") * F.col("_d")).alias("d"), (F.col("step") + F.col("alpha") * F.col("_d")).alias("step")))
+        forget(now, before if before is not gaps else None, q, alpha, new)
+        now = moved
+    steps = ended if now is None else now.select("component", "key", "step") if ended is None else ended.unionByName(now.select("component", "key", "step"))
+    values = settled(cells.join(steps, ["component", "key"], "left").select("component", "key", (F.col("start") + F.coalesce("step", F.lit(0.0))).alias("value")))
+    part = F.col("coef") * F.col("value")
+    judged = rights.join(a.select("component", "eq", "key", "coef").join(values, ["component", "key"]).groupBy("component", "eq").agg(F.sum(part).alias("sum"), F.max(F.abs(part)).alias("most")), ["component", "eq"], "left")
+    fits = F.abs(F.coalesce("sum", F.lit(0.0)) - F.col("rhs")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("rhs"), F.coalesce("most", F.lit(0.0)))
+    return values.join(judged.groupBy("component").agg(F.bool_and(fits).alias("consistent")), "component").select("component", "key", "value", "consistent")
+
+
 def solve(terms: DataFrame, method: str = "exact", most: int = MOST_CELLS) -> DataFrame:
     """(component, key, value, consistent) for each cell. method: exact, least_squares, non_negative (least change) or whole. consistent is null
-    in components above `most` cells, whose starts stay."""
+    in components above `most` cells, whose starts stay; least_squares takes components of any size."""
+    if method == "least_squares":
+        return least_squares(terms)
     t = _told(terms)
     kind = terms.schema["component"].dataType.simpleString()
     schema = f"component {kind}, key string, value double, consistent boolean"

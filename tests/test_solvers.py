@@ -60,8 +60,26 @@ def test_least_change_against_all_whole_points():
 def test_what_cannot_hold_is_reported():
     x, held = solve.System([("a", "x", 1.0, 5.0, 0.0, False, "="), ("b", "x", 1.0, 7.0, 0.0, False, "=")]).least_change()
     assert not held and 5 - 1e-6 <= x[0] <= 7 + 1e-6
-    x, held = solve.System([("a", "x", 1.0, 5.0, 0.0, False, "="), ("b", "x", 1.0, 7.0, 0.0, False, "=")]).least_squares()
-    assert not held and abs(x[0] - 6) < 1e-9
+
+
+def test_least_squares_against_dense_ones(spark):
+    """Components of a few equations, more or fewer than cells, fixed cells, and what can't hold, all at once."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for comp in range(12):
+        m, n = int(rng.integers(1, 4)), int(rng.integers(1, 5))
+        a, b, start, fixed = rng.integers(-3, 4, (m, n)).astype(float), rng.integers(-9, 10, m).astype(float), rng.integers(-5, 6, n) * 100.0, rng.random(n) < 0.2
+        rows += [(comp, f"e{i}", f"k{j}", float(a[i, j]), float(b[i]), float(start[j]), bool(fixed[j]), "=") for i in range(m) for j in range(n)]
+        free = a[:, ~fixed]
+        step = np.linalg.pinv(free) @ (b - a @ start) if free.size else np.zeros(0)
+        x = start.copy()
+        x[~fixed] += step
+        ok = bool((np.abs(a @ x - b) <= 1e-6 * np.maximum(1, np.maximum(np.abs(b), np.abs(a * x).max(1)))).all())
+        want |= {(comp, f"k{j}"): (x[j], ok) for j in range(n)}
+    got = {(r.component, r.key): (r.value, r.consistent) for r in solve.solve(spark.createDataFrame(rows, TERM).repartition(3), "least_squares").collect()}
+    assert got.keys() == want.keys() and {ok for _, ok in want.values()} == {True, False}
+    for k, (x, ok) in want.items():
+        assert got[k][0] == pytest.approx(x, abs=1e-6) and got[k][1] == ok, k
 
 
 def test_solve_with_nulls_and_without_rows(spark):
