@@ -104,7 +104,7 @@ def q_cube_from_arcs(spark, d):
     state = F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus"))
     dims = F.map_filter(F.create_map(F.lit("CUST"), cust, F.lit("ST"), F.when(state != "O", state), F.lit("PRIO"), F.when(F.col("o_orderpriority") < "3", F.col("o_orderpriority"))), lambda _, v: v.isNotNull())
     facts = o.select(F.col("o_orderkey").alias("fact_id"), text("TOTAL", F.col("o_custkey") % 6).alias("concept"), dims.alias("dims"), (F.col("o_custkey") % 6).alias("top"))
-    v = cube.admission(facts, settled(cube.cube_specs(cube_arcs(spark, d))), {"ST": "O"})
+    v = cube.admission_by_members(facts, *map(settled, cube.cube_rows(cube_arcs(spark, d))), {"ST": "O"})
     return facts.select("fact_id", "top").join(v, "fact_id").groupBy("top", "verdict").agg(F.count("*").alias("n"))
 
 

@@ -31,6 +31,26 @@ def admission(facts: DataFrame, cubes: DataFrame, defaults: dict[str, str]) -> D
     return seen.select("fact_id", F.when(F.col("fits"), "valid").when(F.col("primary"), "invalid").otherwise("metric-not-primary").alias("verdict"))
 
 
+def admission_by_members(facts: DataFrame, primaries: DataFrame, dims: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """EV6, EV7, JN17: `admission` for dimensions of many members: members are joined, not looked up in arrays, so that a fact costs a row for each of its dimensions however many members these have.
+    primaries and dims as `specs` wants them; each key in defaults has one default."""
+    known = dims.sparkSession.createDataFrame(sorted(defaults.items()), "dim string, _default string")
+    each = dims.join(bounded(known), "dim", "left").groupBy("tbl", "spec", "dim").agg(F.max("typed").alias("typed"), F.coalesce(F.bool_or(F.col("member") == F.col("_default")), F.lit(False)).alias("absent"))
+    names = lambda keep: F.collect_list(F.when(keep, F.col("dim")))
+    shape = each.groupBy("tbl", "spec").agg(names(F.lit(True)).alias("_all"), names(F.col("typed")).alias("_typed"), names(F.col("absent") & ~F.col("typed")).alias("_free"))
+    cubes = primaries.join(shape, ["tbl", "spec"], "left").withColumn("_cube", F.lit(True))
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    keys = F.map_keys("dims")
+    within = (F.size(F.array_except(keys, some("_all"))) == 0) & (F.size(F.array_except(F.array_except(some("_all"), some("_free")), keys)) == 0)
+    explicit = F.map_filter("dims", lambda k, _: ~F.array_contains(some("_typed"), k))
+    pairs = settled(facts.select("fact_id", "concept", "dims").join(bounded(cubes), "concept", "left").select("fact_id", "tbl", "spec", F.col("_cube").isNotNull().alias("primary"), (F.col("_cube").isNotNull() & within).alias("within"), explicit.alias("e")))
+    held = pairs.where(F.col("within") & (F.size("e") > 0)).select("fact_id", "tbl", "spec", F.size("e").alias("need"), F.explode(F.map_entries("e")).alias("m")).select("fact_id", "tbl", "spec", "need", F.col("m.key").alias("dim"), F.col("m.value").alias("member"))
+    members = dims.where("member IS NOT NULL AND NOT typed").select("tbl", "spec", "dim", "member").distinct()
+    fits = held.join(members, ["tbl", "spec", "dim", "member"], "left_semi").groupBy("fact_id", "tbl", "spec", "need").agg(F.count("*").alias("n")).where("n = need").select("fact_id").distinct().withColumn("_fits", F.lit(True))
+    seen = pairs.groupBy("fact_id").agg(F.bool_or("primary").alias("primary"), F.bool_or(F.col("within") & (F.size("e") == 0)).alias("plain")).join(fits, "fact_id", "left")
+    return seen.select("fact_id", F.when(F.col("_fits").isNotNull() | F.col("plain"), "valid").when(F.col("primary"), "invalid").otherwise("metric-not-primary").alias("verdict"))
+
+
 def valid_cells(points: DataFrame, cubes: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """EV8, CT9: datapoints (tbl, key, concept, dims) that a cube of their own table admits; tables without any cube keep all."""
     with_cube = cubes.select("tbl").distinct()
@@ -83,7 +103,12 @@ def role_members(arcs: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def cube_specs(arcs: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """SRC23, EV6: the hypercubes that `admission` wants, from dimensional arcs (tbl, role, kind, from_id, to_id, target_role): one for each role that has an `all` arc.
+    """SRC23, EV6: the hypercubes that `admission` wants, from dimensional arcs; see cube_rows."""
+    return specs(*cube_rows(arcs, names))
+
+
+def cube_rows(arcs: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC23, EV6: the hypercubes of dimensional arcs (tbl, role, kind, from_id, to_id, target_role), one for each role that has an `all` arc: primaries (tbl, spec, concept) and dims (tbl, spec, dim, member, typed).
 
     Its primaries are the arc's source and that one's members; its dimensions are those of the hypercubes that the arc leads to, with the members of their domains (a domain's head is none). Each kind of arc may
     lead to another role. A dimension without members takes any value (typed). names: (id, name), for ids that are called otherwise in facts; others go by what follows `#`."""
@@ -111,7 +136,7 @@ def cube_specs(arcs: DataFrame, names: DataFrame | None = None) -> DataFrame:
     allowed = dims.join(reached.withColumnRenamed("member", "m"), ["tbl", "role", "id"], "left").select("tbl", "spec", F.col("dim").alias("d"), "m")
     allowed = called(called(allowed, "d", "dim"), "m", "member").select("tbl", "spec", "dim", "member").distinct()
     typed = allowed.groupBy("tbl", "spec", "dim").agg(F.count("member").alias("n")).select("tbl", "spec", "dim", (F.col("n") == 0).alias("typed"))
-    return specs(primaries, allowed.join(typed, ["tbl", "spec", "dim"]))
+    return primaries, allowed.join(typed, ["tbl", "spec", "dim"])
 
 
 def descendants(edges: DataFrame, starts: DataFrame, leaves_only: bool = False) -> DataFrame:

@@ -120,3 +120,17 @@ def test_open_rows_are_made_where_a_cube_admits_them(spark):
     cubes = cube.specs(spark.createDataFrame([("O", "s", "m1")], "tbl string, spec string, concept string"), spark.createDataFrame([("O", "s", "T", None, True), ("O", "s", "E", "e2", False), ("O", "s", "E", "e3", False), ("O", "s", "Z", "z1", False), ("O", "s", "Z", "z2", False)], "tbl string, spec string, dim string, member string, typed boolean"))
     got = workflows.open_rows(p, cubes, members, typed, {})
     assert sorted((r.tbl, r.key, r.synthetic) for r in got.collect()) == [("O", f"m1|E=e2,T=2024-12-31,Z={z}", True) for z in ("z1", "z2")]
+
+
+def test_admission_by_members_is_admission(spark):
+    rng = random.Random(9)
+    primaries = [(f"T{s % 2}", f"s{s}", f"m{m}") for s in range(5) for m in range(4) if rng.random() < 0.6]
+    dims = [(f"T{s % 2}", f"s{s}", d, m, False) for s in range(4) for d in "AB" if rng.random() < 0.8 for m in ("x0", "x1", "x2") if rng.random() < 0.7] + [(f"T{s % 2}", f"s{s}", "T", None, True) for s in (0, 3)]
+    facts = [(i, f"m{rng.randint(0, 5)}", {d: rng.choice(["x0", "x1", "x2", "x9"]) for d in "ABT" if rng.random() < 0.5}) for i in range(300)]
+    p = spark.createDataFrame(primaries, "tbl string, spec string, concept string")
+    d = spark.createDataFrame(dims, "tbl string, spec string, dim string, member string, typed boolean")
+    f = spark.createDataFrame(facts, "fact_id int, concept string, dims map<string,string>")
+    told = lambda df: {r.fact_id: r.verdict for r in df.collect()}
+    one, two = told(cube.admission(f, cube.specs(p, d), {"A": "x0"})), told(cube.admission_by_members(f, p, d, {"A": "x0"}))
+    assert one == two and len(set(one.values())) == 3
+    assert told(cube.admission_by_members(f, p.limit(0), d.limit(0), {})) == {i: "metric-not-primary" for i in range(300)}
