@@ -181,6 +181,10 @@ def _slices(texts: list[str]) -> Iterator[list[tuple[int, int, list[str]]]]:
     part, size = [], 0
     for row, text in enumerate(texts):
         chunks, at = chunks_of(text), 0
+        if size + len(text) < CHARS_AT_ONCE:  # most texts fit whole
+            part.append((row, 0, chunks))
+            size += len(text)
+            continue
         while at < len(chunks):
             end = at
             while end < len(chunks) and size < CHARS_AT_ONCE:

@@ -159,7 +159,6 @@ def test_fingerprints(spark, docs, empty, tmp_path):
     for i, t in texts.items():
         by_text[t].add(out[i].fingerprint)
     assert all(len(f) == 1 for f in by_text.values())
-    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), f"{tmp_path}/none.parquet")
     (tmp_path / "e").mkdir()
     empty.select("doc_id", "text").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert fingerprints.op10_document_fingerprints(spark, f"{tmp_path}/e").count() == 0
