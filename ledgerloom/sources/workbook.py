@@ -1,12 +1,13 @@
 """Workbook files (xlsx) as tables of cells (SRC4, SRC15-SRC17, SRC28): (path, sheet, row, col, value), rows and columns from 0.
 
-A workbook is a zip of XML parts. Files come through Spark's binary scan, so they may lie in any store; a task holds one file at a time and
-streams its sheets. What the cells mean is DataFrame work: header rows, codes, rules.
+A workbook is a zip of XML parts. Files come through Spark's binary scan, so they may lie in any store; a task holds one file at a time, packed,
+and streams its sheets. What the cells mean is DataFrame work: header rows, codes, rules.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
 import sys
@@ -26,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELLS = "path string, sheet string, row int, col int, value string"
 _M, _R = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _REF = re.compile(r"([A-Z]+)([0-9]+)")
+#: Cells that a task holds before it hands them on.
+MOST_CELLS = 20_000
 
 
 def _place(ref: str) -> tuple[int, int]:
@@ -40,14 +43,22 @@ def read_file(content: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(sheet, row, col, value) of the cells that have a value. Numbers come as written; booleans as true and false."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         text = lambda x: "".join(t.text or "" for t in x.iter(f"{_M}t"))
-        shared = [text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_M}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            with book.open("xl/sharedStrings.xml") as stream:
+                for _, x in ElementTree.iterparse(stream):
+                    if x.tag == f"{_M}si":
+                        shared.append(text(x))
+                        x.clear()
         targets = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_M}sheet"):
             name = targets[sheet.get(f"{_R}id")]
             part = name.lstrip("/") if name.startswith("/") else posixpath.normpath(posixpath.join("xl", name))
             with book.open(part) as stream:
-                row = -1
+                row, data = -1, None
                 for event, x in ElementTree.iterparse(stream, ("start", "end")):
+                    if x.tag == f"{_M}sheetData" and event == "start":
+                        data = x
                     if x.tag == f"{_M}row" and event == "start":
                         row, col = int(x.get("r")) - 1 if x.get("r") else row + 1, -1
                     elif x.tag == f"{_M}c" and event == "end":
@@ -63,47 +74,93 @@ def read_file(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                             yield sheet.get("name"), row, col, value
                     elif x.tag == f"{_M}row" and event == "end":
                         x.clear()
+                        if data is not None:
+                            data.remove(x)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = [(path, *cell) for cell in read_file(content.as_py())]
-            columns = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["path", "sheet", "row", "col", "value"])
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            found = read_file(content.as_py())
+            while rows := list(itertools.islice(found, MOST_CELLS)):
+                columns = zip(*rows, strict=True)
+                sheet, row, col, value = (pa.array(c, kind) for c, kind in zip(columns, kinds[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.repeat(path, len(rows)), sheet, row, col, value], names=["path", "sheet", "row", "col", "value"])
+
+
+class _Book:
+    """An xlsx file of inline texts and numbers, written a row at a time: sheets one after the other, each row above the next."""
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def __init__(self):
+        self.out, self.names, self.part = io.BytesIO(), [], None
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+
+    def sheet(self, name: str) -> None:
+        self._close()
+        self.names.append(name)
+        self.part = self.zip.open(f"xl/worksheets/s{len(self.names)}.xml", "w", force_zip64=True)
+        self.part.write(f'<worksheet xmlns="{self.main}"><sheetData>'.encode())
+
+    def row(self, number: int, values: list) -> None:
+        """number: from 0."""
+        cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v or "")}</t></is></c>'
+        self.part.write((f'<row r="{number + 1}">' + "".join(map(cell, values)) + "</row>").encode())
+
+    def _close(self) -> None:
+        if self.part:
+            self.part.write(b"</sheetData></worksheet>")
+            self.part.close()
+
+    def content(self) -> bytes:
+        self._close()
+        named = list(enumerate(self.names, 1))
+        self.zip.writestr("xl/workbook.xml", f'<workbook xmlns="{self.main}" xmlns:r="{self.rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in named) + "</sheets></workbook>")
+        self.zip.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{self.rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i, _ in named) + "</Relationships>")
+        self.zip.close()
+        return self.out.getvalue()
 
 
 def file_of(sheets: dict[str, list[list]]) -> bytes:
     """An xlsx file of inline texts and numbers."""
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
-        for i, rows in enumerate(sheets.values(), 1):
-            cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v or "")}</t></is></c>'
-            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{n}">' + "".join(map(cell, r)) + "</row>" for n, r in enumerate(rows, 1) if r) + "</sheetData></worksheet>")
-    return out.getvalue()
+    book = _Book()
+    for name, rows in sheets.items():
+        book.sheet(name)
+        for n, r in enumerate(rows):
+            if r:
+                book.row(n, r)
+    return book.content()
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workbooks of cells that come sorted by path, sheet, row and column: a row is held, and the file as far as it is written, packed."""
+    book, at, values = None, (None, None, None), []
+    whole = lambda path, book: pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([book.content()], pa.binary())], names=["path", "content"])
     for batch in batches:
-        made = []
-        for places in batch.column("places").to_pylist():
-            sheets: dict[str, list[list]] = {}
-            for p in sorted(places, key=lambda p: (p["sheet"], p["row"], p["col"])):
-                rows = sheets.setdefault(p["sheet"], [])
-                rows += [[] for _ in range(p["row"] + 1 - len(rows))]
-                rows[-1] += [""] * (p["col"] - len(rows[-1])) + [p["value"]]
-            made.append(file_of(sheets))
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
+        for path, sheet, row, col, value in zip(*[batch.column(c).to_pylist() for c in ("path", "sheet", "row", "col", "value")], strict=True):
+            if (path, sheet, row) != at:
+                if values:
+                    book.row(at[2], values)
+                if book is None or path != at[0]:
+                    if book is not None:
+                        yield whole(at[0], book)
+                    book, at = _Book(), (path, None, None)
+                if sheet != at[1]:
+                    book.sheet(sheet)
+                at, values = (path, sheet, row), []
+            values += [""] * (col - len(values)) + [value]
+    if book is not None:
+        if values:
+            book.row(at[2], values)
+        yield whole(at[0], book)
 
 
 def files_of(table: DataFrame) -> DataFrame:
-    """(path, content): a workbook for each path of (path, sheet, row, col, value), written by tasks. A workbook is one zip file: its cells meet in one row."""
-    places = F.collect_list(F.struct("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value")).alias("places")
-    return table.groupBy("path").agg(places).mapInArrow(_written, "path string, content binary")
+    """(path, content): a workbook for each path of (path, sheet, row, col, value), written by tasks. A workbook is one zip file: a task gets its cells in order and writes them as they come."""
+    cells = table.select("path", "sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value")
+    return cells.repartition("path").sortWithinPartitions("path", "sheet", "row", "col").mapInArrow(_written, "path string, content binary")
 
 
 def cells(files: DataFrame) -> DataFrame:
