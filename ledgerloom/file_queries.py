@@ -170,7 +170,7 @@ def q_datapoints(spark, d):
 @query("SELECT 'n' || p_partkey AS node, lpad(p_partkey::VARCHAR, 8, '0') AS code FROM part")
 def q_node_codes(spark, d):
     """SRC12: the nodes of all layouts to their codes by locator, arc and label."""
-    links = package.links_of(layout_files(spark, d).where("path LIKE '%-lab-codes.xml'"))
+    links = settled(package.links_of(layout_files(spark, d).where("path LIKE '%-lab-codes.xml'")))
     return package.node_codes(links, "code").select("node", "code")
 
 
@@ -268,7 +268,7 @@ def q_workbook_rules(spark, d):
     cells = _sheet(p.select("p_brand").distinct(), path, F.lit(0), [F.lit(n) for n in names], "Rules")
     said = text("{t: A01.00, r: ", F.col("p_size"), "} = ")
     row = [text("v", k), F.when(k % 2 == 0, "B02.00").otherwise(""), F.lit(""), text(said, "1 + 1"), text(said, "2"), F.lit("scope({t: A01.00})"), F.lit("yes"), F.when(k % 3 == 0, "Y").otherwise("no"), F.lit("error")]
-    read = workbook.cells(workbook.files_of(cells.unionByName(_sheet(p, path, k + 1, row, "Rules"))))
+    read = settled(workbook.cells(workbook.files_of(cells.unionByName(_sheet(p, path, k + 1, row, "Rules")))))
     found = workbook.records(read, {"code": "ID", "T1": "T1", "T2": "T2", "expression": "Expression", "simplified": "Simplified", "scope": "Scope", "include": "Include", "deactivated": "Deactivated", "severity": "Severity"}, ["ID", "Expression"])
     r = package.workbook_rules(found)
     return r.select("code", "expression", F.array_join(F.array_sort("tables"), ",").alias("tables"), "deactivated")

@@ -31,50 +31,68 @@ _LINK_KINDS = [*[pa.string()] * 9, pa.float64(), pa.string(), pa.string(), pa.ma
 LINK_COLUMNS = ["path", "role", "kind", "tag", "id", "label", "source", "target", "arcrole", "ord", "href", "text", "attributes", "parts"]
 
 
-def _parsed(content: bytes) -> tuple[ElementTree.Element, dict[str, str]]:
-    """The root of a file and its namespaces by prefix."""
-    spaces, root = {}, None
-    for event, x in ElementTree.iterparse(io.BytesIO(content), ("start-ns", "start")):
+#: Rows of linkbases that a task holds before it hands them on.
+MOST_ROWS = 2_000
+
+
+def _rows(path: str, content: bytes) -> Iterator[tuple]:
+    """The rows of a file, one at a time: what stands below an extended link goes when its row is made, so that a file of any size takes what its text takes."""
+    spaces, above, outer = {}, [], []
+
+    def full(y) -> str:
+        """An element's text; a name (an element `qname` or `dimensionAspect`) with its namespace in place of its prefix."""
+        text = (y.text or "").strip()
+        return named(text) if y.tag.endswith(("}qname", "}dimensionAspect")) else text
+
+    def named(text: str) -> str:
+        prefix, colon, local = text.rpartition(":")
+        return f"{{{spaces[prefix]}}}{local}" if prefix in spaces else text
+
+    for event, x in ElementTree.iterparse(io.BytesIO(content), ("start-ns", "start", "end")):
         if event == "start-ns":
             spaces[x[0]] = x[1]
-        elif root is None:
-            root = x
-    return root, spaces
+            continue
+        if event == "start":
+            above.append(x)
+            if x.get(f"{_L}type") == "extended":
+                outer.append(x)
+            continue
+        above.pop()
+        if outer and outer[-1] is x:
+            outer.pop()
+        link = above[-1] if above else None
+        if link is not None and link.get(f"{_L}type") == "extended":
+            plain = {k.rpartition("}")[2]: v for k, v in x.attrib.items() if not k.startswith(_L)}
+            if x.get(f"{_L}role"):
+                plain["xlink:role"] = x.get(f"{_L}role")
+            text, parts, order = (x.text or "").strip(), [], plain.get("order")
+            if len(x):
+                text = "".join(x.itertext()).strip()
+                over = {c: e for e in x.iter() for c in e}
+                parts = [{"tag": y.tag.rpartition("}")[2], "text": f"{over[y].tag.rpartition('}')[2]}:{full(y)}"} for y in x.iter() if y is not x and len(y) == 0]
+                # a member that an attribute gives its dimension: the aspect of a layout's node
+                parts += [{"tag": y.tag.rpartition("}")[2], "text": f"aspect:{named(y.get('dimension'))}={full(q)}"} for y in x.iter() if y.get("dimension") for q in y.iter() if len(q) == 0 and q is not y]
+            yield (path, link.get(f"{_L}role"), x.get(f"{_L}type") or "other", x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None,
+                   x.get(f"{_L}href"), text, list(plain.items()), parts)
+        # an element within an outer link's child is still to be read with that child
+        if link is not None and (not outer or outer[0] is link):
+            link.remove(x)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _LINK_KINDS, strict=True)], names=LINK_COLUMNS)
+
+    rows = []
     for batch in batches:
-        rows = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root, spaces = _parsed(content)
-
-            def full(y, spaces=spaces) -> str:
-                """An element's text; a name (an element `qname` or `dimensionAspect`) with its namespace in place of its prefix."""
-                text = (y.text or "").strip()
-                return named(text) if y.tag.endswith(("}qname", "}dimensionAspect")) else text
-
-            def named(text: str, spaces=spaces) -> str:
-                prefix, colon, local = text.rpartition(":")
-                return f"{{{spaces[prefix]}}}{local}" if prefix in spaces else text
-
-            for link in root.iter():
-                if link.get(f"{_L}type") != "extended":
-                    continue
-                role = link.get(f"{_L}role")
-                for x in link:
-                    kind = x.get(f"{_L}type") or "other"
-                    plain = {k.rpartition("}")[2]: v for k, v in x.attrib.items() if not k.startswith(_L)}
-                    if x.get(f"{_L}role"):
-                        plain["xlink:role"] = x.get(f"{_L}role")
-                    text = "".join(x.itertext()).strip()
-                    order = plain.get("order")
-                    above = {c: e for e in x.iter() for c in e}
-                    parts = [{"tag": y.tag.rpartition("}")[2], "text": f"{above[y].tag.rpartition('}')[2]}:{full(y)}"} for y in x.iter() if y is not x and len(y) == 0]
-                    # a member that an attribute gives its dimension: the aspect of a layout's node
-                    parts += [{"tag": y.tag.rpartition("}")[2], "text": f"aspect:{named(y.get('dimension'))}={full(q)}"} for y in x.iter() if y.get("dimension") for q in y.iter() if len(q) == 0 and q is not y]
-                    rows.append((path, role, kind, x.tag.rpartition("}")[2], x.get("id"), x.get(f"{_L}label"), x.get(f"{_L}from"), x.get(f"{_L}to"), x.get(f"{_L}arcrole"), float(order) if order else None, x.get(f"{_L}href"), text, list(plain.items()), parts))
-        columns = zip(*rows, strict=True) if rows else ([] for _ in LINK_COLUMNS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _LINK_KINDS, strict=True)], names=LINK_COLUMNS)
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            for row in _rows(path.as_py(), content.as_py()):
+                rows.append(row)
+                if len(rows) >= MOST_ROWS:
+                    yield batch_of(rows)
+                    rows = []
+    if rows:
+        yield batch_of(rows)
 
 
 def linkbases(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
