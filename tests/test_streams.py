@@ -42,7 +42,7 @@ def test_linkbase_rows_of_nested_elements_and_links():
     rows = [r for b in package._links(iter([_batch(one)])) for r in b.to_pylist()]
     got = {(r["role"], r["tag"]): r for r in rows}
     assert set(got) == {("r", "n"), ("r", "in"), ("s", "loc")}
-    assert got["r", "n"]["parts"] == [{"tag": "qname", "text": "concept:{urn:q}c"}, {"tag": "qname", "text": "member:{urn:q}m"}, {"tag": "qname", "text": "aspect:{urn:q}d={urn:q}m"}]
+    assert got["r", "n"]["parts"] == [{"tag": "qname", "text": "concept:{urn:q}c"}, {"tag": "qname", "text": "member:{urn:q}m"}, {"tag": "f", "text": "aspect:{urn:q}d={urn:q}m"}]
     assert got["r", "n"]["ord"] == 2.0 and dict(got["r", "n"]["attributes"]) == {"order": "2", "xlink:role": "z"}
 
 
