@@ -34,21 +34,22 @@ def derive_with_cycles(values: DataFrame, terms: DataFrame, rounds: int = 50, to
     """DV3, DV4: derive_levels for definitions with cycles: (key, value, level, cycle, moved). Groups that define each other are one node of the order; their cells are set again and again
     from each other, all groups of a level at once, until none moves by more than the tolerance (of its largest cell) or the rounds are over. cycle names a cell's group; moved is how far a cell of it
     last moved: more than the tolerance says that the group has no fixed point that this finds."""
+    met = lambda table: table.hint("merge")  # as large as the cells: nothing of it goes through the driver
     groups = settled(strong_components(terms.select(F.col("target").alias("node"), "source")))
     of = lambda column: groups.select(F.col("node").alias(column), F.col("component").alias(f"_{column}"))
-    named = terms.join(of("target"), "target", "left").join(of("source"), "source", "left")
+    named = terms.join(met(of("target")), "target", "left").join(met(of("source")), "source", "left")
     named = settled(named.withColumn("group", F.coalesce("_target", "target")).withColumn("below", F.coalesce("_source", "source")))
     where = levels(named.where("group != below").select(F.col("group").alias("node"), F.col("below").alias("source")))
-    t = settled(named.join(where.withColumnRenamed("node", "group"), "group", "left").select("target", "source", "coef", "target_coef", F.coalesce("level", F.lit(0)).alias("level"), F.col("_target").alias("cycle")))
+    t = settled(named.join(met(where.withColumnRenamed("node", "group")), "group", "left").select("target", "source", "coef", "target_coef", F.coalesce("level", F.lit(0)).alias("level"), F.col("_target").alias("cycle")))
     top = t.agg(F.max("level")).first()[0]
     none = F.lit(None)
     now = settled(values.select("key", "value", F.lit(0).alias("level"), none.cast(groups.schema["component"].dataType).alias("cycle"), none.cast("double").alias("moved")))
 
     def derived(some: DataFrame, k: int) -> DataFrame:
-        v = some.join(now.select(F.col("key").alias("source"), "value"), "source", "left").groupBy("target")
+        v = some.join(met(now.select(F.col("key").alias("source"), "value")), "source", "left").groupBy("target")
         v = v.agg((-F.sum(F.col("coef") * F.coalesce("value", F.lit(0.0))) / F.first("target_coef")).alias("value"), F.max("cycle").alias("cycle"))
         old = now.select(F.col("key").alias("target"), F.col("value").alias("_old"))
-        return v.join(old, "target", "left").select(F.col("target").alias("key"), "value", F.lit(k).alias("level"), "cycle", F.when(F.col("cycle").isNotNull(), F.abs(F.col("value") - F.coalesce("_old", F.lit(0.0)))).alias("moved"))
+        return v.join(met(old), "target", "left").select(F.col("target").alias("key"), "value", F.lit(k).alias("level"), "cycle", F.when(F.col("cycle").isNotNull(), F.abs(F.col("value") - F.coalesce("_old", F.lit(0.0)))).alias("moved"))
 
     for k in range(0 if top is None else top + 1):
         here = settled(t.where(F.col("level") == k))
@@ -57,14 +58,14 @@ def derive_with_cycles(values: DataFrame, terms: DataFrame, rounds: int = 50, to
                 continue
             for _ in range(times):
                 new = settled(derived(some, k))
-                before, now = now, settled(now.join(new.select("key"), "key", "left_anti").unionByName(new))
+                before, now = now, settled(now.join(met(new.select("key")), "key", "left_anti").unionByName(new))
                 forget(before)
                 still = new.where(F.col("moved") > tolerance * F.greatest(F.lit(1.0), F.abs("value")))
                 if times > 1 and still.isEmpty():
                     break
             if times > 1:  # a group rests when none of its cells moves
                 last = new.groupBy("cycle").agg(F.max("moved").alias("_m"))
-                before, now = now, settled(now.join(last, "cycle", "left").select("key", "value", "level", "cycle", F.coalesce("_m", "moved").alias("moved")))
+                before, now = now, settled(now.join(met(last), "cycle", "left").select("key", "value", "level", "cycle", F.coalesce("_m", "moved").alias("moved")))
                 forget(before)
     return now
 

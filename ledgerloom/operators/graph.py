@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from ..session import HOT_SHARE, forget, settled
 
 
+def _met(table: DataFrame) -> DataFrame:
+    """A table of an iteration that may be as large as the graph: joined by merging, as it would go through the driver in each round as long as its file is small enough for a broadcast."""
+    return table.hint("merge")
+
+
 def levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """DV2, DV3: (node, level): leaves are 0, an aggregate is one above its highest source. edges: (node, source). Nodes on or
     above a cycle have a null level. A round settles a whole level: the rounds are the graph's depth. rounds, where given, is the
     depth that the caller expects at most; a graph that is deeper is an error, never cut."""
     e = settled(edges.where("node IS NOT NULL AND source IS NOT NULL").distinct())
     nodes = settled(e.select("node").unionByName(e.select(F.col("source").alias("node"))).distinct())
-    done = settled(nodes.join(e.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
+    done = settled(nodes.join(_met(e.select("node").distinct()), "node", "left_anti").withColumn("level", F.lit(0)))
     for k in itertools.count(1):
-        state = e.join(done.select("node").withColumnRenamed("node", "source").withColumn("_d", F.lit(1)), "source", "left")
+        state = e.join(_met(done.select("node").withColumnRenamed("node", "source").withColumn("_d", F.lit(1))), "source", "left")
         ready = state.groupBy("node").agg(F.bool_and(F.col("_d").isNotNull()).alias("ready")).where("ready").select("node")
-        new = settled(ready.join(done, "node", "left_anti").withColumn("level", F.lit(k)))
+        new = settled(ready.join(_met(done), "node", "left_anti").withColumn("level", F.lit(k)))
         if new.isEmpty():
             break
         if rounds is not None and k > rounds:
             raise RuntimeError(f"the graph is deeper than {rounds} levels")
         before, done = done, settled(done.unionByName(new))
         forget(before, new)
-    return nodes.join(done, "node", "left")
+    return nodes.join(_met(done), "node", "left")
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
@@ -82,21 +87,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     loops = e.where("node = source").select("node").distinct()
     for _ in range(2):  # above a cycle, then below one
         stuck = settled(levels(e).where("level IS NULL").select("node"))
-        e = settled(e.join(stuck, "node", "left_semi").join(stuck.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("source").alias("node"), F.col("node").alias("source")))
+        e = settled(e.join(_met(stuck), "node", "left_semi").join(_met(stuck.withColumnRenamed("node", "source")), "source", "left_semi").select(F.col("source").alias("node"), F.col("node").alias("source")))
     out = None
     while not e.isEmpty():
         colour = settled(e.select("node").union(e.select("source")).distinct().withColumn("c", F.col("node")))
         while True:  # along an edge from node to source
-            spread = e.join(colour, "node").select(F.col("source").alias("node"), "c").unionByName(colour).groupBy("node").agg(F.min("c").alias("c"))
+            spread = e.join(_met(colour), "node").select(F.col("source").alias("node"), "c").unionByName(colour).groupBy("node").agg(F.min("c").alias("c"))
             before, colour = colour, settled(spread)
-            same = colour.join(before.withColumnRenamed("c", "b"), "node").where("b != c").isEmpty()
+            same = colour.join(_met(before.withColumnRenamed("c", "b")), "node").where("b != c").isEmpty()
             forget(before)
             if same:
                 break
-        inside = settled(e.join(colour, "node").join(colour.select(F.col("node").alias("source"), F.col("c").alias("d")), "source").where("c = d").select("node", "source", "c"))
+        inside = settled(e.join(_met(colour), "node").join(_met(colour.select(F.col("node").alias("source"), F.col("c").alias("d"))), "source").where("c = d").select("node", "source", "c"))
         found = front = settled(colour.where("node = c").select("node", "c"))
         while True:  # back along edges
-            more = inside.join(front.select(F.col("node").alias("source"), "c"), ["source", "c"]).select("node", "c").distinct().join(found, ["node", "c"], "left_anti")
+            more = inside.join(_met(front.select(F.col("node").alias("source"), "c")), ["source", "c"]).select("node", "c").distinct().join(_met(found), ["node", "c"], "left_anti")
             front = settled(more)
             if front.isEmpty():
                 break
@@ -104,13 +109,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
         part = found.select("node", F.col("c").alias("component"))
         out = part if out is None else out.unionByName(part)
         gone = found.select("node")
-        e = settled(e.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "source"), "source", "left_anti").select("node", "source"))
+        e = settled(e.join(_met(gone), "node", "left_anti").join(_met(gone.withColumnRenamed("node", "source")), "source", "left_anti").select("node", "source"))
     if out is None:
         return loops.withColumn("component", F.col("node"))
     sizes = out.groupBy("component").agg(F.count("*").alias("n"))
     # a lone node between two cycles is none, unless it hangs on itself
-    some = out.join(sizes.where("n > 1").select("component"), "component", "left_semi").select("node", "component")
-    return some.unionByName(loops.join(some, "node", "left_anti").withColumn("component", F.col("node")))
+    some = out.join(_met(sizes.where("n > 1").select("component")), "component", "left_semi").select("node", "component")
+    return some.unionByName(loops.join(_met(some), "node", "left_anti").withColumn("component", F.col("node")))
 
 
 def dirty(parts: DataFrame, violated: DataFrame, most: int = 20_000) -> DataFrame:

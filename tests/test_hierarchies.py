@@ -134,3 +134,11 @@ def test_admission_by_members_is_admission(spark):
     one, two = told(cube.admission(f, cube.specs(p, d), {"A": "x0"})), told(cube.admission_by_members(f, p, d, {"A": "x0"}))
     assert one == two and len(set(one.values())) == 3
     assert told(cube.admission_by_members(f, p.limit(0), d.limit(0), {})) == {i: "metric-not-primary" for i in range(300)}
+
+
+def test_levels_send_no_table_through_the_driver(spark):
+    from ledgerloom.operators import graph
+
+    found = graph.levels(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x")], "node string, source string"))
+    assert {r.node: r.level for r in found.collect()} == {"a": 2, "b": 1, "c": 0, "x": None}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
