@@ -110,9 +110,15 @@ def nudge(pairs: DataFrame, leaves: DataFrame, step: float = 1000.0) -> DataFram
     leaf = leaves.select("key", F.lit(True).alias("_leaf")).distinct()
     v = pairs.where((F.col("left") > F.col("right")) | (F.col("strict") & (F.col("left") == F.col("right"))))
     v = v.join(leaf.withColumnsRenamed({"key": "left_key", "_leaf": "_l"}), "left_key", "left").join(leaf.withColumnsRenamed({"key": "right_key", "_leaf": "_r"}), "right_key", "left")
+    return moved_apart(v, F.col("_l"), F.col("_r"), step)
+
+
+def moved_apart(pairs: DataFrame, left_leaf: Column, right_leaf: Column, step: float = 1000.0, more: tuple[str, ...] = ()) -> DataFrame:
+    """The moves of `nudge` for violated pairs of which it is known which ends are leaves: (key, value, rule). more: what else to tell of the moved cell, from columns left_<name> and right_<name>."""
     gap = F.when(F.col("strict"), step).otherwise(0.0)
-    moved = v.select("rule", F.when(F.col("_l"), F.col("left_key")).when(F.col("_r"), F.col("right_key")).alias("key"), F.when(F.col("_l"), F.col("right") - gap).otherwise(F.col("left") + gap).alias("value")).where("key IS NOT NULL")
-    return moved.groupBy("key").agg(F.min_by("value", "rule").alias("value"), F.min("rule").alias("rule"))
+    side = lambda name: F.when(left_leaf, F.col(f"left_{name}")).when(right_leaf, F.col(f"right_{name}"))
+    moved = pairs.select("rule", side("key").alias("key"), F.when(left_leaf, F.col("right") - gap).otherwise(F.col("left") + gap).alias("value"), *[side(m).alias(m) for m in more]).where("key IS NOT NULL")
+    return moved.groupBy("key").agg(F.min_by("value", "rule").alias("value"), F.min("rule").alias("rule"), *[F.max(m).alias(m) for m in more])
 
 
 def one_hot(groups: DataFrame, by: list[str], order: list[str], total: Column) -> DataFrame:

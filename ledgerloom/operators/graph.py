@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import HOT_SHARE, forget, settled
 
+#: Tables of levels that are kept apart before they are written as one.
+MOST_PARTS = 16
+
 
 def _met(table: DataFrame) -> DataFrame:
     """A table of an iteration that may be as large as the graph: joined by merging, as it would go through the driver in each round as long as its file is small enough for a broadcast."""
@@ -17,22 +21,30 @@ def _met(table: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """DV2, DV3: (node, level): leaves are 0, an aggregate is one above its highest source. edges: (node, source). Nodes on or
-    above a cycle have a null level. A round settles a whole level: the rounds are the graph's depth. rounds, where given, is the
+    above a cycle have a null level. A round settles a whole level and drops the edges from it, so that the next one reads only what is left: the rounds are the graph's depth. rounds, where given, is the
     depth that the caller expects at most; a graph that is deeper is an error, never cut."""
-    e = settled(edges.where("node IS NOT NULL AND source IS NOT NULL").distinct())
-    nodes = settled(e.select("node").unionByName(e.select(F.col("source").alias("node"))).distinct())
-    done = settled(nodes.join(_met(e.select("node").distinct()), "node", "left_anti").withColumn("level", F.lit(0)))
+    e = settled(edges.where("node IS NOT NULL AND source IS NOT NULL").select("node", "source"))
+    waiting = settled(e.select("node").distinct())
+    known = settled(e.join(_met(waiting.select(F.col("node").alias("source"), F.lit(1).alias("_t"))), "source", "left"))
+    forget(e)
+    leaves = known.where("_t IS NULL").select(F.col("source").alias("node")).distinct().withColumn("level", F.lit(0))
+    placed, left = [], known.where("_t = 1").select("node", "source")
     for k in itertools.count(1):
-        state = e.join(_met(done.select("node").withColumnRenamed("node", "source").withColumn("_d", F.lit(1))), "source", "left")
-        ready = state.groupBy("node").agg(F.bool_and(F.col("_d").isNotNull()).alias("ready")).where("ready").select("node")
-        new = settled(ready.join(_met(done), "node", "left_anti").withColumn("level", F.lit(k)))
+        # left: edges from sources that are not placed; whose edges are all gone is placed
+        stuck = settled(left.select("node").distinct())
+        new = settled(waiting.join(_met(stuck), "node", "left_anti"))
+        forget(waiting)
+        waiting = stuck
         if new.isEmpty():
             break
         if rounds is not None and k > rounds:
             raise RuntimeError(f"the graph is deeper than {rounds} levels")
-        before, done = done, settled(done.unionByName(new))
-        forget(before, new)
-    return nodes.join(_met(done), "node", "left")
+        placed.append(new.withColumn("level", F.lit(k)))
+        before, left = left, settled(left.join(_met(new.withColumnRenamed("node", "source")), "source", "left_anti"))
+        forget(before)
+        if len(placed) > MOST_PARTS:
+            placed = [settled(functools.reduce(DataFrame.unionByName, placed))]
+    return functools.reduce(DataFrame.unionByName, placed, leaves).unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
 
 
 def cyclic(edges: DataFrame) -> DataFrame:

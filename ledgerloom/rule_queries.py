@@ -11,6 +11,7 @@ from .functions import values as V
 from .operators import catalog, constraints, cube, derive, evaluate, graph, layout, repair
 from .plans import compiler
 from .queries import query
+from .session import settled
 from .sources import package, star
 
 _KINDS = ["MONETARY", "INTEGER", "DATE", "BOOLEAN", "STRING", "DECIMAL", "PERCENTAGE"]
@@ -197,8 +198,8 @@ def q_repair_rounds(spark, d):
     """DV1, DV5-DV7, DV30, CT11: lines of an order are to grow and not to pass a bound; where they don't, they are moved, and orders' and customers' totals follow. A round judges what the one before has touched."""
     line = star.first_wins(star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
     key = lambda n: text("l", F.col("l_orderkey"), ".", n)
-    lines = line.select("l_orderkey", "l_linenumber", key(F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("value"))
-    orders = star.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")
+    lines = settled(line.select("l_orderkey", "l_linenumber", key(F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("value")))
+    orders = settled(star.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi"))
     total, whole = text("t", F.col("l_orderkey")), text("c", F.col("o_custkey"))
     cells = lines.select("key", "value").unionByName(orders.select(text("t", F.col("o_orderkey")).alias("key"), F.lit(0.0).alias("value"))).unionByName(orders.select(whole.alias("key"), F.lit(0.0).alias("value")).distinct()).withColumn("decimals", F.lit(2))
     term = lambda df, target, source: df.select(target.alias("target"), source.alias("source"), F.lit(-1.0).alias("coef"), F.lit(1.0).alias("target_coef"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerloom.operators import repair
+from ledgerloom.operators import graph, repair
 
 CELL, TERM = "key string, value double, decimals int", "target string, source string, coef double, target_coef double"
 BOUND, PAIR = "rule string, key string, op string, bound double", "rule string, left_key string, right_key string, strict boolean"
@@ -88,3 +88,24 @@ def test_nothing_to_repair(spark):
     empty = lambda schema: spark.createDataFrame([], schema)
     got = repair.repair(empty(CELL), empty(TERM), empty(BOUND), empty(PAIR))
     assert got.cells.isEmpty() and got.rounds == [{"judged": 0, "failing": 0, "moved": 0, "derived": 0}]
+
+
+def test_totals_without_constraints_are_derived_once(spark, monkeypatch):
+    """Two levels of totals above leaves that are moved in two rounds: no constraint lies on a total, so each level is derived once, of the leaves as they end."""
+    cells = [("a", 9.0, 0), ("b", 5.0, 0), ("c", 1.0, 0), ("t", 0.0, 0), ("u", 0.0, 0)]
+    terms = [("t", k, -1.0, 1.0) for k in "abc"] + [("u", "t", -2.0, 1.0)]
+    derived, plain = [], repair._derived
+    monkeypatch.setattr(repair, "_derived", lambda *a: (derived.extend(range(a[3], a[4] + 1)), plain(*a))[1])
+    got = repair.repair(spark.createDataFrame(cells, CELL), spark.createDataFrame(terms, TERM), spark.createDataFrame([], BOUND), spark.createDataFrame([("p1", "a", "b", False), ("p2", "b", "c", False)], PAIR))
+    assert {r.key: r.value for r in got.cells.collect()} == {"a": 1.0, "b": 1.0, "c": 1.0, "t": 3.0, "u": 6.0} and got.violated.isEmpty()
+    assert derived == [1, 2]
+
+
+def test_levels_read_what_is_left(spark, monkeypatch):
+    """Two hundred leaves under three totals: past the lowest level no table of a round holds a leaf again."""
+    sizes, plain = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (out := plain(df), sizes.append(out.count()))[0])
+    edges = [("t", f"l{i}") for i in range(200)] + [("u", "t"), ("v", "u"), ("x", "x")]
+    got = {r.node: r.level for r in graph.levels(spark.createDataFrame(edges, "node string, source string")).collect()}
+    assert got == {f"l{i}": 0 for i in range(200)} | {"t": 1, "u": 2, "v": 3, "x": None}
+    assert max(sizes[3:]) <= 4
