@@ -8,7 +8,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import HOT_SHARE, forget, settled
+from ..session import forget, lookup, settled
 
 #: Tables of levels that are kept apart before they are written as one.
 MOST_PARTS = 16
@@ -52,42 +52,40 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return levels(edges).where("level IS NULL").select("node")
 
 
-def _with_least(pairs: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): pairs with their u's smallest v. pairs: a settled table of so many rows.
-
-    A row meets the smallest of its node in one shuffle by node, which the aggregate and the join share. Hubs with a thousandth of all pairs (and 1,000), of which there
-    can be a thousand at most, are told apart by an aggregate with map-side combine; their rows are not shuffled but get their smallest by broadcast."""
-    floor = max(1000, int(total * HOT_SHARE))
-    hubs = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where(F.col("n") >= floor).select("u", "m").collect() if total >= floor else []
-    cold = pairs
-    if hubs:
-        hot = F.broadcast(pairs.sparkSession.createDataFrame(hubs, pairs.select("u", F.col("v").alias("m")).schema))
-        cold = pairs.join(hot.select("u"), "u", "left_anti")
-    dealt = cold.repartition("u")
-    out = dealt.join(dealt.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
-    return out.unionByName(pairs.join(hot, "u")) if hubs else out
+def _followed(steps: DataFrame, there: DataFrame, p: str = "p", how: str = "inner") -> DataFrame:
+    """steps with q: where the node that column p names points to in there (u, p). Both are settled. Nodes that a thousandth of all steps name are looked up by broadcast."""
+    held = steps.groupBy(p).agg(F.count("*").alias("_n"))
+    to = settled(held.join(_met(there.select(F.col("u").alias(p), F.col("p").alias("q"))), p))
+    return lookup(steps, to, p, "_n", steps.count(), how).drop("_n")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """DV14, DV15: (node, component): the smallest node that edges connect it to, for each node of an edge between two nodes.
 
-    Alternating star contraction: each round hangs every node's larger neighbours on its smallest, then its smaller ones, so path lengths
-    halve and the rounds are logarithmic; it ends when a round changes nothing. A round is two shuffles. Self-loops and nulls are left out."""
-    e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    told = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    size, seen = told(e), None
-    while size[0] and size != seen:
-        seen = size
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * size[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = settled(large.distinct())
-        placed = _with_least(large, large.count())
-        # a node's own edge to its smallest, and from its other neighbours to that
-        out = placed.select(F.when(F.col("v") > F.col("m"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))).otherwise(F.struct("u", F.col("m").alias("v"))).alias("x"))
-        before, e = e, settled(out.select("x.*").distinct())
-        forget(before, large)
-        size = told(e)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    Contraction: each node points to its smallest neighbour. Two nodes that point at each other are the only cycle that this can make, and the smaller one is the least of all nodes that lead there: it is their root, found
+    by following pointers of pointers, on tables of nodes. Edges are told between roots, those within one go; the nodes with an edge are halved at least by a round, in dense graphs almost all edges go in the first.
+    A round shuffles the edges once for each end. Self-loops and nulls are left out."""
+    e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v"))
+    found = None
+    while size := e.count():
+        near = settled(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("p"), F.count("*").alias("n")))
+        root = settled(_followed(near, near).select("u", F.when((F.col("q") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p"), "n"))
+        forget(near)
+        while True:
+            before, root = root, settled(_followed(root, root).select("u", F.col("q").alias("p"), "n", (F.col("p") != F.col("q")).alias("moved")))
+            forget(before)
+            if root.where("moved").isEmpty():
+                break
+        end = lambda c: root.select(F.col("u").alias(c), F.col("p").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))  # noqa: B023, E731
+        half = settled(lookup(e, end("u"), "u", "_nu", size, "inner").select("_u", "v"))
+        whole = lookup(half, end("v"), "v", "_nv", size, "inner").where("_u != _v")
+        before, e = e, settled(whole.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct())
+        forget(before, half)
+        if found is None:
+            found = root.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            found = settled(_followed(found, root, "component", "left").select("node", F.coalesce("q", "component").alias("component")))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")) if found is None else found
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

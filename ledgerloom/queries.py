@@ -405,7 +405,7 @@ _COMPONENTS = (
 def parts_graph(spark: SparkSession, d: str) -> DataFrame:
     """Which supplier delivers which part, over all lines."""
     line = star.table(spark, d, "lineitem")
-    return line.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    return line.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
 
 
 @query(f"WITH {_COMPONENTS} SELECT node, component FROM comp")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from ledgerloom import queries as core
+from ledgerloom.operators import graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +64,24 @@ def test_log_fix_binds_every_order(spark, tables):
     got = {(r.rule, r.src_line): r.fixed for r in core.q_log_fix(spark, DATA).collect()}
     want = {("total", k * 10): float(e) for k, e in tables.execute(f"SELECT l_orderkey, sum(e) FROM ({LINES}) GROUP BY 1").fetchall()}
     assert got == want and any(line >= 2000 for _, line in got)
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_components_shuffle_edges_once_for_each_end(spark):
+    """A dense graph of 12,000 edges in two components, and a path against the order of the names: few more rows are shuffled than each edge for each of its ends."""
+    edges = [(f"s{c}-{i:03}", f"p{c}-{j:03}") for c in (1, 2) for i in range(100) for j in range(100) if (i * j + i + c) % 5 < 3]
+    path = [(f"w{i * 37 % 64:02}", f"w{(i + 1) * 37 % 64:02}") for i in range(63)]
+    df = spark.createDataFrame(edges + path, "a string, b string").coalesce(1).cache()
+    assert df.count() == len(edges) + 63
+    before = shuffled_rows(spark)
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert got == union_find(edges + path)
+    assert sum(n for k, n in shuffled_rows(spark).items() if k not in before) < 3.5 * len(edges)
