@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import dim_key
 from ..plans import shapes
-from ..session import bounded, settled
+from ..session import bounded, dealt, settled
 from ..sources.formula import Rule
 
 
@@ -131,9 +131,10 @@ def lone_targets(terms: DataFrame, facts: DataFrame) -> DataFrame:
 def log_fixes(lines: DataFrame, facts: DataFrame, targets: DataFrame) -> DataFrame:
     """JN9, DV22: reported bindings (rule, line array) joined to facts by source line; where exactly one of them is the rule's target
     concept (targets: rule, concept), it becomes the sum of the others."""
-    e = lines.withColumn("hit", F.monotonically_increasing_id()).select("rule", "hit", F.explode("lines").alias("src_line"))
-    j = e.join(facts.select("src_line", "concept", "value"), "src_line").join(targets.withColumnRenamed("concept", "t"), "rule")
-    g = j.groupBy("rule", "hit").agg(F.count(F.when(F.col("concept") == F.col("t"), 1)).alias("n"), F.max(F.when(F.col("concept") == F.col("t"), F.col("src_line"))).alias("src_line"), F.sum(F.when(F.col("concept") != F.col("t"), F.col("value"))).alias("fixed"))
+    n = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
+    e = dealt(lines.withColumn("hit", F.monotonically_increasing_id()).select("rule", "hit", F.explode("lines").alias("src_line")), "src_line", n)
+    j = e.join(facts.select("src_line", "concept", "value"), "src_line").join(bounded(targets.withColumnRenamed("concept", "t")), "rule")
+    g = dealt(j, "hit", n).groupBy("rule", "hit").agg(F.count(F.when(F.col("concept") == F.col("t"), 1)).alias("n"), F.max(F.when(F.col("concept") == F.col("t"), F.col("src_line"))).alias("src_line"), F.sum(F.when(F.col("concept") != F.col("t"), F.col("value"))).alias("fixed"))
     return g.where("n = 1 AND fixed IS NOT NULL").select("rule", "src_line", "fixed")
 
 

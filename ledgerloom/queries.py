@@ -14,7 +14,7 @@ from .functions import keys as K
 from .functions import values as V
 from .operators import binding, catalog, constraints, cube, derive, evaluate, generate, graph, layout, solve, workflows
 from .plans import compiler, language
-from .session import bounded, shared_dir
+from .session import bounded, dealt, settled, shared_dir
 from .sources import formula, instance_xml, logs, package, star, workbook
 
 QUERIES: dict = {}
@@ -433,9 +433,10 @@ def q_table_cluster(spark, d):
 
 def order_equations(spark: SparkSession, d: str) -> DataFrame:
     """total = sum of lines for each order: an equation each, the total to be solved for."""
-    line = star.first_wins(star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+    line = star.first_wins(dealt(star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+    line = settled(line.select("l_orderkey", "l_linenumber", "l_extendedprice"))
     cells = line.select(F.col("l_orderkey").alias("component"), F.concat(F.lit("l"), "l_linenumber").alias("key"), F.lit(-1.0).alias("coef"), F.col("l_extendedprice").alias("start"), F.lit(True).alias("fixed"))
-    totals = line.select("l_orderkey").distinct().join(star.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("component"), F.lit("total").alias("key"), F.lit(1.0).alias("coef"), F.col("o_totalprice").alias("start"), F.lit(False).alias("fixed"))
+    totals = star.table(spark, d, "orders").join(line.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("component"), F.lit("total").alias("key"), F.lit(1.0).alias("coef"), F.col("o_totalprice").alias("start"), F.lit(False).alias("fixed"))
     return cells.unionByName(totals).withColumn("eq", F.col("component").cast("string")).withColumn("rhs", F.lit(0.0))
 
 
@@ -923,11 +924,12 @@ def q_open_link(spark, d):
  SELECT 'total' AS rule, l_orderkey * 10 AS src_line, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS fixed FROM l WHERE l_linenumber > 0 GROUP BY 2""")
 def q_log_fix(spark, d):
     """JN9, DV22: reported bindings name the lines of a total and its parts; the total becomes their sum."""
-    line = star.first_wins(star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+    line = star.first_wins(dealt(star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey"), ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+    line = settled(line.select("l_orderkey", "l_linenumber", "l_extendedprice"))
     parts = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src_line"), F.lit("part").alias("concept"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"))
-    totals = line.select((F.col("l_orderkey") * 10).alias("src_line"), F.lit("total").alias("concept"), F.lit(0).cast("decimal(18,2)").alias("value")).distinct()
-    hits = line.groupBy("l_orderkey").agg(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ls")).select(F.lit("total").alias("rule"), F.concat("ls", F.array(F.col("l_orderkey") * 10)).alias("lines"))
-    return binding.log_fixes(hits, parts.unionByName(totals), inline(spark, [("total", "total")], "rule string, concept string")).select("rule", "src_line", F.col("fixed").cast("double").alias("fixed"))
+    hits = settled(dealt(line, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ls")).select(F.lit("total").alias("rule"), (F.col("l_orderkey") * 10).alias("src_line"), F.concat("ls", F.array(F.col("l_orderkey") * 10)).alias("lines")))
+    totals = hits.select("src_line", F.lit("total").alias("concept"), F.lit(0).cast("decimal(18,2)").alias("value"))
+    return binding.log_fixes(hits.select("rule", "lines"), parts.unionByName(totals), inline(spark, [("total", "total")], "rule string, concept string")).select("rule", "src_line", F.col("fixed").cast("double").alias("fixed"))
 
 
 @query("SELECT year(o_orderdate)::BIGINT AS yr, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, yr LIMIT 1")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes as JSON text, of a catalogue (rules, cubes, members) that may be broadcast.
 MOST_BROADCAST, MOST_BYTES = 200_000, 64 << 20
+#: Rows that a task of a table that `dealt` deals reads, on average.
+ROWS_A_TASK = 250_000
+#: The same where Python parses or solves each row.
+TEXTS_A_TASK = 5_000
 #: A group holding at least this share of all rows is hot; there are at most 1 / HOT_SHARE such groups.
 HOT_SHARE = 0.001
 
@@ -67,6 +71,12 @@ def bounded(catalogue: DataFrame, most: int = MOST_BROADCAST, most_bytes: int =
     return F.broadcast(catalogue) if rows <= most and size <= most_bytes else catalogue
 
 
+def dealt(rows: DataFrame, by: str, n: int | None = None, each: int = ROWS_A_TASK) -> DataFrame:
+    """rows dealt by a column into as many partitions as their number (n, or counted: pass a table) asks for, `each` to a task. Narrow rows compress so well that partitions
+    that are packed by their bytes may hold millions of them, with all that a task then sorts or aggregates at once."""
+    return rows.repartition((rows.count() if n is None else n) // each + 1, by)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """left join right on key, where right has a row for each key and the number of left rows that carry it.
 

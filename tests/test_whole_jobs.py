@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerloom import queries as core
-from ledgerloom.operators import graph
+from ledgerloom import session
+from ledgerloom.operators import binding, graph
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,3 +88,19 @@ def test_components_shuffle_edges_once_for_each_end(spark):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert got == union_find(edges + path)
     assert sum(n for k, n in shuffled_rows(spark).items() if k not in before) < 3.5 * len(edges)
+
+
+def test_dealt_goes_by_the_number_of_rows(spark):
+    """Rows that all look alike fill no partition by their bytes; they are dealt by their number."""
+    rows = spark.range(1000).selectExpr("id", "'same' AS text")
+    got = session.dealt(rows, "id", each=100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) == 11 and sum(r["count"] for r in got) == 1000 and max(r["count"] for r in got) < 200
+
+
+def test_log_fixes_meet_their_targets_without_one_task_for_a_rule(spark):
+    """All bindings are of one rule: they are not dealt by it."""
+    lines = spark.range(500).selectExpr("'total' AS rule", "array(id * 10, id * 10 + 1) AS lines")
+    facts = spark.range(500).selectExpr("id * 10 AS src_line", "'total' AS concept", "0.0 AS value").unionByName(spark.range(500).selectExpr("id * 10 + 1 AS src_line", "'part' AS concept", "2.0 AS value"))
+    got = binding.log_fixes(lines, facts, spark.createDataFrame([("total", "total")], "rule string, concept string"))
+    assert got.count() == 500 and got.where("fixed != 2.0").isEmpty()
+    assert "hashpartitioning(rule#" not in got._jdf.queryExecution().toString()
