@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import forget, settled
+from ..session import dealt, forget, settled
 
 # functions go to the workers by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -362,7 +362,8 @@ def solve(terms: DataFrame, method: str = "exact", most: int = MOST_CELLS) -> Da
     schema = f"component {kind}, key string, value double, consistent boolean"
     alone = None
     if method == "exact" and most >= 1:
-        t = settled(t)
+        # dealt by component once for all that follows
+        t = dealt(settled(t), "component")
         alone = settled(lone_unknowns(t))
         cells = t.join(alone.select("component", F.col("key").alias("_k"), F.col("value").alias("_v")), "component")
         alone_cells = cells.groupBy("component", "key").agg(F.max(F.when(F.col("key") == F.col("_k"), F.col("_v"))).alias("_v"), F.min("start").alias("start"))
