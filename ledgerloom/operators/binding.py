@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import dim_key
 from ..plans import shapes
-from ..session import bounded, dealt, settled
+from ..session import TEXTS_A_TASK, bounded, dealt, settled
 from ..sources.formula import Rule
 
 
@@ -57,7 +57,8 @@ def bind(facts: DataFrame, filters: DataFrame, defaults: dict[str, str], with_va
 
 def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
     """Rules, as objects or as rows (shapes.RULES), made ready for binding once: parsed by tasks and settled."""
-    return settled(shapes.prepared(shapes.rule_rows(spark, rules) if isinstance(rules, list) else rules))
+    rows = shapes.rule_rows(spark, rules) if isinstance(rules, list) else rules
+    return settled(shapes.prepared(dealt(rows, "rule", each=TEXTS_A_TASK)))
 
 
 def bind_rules(facts: DataFrame, rules: DataFrame, defaults: dict[str, str]) -> DataFrame:
