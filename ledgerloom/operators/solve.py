@@ -270,7 +270,8 @@ def _solved(method: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         """Rows (component, and its terms as an array for each column): many components to a batch, as most are small."""
         for batch in batches:
             at, keys, values, consistent = [], [], [], []
-            for i, terms in enumerate(zip(*[batch.column(c).to_pylist() for c in TERM], strict=True)):
+            for i in range(batch.num_rows):  # a component at a time: only its own terms are Python objects
+                terms = [batch.column(c)[i].as_py() for c in TERM]
                 system = System(list(zip(*terms, strict=True)))
                 x, ok = _METHODS[method](system)
                 at += [i] * len(x)
