@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import keys as K
 from .operators import cube, layout
 from .queries import ORACLE, query, written_instances
-from .session import settled, shared_dir
+from .session import TEXTS_A_TASK, dealt, settled, shared_dir
 from .sources import formula, instance_xml, package, star, workbook
 
 # functions go to the workers by value: executors need no copy of this package
@@ -348,5 +348,5 @@ def module_files(spark, d) -> DataFrame:
 def q_module_rule_files(spark, d):
     """SRC19-SRC21: from the files of modules, assertion sets, rules and messages to each module's rules with their tables, severities and messages."""
     made = settled(module_files(spark, d))
-    rules = package.rules_of_modules(made.where("path LIKE '%.xsd'"), settled(package.links_of(made.where("path LIKE '%.xml'"))))
+    rules = package.rules_of_modules(made.where("path LIKE '%.xsd'"), settled(package.links_of(dealt(made.where("path LIKE '%.xml'"), "path", each=TEXTS_A_TASK))))
     return rules.select("module", "code", "severity", "test", F.array_join("tables", ",").alias("tables"), "message")
