@@ -112,3 +112,17 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: st
     on = [F.col(f"_i.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in [*by, "_range"]]
     joined = inside.alias("_i").join(before.alias("_b"), on)
     return joined.select(*[F.col(f"_i.{c}").alias(c) for c in rows.columns], (F.col("_b._before") + F.col("_i._in")).alias(name))
+
+
+def summed_before(rows: DataFrame, by: str, order: list[str], amount: str, name: str = "before") -> DataFrame:
+    """rows with the sum of the amounts that come before theirs within `by` in this order, which has to be total. A group may be of any size: rows are dealt into ranges
+    of (by, order) by their number, summed within each range, and ranges of the same group are added up."""
+    from pyspark.sql import Window
+
+    rows = settled(rows)
+    dealt = settled(rows.repartitionByRange(rows.count() // ROWS_A_TASK + 1, by, *order).withColumn("_range", F.spark_partition_id()))
+    forget(rows)
+    sums = dealt.groupBy(by, "_range").agg(F.sum(amount).alias("_n"))
+    earlier = sums.select(by, "_range", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    inside = dealt.withColumn("_in", F.coalesce(F.sum(amount).over(Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return inside.join(F.broadcast(earlier) if earlier.count() <= MOST_BROADCAST else earlier, [by, "_range"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in", "_range")
