@@ -204,7 +204,8 @@ def least_change(r: np.ndarray, c: np.ndarray, v: np.ndarray, b: np.ndarray, at_
         gd[P] += y2
         gd[Q] -= y2
         mu = z @ s / len(z)
-        if mu < 1e-13 or (mu < 1e-10 and max(np.abs(g1).max(initial=0), np.abs(g2).max(initial=0)) < 1e-9):
+        # to be small in the system's own units, where rows are judged
+        if mu < 1e-13 / scale or (mu < 1e-10 / scale and max(np.abs(g1).max(initial=0), np.abs(g2).max(initial=0)) < 1e-7 / max(scale, 100.0)):
             break
         t = z / s
         t1 = t[X] + t[U] + t[D]

@@ -124,3 +124,20 @@ def test_exact_with_like_cells_against_one_component(spark):
         x, ok = s.exact()
         mine = np.array([got[comp, k][0] for k in s.keys])
         assert {got[comp, k][1] for k in s.keys} == {ok} and (s.holds(mine, 1e-9) if ok else (mine == s.start).all()) and (not ok or s.holds(x, 1e-9))
+
+
+def test_a_tree_of_small_sums_is_judged_as_it_holds():
+    """Sums of which the least change leaves nothing hold to a millionth of a unit, not of the largest start."""
+    level, terms, n = [(f"l{i}", float(v)) for i, v in enumerate(np.random.default_rng(1).integers(0, 999, 3000))], [], 0
+    have = sum(v for _, v in level)
+    while len(level) > 1:
+        above = []
+        for i in range(0, len(level), 3):
+            terms.append((f"e{n:06}", f"t{n}", 1.0, 0.0, 0.0, False, "="))
+            terms += [(f"e{n:06}", k, -1.0, 0.0, v, False, "=") for k, v in level[i : i + 3]]
+            above.append((f"t{n}", 0.0))
+            n += 1
+        level = above
+    s = solve.System(terms)
+    x, held = s.least_change()
+    assert held and np.abs(x - s.start).sum() == pytest.approx(have, abs=1e-3)
